@@ -238,7 +238,7 @@ def time_features(signal: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum("cross"), F.lit(0)).alias("zero_crossings"), F.kurtosis("value").alias("kurtosis"), F.try_divide(F.log10(n), F.log10(n) + F.log10(n / (n + 0.4 * turns))).alias("petrosian_fd"))
     p = s.filter("pattern is not null").groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("c"))
     share = F.col("c") / F.sum("c").over(Window.partitionBy(*keys))
-    entropy = p.withColumn("p", share).groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p")) / F.log2(F.lit(6.0))).alias("permutation_entropy"))
+    entropy = p.withColumn("p", share).groupBy(*keys).agg((F.lit(0.0) - F.sum(F.col("p") * F.log2("p")) / F.log2(F.lit(6.0))).alias("permutation_entropy"))
     return base.join(entropy, keys, "left")
 
 

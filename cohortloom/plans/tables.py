@@ -35,12 +35,12 @@ def _(spark, d):
 
 
 #: A spectrum from line items: bins of 1 Hz by part, power from price.
-PSD = "psd AS (SELECT l_suppkey AS recording_id, l_linenumber AS channel, (l_partkey % 100)::DOUBLE AS freq, avg(l_extendedprice) / 1e12::DOUBLE AS power FROM lineitem GROUP BY ALL)"
+PSD = "psd AS (SELECT l_suppkey AS recording_id, l_linenumber AS channel, (l_partkey % 100)::DOUBLE AS freq, avg(l_extendedprice) / 3141592653589::DOUBLE AS power FROM lineitem GROUP BY ALL)"
 
 
 def _psd(spark, d):
     li = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").alias("channel"), (F.col("l_partkey") % 100).cast("double").alias("freq"))
-    return li.agg((F.avg("l_extendedprice") / F.lit(1e12)).alias("power"))
+    return li.agg((F.avg("l_extendedprice") / F.lit(3141592653589.0)).alias("power"))
 
 
 _bands = ", ".join(f"('{b}', {lo}::DOUBLE, {hi}::DOUBLE)" for b, (lo, hi) in Q.BANDS.items())
@@ -178,12 +178,12 @@ def _(spark, d):
 
 #: Line items as features: subject = supplier, condition = return flag.
 NAMES = {"l_quantity": "band_log_abs_ch-Fz", "l_extendedprice": "band_rel_alpha_ch-Cz", "l_discount": "complexity_entropy_ch-Fz", "l_tax": "complexity_entropy_ch-Cz"}
-FEAT = f"""feat AS (SELECT obs_id, subject, condition, feature, value FROM (UNPIVOT (SELECT l_orderkey * 1000 + l_suppkey AS obs_id, l_suppkey AS subject, l_returnflag AS condition, {', '.join(f'avg({c}) AS "{n}"' for c, n in NAMES.items())} FROM lineitem GROUP BY ALL) ON {', '.join(f'"{n}"' for n in NAMES.values())} INTO NAME feature VALUE value))"""
+FEAT = f"""feat AS (SELECT obs_id, subject, condition, feature, value FROM (UNPIVOT (SELECT l_orderkey * 1000 + l_suppkey AS obs_id, l_suppkey AS subject, l_returnflag AS condition, {', '.join(f'avg({c}) / 7 AS "{n}"' for c, n in NAMES.items())} FROM lineitem GROUP BY ALL) ON {', '.join(f'"{n}"' for n in NAMES.values())} INTO NAME feature VALUE value))"""
 
 
 def _features(spark, d):
     li = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("obs_id"), F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("condition"))
-    return X.long(li.agg(*[F.avg(c).alias(n) for c, n in NAMES.items()]), ["obs_id", "subject", "condition"], list(NAMES.values()))
+    return X.long(li.agg(*[(F.avg(c) / 7).alias(n) for c, n in NAMES.items()]), ["obs_id", "subject", "condition"], list(NAMES.values()))
 
 
 def _names(spark):
@@ -293,11 +293,11 @@ def _(spark, d):
 
 @query("f21_time_features", """WITH s AS (SELECT o_custkey AS recording_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_totalprice - 200000 AS v FROM orders), l AS (SELECT *, lag(v) OVER w AS b, lag(v, 2) OVER w AS a, v - lag(v) OVER w AS d1 FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
     m AS (SELECT *, d1 - lag(d1) OVER w AS d2, (d1 >= 0) <> lag(d1 >= 0) OVER w AS turn FROM l WINDOW w AS (PARTITION BY recording_id ORDER BY i)),
-    p AS (SELECT recording_id, -sum(c / t * log2(c / t)) / log2(6) AS pe FROM (SELECT recording_id, count(*) AS c, sum(count(*)) OVER (PARTITION BY recording_id) AS t FROM m WHERE a IS NOT NULL GROUP BY recording_id, a <= b, b <= v, a <= v) GROUP BY 1)
-    SELECT recording_id, round(var_pop(v), 2) AS activity, round(sqrt(var_pop(d1) / nullif(var_pop(v), 0)), 6) AS mobility, count(*) FILTER (WHERE (v >= 0) <> (b >= 0)) AS zero_crossings, round(log10(count(*)) / nullif(log10(count(*)) + log10(count(*) / (count(*) + 0.4::DOUBLE * count(*) FILTER (WHERE turn))), 0), 6) AS petrosian_fd, round(any_value(pe), 6) AS permutation_entropy FROM m LEFT JOIN p USING (recording_id) GROUP BY 1""")
+    p AS (SELECT recording_id, 0 - sum(c / t * log2(c / t)) / log2(6) AS pe FROM (SELECT recording_id, count(*) AS c, sum(count(*)) OVER (PARTITION BY recording_id) AS t FROM m WHERE a IS NOT NULL GROUP BY recording_id, a <= b, b <= v, a <= v) GROUP BY 1)
+    SELECT recording_id, round(var_pop(v) / 1e6, 3) AS activity, round(sqrt(var_pop(d1) / nullif(var_pop(v), 0)), 6) AS mobility, count(*) FILTER (WHERE (v >= 0) <> (b >= 0)) AS zero_crossings, round(log10(count(*)) / nullif(log10(count(*)) + log10(count(*) / (count(*) + 0.4::DOUBLE * count(*) FILTER (WHERE turn))), 0), 6) AS petrosian_fd, round(any_value(pe), 6) AS permutation_entropy FROM m LEFT JOIN p USING (recording_id) GROUP BY 1""")
 def _(spark, d):
     s = read(spark, d, "orders").select(F.col("o_custkey").alias("recording_id"), F.col("o_orderkey").alias("sample_idx"), (F.col("o_totalprice") - 200000).alias("value"))
-    t = X.time_features(s, ["recording_id"]).select("recording_id", F.round("activity", 2).alias("activity"), "mobility", F.col("zero_crossings"), "petrosian_fd", "permutation_entropy")
+    t = X.time_features(s, ["recording_id"]).select("recording_id", F.round(F.col("activity") / 1e6, 3).alias("activity"), "mobility", F.col("zero_crossings"), "petrosian_fd", "permutation_entropy")
     return rounded(t, 6, ("activity",))
 
 
