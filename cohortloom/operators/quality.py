@@ -132,7 +132,8 @@ def usability(df: DataFrame, retention: bool = False, limits: dict[str, float] =
 
 def qc_score(count: Column, count_limit: float, others: list[tuple[Column, float]]) -> Column:
     """Q10: mean of capped ratios: the bad-channel count by its limit, the others by twice theirs; missing ones are skipped."""
-    ratios = F.array_compact(F.array(F.least(F.lit(1.0), number(count) / count_limit), *[F.least(F.lit(1.0), number(c) / (2.0 * limit)) for c, limit in others]))
+    capped = lambda r: F.when(r.isNotNull(), F.least(F.lit(1.0), r))  # noqa: E731  least() alone would skip a NULL
+    ratios = F.array_compact(F.array(capped(number(count) / count_limit), *[capped(number(c) / (2.0 * limit)) for c, limit in others]))
     return F.when(F.size(ratios) > 0, F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(ratios))
 
 
