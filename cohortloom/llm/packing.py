@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ._util import documents, ranked, written
 
-WIDTH, END_ID, BUCKET_ROWS, CACHE, STEP = 4096, 2, 20_000, 300_000, 64
+WIDTH, END_ID, BUCKET_ROWS, CACHE, STEP = 4096, 2, 20_000, 1_000_000, 64
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORD = re.compile(r"[^ \n\t\r]+")
 _loaded: dict = {}
 
@@ -31,28 +33,41 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
-    """A function from texts to arrays of ids. The pattern of this vocabulary never joins across white space, so the
-    ids of a text are those of its white-space-separated words, which are remembered."""
-    if path not in _loaded:
+class Words(dict):
+    """The ids (bytes) of white-space-free words, worked out at first sight. A last full stop or comma after a letter is a
+    token of its own, and the vocabulary lower-cases, so words that differ in these are looked up once."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _loaded[path] = (t, {})
-    tokenizer, known = _loaded[path]
-
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = WORD.findall(text)
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
-            yield np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def __missing__(self, word: str) -> bytes:
+        low = word.lower() if word.isascii() else word
+        if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() and low[-2].lower()[-1].isalpha():
+            ids = self[low[:-1]] + self[low[-1]]
+        elif low != word:
+            ids = self[low]
+        elif low.isascii() and low.isalpha():  # a single match of the pattern, and its bytes stand for themselves
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(low)]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+
+def _encoder(path: str):
+    """A function from a text to its ids. The pattern of this vocabulary never joins across white space, so the ids of a
+    text are those of its words. str.split also splits at four separators that the vocabulary keeps."""
+    words = _loaded.get(path)
+    if words is None or len(words) >= CACHE:
+        words = _loaded[path] = Words(path)
+
+    def encode(text: str) -> np.ndarray:
+        found = WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+        return np.frombuffer(b"".join(map(words.__getitem__, found)), np.uint32)
 
     return encode
 
@@ -65,8 +80,8 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID)
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part, out = b.slice(at, 128), []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(ids), width):
                         piece = ids[s : s + width]
                         out.append((doc, s, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
