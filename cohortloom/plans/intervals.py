@@ -97,11 +97,12 @@ def _(spark, d):
 @query("i09_inferred", f"""{W}, {PAIRS}, b AS (SELECT DISTINCT hv.*, raw_end FROM hv JOIN recs USING (recording_id)),
     l AS (SELECT b.*, coalesce((SELECT min(h.start) FROM hv h WHERE h.recording_id = b.recording_id AND h.start > 0 AND h.start > b.stop + 0.1::DOUBLE), raw_end) AS lim FROM b),
     e AS (SELECT *, coalesce((SELECT max(onset) FROM marks m WHERE m.label = 'post_hv' AND m.recording_id = l.recording_id AND onset >= l.stop AND onset < lim), least(stop + 0.25::DOUBLE * (stop - start), lim)) AS fin FROM l)
-    SELECT recording_id, round(stop, 6) AS start, round(fin, 6) AS stop FROM e WHERE fin - stop > 1""")
+    SELECT recording_id, round(stop, 8) AS start, round(fin, 8) AS stop FROM e WHERE fin - stop > 1""")
 def _(spark, d):
     m = marks(spark, d)
     hv = _pairs(m)
-    return six(I.inferred_blocks(hv, hv.select("recording_id", "start"), m.filter("label = 'post_hv'").select("recording_id", "onset"), recordings(m)), "start", "stop")
+    out = I.inferred_blocks(hv, hv.select("recording_id", "start"), m.filter("label = 'post_hv'").select("recording_id", "onset"), recordings(m))
+    return out.withColumns({c: F.round(c, 8) for c in ("start", "stop")})
 
 
 @query("i10_segments")
