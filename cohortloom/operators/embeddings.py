@@ -130,6 +130,28 @@ def token_covariance(df: DataFrame, ids: list[str], tokens: str = "tokens", ridg
     return df.select(*ids, tokens).mapInPandas(run, f"{kinds}, vector array<double>")
 
 
+def diagnostic_tasks(df: DataFrame, evals: dict[str, dict], populations: dict[str, dict], conditions: list[str], ids: list[str]) -> DataFrame:
+    """(eval_name, population, scope, ids, y) for every evaluation, population and scope (each condition and `pooled`).
+
+    evals: name -> column, and mapping, positive or order (T1); populations: name -> any_of, all_of (P2).
+    condition_separation takes the condition as its target and runs on the pooled scope only. One pass for each task of
+    a short list; the union is one plan.
+    """
+    from ..functions.predicates import cohort
+    from .evaluation import target
+
+    out = None
+    for name, spec in evals.items():
+        for population, wanted in populations.items():
+            for scope in ([] if name == "condition_separation" else conditions) + ["pooled"]:
+                rows = cohort(df, wanted.get("any_of", ()), wanted.get("all_of"))
+                rows = rows.filter(F.col("condition").isin(conditions)) if scope == "pooled" else rows.filter(F.col("condition") == scope)
+                rows = target(rows, spec["column"], spec.get("mapping"), spec.get("positive"), spec.get("order"))
+                task = rows.select(F.lit(name).alias("eval_name"), F.lit(population).alias("population"), F.lit(scope).alias("scope"), *ids, "y")
+                out = task if out is None else out.unionByName(task)
+    return out
+
+
 def fingerprint(df: DataFrame, task: list[str], parts: list[str]) -> DataFrame:
     """(task, n, selection_fingerprint): a hash of the task and of its members, the same for any order.
 

@@ -520,3 +520,30 @@ def _(spark, d):
 
     text = F.element_at(F.array(F.lit(" Yes"), F.lit("1"), F.lit("no"), F.lit("absent")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return read(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(truthy(text)).alias("n"))
+
+
+@query("e06_e10_tasks", f"""WITH {EMB}, p AS (SELECT *, 'all' AS population FROM emb UNION ALL SELECT *, 'low' FROM emb WHERE label IN (0, 1, 2)), s AS (SELECT *, condition AS scope FROM p UNION ALL SELECT *, 'pooled' FROM p)
+    SELECT 'diagnosis' AS eval_name, population, scope, count(*) AS n, sum((label = 1)::INT)::BIGINT AS positives FROM s WHERE label IN (0, 1) GROUP BY ALL
+    UNION ALL SELECT 'condition_separation', population, scope, count(*), sum((condition = 'EC')::INT)::BIGINT FROM s WHERE scope = 'pooled' GROUP BY ALL""")
+def _(spark, d):
+    evals = {"diagnosis": {"column": "label", "mapping": {"0": 0, "1": 1}}, "condition_separation": {"column": "condition", "positive": "EC"}}
+    tasks = E.diagnostic_tasks(_emb(spark, d), evals, {"all": {}, "low": {"all_of": {"label": [0, 1, 2]}}}, ["EO", "EC"], ["vec_id"])
+    rows = tasks.withColumns({"cohort_name": F.lit("c"), "model_key": F.lit("m")})
+    kept = E.selected_diagnostics(rows, "c", "all").unionByName(E.selected_diagnostics(rows, "c", "low"))
+    return kept.groupBy("eval_name", "population", "scope").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+
+
+@query("t05_t11_units", f"WITH {FITS}, m AS (SELECT DISTINCT reducer AS mode FROM fits), g AS (SELECT DISTINCT grp AS model FROM fits) SELECT mode, model FROM m, g WHERE (mode = 'PCA') = (model % 2 = 0)")
+def _(spark, d):
+    f = _fits(spark, d)
+    modes, models = f.select(F.col("reducer").alias("mode")).distinct(), f.select(F.col("grp").alias("model")).distinct()
+    allowed = f.select(F.col("reducer").alias("mode")).distinct().join(f.select(F.col("grp").alias("model")).distinct(), (F.col("mode") == "PCA") == (F.col("model") % 2 == 0))
+    return T.unit_grid(modes, models, allowed).select("mode", "model")
+
+
+@query("s02_table", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def _(spark, d):
+    from ..sources.tables import table
+
+    rich = read(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, f"{d}/orders.parquet", F.col("o_orderstatus") == "F", rich, "o_custkey").select("o_orderkey", "o_totalprice")
