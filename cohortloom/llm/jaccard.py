@@ -138,15 +138,15 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = written(
         tokens.join(common, "t").groupBy("x", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).filter(F.size("s") >= asked)
         .select("x", "n", F.col("s.t").alias("ts")), "shared")
-    prefix = sets.select("x", "n", F.explode(F.slice("ts", F.lit(1), (F.size("ts") - asked + 1).cast("int"))).alias("t"))
+    prefix = sets.select("x", "n", F.size("ts").alias("s"), F.posexplode(F.slice("ts", F.lit(1), (F.size("ts") - asked + 1).cast("int"))).alias("i", "t"))
 
     # Groups: the least class that shares a prefix shingle, by bands of size.
     lists = prefix.groupBy("t").agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     prefix = prefix.join(lists, "t")
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.1)).cast("long")
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.05)).cast("long")
     group = F.concat_ws(":", F.min("least"), F.first(band)).alias("g")
     member = written(prefix.groupBy("x").agg(group, F.first("n").alias("n")), "groups")
-    prefix = written(prefix.select("x", "t").join(member, "x"), "prefix")
+    prefix = written(prefix.select("x", "t", "s", "i").join(member, "x"), "prefix")
     span = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
     # The matrix: each group's token union, with the number of members that hold the token.
@@ -163,17 +163,17 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     star = opened.join(hubs, "h").filter("x <> b").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
     links = written(_verified(star, sets), "links")
 
-    # What the hubs left apart: pairs across components on a common prefix shingle, both groups opened.
+    # What the hubs left apart: pairs across components in opened groups on a common prefix shingle. After their first
+    # common shingle, at places i and j in the common order, both must still hold enough shingles.
     comp = components(links)
-    able = opened.select("x").distinct()
-    apart = prefix.join(able, "x", "left_semi").join(comp, F.col("x") == comp.node, "left").select("x", "n", "g", "t", F.coalesce("component", "x").alias("c"))
-    apart = written(apart, "apart")
+    apart = prefix.join(comp, F.col("x") == comp.node, "left").select("x", "n", "g", "t", "s", "i", F.coalesce("component", "x").alias("c"))
+    apart = written(apart.join(opened.select("x").distinct(), "x", "left_semi"), "apart")
     mixed = apart.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("t").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    mixed = mixed.select("t", F.col("top.c").alias("major"))
-    one = apart.join(mixed, "t").filter("c <> major")
-    two = apart.select("t", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("c").alias("cy"))
-    pairs = one.join(two, "t").filter("c <> cy and (cy = major or x < y) and 5 * n >= 4 * ny and 5 * ny >= 4 * n").select("x", "y", "g", "gy").distinct()
-    pairs = pairs.join(opened.select("x", F.col("h").alias("gy")), ["x", "gy"], "left_semi").join(opened.select(F.col("x").alias("y"), F.col("h").alias("g")), ["y", "g"], "left_semi")
+    one = apart.join(mixed.select("t", F.col("top.c").alias("major")), "t").filter("c <> major").join(opened.withColumnRenamed("h", "gy"), "x")
+    two = apart.select("t", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("c").alias("cy"), F.col("s").alias("sy"), F.col("i").alias("j"))
+    able = "c <> cy and (cy = major or x < y) and 5 * n >= 4 * ny and 5 * ny >= 4 * n and 9 * least(s - i, sy - j) >= 4 * (n + ny)"
+    pairs = one.join(two, ["t", "gy"]).filter(able).select("x", "y", "g").distinct()
+    pairs = pairs.join(opened.select(F.col("x").alias("y"), F.col("h").alias("g")), ["y", "g"], "left_semi")
     rest = _verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
     return links.unionByName(rest)
 
