@@ -27,6 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast: 64 MB at 16 bytes a row.
+BROADCAST_ROWS = 4_000_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if its counted rows are within the bound; else Spark shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

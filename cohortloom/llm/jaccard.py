@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._graph import components
-from ._util import documents, written
+from ._util import documents, small_side, written
 
 #: Overlap o links sizes n and m when o / (n + m - o) >= 0.8, which is 9 o >= 4 (n + m).
 K = 5
@@ -128,7 +128,7 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = _prefixes(docs)
     shared = rows.repartition("t").sortWithinPartitions("t", "n", "k").mapInArrow(_neighbours, "k long, n long, c long")
     alive = shared.groupBy("k").agg(F.sum("c").alias("c"), F.max("n").alias("n")).filter("c >= ((4 * n + 4) div 5 + 9) div 10").select("k")
-    held = classes.join(alive, classes.k1 == alive.k, "left_semi").select(F.col("x").alias("doc_id"), "k1")
+    held = small_side(written(classes.join(alive, classes.k1 == alive.k, "left_semi").select(F.col("x").alias("doc_id"), "k1"), "held"))
     full = written(_full_sets(docs.join(held, "doc_id").select("doc_id", "k1", "text")).dropDuplicates(["x"]), "sets")
 
     # Shingles of one class only are in no overlap; what is left must still reach the need.
