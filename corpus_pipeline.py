@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import dedup, jaccard, langid, packing, secret_scan
-from cohortloom.llm._util import documents, written
+from cohortloom.llm._util import documents, small_side, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    named = docs.filter("doc_id is not null").join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the ids that decided(doc_id, kept) only drops. Rows without an id stay; texts are not shuffled unless
+    the dropped ids are too many to broadcast."""
+    gone = decided.filter("not kept and doc_id is not null").select("doc_id").distinct().join(decided.filter("kept").select("doc_id"), "doc_id", "left_anti")
+    return docs.join(small_side(written(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +31,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(dedup.exact_groups(docs), "groups")
     if not groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         docs = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return _only(docs, groups.filter("kept"))
+    return _without(docs, groups)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the row with the smallest doc_id; texts without words and rows without an id stay."""
-    return _only(docs, jaccard.jaccard_components(docs).filter("doc_id = component_id"))
+    found = written(jaccard.jaccard_components(docs), "components")
+    return _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
