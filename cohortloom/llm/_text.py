@@ -81,7 +81,8 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
         h = word_hashes(low, starts, ends)
         gram = np.zeros(len(h), U64)
         for i in range(k):
-            gram[: len(h) - i] = gram[: len(h) - i] * U64(0xA0761D6478BD642F) + h[i:] if i < len(h) else gram
+            if i < len(h):
+                gram[: len(h) - i] = gram[: len(h) - i] * U64(0xA0761D6478BD642F) + h[i:]
         gram = mix(gram, 2)
         upto = np.searchsorted(row, np.arange(end - at + 1))
         for r in range(end - at):

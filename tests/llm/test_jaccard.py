@@ -67,6 +67,17 @@ def test_long_text(spark):
     assert [r.component_id for r in out] == [1, 1] and out[0].n_shingles == 59_996
 
 
+def test_few_words_alone(spark):
+    """A table, slice or run of rows that holds two, three or four words in all."""
+    for n in range(7):
+        docs = [(1, " ".join("abcdefg"[:n]))]
+        assert run(spark, docs) == brute.jaccard(docs)
+    long = " ".join(str(i) for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, "one two three"), (3, "One two  three")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
+    assert got == {1: (199_996, 1), 2: (1, 2), 3: (1, 2)}
+
+
 def test_one_row_for_each_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = jaccard_components(docs)
