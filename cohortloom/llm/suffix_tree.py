@@ -1,11 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Symbols are the bytes of a text's words (A-Z lower-cased, joined by one space) and one boundary symbol. Contexts are
-one to four symbols long, where the symbols beyond the 62 most frequent bytes count as one class. A context is kept when
-it is frequent enough (`least`, a share of all symbols, which also bounds the number of contexts at each depth by
-1 / least) and when its next-symbol distribution diverges from that of the context one symbol shorter (Kullback-Leibler
-divergence of `gain` nats or more). Each kept distribution is smoothed towards its
-parent's. A symbol is scored by the longest kept context that ends before it.
+Symbols are the bytes of a text's words (A-Z lower-cased, joined by one space) and one boundary symbol. Contexts are one
+to seven units long: the boundary and the 60 most frequent bytes are one unit, each other byte is two, so no two bytes
+share contexts. A context is kept when it occurs `least` times or more, an absolute count, so the tree grows with the
+corpus, and, beyond the top, when its next-symbol distribution diverges from that of the context one unit shorter
+(Kullback-Leibler divergence of `gain` nats or more) or a longer context that it ends is kept. Each kept distribution is
+smoothed towards its parent's. A symbol is scored by the longest kept context that ends before it.
+
+The top of the tree (contexts of one and two units, 4,160 at most) is sent to the tasks. The rest is never gathered: the
+texts are cut into blocks, each block's distinct codes (context and symbol) go to the branch that their last three units
+name, where all longer contexts are whole, and the branch sends the log probability of each code back to the block.
 
 Beside it stands an add-one unigram score over exact word counts of the training rows.
 """
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 from . import _text
 from ._util import documents, written
 
-DEPTH, SYMBOLS, EDGE = 4, 257, 256
-CLASSES, SHIFT = 64, 9  # a code is the classes of four symbols, six bits each, and nine bits of the next symbol
-LEAST, GAIN, WEIGHT, HOT = 1e-5, 0.02, 20.0, 1e-6
-FLUSH = 3_000_000
+TOP, DEPTH, SYMBOLS, EDGE = 2, 7, 257, 256
+CLASSES, SHIFT = 64, 9  # a code is DEPTH units, six bits each and the last one highest, and nine bits of the next symbol
+SINGLE = 61  # units below stand for one symbol, the others lead a unit that tells the symbol
+LEAST, GAIN, WEIGHT, HOT = 2, 0.02, 20.0, 1e-6
+FLUSH, MERGE = 3_000_000, 2_000_000
+BLOCK, BRANCH, TEXTS = 6 << 20, 4 << 20, 1 << 30  # bytes of text of a block and, on average, of a branch; the texts' place
 END = np.int64(-7046029254386353131)  # the end token's code among word fingerprints
 _ready: dict = {}
 
@@ -59,21 +65,32 @@ def _symbols(low: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndar
 
 
 def _codes(symbols: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """For each scored position the code of its four preceding symbols' classes and itself."""
-    n = len(symbols) - DEPTH
+    """For each scored position the code of the DEPTH units before it and itself."""
     of = classes[symbols]
-    code = of[:n].copy()
-    for i in range(1, DEPTH):
-        code = (code << 6) | of[i : n + i]
-    code = (code << SHIFT) | symbols[DEPTH:]
-    inside = np.ones(n, bool)
+    two = of >= CLASSES
+    end = np.cumsum(1 + two)
+    units = np.zeros(end[-1] if len(end) else 0, np.int64)
+    units[end - 1] = of & (CLASSES - 1)
+    units[end[two] - 2] = of[two] >> 6
+    n = len(units)
+    pair = (units[1:] << 6) | units[: n - 1]  # [p] ends at unit p + 1
+    four = (pair[2:] << 12) | pair[:-2]
+    six = (four[2:] << 12) | pair[: n - 5]
+    seven = (six[1:] << 6) | units[: n - 6]  # [p] ends at unit p + 6
+    inside = np.ones(len(symbols), bool)
     for i in range(DEPTH):
-        inside[at[1:-1] - DEPTH + i] = False
-    return code[inside]
+        inside[at[:-1] + i] = False
+    return (seven[(end - 1 - two)[inside] - DEPTH] << SHIFT) | symbols[inside]
+
+
+def _top(codes: np.ndarray) -> np.ndarray:
+    """The last TOP units of each code, the last one lowest, and the symbol."""
+    return (((codes >> (SHIFT + 6 * (DEPTH - 2))) & 63) << 15) | (((codes >> (SHIFT + 6 * (DEPTH - 1))) & 63) << 9) | (codes & ((1 << SHIFT) - 1))
 
 
 def alphabet(docs: DataFrame) -> np.ndarray:
-    """The class of each symbol: the boundary 0, the most frequent bytes 1 to 62, the rest 63. From counts over docs(text)."""
+    """The unit of each symbol: the boundary 0, the most frequent bytes 1 to 60; others have two, first * 64 + second. From
+    counts over docs(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
@@ -83,10 +100,12 @@ def alphabet(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "c"])
 
     rows = docs.select("text").mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).filter("c > 0").collect()
-    classes = np.full(SYMBOLS, CLASSES - 1, np.int64)
-    for i, r in enumerate(sorted(rows, key=lambda r: (-r.c, r.byte))[: CLASSES - 2]):
-        classes[r.byte] = i + 1
-    classes[EDGE] = 0
+    often = [r.byte for r in sorted(rows, key=lambda r: (-r.c, r.byte))[: SINGLE - 1]]
+    classes = np.zeros(SYMBOLS, np.int64)
+    classes[often] = np.arange(len(often)) + 1
+    never = {*range(9, 14), *range(65, 91), 0xC0, 0xC1, *range(0xF5, 0x100)}  # not in lower-cased words of valid UTF-8
+    others = [x for x in range(256) if x not in never and x not in set(often)]
+    classes[others] = SINGLE * CLASSES + np.arange(len(others))
     return classes
 
 
@@ -122,54 +141,44 @@ class _Tally:
 
 
 def counts(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(kind, code, c) over docs(text): kind 0 words by fingerprint (END: texts), kind 1 symbols in context."""
+    """(kind, code, c) over docs(text): kind 0 words by fingerprint (END: texts), kind 1 symbols after TOP units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams = _Tally(0), _Tally(1)
+        words, grams, tops = _Tally(0), _Tally(1), np.zeros(CLASSES**TOP << SHIFT, np.int64)
         for b in batches:
             words.add(np.array([END]), np.array([b.num_rows], np.int64))
             for _, _, low, off, starts, ends, row in _parsed(b.column(0)):
                 h, c = np.unique(_text.word_hashes(low, starts, ends).view(np.int64), return_counts=True)
                 words.add(h, c.astype(np.int64))
-                g, c = np.unique(_codes(*_symbols(low, off, starts, ends, row), classes), return_counts=True)
-                grams.add(g, c.astype(np.int64))
-            for t in (words, grams):
-                if t.size > FLUSH:
-                    yield from t.out()
+                tops += np.bincount(_top(_codes(*_symbols(low, off, starts, ends, row), classes)), minlength=len(tops))
+            if words.size > FLUSH:
+                yield from words.out()
         yield from words.out()
+        if tops.any():
+            grams.add(np.flatnonzero(tops), tops[tops > 0])
         yield from grams.out()
 
     return docs.select("text").mapInArrow(run, "kind byte, code long, c long").groupBy("kind", "code").agg(F.sum("c").alias("c"))
 
 
-def contexts(grams: DataFrame, least: float = LEAST, gain: float = GAIN) -> DataFrame:
-    """(depth, context, symbol, c) of the kept contexts and their ancestors; depth 0 is the root.
+def contexts(grams: DataFrame, least: float = LEAST) -> DataFrame:
+    """(depth, context, symbol, c) of the contexts of TOP units at most; depth 0 is the root.
 
-    A context's parent lacks its oldest symbol. Divergence tests are joins of a context's counts with its parent's.
+    A context's parent lacks its oldest unit. The top is kept without tests of divergence, as what lies below it is not
+    known here.
     """
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    levels = []
-    for d in range(DEPTH + 1):
+    out = None
+    for d in range(TOP + 1):
         context = F.expr(f"(code div {1 << SHIFT}) % {CLASSES**d}")
         level = grams.groupBy(context.alias("context"), (F.col("code") % (1 << SHIFT)).alias("symbol")).agg(F.sum("c").alias("c"))
-        often = level.groupBy("context").agg(F.sum("c").alias("n")).filter(F.col("n") >= least * total)
-        levels.append(written(level.join(often, "context"), f"depth{d}"))
-    kept = []
-    for d in range(DEPTH, 0, -1):
-        child = levels[d].withColumn("parent", F.expr(f"context % {CLASSES ** (d - 1)}"))
-        up = levels[d - 1].select(F.col("context").alias("parent"), "symbol", (F.col("c") / F.col("n")).alias("q"))
-        tested = child.join(up, ["parent", "symbol"]).groupBy("context").agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") / F.col("n") / F.col("q"))).alias("kl")).filter(F.col("kl") >= gain).select("context")
-        if kept:  # ancestors of kept contexts stay
-            tested = tested.union(kept[-1].select(F.expr(f"context % {CLASSES**d}").alias("context"))).distinct()
-        kept.append(written(tested, "kept"))
-    out = levels[0].select(F.lit(0).alias("depth"), "context", "symbol", "c")
-    for d, names in zip(range(DEPTH, 0, -1), kept, strict=True):
-        out = out.unionByName(levels[d].join(names, "context", "left_semi").select(F.lit(d).alias("depth"), "context", "symbol", "c"))
+        often = level.groupBy("context").agg(F.sum("c").alias("n")).filter(F.col("n") >= (least if d else 0)).select("context")
+        level = level.join(often, "context").select(F.lit(d).alias("depth"), "context", "symbol", "c")
+        out = level if out is None else out.unionByName(level)
     return out
 
 
 class Tree:
-    """The kept contexts as arrays; `states` and `logs` are built once in each worker."""
+    """The top contexts as arrays; `states` and `logs` are built once in each worker."""
 
     def __init__(self, table: pd.DataFrame, classes: np.ndarray) -> None:
         self.name, self.classes = uuid.uuid4().hex, classes
@@ -186,7 +195,7 @@ class Tree:
             state = np.cumsum(fresh) - 1
             count = np.zeros((max(1, len(first)), SYMBOLS), np.float32)
             count[state, self.symbol] = self.c
-            states = np.zeros(CLASSES**DEPTH, np.int32)
+            states = np.zeros(CLASSES**TOP, np.int32)
             prob = np.zeros_like(count)
             prob[0] = (count[0] + 1) / (count[0].sum() + SYMBOLS) if len(first) and self.depth[0] == 0 else 1 / SYMBOLS
             for i, at in enumerate(first.tolist()):
@@ -195,14 +204,172 @@ class Tree:
                     up = prob[states[x]]  # so far the longest kept suffix: its parent
                     prob[i] = (count[i] + np.float32(WEIGHT) * up) / (count[i].sum() + np.float32(WEIGHT))
                     states.reshape(-1, CLASSES**d)[:, x] = i
-            _ready.update(name=self.name, states=states, logs=np.log10(prob.astype(np.float64)).astype(np.float32).reshape(-1))
+            share = (count / np.maximum(count.sum(axis=1, keepdims=True), 1)).reshape(-1)
+            _ready.update(name=self.name, states=states, share=share, logs=np.log10(prob.astype(np.float64)).astype(np.float32).reshape(-1))
         return _ready["states"], _ready["logs"]
 
-    def scores(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def scores(self, codes: np.ndarray, c: np.ndarray, least: float, gain: float) -> tuple[np.ndarray, int]:
+        """log10 probability of each code, and the number of kept contexts beyond the top. Codes are sorted and distinct, c
+        counts them in training; all codes that end with the same TOP + 1 units are among them or none."""
         states, logs = self.built()
-        codes = _codes(symbols, at, self.classes)
-        got = logs[states[codes >> SHIFT].astype(np.int64) * SYMBOLS + (codes & ((1 << SHIFT) - 1))]
-        return np.add.reduceat(got.astype(np.float64), at[:-1] - DEPTH * np.arange(len(at) - 1))
+        top = _top(codes)
+        at = states[top >> SHIFT].astype(np.int64) * SYMBOLS + (top & ((1 << SHIFT) - 1))
+        p, q, levels = 10.0 ** logs[at].astype(np.float64), _ready["share"][at].astype(np.float64), []
+        for d in range(TOP + 1, DEPTH + 1):
+            context = codes >> (SHIFT + 6 * (DEPTH - d))
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            lens = np.diff(np.append(first, len(codes)))
+            n = np.add.reduceat(c, first)
+            key = (np.repeat(np.arange(len(first)), lens) << SHIFT) | (codes & ((1 << SHIFT) - 1))
+            pair, back = np.unique(key, return_inverse=True) if d < DEPTH else (key, np.arange(len(key)))
+            of, held = pair >> SHIFT, np.bincount(back, c, len(pair))
+            share, up = held / np.maximum(n[of], 1), np.ones(len(pair))
+            up[back] = q
+            seen = held > 0
+            kl = np.bincount(of[seen], share[seen] * np.log(share[seen] / up[seen]), len(first))
+            often = n >= max(least, 1)
+            stay = np.flatnonzero(np.repeat(often, lens))  # below a context that is not frequent none is
+            levels.append((first, lens, n, held[back].astype(np.int32), often & (kl >= gain), stay))
+            codes, c, q = codes[stay], c[stay], share[back][stay]
+            if not len(codes):
+                break
+        kept = []
+        for first, lens, n, held, own, stay in reversed(levels):
+            below = np.zeros(len(held), bool)
+            if kept:
+                below[stay] = np.repeat(kept[-1], deeper)
+            kept.append(own | np.logical_or.reduceat(below, first))
+            deeper = lens
+        ids = np.arange(len(p))
+        for (_, lens, n, held, _, stay), keep in zip(levels, reversed(kept), strict=True):
+            up = p[ids]
+            p[ids] = np.where(np.repeat(keep, lens), (held + WEIGHT * up) / (np.repeat(n, lens) + WEIGHT), up)
+            ids = ids[stay]
+        return np.log10(p).astype(np.float32), int(sum(k.sum() for k in kept))
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """The array by the places of its bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), "lz4_raw", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, n * size, "lz4_raw", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(block, place, n, texts, counts) of docs(doc_id, text, train): the rows of each task in blocks of about BLOCK bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for part in held:
+                    w.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([TEXTS], pa.int32()), pa.array([0]), pa.array([sink.getvalue().to_pybytes()]), pa.array([None], pa.binary())], names=["block", "place", "n", "blob", "counts"])
+
+        for b in batches:
+            for at, end, data, _ in _text.chunks(b.column(1)):
+                if held and size + len(data) > BLOCK:
+                    yield out()
+                    block, held, size = block + 1, [], 0
+                held.append(b.slice(at, end - at))
+                size += len(data)
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "block long, place int, n long, blob binary, counts binary")
+
+
+def _read(blob: bytes) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+    for b in pa.ipc.open_stream(blob):
+        for at, end, low, off, starts, ends, row in _parsed(b.column(1)):
+            yield b.slice(at, end - at), (low, off, starts, ends, row)
+
+
+def _places(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted codes by branch, and where each branch begins in it."""
+    branch = (_text.mix((codes >> (SHIFT + 6 * (DEPTH - TOP - 1))).astype(np.uint64), 5) % np.uint64(n)).astype(np.int64)
+    return np.argsort(branch, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(branch, minlength=n))])
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their summed counts."""
+    codes = np.concatenate([x[0] for x in parts])
+    order = np.argsort(codes, kind="stable")
+    codes, c = codes[order], np.concatenate([x[1] for x in parts])[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(c, first, dtype=np.int32)
+
+
+def _leaves(blocks: DataFrame, classes: np.ndarray, branches: int) -> DataFrame:
+    """(block, place, n, blob, counts): each block's distinct codes by branch with their counts in training rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts, size = [], 0
+                for b, parsed in _read(blob.as_py()):
+                    symbols, at = _symbols(*parsed)
+                    codes = _codes(symbols, at, classes)
+                    train = np.repeat(b.column(2).fill_null(False).to_numpy(zero_copy_only=False), np.diff(at) - DEPTH)
+                    u, c = np.unique((codes << 1) | train, return_counts=True) if not train.all() else np.unique(codes, return_counts=True)
+                    if not train.all():
+                        c, u = c * (u & 1), u >> 1
+                    parts.append((u, c.astype(np.int32)))
+                    size += len(u)
+                    if size > MERGE:
+                        parts, size = [_merged(parts)], 0
+                codes, c = _merged(parts)
+                order, cuts = _places(codes, branches)
+                codes, c = codes[order], c[order]
+                some = np.flatnonzero(cuts[1:] > cuts[:-1])
+                for i in range(0, len(some), 256):
+                    part = [(int(x), slice(cuts[x], cuts[x + 1])) for x in some[i : i + 256]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block] * len(part)), pa.array([x for x, _ in part], pa.int32()), pa.array([s.stop - s.start for _, s in part], pa.int64()),
+                         pa.array([_packed(np.diff(codes[s], prepend=np.int64(0))) for _, s in part]), pa.array([_packed(c[s]) for _, s in part])],
+                        names=["block", "place", "n", "blob", "counts"])
+
+    return blocks.select("block", "blob").mapInArrow(run, "block long, place int, n long, blob binary, counts binary")
+
+
+def branch_scores(leaves: DataFrame, branches: int, tree: Tree, least: float = LEAST, gain: float = GAIN) -> DataFrame:
+    """(block, place, n, blob, kept): the log probabilities of leaves, in their order; kept counts a branch's contexts once."""
+    sent = leaves.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            codes = np.concatenate([np.cumsum(_unpacked(blob, n, np.int64)) for _, n, blob, _ in held])
+            c = np.concatenate([_unpacked(counts, n, np.int32) for _, n, _, counts in held])
+            u, back = np.unique(codes, return_inverse=True)
+            logs, kept = sent.value.scores(u, np.bincount(back, c, len(u)).astype(np.int64), least, gain)
+            logs, at = logs[back], 0
+            for i, (block, n, _, _) in enumerate(held):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([place], pa.int32()), pa.array([n]), pa.array([_packed(logs[at : at + n])]), pa.array([0 if i else kept])], names=["block", "place", "n", "blob", "kept"])
+                at += n
+
+        for b in batches:
+            for block, x, n, blob, counts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and x != place:
+                    yield from out()
+                    held = []
+                place = x
+                held.append((block, n, blob, counts))
+        if held:
+            yield from out()
+
+    dealt = leaves.repartition(branches, "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(run, "block long, place int, n long, blob binary, kept long")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, least: float = LEAST, gain: float = GAIN) -> DataFrame:
@@ -215,46 +382,69 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (training(F.col(id_col)) if train is None else train).alias("train"))
     classes = alphabet(docs.filter("train"))
+    blocks = written(_blocks(docs.select("doc_id", "text", "train")), "blocks")
     table = written(counts(docs.filter("train"), classes), "counts")
     words = table.filter("kind = 0").select("code", "c")
     size = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = size.n or 0, size.v or 0
-    tree = Tree(contexts(table.filter("kind = 1").select("code", "c"), least, gain).toPandas(), classes)
+    tree = Tree(contexts(table.filter("kind = 1").select("code", "c"), least).toPandas(), classes)
+    n_blocks, n_symbols = max(1, blocks.count()), table.filter("kind = 1").agg(F.sum("c")).first()[0] or 0
+    branches = int(max(64, n_symbols // BRANCH))
+    logs_table = branch_scores(_leaves(blocks, classes, branches), branches, tree, least, gain)
     # Words with a share of HOT or more: 1 / HOT of them at most, whatever the corpus.
     hot = words.filter(F.col("c") >= HOT * total).toPandas().sort_values("code")
-    sent = spark.sparkContext.broadcast((tree, hot["code"].to_numpy(np.int64), hot["c"].to_numpy(np.int64)))
+    sent = spark.sparkContext.broadcast((hot["code"].to_numpy(np.int64), hot["c"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, codes, c = sent.value
+        codes, c = sent.value
         logs = np.log10(c + 1.0)
-        for b in batches:
-            for at, end, low, off, starts, ends, row in _parsed(b.column(1)):
-                n = end - at
-                h = np.concatenate([_text.word_hashes(low, starts, ends).view(np.int64), np.full(n, END)])
-                row_h = np.concatenate([row, np.arange(n)])
-                if len(codes):
-                    where = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
-                    hit = codes[where] == h
-                else:
-                    where, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                known = np.bincount(row_h[hit], minlength=n)
-                total_log = np.bincount(row_h[hit], logs[where[hit]] if len(codes) else None, n).astype(np.float64)
-                rest_row, rest = row_h[~hit], h[~hit]
-                order = np.lexsort((rest, rest_row))
-                rest_row, rest = rest_row[order], rest[order]
-                fresh = np.ones(len(rest), bool)
-                fresh[1:] = (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1])
-                first = np.flatnonzero(fresh)
-                times = np.diff(np.append(first, len(rest)))
-                cuts = np.searchsorted(rest_row[first], np.arange(n + 1)).astype(np.int32)
-                score = tree.scores(*_symbols(low, off, starts, ends, row))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n), b.column(2).slice(at, n), pa.array(np.bincount(row_h, minlength=n)), pa.array(known), pa.array(total_log), pa.array(score),
-                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(rest[first])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32)))],
-                    names=["doc_id", "train", "n_tokens", "known", "logs", "score", "rest", "times"])
+        got = []
+        for batch in batches:
+            for place, size, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if place < TEXTS:
+                    got.append(_unpacked(blob.as_py(), size, np.float32))
+                    continue
+                parts = []  # the codes of each run of rows, as in _leaves
+                for b, parsed in _read(blob.as_py()):
+                    symbols, at = _symbols(*parsed)
+                    u, back = np.unique(_codes(symbols, at, classes), return_inverse=True)
+                    parts.append((u, back.astype(np.int32), at[:-1] - DEPTH * np.arange(len(at) - 1)))
+                leaves = np.concatenate([p[0] for p in parts])
+                leaves.sort()
+                leaves = leaves[np.concatenate([[True], leaves[1:] != leaves[:-1]])]
+                order, _ = _places(leaves, branches)
+                leaf_logs = np.empty(len(leaves), np.float32)
+                leaf_logs[order] = np.concatenate(got)
+                got = []
+                for (b, (low, off, starts, ends, row)), (u, back, firsts) in zip(_read(blob.as_py()), parts, strict=True):
+                    n = b.num_rows
+                    score = np.add.reduceat(leaf_logs[np.searchsorted(leaves, u)].astype(np.float64)[back], firsts)
+                    h = np.concatenate([_text.word_hashes(low, starts, ends).view(np.int64), np.full(n, END)])
+                    row_h = np.concatenate([row, np.arange(n)])
+                    if len(codes):
+                        where = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+                        hit = codes[where] == h
+                    else:
+                        where, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+                    known = np.bincount(row_h[hit], minlength=n)
+                    total_log = np.bincount(row_h[hit], logs[where[hit]] if len(codes) else None, n).astype(np.float64)
+                    rest_row, rest = row_h[~hit], h[~hit]
+                    order = np.lexsort((rest, rest_row))
+                    rest_row, rest = rest_row[order], rest[order]
+                    fresh = np.ones(len(rest), bool)
+                    fresh[1:] = (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1])
+                    first = np.flatnonzero(fresh)
+                    times = np.diff(np.append(first, len(rest)))
+                    cuts = np.searchsorted(rest_row[first], np.arange(n + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0), b.column(2), pa.array(np.bincount(row_h, minlength=n)), pa.array(known), pa.array(total_log), pa.array(score),
+                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(rest[first])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32)))],
+                        names=["doc_id", "train", "n_tokens", "known", "logs", "score", "rest", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    half = docs.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, known long, logs double, score double, rest array<long>, times array<int>")
+    both = blocks.select("block", "place", "n", "blob").unionByName(logs_table.select("block", "place", "n", "blob"))
+    both = both.repartition(n_blocks, "block").sortWithinPartitions("block", "place")
+    half = both.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, known long, logs double, score double, rest array<long>, times array<int>")
     half = written(half.withColumn("row", F.monotonically_increasing_id()), "half")
     rare = half.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("code"), F.col("w.times").alias("times"))
     found = rare.join(words, "code").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))

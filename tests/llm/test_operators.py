@@ -3,7 +3,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -220,6 +220,46 @@ def test_suffix_tree_is_a_distribution(spark):
     assert all(d == 0 or (d - 1, c % 64 ** (d - 1)) in kept for d, c in kept)
 
 
+def test_suffix_tree_matches_brute_force(spark):
+    """Contexts of seven units over all bytes by an absolute count, small blocks, a rare phrase that occurs a few times."""
+    r = random.Random(3)
+    words = ["the", "cat", "sat", "é", "Éte", "日本", "語", "naïve", "zebra", "on"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for i in range(60)] + [(i, "qu\u0416x \u0416wv") for i in range(60, 66)] + [(90, None), (91, "")]
+    learned = [t or "" for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    classes = suffix_tree.alphabet(spark.createDataFrame([(t,) for t in learned], "text string"))
+    whole = lambda t: b" ".join(w.encode() for w in brute.WORD.findall(brute.ascii_lower(t)))
+
+    def steps(t):
+        """(the seven units before, symbol)."""
+        units = [0] * 7
+        for s in [*whole(t), 256]:
+            yield tuple(units[-7:]), s
+            units += [classes[s]] if classes[s] < 64 else [classes[s] // 64, classes[s] % 64]
+
+    n = defaultdict(Counter)
+    for t in learned:
+        for u, s in steps(t):
+            for d in range(8):
+                n[u[7 - d :]][s] += 1
+    total = {u: sum(c.values()) for u, c in n.items()}
+    kept = {u for u in n if len(u) <= 2 and (not u or total[u] >= 2)}
+    for u in sorted(n, key=len, reverse=True):
+        kl = sum(c / total[u] * math.log(c / total[u] / (n[u[1:]][s] / total[u[1:]])) for s, c in n[u].items()) if u else 0
+        if len(u) > 2 and total[u] >= 2 and kl >= 0.02:
+            kept |= {u[i:] for i in range(len(u) - 2)}
+
+    def p(u, s):
+        if not u:
+            return (n[u][s] + 1) / (total[u] + 257)
+        return (n[u][s] + 20 * p(u[1:], s)) / (total[u] + 20) if u in kept else p(u[1:], s)
+
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in suffix_tree.scored(rows).collect()}
+    assert len(got) == len(docs) and max(map(len, kept)) == 7
+    for d, t in docs:
+        assert abs(got[d] - sum(math.log10(p(u, s)) for u, s in steps(t or ""))) < 1e-5 * (len(whole(t or "")) + 1)
+
+
 def test_tool_linking(spark):
     schema = {"add": {"a": {"type": "integer", "required": True, "minimum": 0}, "b": {"type": "number", "maximum": 5}, "s": {"type": "string", "minLength": 2, "maxLength": 3}}}
     calls = [
