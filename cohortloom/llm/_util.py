@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
+    """The folder that driver and executors share; a local one only where none is configured and all run on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="cohortloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -27,13 +30,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers each that may be broadcast: 64 MB at 16 bytes a row.
-BROADCAST_ROWS = 4_000_000
+#: Bytes of a table of numbers that may be broadcast, as its rows lie in memory: 8 a column and 64 for the row and its place.
+BROADCAST_BYTES = 64 << 20
 
 
-def small_side(table: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast if its counted rows are within the bound; else Spark shuffles both sides."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def small_side(table: DataFrame, more: Column | None = None) -> DataFrame:
+    """A written table of numbers (and arrays of `more` bytes), marked for broadcast if its measured size is within the
+    bound; else Spark shuffles both sides."""
+    size = table.agg(F.sum(F.lit(64 + 8 * len(table.columns)).cast("long") + (F.lit(0) if more is None else more))).first()[0]
+    return F.broadcast(table) if (size or 0) <= BROADCAST_BYTES else table
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_hash(text: Column) -> Column:
+    """Tells texts apart among the rows that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: Bytes of rows sent to a Python worker at a time; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes: ten thousand long texts at once would fill both sides of the pipe."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) == f"{64 << 20}b":  # the default, not chosen by the user
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import documents
+from ._util import documents, mapped
 
 BUCKETS, SEEDS, LONGEST, CACHE, NONE = 8192, 2048, 32, 600_000, 1 << 31
 #: With this pattern no word reaches back over a space, so a text whose spaces stand alone between other characters is
@@ -202,7 +202,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"][: len(arrays)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + (", ids array<int>" if keep_ids else ""))
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + (", ids array<int>" if keep_ids else ""))
 
 
 def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

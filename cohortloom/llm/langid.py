@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from ._util import documents
+from ._util import documents, mapped
 
-TOP, UNKNOWN, CHUNK = 400, "und", 1 << 19
+TOP, UNKNOWN, CHUNK, WINDOW = 400, "und", 1 << 19, 1 << 20
 SPACE = 32
 _letters: list[np.ndarray] = []
 
@@ -33,26 +33,48 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def _points(text: str) -> np.ndarray:
-    """Lower-case letters as code points, everything else as single spaces, one space at both ends."""
-    p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    p = np.concatenate([[SPACE], np.where(_letter_table()[p], p, SPACE), [SPACE]])
-    keep = np.ones(len(p), bool)
-    keep[1:] = (p[1:] != SPACE) | (p[:-1] != SPACE)
-    return p[keep]
+def _windows(text: str) -> Iterator[str]:
+    """The text in stretches of WINDOW characters, each cut at its last space if it has one."""
+    at = 0
+    while at < len(text):
+        end = at + WINDOW
+        if end < len(text):
+            end = text.rfind(" ", at, end) + 1 or end
+        yield text[at:end]
+        at = end
 
 
-def _grams(p: np.ndarray) -> np.ndarray:
-    """Codes of the 1- to 3-grams (21 bits a letter) that hold a letter; none spans two words."""
-    one = p[p != SPACE]
-    two = ((p[:-1] << 21) | p[1:]) if len(p) > 1 else p[:0]
-    three = ((p[:-2] << 42) | (p[1:-1] << 21) | p[2:])[p[1:-1] != SPACE] if len(p) > 2 else p[:0]
-    return np.concatenate([one, two, three])
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """Codes of the 1- to 3-grams (21 bits a letter) that hold a letter, for each stretch of the text; none spans two words.
 
-
-def _most(codes: np.ndarray, top: int) -> np.ndarray:
-    """The most frequent codes in order; ties by code."""
-    names, counts = np.unique(codes, return_counts=True)
+    Letters are lower-cased, all else is a single space, with one at both ends. Two points are carried over each cut.
+    """
+    carry = np.array([SPACE], np.int64)
+    parts = _windows(text) if len(text) > WINDOW else [text]
+    for part in (*parts, " "):
+        p = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        p = np.concatenate([carry, np.where(_letter_table()[p], p, SPACE)])
+        keep = np.ones(len(p), bool)
+        keep[1:] = (p[1:] != SPACE) | (p[:-1] != SPACE)
+        old, p = len(carry), p[keep]
+        one = p[old:]
+        one = one[one != SPACE]
+        two = ((p[:-1] << 21) | p[1:])[old - 1 :]
+        three = ((p[:-2] << 42) | (p[1:-1] << 21) | p[2:])[p[1:-1] != SPACE] if len(p) > 2 else p[:0]
+        yield np.concatenate([one, two, three])
+        carry = p[-2:]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    names, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return names, np.bincount(where, np.concatenate([p[1] for p in parts]), len(names)).astype(np.int64)
+
+
+def _most(text: str, top: int) -> np.ndarray:
+    """The codes of the text's most frequent n-grams in order; ties by code."""
+    names, counts = _merged([np.unique(g, return_counts=True) for g in _grams(text)])
     if len(names) > top:
         floor = np.partition(counts, len(counts) - top)[len(counts) - top]
         names, counts = names[counts >= floor], counts[counts >= floor]
@@ -72,38 +94,39 @@ def profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
                 tally.setdefault(lang, []).append(np.unique(np.concatenate(waiting.pop(lang)), return_counts=True))
                 held[lang] = 0
                 if len(tally[lang]) > 8:
-                    tally[lang] = [merged(tally[lang])]
-
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            names, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return names, np.bincount(where, np.concatenate([p[1] for p in parts]), len(names)).astype(np.int64)
+                    tally[lang] = [_merged(tally[lang])]
 
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                g = _grams(_points(text.as_py()))
-                waiting.setdefault(lang, []).append(g)
-                held[lang] = held.get(lang, 0) + len(g)
-                if held[lang] > CHUNK:
-                    fold(lang)
+                for g in _grams(text.as_py()):
+                    waiting.setdefault(lang, []).append(g)
+                    held[lang] = held.get(lang, 0) + len(g)
+                    if held[lang] > CHUNK:
+                        fold(lang)
         for lang in set(tally) | set(waiting):
             fold(lang)
-            names, counts = merged(tally[lang])
+            names, counts = _merged(tally[lang])
             for i in range(0, len(names), 100_000):
                 part = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names[part])), pa.array(names[part]), pa.array(counts[part])], names=["lang", "code", "c"])
 
-    total = docs.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
+    told = docs.filter("text is not null and lang is not null").select("text", "lang")
+    total = mapped(told, run, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
     order = Window.partitionBy("lang").orderBy(F.desc("c"), "code")
-    return total.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < top).select("lang", "rank", "code")
+    # Filtered under its own name, so that each task passes on its own first `top` codes of a language and no more.
+    first = total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return first.select("lang", (F.col("rank") - 1).alias("rank"), "code")
 
 
-def identified(docs: DataFrame, profile: DataFrame, text_col: str = "text", top: int = TOP, keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred and score added, without the text if keep_text is False.
+def identified(
+    docs: DataFrame, profile: DataFrame, text_col: str = "text", top: int = TOP, keep_text: bool = True, pred_col: str = "lang_pred", score_col: str = "score"
+) -> DataFrame:
+    """docs with pred_col and score_col added, without the text if keep_text is False.
 
     `profile` holds `top` rows a language and so is bounded by the number of languages. A text that is null or has no
     letter, or any text when there is no profile, is `und` with score 0. Score: how much nearer than the full penalty
-    the nearest profile is, 0 to 1. Equal distances go to the language that sorts first. Existing columns named
-    lang_pred or score are replaced.
+    the nearest profile is, 0 to 1. Equal distances go to the language that sorts first. Repeated rows give repeated
+    rows, an empty table an empty result. Other columns stay; those named pred_col or score_col are replaced.
     """
     table = profile.toPandas()
     langs = sorted(table["lang"].unique())
@@ -114,7 +137,7 @@ def identified(docs: DataFrame, profile: DataFrame, text_col: str = "text", top:
         ranks[i, np.searchsorted(codes, own["code"].to_numpy(np.int64))] = own["rank"].to_numpy(np.int64)
 
     def one(text: str | None) -> tuple[str, float]:
-        g = _most(_grams(_points(text)), top) if text and langs else np.zeros(0, np.int64)
+        g = _most(text, top) if text and langs else np.zeros(0, np.int64)
         if not len(g):
             return UNKNOWN, 0.0
         where = np.searchsorted(codes, g)
@@ -124,17 +147,18 @@ def identified(docs: DataFrame, profile: DataFrame, text_col: str = "text", top:
         best = int(np.argmin(away))
         return langs[best], float(1 - away[best] / (top * len(g)))
 
-    docs = docs.drop(*[c for c in ("lang_pred", "score") if c in docs.columns])
+    docs = docs.drop(pred_col, score_col)
     at = docs.columns.index(text_col)
     out = [i for i, c in enumerate(docs.columns) if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [one(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(b.schema.names[i] for i in out), "lang_pred", "score"])
+            added = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), *added], names=[*(b.schema.names[i] for i in out), pred_col, score_col])
 
-    schema = StructType([docs.schema.fields[i] for i in out]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    schema = StructType([docs.schema.fields[i] for i in out]).add(pred_col, StringType()).add(score_col, DoubleType())
+    return mapped(docs, run, schema)
 
 
 def op2_language_id(spark, sf_dir):
