@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._graph import components
-from ._util import documents, small_side, written
+from ._util import documents, mapped, small_side, text_hash, written
 
 #: Overlap o links sizes n and m when o / (n + m - o) >= 0.8, which is 9 o >= 4 (n + m).
 K = 5
+ROWS, OFTEN = 1 << 20, 64  # prefix rows that a task looks at together, and rows of one shingle among them that are thinned
 
 
 def need(n):
@@ -42,35 +43,66 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, k1, k2): size and name of each document's shingle set."""
+    """(doc_id, text_hash, n, k1, k2): size and name of each document's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(_text.shingle_sets(b.column(1), K))
+            sets = list(_text.shingle_sets(b.column(2), K))
             k1, k2 = _keys(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
+            cols = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "k1", "k2"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return mapped(rows, run, "doc_id long, text_hash long, n long, k1 long, k2 long")
+
+
+def _known(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows of distinct (t, k) need not meet the rows of their shingle elsewhere: those beyond the first two of a
+    frequent shingle and one size. They are each other's neighbours, and the two stand for them."""
+    out = np.zeros(len(t), bool)
+    names, counts = np.unique(t, return_counts=True)
+    often = names[counts > OFTEN]
+    if len(often):
+        at = np.flatnonzero(np.isin(t, often))
+        at = at[np.lexsort((n[at], t[at]))]
+        first = np.concatenate([[True], (t[at][1:] != t[at][:-1]) | (n[at][1:] != n[at][:-1])])
+        start = np.flatnonzero(first)
+        out[at] = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at)))) >= 2
+    return out
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(t, n, k): the least need-based prefix of each set, `slack` longer, in fingerprint order."""
+    """(t, n, k): the least need-based prefix of each set, `slack` longer, in fingerprint order. t is null where a neighbour
+    is known already. Copies within a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, met = [], 0, set()
+
+        def out() -> pa.RecordBatch:
+            t, n, k = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(t, mask=_known(t, n)), pa.array(n), pa.array(k)], names=["t", "n", "k"])
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 sets = list(_text.shingle_sets(b.column(0).slice(at, 256), K))
                 k1, _ = _keys(sets)
-                parts = [s[: min(len(s), len(s) - need(len(s)) + slack(len(s)))] for s in sets]
-                lens = np.array([len(p) for p in parts])
-                t = np.concatenate(parts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), lens)), pa.array(np.repeat(k1, lens))], names=["t", "n", "k"])
+                for s, k in zip(sets, k1.tolist(), strict=True):
+                    if len(s) and k not in met:
+                        met.add(k)
+                        part = s[: min(len(s), len(s) - need(len(s)) + slack(len(s)))].view(np.int64)
+                        held.append((part, np.full(len(part), len(s), np.int32), np.full(len(part), k, np.int64)))
+                        size += len(part)
+                if size > ROWS:
+                    yield out()
+                    held, size, met = [], 0, set()
+        if held:
+            yield out()
 
-    return docs.select("text").mapInArrow(run, "t long, n int, k long")
+    return mapped(docs.select("text"), run, "t long, n int, k long")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (t, n, k). Count for each k the shingles that another set of fitting size has too.
+    """Rows come sorted by (t, n, k), null t first. Count for each k the shingles that another set of fitting size has too.
 
     Fitting sizes are next to each other within a shingle, so each row looks only at the rows beside it and a shingle
     held by any number of documents is read as a stream.
@@ -82,6 +114,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(n[where]), pa.array(c.astype(np.int64))], names=["k", "n", "c"])
 
     for b in batches:
+        if b.column(0).null_count:
+            known = b.filter(b.column(0).is_null())
+            yield counted(known.column(2).to_numpy(), known.column(1).to_numpy().astype(np.int64))
+            b = b.filter(b.column(0).is_valid())
         t, n, k = (np.concatenate([old, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, old in enumerate((t0, n0, k0)))
         if not len(t):
             continue
@@ -101,7 +137,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(rows: DataFrame) -> DataFrame:
-    """(x, n, ts) for rows (doc_id, k1, text); rows whose text is not the named set are left out."""
+    """(x, n, ts) for rows (x, k1, text); rows whose text is not the named set are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +148,7 @@ def _full_sets(rows: DataFrame) -> DataFrame:
                 kept = [s.view(np.int64) for s, y in zip(sets, same, strict=True) if y]
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(same)), pa.array([len(s) for s in kept], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["x", "n", "ts"])
 
-    return rows.mapInArrow(run, "x long, n long, ts array<long>")
+    return mapped(rows, run, "x long, n long, ts array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,12 +160,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between classes (x, n, k1): enough of them to connect whatever the full set of links connects."""
-    rows = _prefixes(docs)
-    shared = rows.repartition("t").sortWithinPartitions("t", "n", "k").mapInArrow(_neighbours, "k long, n long, c long")
+    """Links between classes (x, n, k1, doc_id, text_hash): enough of them to connect whatever the full set of links connects."""
+    rows = _prefixes(docs).repartition(F.coalesce("t", "k")).sortWithinPartitions("t", "n", "k")
+    shared = mapped(rows, _neighbours, "k long, n long, c long")
     alive = shared.groupBy("k").agg(F.sum("c").alias("c"), F.max("n").alias("n")).filter("c >= ((4 * n + 4) div 5 + 9) div 10").select("k")
-    held = small_side(written(classes.join(alive, classes.k1 == alive.k, "left_semi").select(F.col("x").alias("doc_id"), "k1"), "held"))
-    full = written(_full_sets(docs.join(held, "doc_id").select("doc_id", "k1", "text")).dropDuplicates(["x"]), "sets")
+    held = small_side(written(classes.join(alive, classes.k1 == alive.k, "left_semi").select("x", "k1", F.col("doc_id").alias("id"), "text_hash"), "held"))
+    texts = docs.join(held, docs["doc_id"].eqNullSafe(F.col("id")) & (text_hash(docs["text"]) == F.col("text_hash"))).select("x", "k1", "text")
+    full = written(_full_sets(texts).dropDuplicates(["x"]), "sets")
 
     # Shingles of one class only are in no overlap; what is left must still reach the need.
     tokens = full.select("x", "n", F.explode("ts").alias("t"))
@@ -178,20 +215,38 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return links.unionByName(rest)
 
 
+def _component_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_hash, n, first) for each row of docs(doc_id, text); first(none, doc_id, row) is the component's row
+    with the least id, or without an id if none has one. Rows without a shingle have a null first."""
+    table = written(set_table(docs).withColumn("row", F.monotonically_increasing_id()), "set-table")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash"))
+    classes = table.filter("n > 0").groupBy("k1", "k2").agg(first.alias("first"), F.max("n").alias("n"))
+    classes = written(classes.withColumn("x", F.monotonically_increasing_id()), "classes")
+    comp = written(components(_links(classes.select("x", "n", "k1", "first.doc_id", "first.text_hash"), docs)), "component")
+    least = comp.join(classes, comp.node == classes.x).groupBy("component").agg(F.min("first").alias("least"))
+    linked = comp.join(least, "component").select(F.col("node").alias("x"), "least")
+    named = classes.join(linked, "x", "left").select("k1", "k2", F.coalesce("least", "first").alias("first"))
+    full = table.filter("n > 0").join(named, ["k1", "k2"]).select("row", "doc_id", "text_hash", "n", "first")
+    return full.unionByName(table.filter("n = 0").select("row", "doc_id", "text_hash", "n"), allowMissingColumns=True)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
     Links: Jaccard similarity of the 5-word shingle sets of 0.8 or more. Null and empty texts have no shingle and link
-    with nothing. Rows without an id take part only as copies and get the id of their class, or null if it has none.
-    Repeated rows give repeated rows. Other columns are ignored.
+    with nothing. Rows without an id take part like others; component_id is null if no row of the component has an id.
+    Rows that repeat an id with different texts are rows of their own; repeated rows give repeated rows. Other columns
+    are ignored, an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(set_table(docs), "set-table")
-    classes = written(table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("x"), F.max("n").alias("n")).filter("x is not null"), "classes")
-    comp = components(_links(classes, docs))
-    named = classes.join(comp, classes.x == comp.node, "left").select("k1", "k2", F.coalesce("component", "x").alias("component_id"))
-    full = table.filter("n > 0").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return _component_rows(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, kept) for every row: of each component one row is kept, with the least id, rows without an id last."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _component_rows(docs).select("doc_id", "text_hash", ((F.col("n") == 0) | (F.col("row") == F.col("first.row"))).alias("kept"))
 
 
 def op4_jaccard_join(spark, sf_dir):

@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, n string, k string, component_id int"
 
 def run(spark, docs):
     rows = [(d, t, "x", None, 1) for d, t in docs]
-    return sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect())
+    return sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()), key=str if any(d is None for d, _ in docs) else None)
 
 
 def corpus(seed):
@@ -84,3 +84,22 @@ def test_one_row_for_each_document(spark):
     want = brute.jaccard([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(tuple(r) for r in out.collect()) == want
     assert out.filter(F.col("component_id") > F.col("doc_id")).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    many, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    out = run(spark, [(5, many), (5, other), (3, many + " x"), (4, other + " x"), (None, other + " y")])
+    assert sorted(map(str, out)) == sorted(map(str, [(5, 56, 3), (5, 56, 4), (3, 57, 3), (4, 57, 4), (None, 57, 4)]))
+
+
+def test_frequent_shingles_of_one_size(spark):
+    """Rows beyond the first two of a shingle and a size do not meet it elsewhere, and no link is lost."""
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    docs = []
+    for i in range(400):
+        w = list(passage)
+        for _ in range(r.choice([0, 1, 1, 2, 4])):
+            w[r.randrange(30)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    assert run(spark, docs) == brute.jaccard(docs)
