@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
 
-from ._util import documents, written
+from ._util import documents, free, mapped, small_side, text_hash, written
 
 #: Fixed patterns of the base kinds, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "live")
@@ -27,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 PLACEHOLDER = re.compile(r"(?ai:example|sample|dummy|changeme|placeholder|your|test|xxxx|0123|1234|abcd)")
-MANY_OWNERS, MANY_REPOS, BITS = 2, 10, 2.5
+MANY_OWNERS, MANY_REPOS, BITS, HOT = 2, 10, 2.5, 1e-4
 CANDIDATE = "array<struct<hash:binary,start:long,stop:long,live:boolean>>"
 
 
@@ -65,75 +64,100 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
         found = pa.list_(pa.struct([("hash", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("live", pa.bool_())]))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *(pa.array([c[k] for c in cols[0]], pa.int64()) for k in range(3)), pa.array(cols[1], spans), pa.array(cols[2], found), b.column(2), b.column(3)],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base", "found", "repo", "owner"])
+            [b.column(0), *(pa.array([c[k] for c in cols[0]], pa.int64()) for k in range(3)), pa.array(cols[1], spans), pa.array(cols[2], found), *(b.column(i) for i in (2, 3, 4))],
+            names=["doc_id", "n_assign", "n_access", "n_hex", "base", "found", "repo", "owner", "text_hash"])
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repos) of found(hash, repo, owner); each step is summed within tasks before it is shuffled."""
-    once = found.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("_"))
-    return once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repos"))
+    """(hash, owners, repos, rows) of found(hash, repo, owner); each step is summed within tasks before it is shuffled."""
+    once = found.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("rows"))
+    by_owner = once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("r"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repos"), F.sum("rows").alias("rows"))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+def _judged(found: DataFrame) -> DataFrame:
+    """(row, start, stop, example) of the candidates of found(row, repo, owner, hash, start, stop, live) that look live.
 
-    Positions count code points, ends are exclusive. Null texts are empty; null repositories and owners count as the
-    empty name. Repeated rows give repeated rows; other columns are ignored.
+    Hashes that hold a share of HOT or more of all candidates, 1 / HOT of them at most, are looked up in a broadcast
+    table; only rarer ones are shuffled, so no widely copied value meets in one task.
     """
+    example = (F.col("owners") >= MANY_OWNERS) | (F.col("repos") >= MANY_REPOS)
+    held = written(ownership(found.select("hash", "repo", "owner")).select("hash", "rows", example.alias("example")), "held")
+    total = held.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") >= max(2.0, HOT * total)
+    live = found.filter("live").select("row", "hash", "start", "stop")
+    hot = F.broadcast(held.filter(often).select("hash", "example"))
+    rare = live.join(hot, "hash", "left_anti").join(held.filter(~often).select("hash", "example"), "hash")
+    return live.join(hot, "hash").unionByName(rare).drop("hash")
+
+
+def scan_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """One row for each row of docs: doc_id, text_hash, n_assign, n_access, n_hex, n_example, base and live (spans)."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (repo_col, owner_col)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), names[0].alias("repo"), names[1].alias("owner"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), names[0].alias("repo"), names[1].alias("owner"), text_hash(text).alias("text_hash"))
     span = "array<struct<start:long,kind:int,stop:long>>"
-    scanned = rows.mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base {span}, found {CANDIDATE}, repo string, owner string")
-    scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base {span}, found {CANDIDATE}, repo string, owner string, text_hash long"
+    scanned = written(mapped(rows, _scan, schema).withColumn("row", F.monotonically_increasing_id()), "scanned")
     found = scanned.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f.*")
-    held = ownership(found.select("hash", "repo", "owner"))
-    example = (F.col("owners") >= MANY_OWNERS) | (F.col("repos") >= MANY_REPOS)
-    judged = found.filter("live").join(held.select("hash", example.alias("example")), "hash")
-    live = judged.groupBy("row").agg(
+    live = _judged(found).groupBy("row").agg(
         F.collect_list(F.when(~F.col("example"), F.struct("start", F.lit(3).alias("kind"), "stop"))).alias("live"), F.count_if("example").alias("n_example"))
-    both = scanned.join(live, "row", "left")
+    return scanned.join(live, "row", "left").select(
+        "doc_id", "text_hash", "n_assign", "n_access", "n_hex", F.coalesce("n_example", F.lit(0)).alias("n_example"), "base",
+        F.sort_array(F.coalesce("live", F.array().cast(span))).alias("live"))
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+
+    Positions count code points, ends are exclusive. Null texts are empty; null repositories and owners count as the
+    empty name. Repeated rows give repeated rows, an empty table an empty result; other columns are ignored.
+    """
     name = lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"], s["stop"])
-    added = F.coalesce("live", F.array().cast(span))
-    return both.select(
+    return scan_rows(docs, id_col, text_col, repo_col, owner_col).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join(F.transform("base", name), ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.transform(F.sort_array(F.concat("base", added)), name), ",").alias("spans"),
-        F.size(added).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+        F.array_join(F.transform(F.sort_array(F.concat("base", "live")), name), ",").alias("spans"),
+        F.size("live").cast("long").alias("n_live"), "n_example")
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = []
-        for t, live in zip(b.column("_text"), b.column("_live").to_pylist(), strict=True):
-            text = t.as_py()
-            spans = [(s, e) for s, _, e, _ in base_spans(text or "")] + [(x["start"], x["stop"]) for x in live or []]
-            out, at = [], 0
-            for s, e in sorted(spans):
-                if s >= at:
-                    out += [text[at:s], MARK]
-                at = max(at, e)
-            texts.append(None if text is None else "".join([*out, text[at:]]) if spans else text)
-        cols = [b.column(n) for n in b.schema.names if n not in ("_text", "_live")]
-        names = [n for n in b.schema.names if n not in ("_text", "_live")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*names, "_clean"])
+MARK = "<secret>"
 
 
-MARK = "<secret>"
+def masked(text: str | None, live: list[tuple[int, int]]) -> str | None:
+    """The text with every base span and the given ones replaced by MARK; overlapping spans become one mark."""
+    spans = sorted([(s, e) for s, _, e, _ in base_spans(text or "")] + live)
+    if not spans:
+        return text
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out += [text[at:s], MARK]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """docs with every base span and every live span of the text replaced by MARK; no row is dropped.
+    """docs with every base span and every live span of the text replaced by MARK; no row is dropped, no column changes.
 
-    Live spans are joined by id; of rows that repeat an id with different texts, a span beyond a text is ignored.
+    A row is known by its id and text, so rows that repeat an id, or have none, get the spans of their own text. A null
+    text stays null. Repeated rows stay repeated, an empty table gives an empty result.
     """
-    spans = secrets(docs, id_col, text_col, **names).filter("n_live > 0")
-    parts = F.filter(F.split("spans", ","), lambda s: s.startswith("live:"))
-    place = lambda s, i: F.element_at(F.split(s, ":"), i).cast("long")
-    live = spans.select("doc_id", F.transform(parts, lambda s: F.struct(place(s, 2).alias("start"), place(s, 3).alias("stop"))).alias("_live")).dropDuplicates(["doc_id"])
-    wide = docs.join(live, docs[id_col] == live["doc_id"], "left").select(*[docs[c] for c in docs.columns if c != text_col], docs[text_col].alias("_text"), "_live")
-    schema = StructType([f for f in docs.schema.fields if f.name != text_col]).add("_clean", StringType())
-    return wide.mapInArrow(_redact, schema).withColumnRenamed("_clean", text_col).select(*docs.columns)
+    spans = scan_rows(docs, id_col, text_col, **names).filter(F.size("live") > 0)
+    live, own, key = free(docs, "live"), free(docs, "own_id"), free(docs, "own_hash")
+    places = F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    table = written(spans.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(key)).agg(F.first(places).alias(live)), "live")
+    table = small_side(table, F.size(live) * 24)
+    wide = docs.join(table, docs[id_col].eqNullSafe(F.col(own)) & (text_hash(docs[text_col]) == F.col(key)), "left").select(*docs.columns, live)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[(x["start"], x["stop"]) for x in row or []] for row in b.column(b.num_columns - 1).to_pylist()]
+            texts = pa.array([masked(t.as_py(), spans) for t, spans in zip(b.column(at), found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
+
+    return mapped(wide, run, docs.schema)
 
 
 def op5_secrets(spark, sf_dir):
