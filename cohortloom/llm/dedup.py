@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import documents, written
+from ._util import documents, text_hash, written
 
 BLOCK, HEAD = 4096, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,6 +59,20 @@ def identities(docs: DataFrame, text: Column, rows: DataFrame, size: int = BLOCK
     return level.select("row", "blocks", "name")
 
 
+def exact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
+    """exact_groups with text_hash, which with the id tells a row from any other that is not its equal."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col("text")
+    body = normalised(text).cast("binary")
+    keys = F.transform(_blocks(body, size), lambda b: F.unhex(F.sha2(b, 256)))
+    rows = written(
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash(text).alias("text_hash"), F.sha2(body, 256).alias("text_sha256"), keys.alias("keys")), "rows")
+    root = written(identities(docs, text, rows, size).join(rows.drop("keys"), "row"), "root")
+    groups = root.groupBy("blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    return root.join(groups, ["blocks", "name"]).select(
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "text_hash")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -66,15 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of them if that id is repeated; a group whose ids are all null keeps one row and has a null keep_id. Other columns
     are ignored, an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    text = F.col("text")
-    body = normalised(text).cast("binary")
-    keys = F.transform(_blocks(body, size), lambda b: F.unhex(F.sha2(b, 256)))
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2(body, 256).alias("text_sha256"), keys.alias("keys")), "rows")
-    root = written(identities(docs, text, rows, size).join(rows.select("row", "doc_id", "text_sha256"), "row"), "root")
-    groups = root.groupBy("blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return root.join(groups, ["blocks", "name"]).select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
+    return exact_rows(docs, id_col, text_col, size).drop("text_hash")
 
 
 def op9_exact_dedup(spark, sf_dir):
