@@ -19,9 +19,9 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import documents, ranked, written
+from ._util import documents, mapped, ranked, written
 
-WIDTH, END_ID, BUCKET_ROWS, CACHE, STEP = 4096, 2, 20_000, 1_000_000, 64
+WIDTH, END_ID, BUCKET_ROWS, CACHE, STEP = 4096, 2, 20_000, 300_000, 64
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORD = re.compile(r"[^ \n\t\r]+")
 _loaded: dict = {}
@@ -41,11 +41,12 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
 
     def __missing__(self, word: str) -> bytes:
         low = word.lower() if word.isascii() else word
-        if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() and low[-2].lower()[-1].isalpha():
+        if "<|" in word:  # the two special tokens are found before anything else, in this spelling only
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif len(low) > 1 and low[-1] in ".," and low[-2].isalpha() and low[-2].lower()[-1].isalpha():
             ids = self[low[:-1]] + self[low[-1]]
         elif low != word:
             ids = self[low]
@@ -73,7 +74,11 @@ def _encoder(path: str):
 
 
 def pieces(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of docs(doc_id, text): every id in exactly one piece."""
+    """(doc_id, start, length, ids_crc32, doc_tokens) of docs(doc_id, text): every id in exactly one piece.
+
+    A null text is empty and is its end id alone; a null id stays null. Special tokens in a text are those of the
+    vocabulary. Repeated rows give repeated pieces, an empty table an empty result; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
@@ -87,7 +92,7 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID)
                         out.append((doc, s, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[list[int], int]]:
