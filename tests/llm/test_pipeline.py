@@ -36,7 +36,45 @@ def test_stages_against_brute_force(spark):
     assert tokens == length and set(tokens) == {r.doc_id for r in clean}
 
 
-def test_null_ids_and_repeats_survive_dedup(spark):
-    stage = dict(pipeline.STAGES)["exact_dedup"]
-    docs = spark.createDataFrame([(None, "a b", "en", "s", 1), (None, "c", "en", "s", 1), (5, "a b", "en", "s", 1), (5, "a b", "en", "s", 1), (6, "A b", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(str(r.doc_id) for r in stage(spark, docs, "").collect()) == ["6", "None", "None"]
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _text string, own_id long, live string, row string"
+
+
+def wide(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1, 0.123, "kept", f"{n}", 7, "l", "r") for n, (i, t) in enumerate(rows)], WIDE)
+
+
+def test_dedup_decides_by_row(spark):
+    """Null ids, ids with several texts, copies within and across ids."""
+    stages = dict(pipeline.STAGES)
+    docs = wide(spark, [(1, "x"), (1, "y"), (5, "x"), (7, "A"), (7, "a"), (None, "x"), (None, "c"), (None, "C"), (None, None), (8, "z"), (8, "z")])
+    got = stages["exact_dedup"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text).lower()) for r in got.collect()) == [("1", "y"), ("5", "x"), ("7", "a"), ("8", "z"), ("None", "c"), ("None", "none")]
+    many = " ".join(f"w{i}" for i in range(60))
+    docs = wide(spark, [(5, many), (5, "q r s t u v"), (3, many + " end"), (4, "Q r s t u v"), (None, many + " more"), (None, "1 2 3 4 5"), (None, "1 2 3 4 5"), (9, ""), (9, ""), (2, None)])
+    near = stages["near_dedup"](spark, docs, "")
+    assert near.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in near.collect()) == [("2", ""), ("3", "w0 w1 w2 "), ("4", "Q r s t u"), ("9", ""), ("9", ""), ("None", "1 2 3 4 5")]
+
+
+def test_redaction_by_row(spark):
+    key = "sk_9aF3kLm2QpXz7RtYv8BnWc4D"
+    docs = wide(spark, [(None, f"plain words {key} here"), (3, f"other {key}x9 there"), (3, "plain words which tell whatever comes along the way"), (4, None), (5, "")])
+    got = {r._text: r.text for r in dict(pipeline.STAGES)["secret_scans"](spark, docs, "").collect()}
+    assert got == {"0": "plain words <secret> here", "1": "other <secret> there", "2": "plain words which tell whatever comes along the way", "3": None, "4": ""}
+
+
+def test_clashing_columns_empty_tables_and_long_texts(spark):
+    stages = dict(pipeline.STAGES)
+    long = "the and of with that which these words " * 50_000
+    docs = wide(spark, [(1, long), (2, "the and of"), (3, None), (4, "")])
+    for rows, want in ((docs, {"0", "1"}), (docs.limit(0), set())):
+        learned = rows
+        for name, stage in pipeline.STAGES[:-1]:
+            learned = stage(spark, learned, "")
+            assert learned.schema == docs.schema, name
+            learned = spark.createDataFrame(learned.collect(), learned.schema)
+        out = learned.collect()
+        assert {r._text for r in out} == want and all(r.score == 0.123 and r.lang_pred == "kept" and r.own_id == 7 for r in out)
+        packed = stages["packing"](spark, learned, "").collect()
+        assert {str(r.doc_id - 1) for r in packed} == want
