@@ -23,13 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df once as a table in the shared folder (by values of a column) and read it back: cuts lineage and survives
+    lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a written table that a later one has replaced. Files it still needs must not be read again."""
+    spark = table.sparkSession
+    shared = shared_dir(spark)
+    for folder in {f.split("/part-")[0].split("/kind=")[0] for f in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.makeQualified(place).toString().startswith(fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared)).toString()):
+            fs.delete(place, True)
+
+
 #: Bytes of a table of numbers that may be broadcast, as its rows lie in memory: 8 a column and 64 for the row and its place.
 BROADCAST_BYTES = 64 << 20
 

@@ -1,458 +1,341 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Symbols are the bytes of a text's words (A-Z lower-cased, joined by one space) and one boundary symbol. Contexts are one
-to seven units long: the boundary and the 60 most frequent bytes are one unit, each other byte is two, so no two bytes
-share contexts. A context is kept when it occurs `least` times or more, an absolute count, so the tree grows with the
-corpus, and, beyond the top, when its next-symbol distribution diverges from that of the context one unit shorter
-(Kullback-Leibler divergence of `gain` nats or more) or a longer context that it ends is kept. Each kept distribution is
-smoothed towards its parent's. A symbol is scored by the longest kept context that ends before it.
-
-The top of the tree (contexts of one and two units, 4,160 at most) is sent to the tasks. The rest is never gathered: the
-texts are cut into blocks, each block's distinct codes (context and symbol) go to the branch that their last three units
-name, where all longer contexts are whole, and the branch sends the log probability of each code back to the block.
-
-Beside it stands an add-one unigram score over exact word counts of the training rows.
+Symbols are a text's words (A-Z lower-cased) and one end; a context is any run of symbols before one, from a start mark on.
+The root is the add-one unigram distribution. A context of d symbols is retained when the one of d - 1 symbols that it
+ends with is, when it occurs twice or more in training and when its next-symbol distribution diverges from that shorter
+context's: the training symbols after it gain `gain` nats or more. Its distribution takes `discount` off each count of two
+or more, drops single counts and gives what is left to the shorter context's, so each adds up to one. A symbol is scored
+by the longest retained context before it. Nothing bounds the depth but that no longer context is retained.
+
+The tree is never gathered. Texts are cut into blocks. For each depth a block sends fingerprints of its distinct n-grams
+with their counts, and sums over its occurrences of each context, to the places that their fingerprints name; a place adds
+up what all blocks sent and answers each with the total counts and with which contexts stay. Every n-gram comes once from
+a block, so no place is hot, and only n-grams whose shorter ones recur are sent.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._util import documents, written
+from ._util import documents, dropped, mapped, written
 
-TOP, DEPTH, SYMBOLS, EDGE = 2, 7, 257, 256
-CLASSES, SHIFT = 64, 9  # a code is DEPTH units, six bits each and the last one highest, and nine bits of the next symbol
-SINGLE = 61  # units below stand for one symbol, the others lead a unit that tells the symbol
-LEAST, GAIN, WEIGHT, HOT = 2, 0.02, 20.0, 1e-6
-FLUSH, MERGE = 3_000_000, 2_000_000
-BLOCK, BRANCH, TEXTS = 6 << 20, 4 << 20, 1 << 30  # bytes of text of a block and, on average, of a branch; the texts' place
-END = np.int64(-7046029254386353131)  # the end token's code among word fingerprints
-_ready: dict = {}
+GAIN, DISCOUNT = 10.0, 0.75
+BLOCK, PLACE = 6 << 20, 6 << 20  # bytes of text of a block and, on average, of a place
+START, END = np.uint64(0x5B1D7A3C9E84F261), np.uint64(0x9E3779B97F4A7C17)  # fingerprints of the start mark and the end
+STEP = np.uint64(0xA0761D6478BD642F)
+STATE, QUESTION = 0, 1
+ROWS = "kind byte, block long, place long, n long, blob binary, more binary"
+CODEC = pa.Codec("zstd", compression_level=1)
+TYPES = [np.dtype(t) for t in ("bool", "int32", "int64", "uint64", "float32", "float64")]
 
 
 def training(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def _symbols(low: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row as three boundaries, its words joined by spaces, one boundary; and the rows' offsets in it."""
-    n, words = len(off) - 1, len(starts)
-    lens = ends - starts
-    inner = np.ones(words, np.int64)
-    if words:
-        inner[np.searchsorted(row, np.unique(row))] = 0  # no space before a row's first word
-    size = np.bincount(row, lens + inner, n).astype(np.int64) + DEPTH + 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(at[-1], 32, np.int64)
-    for i in range(DEPTH):
-        out[at[:-1] + i] = EDGE
-    out[at[1:] - 1] = EDGE
-    if words:
-        before = np.cumsum(lens + inner) - lens
-        to = before - np.concatenate([[0], np.cumsum(np.bincount(row, lens + inner, n).astype(np.int64))])[row] + at[row] + DEPTH
-        total = int(lens.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
-        out[np.repeat(to, lens) + step] = low[np.repeat(starts, lens) + step]
-    return out, at
-
-
-def _codes(symbols: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """For each scored position the code of the DEPTH units before it and itself."""
-    of = classes[symbols]
-    two = of >= CLASSES
-    end = np.cumsum(1 + two)
-    units = np.zeros(end[-1] if len(end) else 0, np.int64)
-    units[end - 1] = of & (CLASSES - 1)
-    units[end[two] - 2] = of[two] >> 6
-    n = len(units)
-    pair = (units[1:] << 6) | units[: n - 1]  # [p] ends at unit p + 1
-    four = (pair[2:] << 12) | pair[:-2]
-    six = (four[2:] << 12) | pair[: n - 5]
-    seven = (six[1:] << 6) | units[: n - 6]  # [p] ends at unit p + 6
-    inside = np.ones(len(symbols), bool)
-    for i in range(DEPTH):
-        inside[at[:-1] + i] = False
-    return (seven[(end - 1 - two)[inside] - DEPTH] << SHIFT) | symbols[inside]
-
-
-def _top(codes: np.ndarray) -> np.ndarray:
-    """The last TOP units of each code, the last one lowest, and the symbol."""
-    return (((codes >> (SHIFT + 6 * (DEPTH - 2))) & 63) << 15) | (((codes >> (SHIFT + 6 * (DEPTH - 1))) & 63) << 9) | (codes & ((1 << SHIFT) - 1))
-
-
-def alphabet(docs: DataFrame) -> np.ndarray:
-    """The unit of each symbol: the boundary 0, the most frequent bytes 1 to 60; others have two, first * 64 + second. From
-    counts over docs(text)."""
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays by the places of their bytes, compressed."""
+    out = []
+    for a in arrays:
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
+        body = CODEC.compress(raw, asbytes=True) if raw else b""
+        out += [np.array([len(a), TYPES.index(a.dtype), len(body)], np.int64).tobytes(), body]
+    return b"".join(out)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n, kind, size = np.frombuffer(blob, np.int64, 3, at).tolist()
+        dtype = TYPES[kind]
+        raw = CODEC.decompress(blob[at + 24 : at + 24 + size], n * dtype.itemsize, asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
+        at += 24 + size
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for b in batches:
-            for _, _, data, _ in _text.chunks(b.column(0)):
-                total += np.bincount(_text.lowered(data), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "c"])
-
-    rows = docs.select("text").mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).filter("c > 0").collect()
-    often = [r.byte for r in sorted(rows, key=lambda r: (-r.c, r.byte))[: SINGLE - 1]]
-    classes = np.zeros(SYMBOLS, np.int64)
-    classes[often] = np.arange(len(often)) + 1
-    never = {*range(9, 14), *range(65, 91), 0xC0, 0xC1, *range(0xF5, 0x100)}  # not in lower-cased words of valid UTF-8
-    others = [x for x in range(256) if x not in never and x not in set(often)]
-    classes[others] = SINGLE * CLASSES + np.arange(len(others))
-    return classes
-
-
-def _parsed(texts: pa.Array):
-    for at, end, data, off in _text.chunks(texts):
-        low = _text.lowered(data)
-        starts, ends, row = _text.word_bounds(low, off)
-        yield at, end, low, off, starts, ends, row
-
-
-class _Tally:
-    """Counts of codes, held as sorted arrays and passed on whenever they reach FLUSH entries."""
-
-    def __init__(self, kind: int) -> None:
-        self.kind, self.parts, self.size = kind, [], 0
-
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((codes, counts))
-        self.size += len(codes)
-
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            codes = np.concatenate([p[0] for p in self.parts])
-            counts = np.concatenate([p[1] for p in self.parts])
-            order = np.argsort(codes, kind="stable")
-            codes, counts = codes[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            summed = np.add.reduceat(counts, first)
-            for i in range(0, len(first), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first[part]), self.kind, np.int8)), pa.array(codes[first[part]]), pa.array(summed[part])], names=["kind", "code", "c"])
-        self.parts, self.size = [], 0
-
-
-def counts(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(kind, code, c) over docs(text): kind 0 words by fingerprint (END: texts), kind 1 symbols after TOP units."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, tops = _Tally(0), _Tally(1), np.zeros(CLASSES**TOP << SHIFT, np.int64)
-        for b in batches:
-            words.add(np.array([END]), np.array([b.num_rows], np.int64))
-            for _, _, low, off, starts, ends, row in _parsed(b.column(0)):
-                h, c = np.unique(_text.word_hashes(low, starts, ends).view(np.int64), return_counts=True)
-                words.add(h, c.astype(np.int64))
-                tops += np.bincount(_top(_codes(*_symbols(low, off, starts, ends, row), classes)), minlength=len(tops))
-            if words.size > FLUSH:
-                yield from words.out()
-        yield from words.out()
-        if tops.any():
-            grams.add(np.flatnonzero(tops), tops[tops > 0])
-        yield from grams.out()
-
-    return docs.select("text").mapInArrow(run, "kind byte, code long, c long").groupBy("kind", "code").agg(F.sum("c").alias("c"))
-
-
-def contexts(grams: DataFrame, least: float = LEAST) -> DataFrame:
-    """(depth, context, symbol, c) of the contexts of TOP units at most; depth 0 is the root.
-
-    A context's parent lacks its oldest unit. The top is kept without tests of divergence, as what lies below it is not
-    known here.
-    """
-    out = None
-    for d in range(TOP + 1):
-        context = F.expr(f"(code div {1 << SHIFT}) % {CLASSES**d}")
-        level = grams.groupBy(context.alias("context"), (F.col("code") % (1 << SHIFT)).alias("symbol")).agg(F.sum("c").alias("c"))
-        often = level.groupBy("context").agg(F.sum("c").alias("n")).filter(F.col("n") >= (least if d else 0)).select("context")
-        level = level.join(often, "context").select(F.lit(d).alias("depth"), "context", "symbol", "c")
-        out = level if out is None else out.unionByName(level)
-    return out
+def _sums(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys and each weight's sums."""
+    names, where = np.unique(keys, return_inverse=True)
+    return names, [np.bincount(where, w, len(names)) for w in weights]
+
+
+class _Block:
+    """One block's symbols and what is known of them so far."""
+
+    def __init__(self, arrays: list[np.ndarray], rows: bytes) -> None:
+        self.arrays, self.rows = arrays, rows
+        (self.level, self.words, self.count, self.symbols, self.size, self.known, self.base, self.score, self.at, self.p, self.c, self.asked) = arrays
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+
+    def load(self) -> None:
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.symbols)) - self.first[self.row]  # symbols before it in its row, with the start mark
+        train = pa.ipc.open_stream(self.rows).read_all().column("train").fill_null(False).to_numpy(zero_copy_only=False)
+        self.train = train[self.row]
+        self.mixed = _text.mix(self.words, 9)[self.symbols]
+
+    def blob(self) -> bytes:
+        return _packed(self.level, self.words, self.count, self.symbols, self.size, self.known, self.base, self.score, self.at, self.p, self.c, self.asked)
+
+    def prints(self, at: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Fingerprints of the symbols from `last` to `first` places before each position."""
+        total = np.zeros(len(at), np.uint64)
+        for k in range(last, first - 1, -1):
+            total = total * STEP + self.mixed[at - k]
+        return _text.mix(total, 20 + last - first)
+
+    def done(self, at: np.ndarray, p: np.ndarray) -> None:
+        """These positions have their last probability."""
+        self.score = self.score + np.bincount(self.row[at], np.log10(p), len(self.size))
+
+    def words_known(self, counts: np.ndarray, total: int, distinct: int) -> None:
+        """Base scores from the counts of words; which positions have a context that may stay."""
+        self.count, room = counts.astype(np.int64), float(total + distinct + 1)
+        at = np.flatnonzero(self.place > 0)
+        c = self.count[self.symbols[at]]
+        p = (c + 1) / room
+        self.known = np.bincount(self.row[at], c > 0, len(self.size)).astype(np.int64)
+        self.base = np.bincount(self.row[at], np.log10(p), len(self.size))
+        alive = self.count[self.symbols[at - 1]] >= 2
+        self.done(at[~alive], p[~alive])
+        self.at, self.p, self.c = at[alive].astype(np.int32), p[alive].astype(np.float32), np.zeros(int(alive.sum()), np.int64)
+        self.asked = c[alive] >= 2
+        self.level = np.array([1])
+
+    def answered(self, counts: np.ndarray, size: np.ndarray, left: np.ndarray, deepest: int | None, discount: float) -> None:
+        """Take the answers on the n-grams asked and on the contexts one symbol shorter (none at the first level)."""
+        d = int(self.level[0])
+        c = np.zeros(len(self.at), np.int64)
+        if self.asked.any():
+            c[self.asked] = counts[np.unique(self.prints(self.at[self.asked].astype(np.int64), 0, d), return_inverse=True)[1]]
+        at, p = self.at.astype(np.int64), self.p.astype(np.float64)
+        if d > 1:
+            where = np.unique(self.prints(at, 1, d - 1), return_inverse=True)[1] if len(at) else np.zeros(0, np.int64)
+            n, left = size[where], left[where]
+            kept = left >= 0
+            p = np.where(kept, np.where(self.c >= 2, self.c - discount, 0.0) / np.maximum(n, 1) + left * p, p)
+            before = np.full(len(self.symbols), -1, np.int64)  # of the context that is one longer, where it is known
+            before[at] = self.c
+            go = kept & (self.place[at] >= d) & (before[at - 1] != 0) & (before[at - 1] != 1)
+            if deepest is not None and d > deepest:
+                go[:] = False
+            self.done(at[~go], p[~go])
+            at, p, c = at[go], p[go], c[go]
+        self.at, self.p, self.c = at.astype(np.int32), p.astype(np.float32), c
+        self.asked = (c >= 2) & (self.place[at] > d)
+        self.level = np.array([d + 1])
+
+    def questions(self, places: int, discount: float) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(place, n, n-grams, contexts) for the next exchange."""
+        d, at = int(self.level[0]), self.at.astype(np.int64)
+        if d == 0:
+            grams, (g,) = _sums(self.words[self.symbols], self.train)
+        else:
+            asked = at[self.asked]
+            grams, (g,) = _sums(self.prints(asked, 0, d), self.train[asked])
+        contexts, sums = np.zeros(0, np.uint64), [np.zeros(0)] * 4
+        if d > 1 and len(at):
+            train, seen = self.train[at], self.train[at] & (self.c >= 2)
+            c, p = np.maximum(self.c, 1), self.p.astype(np.float64)
+            contexts, sums = _sums(self.prints(at, 1, d - 1), train, seen, np.where(seen, 1 - discount / c, 0), np.where(seen, np.log(np.maximum(c - discount, 0.1) / p), 0))
+        cuts = [self._cuts(x, places) for x in (grams, contexts)]
+        for place in np.union1d(*[np.flatnonzero(np.diff(x)) for x in cuts]).tolist():
+            a, b = (slice(x[place], x[place + 1]) for x in cuts)
+            first = _packed(np.diff(grams[a], prepend=np.uint64(0)), g[a].astype(np.int32))
+            second = _packed(np.diff(contexts[b], prepend=np.uint64(0)), sums[0][b].astype(np.int32), sums[1][b].astype(np.int32), sums[2][b], sums[3][b])
+            yield place, a.stop - a.start, first, second
+
+    @staticmethod
+    def _cuts(keys: np.ndarray, places: int) -> np.ndarray:
+        """Where each place's part of sorted keys begins: places take equal stretches of the fingerprints."""
+        return np.searchsorted(keys, np.array([(i << 64) // places for i in range(places)], np.uint64)).tolist() + [len(keys)]
+
+    def batches(self, block: int, places: int, discount: float) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "block", "place", "n", "blob", "more"]
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            place, n, first, second = zip(*held, strict=True)
+            kinds = pa.array([QUESTION] * len(held), pa.int8())
+            return pa.RecordBatch.from_arrays([kinds, pa.array([block] * len(held)), pa.array(place), pa.array(n), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=names)
+
+        for row in self.questions(places, discount):
+            held.append(row)
+            if len(held) == 256:
+                yield out()
+                held = []
+        if held:
+            yield out()
+        state = [pa.array([STATE], pa.int8()), pa.array([block]), pa.array([-1]), pa.array([len(self.at)]), pa.array([self.blob()], pa.binary()), pa.array([self.rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(state, names=names)
 
 
-class Tree:
-    """The top contexts as arrays; `states` and `logs` are built once in each worker."""
-
-    def __init__(self, table: pd.DataFrame, classes: np.ndarray) -> None:
-        self.name, self.classes = uuid.uuid4().hex, classes
-        table = table.sort_values(["depth", "context", "symbol"])
-        self.depth, self.context = table["depth"].to_numpy(np.int8), table["context"].to_numpy(np.int64)
-        self.symbol, self.c = table["symbol"].to_numpy(np.int16), table["c"].to_numpy(np.int64)
-
-    def built(self) -> tuple[np.ndarray, np.ndarray]:
-        if _ready.get("name") != self.name:
-            _ready.clear()
-            key = self.context * 8 + self.depth
-            fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            first = np.flatnonzero(fresh)
-            state = np.cumsum(fresh) - 1
-            count = np.zeros((max(1, len(first)), SYMBOLS), np.float32)
-            count[state, self.symbol] = self.c
-            states = np.zeros(CLASSES**TOP, np.int32)
-            prob = np.zeros_like(count)
-            prob[0] = (count[0] + 1) / (count[0].sum() + SYMBOLS) if len(first) and self.depth[0] == 0 else 1 / SYMBOLS
-            for i, at in enumerate(first.tolist()):
-                d, x = int(self.depth[at]), int(self.context[at])
-                if d:
-                    up = prob[states[x]]  # so far the longest kept suffix: its parent
-                    prob[i] = (count[i] + np.float32(WEIGHT) * up) / (count[i].sum() + np.float32(WEIGHT))
-                    states.reshape(-1, CLASSES**d)[:, x] = i
-            share = (count / np.maximum(count.sum(axis=1, keepdims=True), 1)).reshape(-1)
-            _ready.update(name=self.name, states=states, share=share, logs=np.log10(prob.astype(np.float64)).astype(np.float32).reshape(-1))
-        return _ready["states"], _ready["logs"]
-
-    def scores(self, codes: np.ndarray, c: np.ndarray, least: float, gain: float) -> tuple[np.ndarray, int]:
-        """log10 probability of each code, and the number of kept contexts beyond the top. Codes are sorted and distinct, c
-        counts them in training; all codes that end with the same TOP + 1 units are among them or none."""
-        states, logs = self.built()
-        top = _top(codes)
-        at = states[top >> SHIFT].astype(np.int64) * SYMBOLS + (top & ((1 << SHIFT) - 1))
-        p, q, levels = 10.0 ** logs[at].astype(np.float64), _ready["share"][at].astype(np.float64), []
-        for d in range(TOP + 1, DEPTH + 1):
-            context = codes >> (SHIFT + 6 * (DEPTH - d))
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            lens = np.diff(np.append(first, len(codes)))
-            n = np.add.reduceat(c, first)
-            key = (np.repeat(np.arange(len(first)), lens) << SHIFT) | (codes & ((1 << SHIFT) - 1))
-            pair, back = np.unique(key, return_inverse=True) if d < DEPTH else (key, np.arange(len(key)))
-            of, held = pair >> SHIFT, np.bincount(back, c, len(pair))
-            share, up = held / np.maximum(n[of], 1), np.ones(len(pair))
-            up[back] = q
-            seen = held > 0
-            kl = np.bincount(of[seen], share[seen] * np.log(share[seen] / up[seen]), len(first))
-            often = n >= max(least, 1)
-            stay = np.flatnonzero(np.repeat(often, lens))  # below a context that is not frequent none is
-            levels.append((first, lens, n, held[back].astype(np.int32), often & (kl >= gain), stay))
-            codes, c, q = codes[stay], c[stay], share[back][stay]
-            if not len(codes):
-                break
-        kept = []
-        for first, lens, n, held, own, stay in reversed(levels):
-            below = np.zeros(len(held), bool)
-            if kept:
-                below[stay] = np.repeat(kept[-1], deeper)
-            kept.append(own | np.logical_or.reduceat(below, first))
-            deeper = lens
-        ids = np.arange(len(p))
-        for (_, lens, n, held, _, stay), keep in zip(levels, reversed(kept), strict=True):
-            up = p[ids]
-            p[ids] = np.where(np.repeat(keep, lens), (held + WEIGHT * up) / (np.repeat(n, lens) + WEIGHT), up)
-            ids = ids[stay]
-        return np.log10(p).astype(np.float32), int(sum(k.sum() for k in kept))
-
-
-def _packed(a: np.ndarray) -> bytes:
-    """The array by the places of its bytes, compressed."""
-    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), "lz4_raw", asbytes=True)
-
-
-def _unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(blob, n * size, "lz4_raw", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
-
-
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, place, n, texts, counts) of docs(doc_id, text, train): the rows of each task in blocks of about BLOCK bytes."""
+def _first(docs: DataFrame, places: int, discount: float) -> DataFrame:
+    """The blocks of docs(doc_id, text, train) and their questions about words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+        block, rows, parts, sizes, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                for part in held:
+            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for part in rows:
                     w.write_batch(part)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([TEXTS], pa.int32()), pa.array([0]), pa.array([sink.getvalue().to_pybytes()]), pa.array([None], pa.binary())], names=["block", "place", "n", "blob", "counts"])
+            words, symbols = np.unique(np.concatenate(parts), return_inverse=True)
+            size, none, zero = np.concatenate(sizes), np.zeros(0, np.int64), np.zeros(sum(map(len, sizes)))
+            made = _Block([np.array([0]), words, none, symbols.astype(np.int32), size, none, zero, zero, np.zeros(0, np.int32), np.zeros(0, np.float32), none, np.zeros(0, bool)], sink.getvalue().to_pybytes())
+            made.load()
+            yield from made.batches(block, places, discount)
 
         for b in batches:
-            for at, end, data, _ in _text.chunks(b.column(1)):
-                if held and size + len(data) > BLOCK:
-                    yield out()
-                    block, held, size = block + 1, [], 0
-                held.append(b.slice(at, end - at))
-                size += len(data)
-        if held:
-            yield out()
+            for at, end, data, off in _text.chunks(b.column(1)):
+                low = _text.lowered(data)
+                starts, ends, row = _text.word_bounds(low, off)
+                n = end - at
+                size = np.bincount(row, minlength=n) + 2
+                seq, head = np.empty(int(size.sum()), np.uint64), np.concatenate([[0], np.cumsum(size)])
+                inner = np.ones(len(seq), bool)
+                inner[head[:-1]] = inner[head[1:] - 1] = False
+                seq[head[:-1]], seq[head[1:] - 1] = START, END
+                seq[inner] = _text.word_hashes(low, starts, ends)
+                if rows and held + len(data) > BLOCK:
+                    yield from out()
+                    block, rows, parts, sizes, held = block + 1, [], [], [], 0
+                rows.append(b.slice(at, n).select(["doc_id", "train"]))
+                parts.append(seq)
+                sizes.append(size.astype(np.int32))
+                held += len(data)
+        if rows:
+            yield from out()
 
-    return docs.mapInArrow(run, "block long, place int, n long, blob binary, counts binary")
+    return mapped(docs.select("doc_id", "text", "train"), run, ROWS)
 
 
-def _read(blob: bytes) -> Iterator[tuple[pa.RecordBatch, tuple]]:
-    for b in pa.ipc.open_stream(blob):
-        for at, end, low, off, starts, ends, row in _parsed(b.column(1)):
-            yield b.slice(at, end - at), (low, off, starts, ends, row)
+ANSWERS = "block long, place long, n long, blob binary, more binary, total long, names long, kept long"
 
 
-def _places(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted codes by branch, and where each branch begins in it."""
-    branch = (_text.mix((codes >> (SHIFT + 6 * (DEPTH - TOP - 1))).astype(np.uint64), 5) % np.uint64(n)).astype(np.int64)
-    return np.argsort(branch, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(branch, minlength=n))])
+def _answers(questions: DataFrame, gain: float) -> DataFrame:
+    """Each place's sums: for every question the n-grams' counts (0 for a single one) and each context's size and the share
+    left to the shorter context, -1 if it does not stay. total and names: the place's symbols and distinct ones, at the
+    first level; kept: the contexts that stay."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes and their summed counts."""
-    codes = np.concatenate([x[0] for x in parts])
-    order = np.argsort(codes, kind="stable")
-    codes, c = codes[order], np.concatenate([x[1] for x in parts])[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(c, first, dtype=np.int32)
+        def out() -> Iterator[pa.RecordBatch]:
+            grams, contexts = ([_unpacked(r[i]) for r in held] for i in (2, 3))
+            keys, where = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in grams]), return_inverse=True)
+            c = np.bincount(where, np.concatenate([g[1] for g in grams]), len(keys)).astype(np.int64)
+            own = keys != START
+            stats = [int(c[own].sum()), int((c[own] > 0).sum())]
+            counts = c[where]
+            names, of = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in contexts]), return_inverse=True)
+            n, seen, mass, gained = (np.bincount(of, np.concatenate([x[i] for x in contexts]), len(names)) for i in range(1, 5))
+            left = 1 - mass / np.maximum(n, 1)
+            gains = gained - seen * np.log(np.maximum(n, 1)) + (n - seen) * np.log(np.maximum(left, 1e-300))
+            stay = (n >= 2) & (gains >= gain)
+            left = np.where(stay, left, -1).astype(np.float32)[of]
+            n, a, b = n.astype(np.int64)[of], 0, 0
+            for i, (block, size, _, _) in enumerate(held):
+                g, x = len(grams[i][0]), len(contexts[i][0])
+                cols = [block, now, size, _packed(counts[a : a + g]), _packed(n[b : b + x], left[b : b + x]), *([0, 0, 0] if i else [*stats, int(stay.sum())])]
+                a, b = a + g, b + x
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in cols], names=["block", "place", "n", "blob", "more", "total", "names", "kept"])
 
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and row[1] != now:
+                    yield from out()
+                    held = []
+                now = row[1]
+                held.append((row[0], row[2], row[3], row[4]))
+        if held:
+            yield from out()
 
-def _leaves(blocks: DataFrame, classes: np.ndarray, branches: int) -> DataFrame:
-    """(block, place, n, blob, counts): each block's distinct codes by branch with their counts in training rows."""
+    dealt = questions.select("block", "place", "n", "blob", "more").repartition("place").sortWithinPartitions("place", "block")
+    return mapped(dealt, run, ANSWERS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts, size = [], 0
-                for b, parsed in _read(blob.as_py()):
-                    symbols, at = _symbols(*parsed)
-                    codes = _codes(symbols, at, classes)
-                    train = np.repeat(b.column(2).fill_null(False).to_numpy(zero_copy_only=False), np.diff(at) - DEPTH)
-                    u, c = np.unique((codes << 1) | train, return_counts=True) if not train.all() else np.unique(codes, return_counts=True)
-                    if not train.all():
-                        c, u = c * (u & 1), u >> 1
-                    parts.append((u, c.astype(np.int32)))
-                    size += len(u)
-                    if size > MERGE:
-                        parts, size = [_merged(parts)], 0
-                codes, c = _merged(parts)
-                order, cuts = _places(codes, branches)
-                codes, c = codes[order], c[order]
-                some = np.flatnonzero(cuts[1:] > cuts[:-1])
-                for i in range(0, len(some), 256):
-                    part = [(int(x), slice(cuts[x], cuts[x + 1])) for x in some[i : i + 256]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(part)), pa.array([x for x, _ in part], pa.int32()), pa.array([s.stop - s.start for _, s in part], pa.int64()),
-                         pa.array([_packed(np.diff(codes[s], prepend=np.int64(0))) for _, s in part]), pa.array([_packed(c[s]) for _, s in part])],
-                        names=["block", "place", "n", "blob", "counts"])
-
-    return blocks.select("block", "blob").mapInArrow(run, "block long, place int, n long, blob binary, counts binary")
-
-
-def branch_scores(leaves: DataFrame, branches: int, tree: Tree, least: float = LEAST, gain: float = GAIN) -> DataFrame:
-    """(block, place, n, blob, kept): the log probabilities of leaves, in their order; kept counts a branch's contexts once."""
-    sent = leaves.sparkSession.sparkContext.broadcast(tree)
+
+def _steps(states: DataFrame, answers: DataFrame, places: int, total: int, distinct: int, deepest: int | None, discount: float) -> DataFrame:
+    """The blocks after the answers, and their next questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place = [], None
+        block, counts, sizes, left, name = None, [], [], [], None
 
         def out() -> Iterator[pa.RecordBatch]:
-            codes = np.concatenate([np.cumsum(_unpacked(blob, n, np.int64)) for _, n, blob, _ in held])
-            c = np.concatenate([_unpacked(counts, n, np.int32) for _, n, _, counts in held])
-            u, back = np.unique(codes, return_inverse=True)
-            logs, kept = sent.value.scores(u, np.bincount(back, c, len(u)).astype(np.int64), least, gain)
-            logs, at = logs[back], 0
-            for i, (block, n, _, _) in enumerate(held):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([place], pa.int32()), pa.array([n]), pa.array([_packed(logs[at : at + n])]), pa.array([0 if i else kept])], names=["block", "place", "n", "blob", "kept"])
-                at += n
+            block.load()
+            joined = [np.concatenate(x) if x else np.zeros(0) for x in (counts, sizes, left)]
+            if block.level[0] == 0:
+                block.words_known(joined[0], total, distinct)
+            else:
+                block.answered(*joined, deepest, discount)
+            yield from block.batches(name, places, discount)
 
-        for b in batches:
-            for block, x, n, blob, counts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and x != place:
-                    yield from out()
-                    held = []
-                place = x
-                held.append((block, n, blob, counts))
-        if held:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, place, blob, more = (batch.column(j)[i].as_py() for j in range(4))
+                if place < 0:
+                    if block is not None:
+                        yield from out()
+                    block, counts, sizes, left, name = _Block(_unpacked(blob), more), [], [], [], here
+                else:
+                    counts.append(_unpacked(blob)[0])
+                    n, share = _unpacked(more)
+                    sizes.append(n)
+                    left.append(share)
+        if block is not None:
             yield from out()
 
-    dealt = leaves.repartition(branches, "place").sortWithinPartitions("place")
-    return dealt.mapInArrow(run, "block long, place int, n long, blob binary, kept long")
+    both = states.select("block", "place", "blob", "more").unionByName(answers.select("block", "place", "blob", "more"))
+    return mapped(both.repartition("block").sortWithinPartitions("block", "place"), run, ROWS)
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, least: float = LEAST, gain: float = GAIN) -> DataFrame:
+def scored(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, gain: float = GAIN, discount: float = DISCOUNT, deepest: int | None = None
+) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the rows where `train` holds. A null text is empty: its one token is the end. Without training rows
-    base_score is 0 a token (log10 of 1 / 1) and score is uniform over the symbols. Repeated rows give repeated rows;
-    other columns are ignored.
+    Learns from the rows where `train` holds. A null text is empty: its one token is the end. Without training rows both
+    scores are 0, the logarithm of 1 / 1. Repeated rows give repeated rows, an empty table an empty result; other columns
+    are ignored. `deepest` bounds the contexts' length if it is given.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (training(F.col(id_col)) if train is None else train).alias("train"))
-    classes = alphabet(docs.filter("train"))
-    blocks = written(_blocks(docs.select("doc_id", "text", "train")), "blocks")
-    table = written(counts(docs.filter("train"), classes), "counts")
-    words = table.filter("kind = 0").select("code", "c")
-    size = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = size.n or 0, size.v or 0
-    tree = Tree(contexts(table.filter("kind = 1").select("code", "c"), least).toPandas(), classes)
-    n_blocks, n_symbols = max(1, blocks.count()), table.filter("kind = 1").agg(F.sum("c")).first()[0] or 0
-    branches = int(max(64, n_symbols // BRANCH))
-    logs_table = branch_scores(_leaves(blocks, classes, branches), branches, tree, least, gain)
-    # Words with a share of HOT or more: 1 / HOT of them at most, whatever the corpus.
-    hot = words.filter(F.col("c") >= HOT * total).toPandas().sort_values("code")
-    sent = spark.sparkContext.broadcast((hot["code"].to_numpy(np.int64), hot["c"].to_numpy(np.int64)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    places = int(max(64, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PLACE))
+    table, total, distinct, level = written(_first(docs, places, discount), "level-0", "kind"), 0, 0, 0
+    while True:
+        states = table.filter(F.col("kind") == STATE)
+        answers = written(_answers(table.filter(F.col("kind") == QUESTION), gain), f"answers-{level}")
+        if not level:
+            size = answers.agg(F.sum("total").alias("n"), F.sum("names").alias("v")).first()
+            total, distinct = size.n or 0, size.v or 0
+        after = written(_steps(states, answers, places, total, distinct, deepest, discount), f"level-{level + 1}", "kind")
+        dropped(answers)
+        dropped(table)
+        table, level = after, level + 1
+        if not (table.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0):
+            break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, c = sent.value
-        logs = np.log10(c + 1.0)
-        got = []
         for batch in batches:
-            for place, size, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if place < TEXTS:
-                    got.append(_unpacked(blob.as_py(), size, np.float32))
-                    continue
-                parts = []  # the codes of each run of rows, as in _leaves
-                for b, parsed in _read(blob.as_py()):
-                    symbols, at = _symbols(*parsed)
-                    u, back = np.unique(_codes(symbols, at, classes), return_inverse=True)
-                    parts.append((u, back.astype(np.int32), at[:-1] - DEPTH * np.arange(len(at) - 1)))
-                leaves = np.concatenate([p[0] for p in parts])
-                leaves.sort()
-                leaves = leaves[np.concatenate([[True], leaves[1:] != leaves[:-1]])]
-                order, _ = _places(leaves, branches)
-                leaf_logs = np.empty(len(leaves), np.float32)
-                leaf_logs[order] = np.concatenate(got)
-                got = []
-                for (b, (low, off, starts, ends, row)), (u, back, firsts) in zip(_read(blob.as_py()), parts, strict=True):
-                    n = b.num_rows
-                    score = np.add.reduceat(leaf_logs[np.searchsorted(leaves, u)].astype(np.float64)[back], firsts)
-                    h = np.concatenate([_text.word_hashes(low, starts, ends).view(np.int64), np.full(n, END)])
-                    row_h = np.concatenate([row, np.arange(n)])
-                    if len(codes):
-                        where = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
-                        hit = codes[where] == h
-                    else:
-                        where, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                    known = np.bincount(row_h[hit], minlength=n)
-                    total_log = np.bincount(row_h[hit], logs[where[hit]] if len(codes) else None, n).astype(np.float64)
-                    rest_row, rest = row_h[~hit], h[~hit]
-                    order = np.lexsort((rest, rest_row))
-                    rest_row, rest = rest_row[order], rest[order]
-                    fresh = np.ones(len(rest), bool)
-                    fresh[1:] = (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1])
-                    first = np.flatnonzero(fresh)
-                    times = np.diff(np.append(first, len(rest)))
-                    cuts = np.searchsorted(rest_row[first], np.arange(n + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0), b.column(2), pa.array(np.bincount(row_h, minlength=n)), pa.array(known), pa.array(total_log), pa.array(score),
-                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(rest[first])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32)))],
-                        names=["doc_id", "train", "n_tokens", "known", "logs", "score", "rest", "times"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    both = blocks.select("block", "place", "n", "blob").unionByName(logs_table.select("block", "place", "n", "blob"))
-    both = both.repartition(n_blocks, "block").sortWithinPartitions("block", "place")
-    half = both.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, known long, logs double, score double, rest array<long>, times array<int>")
-    half = written(half.withColumn("row", F.monotonically_increasing_id()), "half")
-    rare = half.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("code"), F.col("w.times").alias("times"))
-    found = rare.join(words, "code").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    whole = half.drop("rest", "times").join(found, "row", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))
-    return whole.select(
-        "doc_id", (~F.coalesce("train", F.lit(False))).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+            for blob, more in zip(batch.column(0), batch.column(1), strict=True):
+                block, rows = _Block(_unpacked(blob.as_py()), more.as_py()), pa.ipc.open_stream(more.as_py()).read_all().combine_chunks()
+                cols = [rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks(), *map(pa.array, (block.size.astype(np.int64) - 1, block.known, block.base, block.score))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
+    whole = mapped(table.filter(F.col("kind") == STATE).select("blob", "more"), run, schema)
+    held_out = ~F.coalesce("train", F.lit(False))
+    return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_suffix_tree(spark, sf_dir):

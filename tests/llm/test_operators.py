@@ -185,7 +185,8 @@ def test_redaction_keeps_rows_and_the_rest_of_the_text(spark):
 
 def test_suffix_tree(spark):
     docs = [(i, t) for i, t in enumerate(["the cat sat", "The cat  sat", "", None, "the hat\tsat", "zebra the", "é É ü", "the cat " * 3000, "cat"] * 3)]
-    got = suffix_tree.scored(table(spark, docs), least=1e-3).collect()
+    wide = spark.createDataFrame([(d, t, 1.0, "x", 2) for d, t in docs], "doc_id long, text string, score double, train string, block int")
+    got = suffix_tree.scored(wide).collect()
     assert len(got) == len(docs)
     train = Counter()
     words = {d: brute.WORD.findall(brute.ascii_lower(t or "")) + [None] for d, t in docs}
@@ -201,62 +202,65 @@ def test_suffix_tree(spark):
         assert r.score < 0
     empty = suffix_tree.scored(table(spark, []))
     assert empty.count() == 0
-    untrained = suffix_tree.scored(table(spark, [(1, "a b")]), train=F.lit(False)).first()
-    assert untrained.n_known == 0 and untrained.train_tokens == 0 and abs(untrained.score + 4 * math.log10(257)) < 1e-3
+    untrained = suffix_tree.scored(table(spark, [(1, "a b"), (None, None)]), train=F.lit(False)).collect()
+    assert all((r.n_known, r.train_tokens, r.score, r.base_score) == (0, 0, 0.0, 0.0) for r in untrained) and len(untrained) == 2
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    """In every kept context the smoothed probabilities sum to 1, and a longer context lies under its parent."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    classes = suffix_tree.alphabet(docs)
-    grams = suffix_tree.counts(docs, classes).filter("kind = 1").select("code", "c")
-    table_ = suffix_tree.contexts(grams, 1e-4).toPandas()
-    tree = suffix_tree.Tree(table_, classes)
-    states, logs = tree.built()
-    sums = (10.0 ** logs.reshape(-1, suffix_tree.SYMBOLS)).sum(axis=1)
-    assert len(sums) > 50 and np.allclose(sums, 1, atol=1e-3) and states.max() == len(sums) - 1
-    kept = {(d, c) for d, c in zip(table_["depth"], table_["context"], strict=True)}
-    assert all(d == 0 or (d - 1, c % 64 ** (d - 1)) in kept for d, c in kept)
+def brute_tree(learned, gain, discount):
+    """p(context, symbol), retained contexts and the symbols of a text, by plain counting over contexts of any length."""
+    steps = lambda t: ["<", *brute.WORD.findall(brute.ascii_lower(t or "")), ">"]
+    after = defaultdict(Counter)
+    for t in learned:
+        s = steps(t)
+        for i in range(1, len(s)):
+            for j in range(i + 1):
+                after[tuple(s[j:i])][s[i]] += 1
+    room = sum(after[()].values()) + len(after[()]) + 1
+    retained = set()
+
+    def p(context, symbol):
+        if not context:
+            return (after[()][symbol] + 1) / room
+        up = p(context[1:], symbol)
+        if context not in retained:
+            return up
+        own = after[context]
+        n, mass = sum(own.values()), sum(c - discount for c in own.values() if c >= 2)
+        return (own[symbol] - discount if own[symbol] >= 2 else 0) / n + (1 - mass / n) * up
+
+    for context in sorted(after, key=len):
+        own = after[context]
+        n, often = sum(own.values()), {s: c for s, c in own.items() if c >= 2}
+        if not context or n < 2 or (len(context) > 1 and context[1:] not in retained):
+            continue
+        left = 1 - sum(c - discount for c in often.values()) / n
+        gained = sum(c * math.log((c - discount) / n / p(context[1:], s)) for s, c in often.items()) + (n - sum(often.values())) * math.log(max(left, 1e-300))
+        if gained >= gain:
+            retained.add(context)
+    return p, retained, steps, after
 
 
 def test_suffix_tree_matches_brute_force(spark):
-    """Contexts of seven units over all bytes by an absolute count, small blocks, a rare phrase that occurs a few times."""
+    """Contexts of any length, several blocks, a phrase of eight words that occurs a few times, and distributions that add up."""
     r = random.Random(3)
     words = ["the", "cat", "sat", "é", "Éte", "日本", "語", "naïve", "zebra", "on"]
-    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for i in range(60)] + [(i, "qu\u0416x \u0416wv") for i in range(60, 66)] + [(90, None), (91, "")]
-    learned = [t or "" for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2]
-    classes = suffix_tree.alphabet(spark.createDataFrame([(t,) for t in learned], "text string"))
-    whole = lambda t: b" ".join(w.encode() for w in brute.WORD.findall(brute.ascii_lower(t)))
-
-    def steps(t):
-        """(the seven units before, symbol)."""
-        units = [0] * 7
-        for s in [*whole(t), 256]:
-            yield tuple(units[-7:]), s
-            units += [classes[s]] if classes[s] < 64 else [classes[s] // 64, classes[s] % 64]
-
-    n = defaultdict(Counter)
-    for t in learned:
-        for u, s in steps(t):
-            for d in range(8):
-                n[u[7 - d :]][s] += 1
-    total = {u: sum(c.values()) for u, c in n.items()}
-    kept = {u for u in n if len(u) <= 2 and (not u or total[u] >= 2)}
-    for u in sorted(n, key=len, reverse=True):
-        kl = sum(c / total[u] * math.log(c / total[u] / (n[u[1:]][s] / total[u[1:]])) for s, c in n[u].items()) if u else 0
-        if len(u) > 2 and total[u] >= 2 and kl >= 0.02:
-            kept |= {u[i:] for i in range(len(u) - 2)}
-
-    def p(u, s):
-        if not u:
-            return (n[u][s] + 1) / (total[u] + 257)
-        return (n[u][s] + 20 * p(u[1:], s)) / (total[u] + 20) if u in kept else p(u[1:], s)
-
-    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.score for x in suffix_tree.scored(rows).collect()}
-    assert len(got) == len(docs) and max(map(len, kept)) == 7
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for i in range(60)] + [(i, "the cat the cat sat on the cat" + " sat" * (i % 3)) for i in range(60, 75)] + [(90, None), (91, "")]
+    p, retained, steps, after = brute_tree([t for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2], 1.0, 0.75)
+    got = {x.doc_id: x.score for x in suffix_tree.scored(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), gain=1.0).collect()}
+    assert len(got) == len(docs) and max(map(len, retained)) >= 3
     for d, t in docs:
-        assert abs(got[d] - sum(math.log10(p(u, s)) for u, s in steps(t or ""))) < 1e-5 * (len(whole(t or "")) + 1)
+        s, total = steps(t), 0.0
+        for i in range(1, len(s)):
+            longest = next((tuple(s[j:i]) for j in range(i) if tuple(s[j:i]) in retained), ())
+            total += math.log10(p(longest, s[i]))
+        assert abs(got[d] - total) < 1e-4 * len(s), (d, t)
+    alphabet = [*after[()], "unknown"]
+    assert all(abs(sum(p(c, s) for s in alphabet) - 1) < 1e-9 for c in [(), *retained])
+
+
+def test_suffix_tree_scores_held_out_rows_above_the_base(spark):
+    got = suffix_tree.op10_suffix_tree(spark, SF).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
 
 
 def test_tool_linking(spark):
