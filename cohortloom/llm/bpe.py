@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-A text is split by the tokenizer's pattern; each distinct word is encoded once by folding ranked merges over its bytes.
-The words of a bounded seed sample are folded by Spark higher-order functions against a literal rank map and sent to the
-tasks; words beyond it are folded in the task that meets them by the same rule and remembered there. Decoding
-concatenates the ids' byte pieces.
+Texts are cut into blocks and split by the tokenizer's pattern. Each block sends its distinct words to the places that
+their checksums name; there each distinct word of the corpus is folded once, by Spark higher-order functions that apply
+ranked merges to its bytes against a literal rank map, and its ids go back to the blocks that asked. Blocks look their
+words up, and decoding concatenates the ids' byte pieces. Only words of more than LONGEST bytes are folded in the block
+that holds them, by the same rule with a heap, as the fold takes a step for each byte.
 """
 
 from __future__ import annotations
@@ -11,23 +12,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _text
+from ._pack import packed, unpacked
 from ._util import documents, mapped
 
-BUCKETS, SEEDS, LONGEST, CACHE, NONE = 8192, 2048, 32, 600_000, 1 << 31
+BUCKETS, LONGEST, NONE = 8192, 64, 1 << 31
+BLOCK, PLACE, WINDOW = 6 << 20, 6 << 20, 1 << 20  # bytes of a block and, on average, of a place; characters looked at together
 #: With this pattern no word reaches back over a space, so a text whose spaces stand alone between other characters is
 #: the concatenation of its chunks, each led by its space; any other text or pattern is split as a whole.
 WORDS_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_known: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,8 +52,8 @@ def _rank_map(ranks: dict[bytes, int]) -> Column:
 def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Add ids (array<int>) to words(word binary), in Spark expressions only.
 
-    Each step merges the leftmost adjacent pair of least rank; a word of n bytes takes n - 1 steps at most. A null or
-    empty word has no ids.
+    A word with a rank is its own id; in others each step merges the leftmost adjacent pair of least rank, so a word of n
+    bytes takes n - 1 steps at most. A null or empty word has no ids.
     """
     table = _rank_map(ranks)
 
@@ -67,7 +70,7 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     text = F.decode(F.coalesce(F.col("word"), F.lit(b"")), "ISO-8859-1")
     parts = F.filter(F.split(text, ""), lambda c: c != "")
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), parts, lambda acc, _: merged(acc))
-    return words.withColumn("ids", F.transform(folded, rank))
+    return words.withColumn("ids", F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank)))
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -118,19 +121,15 @@ class Irregular(Exception):
 class Chunks(dict):
     """The ids (bytes) of chunks of text, each led by `lead`, worked out at first sight from the ids of their words."""
 
-    def __init__(self, lead: str, words: dict[str, bytes], ranks: dict[bytes, int], pattern: str) -> None:
-        import regex
-
-        self.lead, self.words, self.ranks, self.split = lead, words, ranks, regex.compile(pattern)
+    def __init__(self, lead: str, words: dict[str, bytes], ranks: dict[bytes, int], split) -> None:
+        self.lead, self.words, self.ranks, self.split = lead, words, ranks, split
 
     def whole(self, text: str) -> bytes:
         out = []
-        for w in self.split.findall(text):
+        for w in self.split(text):
             ids = self.words.get(w)
             if ids is None:
-                ids = array("I", fold_word(w.encode(), self.ranks)).tobytes()
-                if len(self.words) < CACHE:
-                    self.words[w] = ids
+                ids = self.words[w] = array("I", fold_word(w.encode(), self.ranks)).tobytes()
             out.append(ids)
         return b"".join(out)
 
@@ -138,71 +137,253 @@ class Chunks(dict):
         if chunk[:1].isspace() or chunk[-1:].isspace() or not chunk:
             if self.lead or chunk:
                 raise Irregular
-        ids = self.whole(self.lead + chunk)
-        if len(self) < CACHE:
-            self[chunk] = ids
+        ids = self[chunk] = self.whole(self.lead + chunk)
         return ids
 
 
-def seed_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int], seeds: int = SEEDS) -> dict[str, bytes]:
-    """Words of the `seeds` documents of least hash, folded by Spark; only a head start, results do not depend on it.
-
-    Words of more than LONGEST characters are left to the tasks. Copies of a text count once.
-    """
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    bound = hashed.select("h").distinct().orderBy("h").limit(seeds).agg(F.max("h")).first()[0]  # hashes only: no texts meet in one task
-    sample = hashed.filter(F.col("h") <= F.lit(bound)).groupBy("h").agg(F.first("text").alias("text"))
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("w")).filter(F.length("w") <= LONGEST)
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", F.encode("w", "UTF-8").alias("word"))
-    rows = fold_words(often.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word"), ranks).select("w", "ids").collect()
-    return {r.w: np.array(r.ids, "<u4").tobytes() for r in rows}
+class Seen(set):
+    """Chunks whose words are gathered."""
 
+    def __init__(self, lead: str, words: set[str], split) -> None:
+        self.lead, self.words, self.split = lead, words, split
 
-def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes[, ids]) for each row of docs(doc_id, text).
+    def meet(self, chunks: set[str]) -> None:
+        for chunk in chunks - self:
+            if chunk[:1].isspace() or chunk[-1:].isspace() or not chunk:
+                if self.lead or chunk:
+                    raise Irregular
+            self.words.update(self.split(self.lead + chunk))
+            self.add(chunk)
 
-    A null text is empty and has no tokens. Special tokens are ordinary text. Repeated rows give repeated rows.
-    """
-    spark = docs.sparkSession
-    ranks = read_ranks(path)
-    apart = pattern == WORDS_APART
-    head = spark.sparkContext.broadcast((uuid.uuid4().hex, ranks, seed_words(docs.filter("text is not null").select("text"), pattern, ranks)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ranks, seed = head.value
-        if _known.get("key") != key:
-            _known.clear()
-            words = dict(seed)
-            pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-            for piece, i in ranks.items():
-                pieces[i] = piece
-            _known.update(key=key, starts=Chunks("", words, ranks, pattern), spaced=Chunks(" ", words, ranks, pattern), pieces=pieces)
-        starts, spaced, pieces = (_known[k] for k in ("starts", "spaced", "pieces"))
-
-        def all_ids(text: str) -> bytes:
+def _stretches(text: str, apart: bool) -> Iterator[str]:
+    """The text in stretches of WINDOW characters that can be split alone: the next begins with a lone space."""
+    at = 0
+    while at < len(text):
+        end = at + WINDOW
+        while apart and end < len(text):
+            end = text.find(" ", end)
+            if end < 0 or (end + 1 < len(text) and not text[end - 1].isspace() and not text[end + 1].isspace()):
+                break
+            end += 1
+        if not apart or end < 0:
+            end = len(text)
+        yield text[at:end]
+        at = end
+
+
+def _words(texts: list[str], split, apart: bool, places: int) -> tuple[list[str], np.ndarray]:
+    """The distinct words of LONGEST bytes at most, ordered by place and word, and where each place begins."""
+    words: set[str] = set()
+    starts, spaced = Seen("", words, split), Seen(" ", words, split)
+    for text in texts:
+        for part in _stretches(text, apart):
             if apart:
-                first, *rest = text.split(" ")
+                first, *rest = part.split(" ") if part[0] != " " else part[1:].split(" ")
                 try:
-                    return b"".join([starts[first], *map(spaced.__getitem__, rest)])
+                    (spaced if part[0] == " " else starts).meet({first})
+                    spaced.meet(set(rest))
+                    continue
                 except Irregular:
                     pass
-            return starts.whole(text)
+            words.update(split(part))
+    listed = sorted(w for w in words if len(w) <= LONGEST and len(w.encode()) <= LONGEST)
+    place = np.fromiter((zlib.crc32(w.encode()) % places for w in listed), np.int64, len(listed))
+    order = np.argsort(place, kind="stable")
+    return [listed[i] for i in order.tolist()], np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))])
+
+
+def _blocks(docs: DataFrame, made, schema: str) -> DataFrame:
+    """made(block, rows, texts) of the blocks of docs(doc_id, text). Each scan of a table cuts the same blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        block, rows, held = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part, out = b.slice(at, 64), []
-                for text in part.column(1).to_pylist():
-                    ids = all_ids(text or "")
-                    decoded = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded), ids))
-                cols = list(zip(*out, strict=True))
-                arrays = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int64())]
-                if keep_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"][: len(arrays)])
+            for at, end, data, _ in _text.chunks(b.column(1)):
+                if rows and held + len(data) > BLOCK:
+                    yield from made(block, pa.Table.from_batches(rows))
+                    block, rows, held = block + 1, [], 0
+                rows.append(b.slice(at, end - at))
+                held += len(data)
+        if rows:
+            yield from made(block, pa.Table.from_batches(rows))
+
+    return mapped(docs.select("doc_id", "text"), run, schema)
+
+
+def _texts(rows: pa.Table) -> list[str]:
+    return [t or "" for t in rows.column("text").to_pylist()]
+
+
+def _asked(docs: DataFrame, pattern: str, places: int) -> DataFrame:
+    """(place, block, words): each block's distinct words by place."""
+
+    def made(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        words, cuts = _words(_texts(rows), regex.compile(pattern).findall, pattern == WORDS_APART, places)
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        for i in range(0, len(some), 256):
+            part = [[w.encode() for w in words[cuts[p] : cuts[p + 1]]] for p in some[i : i + 256]]
+            blobs = [packed(np.fromiter(map(len, x), np.uint8, len(x)), np.frombuffer(b"".join(x), np.uint8)) for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 256]), pa.array([block] * len(part)), pa.array(blobs)], names=["place", "block", "words"])
+
+    return _blocks(docs, made, "place long, block long, words binary")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each place its distinct words, one a row, then a row for each block: which of them it asked for."""
+    held, now = [], None
+    names = ["place", "block", "word", "asked", "check"]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        asked = []
+        for block, blob in held:
+            size, body = unpacked(blob)
+            ends, raw = np.cumsum(size.astype(np.int64)).tolist(), body.tobytes()
+            asked.append((block, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], zlib.crc32(raw)))
+        words = sorted(set().union(*(x for _, x, _ in asked)))
+        index = {w: i for i, w in enumerate(words)}
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([now] * len(part)), pa.array([None] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array([None] * len(part), pa.binary()), pa.array([None] * len(part), pa.int64())], names=names)
+        for block, x, check in asked:
+            at = np.fromiter(map(index.__getitem__, x), np.int32, len(x))
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([block]), pa.array([None], pa.binary()), pa.array([packed(at)]), pa.array([check])], names=names)
+
+    for batch in batches:
+        for place, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and place != now:
+                yield from out()
+                held = []
+            now = place
+            held.append((block, blob))
+    if held:
+        yield from out()
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, blob, check): the ids of the words that each block asked for, from rows in the order of _distinct."""
+    size, flat, now, asking = [], [], None, False
+    for batch in batches:
+        place, asks = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        lens = pa.compute.list_value_length(batch.column(3)).fill_null(0).to_numpy(zero_copy_only=False)
+        values, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.cumsum(lens)
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (asks[1:] != asks[:-1])]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(place)], strict=True):
+            if not asks[a]:
+                if place[a] != now or asking:
+                    size, flat = [], []
+                size.append(lens[a:b])
+                flat.append(values[ends[a] - lens[a] : ends[b - 1]])
+            else:
+                if len(size) > 1:
+                    size, flat = [np.concatenate(size)], [np.concatenate(flat)]
+                starts = np.cumsum(size[0]) - size[0]
+                for i in range(a, b):
+                    at = unpacked(batch.column(2)[i].as_py())[0]
+                    n = size[0][at].astype(np.int64)
+                    ids = flat[0][np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    cols = [batch.column(1)[i].as_py(), int(place[i]), packed(n.astype(np.uint8), ids.astype(np.int32)), batch.column(4)[i].as_py()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in cols], names=["block", "place", "blob", "check"])
+            now, asking = place[a], bool(asks[a])
+
+
+def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, places: int) -> DataFrame:
+    """(block, place, blob, check) for the blocks of docs: every distinct word of the corpus is folded once."""
+    dealt = _asked(docs, pattern, places).repartition("place").sortWithinPartitions("place", "block")
+    words = mapped(dealt, _distinct, "place long, block long, word binary, asked binary, check long")
+    folded = fold_words(words, ranks).select("place", "block", "asked", "ids", "check")
+    return mapped(folded, _told, "block long, place long, blob binary, check long")
+
+
+def _all_ids(text: str, apart: bool, starts: Chunks, spaced: Chunks) -> Iterator[bytes]:
+    for part in _stretches(text, apart):
+        if apart:
+            first, *rest = part.split(" ") if part[0] != " " else part[1:].split(" ")
+            try:
+                yield b"".join([(spaced if part[0] == " " else starts)[first], *map(spaced.__getitem__, rest)])
+                continue
+            except Irregular:
+                pass
+        yield starts.whole(part)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes[, ids]) for each row of docs(doc_id, text).
+
+    A null text is empty and has no tokens. Special tokens are ordinary text. Repeated rows give repeated rows, an empty
+    table an empty result; other columns are ignored. docs is read twice and must give the same rows in the same order,
+    as a table does; if it does not, the job stops.
+    """
+    docs = docs.select("doc_id", "text")
+    ranks, apart = read_ranks(path), pattern == WORDS_APART
+    places = int(max(64, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PLACE))
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def kept(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
+            w.write_table(rows.combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1]), pa.array([sink.getvalue().to_pybytes()]), pa.array([None], pa.int64())], names=["block", "place", "blob", "check"])
+
+    def finished(rows: pa.Table, answers: list[tuple[int, bytes, int]], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, texts, known = regex.compile(pattern).findall, _texts(rows), {}
+        words, cuts = _words(texts, split, apart, places)
+        if [p for p, _, _ in answers] != np.flatnonzero(np.diff(cuts)).tolist():
+            raise ValueError("the table changed between two reads")
+        for place, blob, check in answers:
+            own = words[cuts[place] : cuts[place + 1]]
+            if zlib.crc32("".join(own).encode()) != check:
+                raise ValueError("the table changed between two reads")
+            n, ids = unpacked(blob)
+            ends, raw = (np.cumsum(n.astype(np.int64)) * 4).tolist(), ids.astype("<u4").tobytes()
+            known.update(zip(own, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        starts, spaced = Chunks("", known, sent.value, split), Chunks(" ", known, sent.value, split)
+        for at in range(0, len(texts), 64):
+            out = []
+            for text in texts[at : at + 64]:
+                one, two, n, size, whole = hashlib.sha256(), hashlib.sha256(), 0, 0, []
+                for ids in _all_ids(text, apart, starts, spaced):
+                    back = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                    one.update(ids)
+                    two.update(back)
+                    n, size = n + len(ids) // 4, size + len(back)
+                    if keep_ids:
+                        whole.append(ids)
+                out.append((n, one.hexdigest(), two.hexdigest(), size, b"".join(whole)))
+            cols = list(zip(*out, strict=True))
+            arrays = [rows.column(0).slice(at, 64).combine_chunks(), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int64())]
+            if keep_ids:
+                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"][: len(arrays)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [b""] * (max(sent.value.values(), default=-1) + 1)
+        for piece, i in sent.value.items():
+            pieces[i] = piece
+        rows, answers = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                place, blob = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                if place < 0:
+                    if rows is not None:
+                        yield from finished(rows, answers, pieces)
+                    rows, answers = pa.ipc.open_stream(blob).read_all(), []
+                else:
+                    answers.append((place, blob, batch.column(3)[i].as_py()))
+        if rows is not None:
+            yield from finished(rows, answers, pieces)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + (", ids array<int>" if keep_ids else ""))
+    both = _blocks(docs, kept, "block long, place long, blob binary, check long").unionByName(word_ids(docs, ranks, pattern, places))
+    dealt = both.repartition("block").sortWithinPartitions("block", "place")
+    return mapped(dealt, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + (", ids array<int>" if keep_ids else ""))
 
 
 def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._pack import packed, unpacked
 from ._util import documents, dropped, mapped, written
 
 GAIN, DISCOUNT = 10.0, 0.75
@@ -31,35 +32,12 @@ START, END = np.uint64(0x5B1D7A3C9E84F261), np.uint64(0x9E3779B97F4A7C17)  # fin
 STEP = np.uint64(0xA0761D6478BD642F)
 STATE, QUESTION = 0, 1
 ROWS = "kind byte, block long, place long, n long, blob binary, more binary"
-CODEC = pa.Codec("zstd", compression_level=1)
-TYPES = [np.dtype(t) for t in ("bool", "int32", "int64", "uint64", "float32", "float64")]
 
 
 def training(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays by the places of their bytes, compressed."""
-    out = []
-    for a in arrays:
-        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
-        body = CODEC.compress(raw, asbytes=True) if raw else b""
-        out += [np.array([len(a), TYPES.index(a.dtype), len(body)], np.int64).tobytes(), body]
-    return b"".join(out)
-
-
-def _unpacked(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(blob):
-        n, kind, size = np.frombuffer(blob, np.int64, 3, at).tolist()
-        dtype = TYPES[kind]
-        raw = CODEC.decompress(blob[at + 24 : at + 24 + size], n * dtype.itemsize, asbytes=True) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
-        at += 24 + size
-    return out
-
-
 def _sums(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys and each weight's sums."""
     names, where = np.unique(keys, return_inverse=True)
@@ -82,7 +60,7 @@ class _Block:
         self.mixed = _text.mix(self.words, 9)[self.symbols]
 
     def blob(self) -> bytes:
-        return _packed(self.level, self.words, self.count, self.symbols, self.size, self.known, self.base, self.score, self.at, self.p, self.c, self.asked)
+        return packed(self.level, self.words, self.count, self.symbols, self.size, self.known, self.base, self.score, self.at, self.p, self.c, self.asked)
 
     def prints(self, at: np.ndarray, first: int, last: int) -> np.ndarray:
         """Fingerprints of the symbols from `last` to `first` places before each position."""
@@ -148,8 +126,8 @@ class _Block:
         cuts = [self._cuts(x, places) for x in (grams, contexts)]
         for place in np.union1d(*[np.flatnonzero(np.diff(x)) for x in cuts]).tolist():
             a, b = (slice(x[place], x[place + 1]) for x in cuts)
-            first = _packed(np.diff(grams[a], prepend=np.uint64(0)), g[a].astype(np.int32))
-            second = _packed(np.diff(contexts[b], prepend=np.uint64(0)), sums[0][b].astype(np.int32), sums[1][b].astype(np.int32), sums[2][b], sums[3][b])
+            first = packed(np.diff(grams[a], prepend=np.uint64(0)), g[a].astype(np.int32))
+            second = packed(np.diff(contexts[b], prepend=np.uint64(0)), sums[0][b].astype(np.int32), sums[1][b].astype(np.int32), sums[2][b], sums[3][b])
             yield place, a.stop - a.start, first, second
 
     @staticmethod
@@ -232,7 +210,7 @@ def _answers(questions: DataFrame, gain: float) -> DataFrame:
         held, now = [], None
 
         def out() -> Iterator[pa.RecordBatch]:
-            grams, contexts = ([_unpacked(r[i]) for r in held] for i in (2, 3))
+            grams, contexts = ([unpacked(r[i]) for r in held] for i in (2, 3))
             keys, where = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in grams]), return_inverse=True)
             c = np.bincount(where, np.concatenate([g[1] for g in grams]), len(keys)).astype(np.int64)
             own = keys != START
@@ -247,7 +225,7 @@ def _answers(questions: DataFrame, gain: float) -> DataFrame:
             n, a, b = n.astype(np.int64)[of], 0, 0
             for i, (block, size, _, _) in enumerate(held):
                 g, x = len(grams[i][0]), len(contexts[i][0])
-                cols = [block, now, size, _packed(counts[a : a + g]), _packed(n[b : b + x], left[b : b + x]), *([0, 0, 0] if i else [*stats, int(stay.sum())])]
+                cols = [block, now, size, packed(counts[a : a + g]), packed(n[b : b + x], left[b : b + x]), *([0, 0, 0] if i else [*stats, int(stay.sum())])]
                 a, b = a + g, b + x
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in cols], names=["block", "place", "n", "blob", "more", "total", "names", "kept"])
 
@@ -286,10 +264,10 @@ def _steps(states: DataFrame, answers: DataFrame, places: int, total: int, disti
                 if place < 0:
                     if block is not None:
                         yield from out()
-                    block, counts, sizes, left, name = _Block(_unpacked(blob), more), [], [], [], here
+                    block, counts, sizes, left, name = _Block(unpacked(blob), more), [], [], [], here
                 else:
-                    counts.append(_unpacked(blob)[0])
-                    n, share = _unpacked(more)
+                    counts.append(unpacked(blob)[0])
+                    n, share = unpacked(more)
                     sizes.append(n)
                     left.append(share)
         if block is not None:
@@ -328,7 +306,7 @@ def scored(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, more in zip(batch.column(0), batch.column(1), strict=True):
-                block, rows = _Block(_unpacked(blob.as_py()), more.as_py()), pa.ipc.open_stream(more.as_py()).read_all().combine_chunks()
+                block, rows = _Block(unpacked(blob.as_py()), more.as_py()), pa.ipc.open_stream(more.as_py()).read_all().combine_chunks()
                 cols = [rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks(), *map(pa.array, (block.size.astype(np.int64) - 1, block.known, block.base, block.score))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
