@@ -11,21 +11,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ._util import held
+
 U8, U64 = np.uint8, np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK)
+    kept = held("text")
+    if len(kept.get("up", ())) < n:
+        size = max(n, CHUNK + CHUNK // 8)
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, base, U64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
+            kept[name] = np.cumprod(steps, dtype=U64)
+    return kept["up"], kept["down"]
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:

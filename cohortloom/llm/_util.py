@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ def text_hash(text: Column) -> Column:
 
 #: Bytes of rows sent to a Python worker at a time; a longer row goes alone.
 BATCH_BYTES = 4 << 20
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What a Python worker keeps between tasks for one operator; that of all others is let go."""
+    for other in [k for k in _held if k != owner]:
+        del _held[other]
+    return _held.setdefault(owner, {})
+
+
+def _lean() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
@@ -75,7 +93,12 @@ def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     if conf.get(name) == f"{64 << 20}b":  # the default, not chosen by the user
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        yield from run(batches)
+
+    return df.mapInArrow(lean, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import documents, mapped, ranked, written
+from ._util import documents, held, mapped, ranked, written
 
-WIDTH, END_ID, BUCKET_ROWS, CACHE, STEP = 4096, 2, 20_000, 300_000, 64
+WIDTH, END_ID, BUCKET_ROWS, CACHE, STEP = 4096, 2, 20_000, 400_000, 64
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORD = re.compile(r"[^ \n\t\r]+")
-_loaded: dict = {}
 
 
 def vocabulary() -> str:
@@ -54,17 +53,19 @@ class Words(dict):
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(low)]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) < CACHE:
-            self[word] = ids
+        if len(self) >= CACHE:  # frequent words are soon met again
+            self.clear()
+        self[word] = ids
         return ids
 
 
 def _encoder(path: str):
     """A function from a text to its ids. The pattern of this vocabulary never joins across white space, so the ids of a
     text are those of its words. str.split also splits at four separators that the vocabulary keeps."""
-    words = _loaded.get(path)
-    if words is None or len(words) >= CACHE:
-        words = _loaded[path] = Words(path)
+    kept = held("packing")
+    if path not in kept:
+        kept[path] = Words(path)
+    words = kept[path]
 
     def encode(text: str) -> np.ndarray:
         found = WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
