@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,15 +34,19 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete a written table that a later one has replaced. Files it still needs must not be read again."""
-    spark = table.sparkSession
+def dropped(spark: SparkSession, *tables: DataFrame, keep: str = "/") -> None:
+    """Delete written tables that later ones have replaced, but for their folder `keep`, and hint that shuffle files of ended jobs can go, which else
+    stay until the driver happens to collect its garbage."""
     shared = shared_dir(spark)
-    for folder in {f.split("/part-")[0].split("/kind=")[0] for f in table.inputFiles()}:
+    for folder in {f.split("/part-")[0] for table in tables for f in table.inputFiles()}:
+        if folder.endswith(keep):
+            continue
         place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.makeQualified(place).toString().startswith(fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared)).toString()):
             fs.delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Bytes of a table of numbers that may be broadcast, as its rows lie in memory: 8 a column and 64 for the row and its place.

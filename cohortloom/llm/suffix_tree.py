@@ -28,9 +28,10 @@ from ._util import documents, dropped, mapped, written
 
 GAIN, DISCOUNT = 10.0, 0.75
 BLOCK, PLACE = 6 << 20, 6 << 20  # bytes of text of a block and, on average, of a place
-START, END = np.uint64(0x5B1D7A3C9E84F261), np.uint64(0x9E3779B97F4A7C17)  # fingerprints of the start mark and the end
+START, END = np.uint64(0x5B1D7A3C9E84F2), np.uint64(0x9E3779B97F4A7C)  # fingerprints of the start mark and the end
 STEP = np.uint64(0xA0761D6478BD642F)
-STATE, QUESTION = 0, 1
+UNUSED = np.uint64(8)  # fingerprints of n-grams keep 56 bits
+STATE, QUESTION, TEXTS = 0, 1, 2
 ROWS = "kind byte, block long, place long, n long, blob binary, more binary"
 
 
@@ -45,11 +46,16 @@ def _sums(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.n
 
 
 class _Block:
-    """One block's symbols and what is known of them so far."""
-
-    def __init__(self, arrays: list[np.ndarray], rows: bytes) -> None:
-        self.arrays, self.rows = arrays, rows
-        (self.level, self.words, self.count, self.symbols, self.size, self.known, self.base, self.score, self.at, self.p, self.c, self.asked) = arrays
+    """One block's symbols, which stay the same, and what is known of them so far."""
+
+    def __init__(self, fixed: list[np.ndarray], rows: bytes, state: list[np.ndarray] | None = None) -> None:
+        self.words, self.symbols, self.size = fixed
+        self.rows = rows
+        if state is None:
+            none, zero = np.zeros(0, np.int64), np.zeros(len(self.size))
+            state = [np.array([0]), none, none, zero, zero, np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, bool)]
+        self.level, self.count, self.known, self.base, self.score, at, self.p, self.c, self.asked = state
+        self.at = np.cumsum(at, dtype=np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
 
     def load(self) -> None:
@@ -59,23 +65,26 @@ class _Block:
         self.train = train[self.row]
         self.mixed = _text.mix(self.words, 9)[self.symbols]
 
-    def blob(self) -> bytes:
-        return packed(self.level, self.words, self.count, self.symbols, self.size, self.known, self.base, self.score, self.at, self.p, self.c, self.asked)
+    def fixed(self) -> bytes:
+        return packed(self.words, self.symbols, self.size)
+
+    def state(self) -> bytes:
+        return packed(self.level, self.count, self.known, self.base, self.score, np.diff(self.at, prepend=np.int32(0)), self.p, self.c.astype(np.int32), self.asked)
 
     def prints(self, at: np.ndarray, first: int, last: int) -> np.ndarray:
         """Fingerprints of the symbols from `last` to `first` places before each position."""
         total = np.zeros(len(at), np.uint64)
         for k in range(last, first - 1, -1):
             total = total * STEP + self.mixed[at - k]
-        return _text.mix(total, 20 + last - first)
+        return _text.mix(total, 20 + last - first) >> UNUSED
 
     def done(self, at: np.ndarray, p: np.ndarray) -> None:
         """These positions have their last probability."""
         self.score = self.score + np.bincount(self.row[at], np.log10(p), len(self.size))
 
-    def words_known(self, counts: np.ndarray, total: int, distinct: int) -> None:
+    def words_known(self, counts: np.ndarray, room: float) -> None:
         """Base scores from the counts of words; which positions have a context that may stay."""
-        self.count, room = counts.astype(np.int64), float(total + distinct + 1)
+        self.count = counts.astype(np.int64)
         at = np.flatnonzero(self.place > 0)
         c = self.count[self.symbols[at]]
         p = (c + 1) / room
@@ -83,17 +92,21 @@ class _Block:
         self.base = np.bincount(self.row[at], np.log10(p), len(self.size))
         alive = self.count[self.symbols[at - 1]] >= 2
         self.done(at[~alive], p[~alive])
-        self.at, self.p, self.c = at[alive].astype(np.int32), p[alive].astype(np.float32), np.zeros(int(alive.sum()), np.int64)
+        self.at, self.c = at[alive].astype(np.int32), np.zeros(int(alive.sum()), np.int32)
         self.asked = c[alive] >= 2
         self.level = np.array([1])
 
-    def answered(self, counts: np.ndarray, size: np.ndarray, left: np.ndarray, deepest: int | None, discount: float) -> None:
+    def probability(self, room: float) -> np.ndarray:
+        """What the contexts so far give each position; while there are none it follows from the counts."""
+        return self.p.astype(np.float64) if self.level[0] > 2 else (self.count[self.symbols[self.at]] + 1) / room
+
+    def answered(self, counts: np.ndarray, size: np.ndarray, left: np.ndarray, room: float, deepest: int | None, discount: float) -> None:
         """Take the answers on the n-grams asked and on the contexts one symbol shorter (none at the first level)."""
         d = int(self.level[0])
         c = np.zeros(len(self.at), np.int64)
         if self.asked.any():
             c[self.asked] = counts[np.unique(self.prints(self.at[self.asked].astype(np.int64), 0, d), return_inverse=True)[1]]
-        at, p = self.at.astype(np.int64), self.p.astype(np.float64)
+        at, p = self.at.astype(np.int64), self.probability(room)
         if d > 1:
             where = np.unique(self.prints(at, 1, d - 1), return_inverse=True)[1] if len(at) else np.zeros(0, np.int64)
             n, left = size[where], left[where]
@@ -106,36 +119,38 @@ class _Block:
                 go[:] = False
             self.done(at[~go], p[~go])
             at, p, c = at[go], p[go], c[go]
-        self.at, self.p, self.c = at.astype(np.int32), p.astype(np.float32), c
+        self.at, self.c = at.astype(np.int32), c
         self.asked = (c >= 2) & (self.place[at] > d)
         self.level = np.array([d + 1])
+        if d > 1:
+            self.p, self.count = p.astype(np.float32), np.zeros(0, np.int64)
 
-    def questions(self, places: int, discount: float) -> Iterator[tuple[int, int, bytes, bytes]]:
+    def questions(self, places: int, room: float, discount: float) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(place, n, n-grams, contexts) for the next exchange."""
         d, at = int(self.level[0]), self.at.astype(np.int64)
         if d == 0:
-            grams, (g,) = _sums(self.words[self.symbols], self.train)
+            grams, (g,) = self.words, (np.bincount(self.symbols, self.train, len(self.words)),)
         else:
             asked = at[self.asked]
             grams, (g,) = _sums(self.prints(asked, 0, d), self.train[asked])
         contexts, sums = np.zeros(0, np.uint64), [np.zeros(0)] * 4
         if d > 1 and len(at):
             train, seen = self.train[at], self.train[at] & (self.c >= 2)
-            c, p = np.maximum(self.c, 1), self.p.astype(np.float64)
+            c, p = np.maximum(self.c, 1), self.probability(room)
             contexts, sums = _sums(self.prints(at, 1, d - 1), train, seen, np.where(seen, 1 - discount / c, 0), np.where(seen, np.log(np.maximum(c - discount, 0.1) / p), 0))
         cuts = [self._cuts(x, places) for x in (grams, contexts)]
         for place in np.union1d(*[np.flatnonzero(np.diff(x)) for x in cuts]).tolist():
             a, b = (slice(x[place], x[place + 1]) for x in cuts)
             first = packed(np.diff(grams[a], prepend=np.uint64(0)), g[a].astype(np.int32))
-            second = packed(np.diff(contexts[b], prepend=np.uint64(0)), sums[0][b].astype(np.int32), sums[1][b].astype(np.int32), sums[2][b], sums[3][b])
+            second = packed(np.diff(contexts[b], prepend=np.uint64(0)), sums[0][b].astype(np.int32), sums[1][b].astype(np.int32), sums[2][b].astype(np.float32), sums[3][b].astype(np.float32))
             yield place, a.stop - a.start, first, second
 
     @staticmethod
     def _cuts(keys: np.ndarray, places: int) -> np.ndarray:
         """Where each place's part of sorted keys begins: places take equal stretches of the fingerprints."""
-        return np.searchsorted(keys, np.array([(i << 64) // places for i in range(places)], np.uint64)).tolist() + [len(keys)]
+        return np.searchsorted(keys, np.array([(i << 56) // places for i in range(places)], np.uint64)).tolist() + [len(keys)]
 
-    def batches(self, block: int, places: int, discount: float) -> Iterator[pa.RecordBatch]:
+    def batches(self, block: int, places: int, room: float, discount: float) -> Iterator[pa.RecordBatch]:
         names = ["kind", "block", "place", "n", "blob", "more"]
         held: list[tuple] = []
 
@@ -144,18 +159,21 @@ class _Block:
             kinds = pa.array([QUESTION] * len(held), pa.int8())
             return pa.RecordBatch.from_arrays([kinds, pa.array([block] * len(held)), pa.array(place), pa.array(n), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=names)
 
-        for row in self.questions(places, discount):
+        for row in self.questions(places, room, discount):
             held.append(row)
             if len(held) == 256:
                 yield out()
                 held = []
         if held:
             yield out()
-        state = [pa.array([STATE], pa.int8()), pa.array([block]), pa.array([-1]), pa.array([len(self.at)]), pa.array([self.blob()], pa.binary()), pa.array([self.rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(state, names=names)
+        lone = lambda kind, place, n, blob, more: [pa.array([kind], pa.int8()), pa.array([block]), pa.array([place]), pa.array([n]), pa.array([blob], pa.binary()), pa.array([more], pa.binary())]
+        if self.level[0] == 0:
+            yield pa.RecordBatch.from_arrays(lone(TEXTS, -2, 0, self.fixed(), self.rows), names=names)
+        else:
+            yield pa.RecordBatch.from_arrays(lone(STATE, -1, len(self.at), self.state(), None), names=names)
 
 
-def _first(docs: DataFrame, places: int, discount: float) -> DataFrame:
+def _first(docs: DataFrame, places: int) -> DataFrame:
     """The blocks of docs(doc_id, text, train) and their questions about words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +187,9 @@ def _first(docs: DataFrame, places: int, discount: float) -> DataFrame:
                 for part in rows:
                     w.write_batch(part)
             words, symbols = np.unique(np.concatenate(parts), return_inverse=True)
-            size, none, zero = np.concatenate(sizes), np.zeros(0, np.int64), np.zeros(sum(map(len, sizes)))
-            made = _Block([np.array([0]), words, none, symbols.astype(np.int32), size, none, zero, zero, np.zeros(0, np.int32), np.zeros(0, np.float32), none, np.zeros(0, bool)], sink.getvalue().to_pybytes())
+            made = _Block([words, symbols.astype(np.int32), np.concatenate(sizes)], sink.getvalue().to_pybytes())
             made.load()
-            yield from made.batches(block, places, discount)
+            yield from made.batches(block, places, 1.0, 0.0)
 
         for b in batches:
             for at, end, data, off in _text.chunks(b.column(1)):
@@ -184,7 +201,7 @@ def _first(docs: DataFrame, places: int, discount: float) -> DataFrame:
                 inner = np.ones(len(seq), bool)
                 inner[head[:-1]] = inner[head[1:] - 1] = False
                 seq[head[:-1]], seq[head[1:] - 1] = START, END
-                seq[inner] = _text.word_hashes(low, starts, ends)
+                seq[inner] = _text.word_hashes(low, starts, ends) >> UNUSED
                 if rows and held + len(data) > BLOCK:
                     yield from out()
                     block, rows, parts, sizes, held = block + 1, [], [], [], 0
@@ -243,37 +260,43 @@ def _answers(questions: DataFrame, gain: float) -> DataFrame:
     return mapped(dealt, run, ANSWERS)
 
 
-def _steps(states: DataFrame, answers: DataFrame, places: int, total: int, distinct: int, deepest: int | None, discount: float) -> DataFrame:
-    """The blocks after the answers, and their next questions."""
+def _steps(rows: list[DataFrame], places: int, room: float, deepest: int | None, discount: float) -> DataFrame:
+    """The blocks after the answers, and their next questions. rows: texts, states (from the first level on) and answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts, sizes, left, name = None, [], [], [], None
+        fixed, state, counts, sizes, left, name = None, None, [], [], [], None
 
         def out() -> Iterator[pa.RecordBatch]:
+            block = _Block(*fixed, state)
             block.load()
             joined = [np.concatenate(x) if x else np.zeros(0) for x in (counts, sizes, left)]
             if block.level[0] == 0:
-                block.words_known(joined[0], total, distinct)
+                block.words_known(joined[0], room)
             else:
-                block.answered(*joined, deepest, discount)
-            yield from block.batches(name, places, discount)
+                block.answered(*joined, room, deepest, discount)
+            yield from block.batches(name, places, room, discount)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 here, place, blob, more = (batch.column(j)[i].as_py() for j in range(4))
-                if place < 0:
-                    if block is not None:
+                if place == -2:
+                    if fixed is not None:
                         yield from out()
-                    block, counts, sizes, left, name = _Block(unpacked(blob), more), [], [], [], here
+                    fixed, state, counts, sizes, left, name = (unpacked(blob), more), None, [], [], [], here
+                elif place == -1:
+                    state = unpacked(blob)
                 else:
                     counts.append(unpacked(blob)[0])
                     n, share = unpacked(more)
                     sizes.append(n)
                     left.append(share)
-        if block is not None:
+        if fixed is not None:
             yield from out()
 
-    both = states.select("block", "place", "blob", "more").unionByName(answers.select("block", "place", "blob", "more"))
+    both = None
+    for part in rows:
+        part = part.select("block", "place", "blob", "more")
+        both = part if both is None else both.unionByName(part)
     return mapped(both.repartition("block").sortWithinPartitions("block", "place"), run, ROWS)
 
 
@@ -289,29 +312,34 @@ def scored(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (training(F.col(id_col)) if train is None else train).alias("train"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = int(max(64, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PLACE))
-    table, total, distinct, level = written(_first(docs, places, discount), "level-0", "kind"), 0, 0, 0
+    blocks, total, room, level = written(_first(docs, places), "level-0", "kind"), 0, 1.0, 0
+    table, texts = blocks, blocks.filter(F.col("kind") == TEXTS)
     while True:
-        states = table.filter(F.col("kind") == STATE)
+        states = [table.filter(F.col("kind") == STATE)] if level else []
         answers = written(_answers(table.filter(F.col("kind") == QUESTION), gain), f"answers-{level}")
         if not level:
             size = answers.agg(F.sum("total").alias("n"), F.sum("names").alias("v")).first()
-            total, distinct = size.n or 0, size.v or 0
-        after = written(_steps(states, answers, places, total, distinct, deepest, discount), f"level-{level + 1}", "kind")
-        dropped(answers)
-        dropped(table)
+            total, room = size.n or 0, float((size.n or 0) + (size.v or 0) + 1)
+        after = written(_steps([texts, *states, answers], places, room, deepest, discount), f"level-{level + 1}", "kind")
+        dropped(docs.sparkSession, answers, table, keep=f"/kind={TEXTS}")
         table, level = after, level + 1
         if not (table.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0):
             break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = rows = None
         for batch in batches:
-            for blob, more in zip(batch.column(0), batch.column(1), strict=True):
-                block, rows = _Block(unpacked(blob.as_py()), more.as_py()), pa.ipc.open_stream(more.as_py()).read_all().combine_chunks()
-                cols = [rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks(), *map(pa.array, (block.size.astype(np.int64) - 1, block.known, block.base, block.score))]
+            for place, blob, more in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                if place.as_py() == -2:
+                    fixed, rows = unpacked(blob.as_py()), more.as_py()
+                    continue
+                block, told = _Block(fixed, rows, unpacked(blob.as_py())), pa.ipc.open_stream(rows).read_all().combine_chunks()
+                cols = [told.column("doc_id").combine_chunks(), told.column("train").combine_chunks(), *map(pa.array, (block.size.astype(np.int64) - 1, block.known, block.base, block.score))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
-    whole = mapped(table.filter(F.col("kind") == STATE).select("blob", "more"), run, schema)
+    last = texts.unionByName(table.filter(F.col("kind") == STATE)).select("block", "place", "blob", "more")
+    whole = mapped(last.repartition("block").sortWithinPartitions("block", "place"), run, schema)
     held_out = ~F.coalesce("train", F.lit(False))
     return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
