@@ -26,7 +26,7 @@ from . import _text
 from ._pack import packed, unpacked
 from ._util import documents, mapped
 
-BUCKETS, LONGEST, NONE = 8192, 64, 1 << 31
+BUCKETS, LONGEST, NONE = 8192, 64, (1 << 31) - 1
 BLOCK, PLACE, WINDOW = 6 << 20, 6 << 20, 1 << 20  # bytes of a block and, on average, of a place; characters looked at together
 #: With this pattern no word reaches back over a space, so a text whose spaces stand alone between other characters is
 #: the concatenation of its chunks, each led by its space; any other text or pattern is split as a whole.
@@ -118,42 +118,40 @@ class Irregular(Exception):
     """A chunk that touches other white space."""
 
 
-class Chunks(dict):
-    """The ids (bytes) of chunks of text, each led by `lead`, worked out at first sight from the ids of their words."""
-
-    def __init__(self, lead: str, words: dict[str, bytes], ranks: dict[bytes, int], split) -> None:
-        self.lead, self.words, self.ranks, self.split = lead, words, ranks, split
+class Seen(dict):
+    """Words of chunks of text, each led by `lead`, in the order in which the chunks were met."""
 
-    def whole(self, text: str) -> bytes:
-        out = []
-        for w in self.split(text):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.words[w] = array("I", fold_word(w.encode(), self.ranks)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+    def __init__(self, lead: str, words: dict[str, None], split) -> None:
+        self.lead, self.words, self.split = lead, words, split
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> list[str]:
         if chunk[:1].isspace() or chunk[-1:].isspace() or not chunk:
             if self.lead or chunk:
                 raise Irregular
-        ids = self[chunk] = self.whole(self.lead + chunk)
-        return ids
+        found = self[chunk] = self.split(self.lead + chunk)
+        self.words.update(dict.fromkeys(found))
+        return found
 
 
-class Seen(set):
-    """Chunks whose words are gathered."""
+class Chunks(dict):
+    """(ids, decoded bytes) of chunks of text, worked out at first sight from the ids of their words."""
 
-    def __init__(self, lead: str, words: set[str], split) -> None:
-        self.lead, self.words, self.split = lead, words, split
+    def __init__(self, seen: Seen, ids: dict[str, bytes], ranks: dict[bytes, int], pieces: list[bytes]) -> None:
+        self.seen, self.ids, self.ranks, self.pieces = seen, ids, ranks, pieces
+
+    def whole(self, words: list[str]) -> tuple[bytes, bytes]:
+        out = []
+        for w in words:
+            ids = self.ids.get(w)
+            if ids is None:
+                ids = self.ids[w] = array("I", fold_word(w.encode(), self.ranks)).tobytes()
+            out.append(ids)
+        ids = b"".join(out)
+        return ids, b"".join(map(self.pieces.__getitem__, array("I", ids)))
 
-    def meet(self, chunks: set[str]) -> None:
-        for chunk in chunks - self:
-            if chunk[:1].isspace() or chunk[-1:].isspace() or not chunk:
-                if self.lead or chunk:
-                    raise Irregular
-            self.words.update(self.split(self.lead + chunk))
-            self.add(chunk)
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        found = self[chunk] = self.whole(self.seen[chunk])
+        return found
 
 
 def _stretches(text: str, apart: bool) -> Iterator[str]:
@@ -172,25 +170,34 @@ def _stretches(text: str, apart: bool) -> Iterator[str]:
         at = end
 
 
-def _words(texts: list[str], split, apart: bool, places: int) -> tuple[list[str], np.ndarray]:
-    """The distinct words of LONGEST bytes at most, ordered by place and word, and where each place begins."""
-    words: set[str] = set()
-    starts, spaced = Seen("", words, split), Seen(" ", words, split)
-    for text in texts:
-        for part in _stretches(text, apart):
-            if apart:
-                first, *rest = part.split(" ") if part[0] != " " else part[1:].split(" ")
-                try:
-                    (spaced if part[0] == " " else starts).meet({first})
-                    spaced.meet(set(rest))
-                    continue
-                except Irregular:
-                    pass
-            words.update(split(part))
-    listed = sorted(w for w in words if len(w) <= LONGEST and len(w.encode()) <= LONGEST)
-    place = np.fromiter((zlib.crc32(w.encode()) % places for w in listed), np.int64, len(listed))
-    order = np.argsort(place, kind="stable")
-    return [listed[i] for i in order.tolist()], np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))])
+class Words:
+    """The distinct words of texts, of LONGEST bytes at most, ordered by place and then as they were met."""
+
+    def __init__(self, texts: list[str], split, apart: bool, places: int) -> None:
+        words: dict[str, None] = {}
+        self.starts, self.spaced = Seen("", words, split), Seen(" ", words, split)
+        for text in texts:
+            for part in _stretches(text, apart):
+                if apart:
+                    lead, first, rest = _split(part, self.starts, self.spaced)
+                    try:
+                        lead[first]
+                        for chunk in rest:
+                            self.spaced[chunk]
+                        continue
+                    except Irregular:
+                        pass
+                words.update(dict.fromkeys(split(part)))
+        listed = [w for w in words if len(w) <= LONGEST and len(w.encode()) <= LONGEST]
+        place = np.fromiter((zlib.crc32(w.encode()) % places for w in listed), np.int64, len(listed))
+        self.listed = [listed[i] for i in np.argsort(place, kind="stable").tolist()]
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))])
+
+
+def _split(part: str, starts: dict, spaced: dict) -> tuple[dict, str, list[str]]:
+    """Where to look the first chunk of a stretch up, that chunk, and the chunks that a space leads."""
+    first, *rest = part[1:].split(" ") if part[0] == " " else part.split(" ")
+    return (spaced if part[0] == " " else starts), first, rest
 
 
 def _blocks(docs: DataFrame, made, schema: str) -> DataFrame:
@@ -223,7 +230,8 @@ def _asked(docs: DataFrame, pattern: str, places: int) -> DataFrame:
     def made(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         import regex
 
-        words, cuts = _words(_texts(rows), regex.compile(pattern).findall, pattern == WORDS_APART, places)
+        met = Words(_texts(rows), regex.compile(pattern).findall, pattern == WORDS_APART, places)
+        words, cuts = met.listed, met.cuts
         some = np.flatnonzero(np.diff(cuts)).tolist()
         for i in range(0, len(some), 256):
             part = [[w.encode() for w in words[cuts[p] : cuts[p + 1]]] for p in some[i : i + 256]]
@@ -244,7 +252,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size, body = unpacked(blob)
             ends, raw = np.cumsum(size.astype(np.int64)).tolist(), body.tobytes()
             asked.append((block, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], zlib.crc32(raw)))
-        words = sorted(set().union(*(x for _, x, _ in asked)))
+        words = list(dict.fromkeys(w for _, x, _ in asked for w in x))
         index = {w: i for i, w in enumerate(words)}
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
@@ -300,16 +308,18 @@ def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, places: int
     return mapped(folded, _told, "block long, place long, blob binary, check long")
 
 
-def _all_ids(text: str, apart: bool, starts: Chunks, spaced: Chunks) -> Iterator[bytes]:
+def _all_ids(text: str, apart: bool, split, starts: Chunks, spaced: Chunks) -> Iterator[tuple[bytes, bytes]]:
+    """Ids and decoded bytes of each stretch of the text."""
     for part in _stretches(text, apart):
         if apart:
-            first, *rest = part.split(" ") if part[0] != " " else part[1:].split(" ")
+            lead, first, rest = _split(part, starts, spaced)
             try:
-                yield b"".join([(spaced if part[0] == " " else starts)[first], *map(spaced.__getitem__, rest)])
+                both = [lead[first], *map(spaced.__getitem__, rest)]
+                yield b"".join([x for x, _ in both]), b"".join([y for _, y in both])
                 continue
             except Irregular:
                 pass
-        yield starts.whole(part)
+        yield starts.whole(split(part))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -334,7 +344,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
         import regex
 
         split, texts, known = regex.compile(pattern).findall, _texts(rows), {}
-        words, cuts = _words(texts, split, apart, places)
+        met = Words(texts, split, apart, places)
+        words, cuts = met.listed, met.cuts
         if [p for p, _, _ in answers] != np.flatnonzero(np.diff(cuts)).tolist():
             raise ValueError("the table changed between two reads")
         for place, blob, check in answers:
@@ -344,13 +355,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
             n, ids = unpacked(blob)
             ends, raw = (np.cumsum(n.astype(np.int64)) * 4).tolist(), ids.astype("<u4").tobytes()
             known.update(zip(own, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        starts, spaced = Chunks("", known, sent.value, split), Chunks(" ", known, sent.value, split)
+        starts, spaced = (Chunks(seen, known, sent.value, pieces) for seen in (met.starts, met.spaced))
         for at in range(0, len(texts), 64):
             out = []
             for text in texts[at : at + 64]:
                 one, two, n, size, whole = hashlib.sha256(), hashlib.sha256(), 0, 0, []
-                for ids in _all_ids(text, apart, starts, spaced):
-                    back = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                for ids, back in _all_ids(text, apart, split, starts, spaced):
                     one.update(ids)
                     two.update(back)
                     n, size = n + len(ids) // 4, size + len(back)
