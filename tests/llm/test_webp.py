@@ -213,18 +213,65 @@ def test_palette(size):
     assert (got == as_pixels(colours[index.reshape(-1)], w, h)).all()
 
 
+def texts_like(seed, n):
+    r = random.Random(seed)
+    words = ["the", "and", "of", "in", "ation", "pre", "ing", "\n", "é", "日本"]
+    return " ".join("".join(r.choice(words) for _ in range(r.randrange(1, 4))) for _ in range(n)).encode()
+
+
 def test_round_trip_of_payloads():
+    """Every chain of transforms over many kinds of bytes; together the files use every tool."""
     r = random.Random(1)
-    for n in (1, 3, 40):
-        for k in (1, 2, 3, 40, 256):
-            payload = bytes(r.randrange(k) for _ in range(64 * n))
-            assert webp.decode(webp.stored(payload))[2].tobytes() == payload
-    big = b"ab" * (1 << 20)
-    assert webp.decode(webp.stored(big))[2].tobytes()[: len(big)] == big
+    seen = set()
+    payloads = [bytes(r.randrange(k) for _ in range(64 * n)) for n in (1, 3, 40) for k in (1, 2, 3, 40, 256)]
+    payloads += [texts_like(seed, n) for seed in range(3) for n in (5, 60, 700)] + [texts_like(9, 300) * 5, b"| | |\n" * 900, b"ab" * (1 << 20), texts_like(7, 90_000)]
+    for raw in payloads:
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        width = 16
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, width, 4)
+        file, tools = webp.stored(payload)
+        assert webp.decode(file)[2].tobytes()[: len(payload)] == payload
+        seen.update(tools)
+        if len(payload) < 60_000:
+            for chain in (*webp.CHAINS, (), (webp.CROSS,), (webp.PREDICTOR,), (webp.GREEN,)):
+                file, tools = webp.encode(pixels, chain)
+                assert webp.decode(file)[2].tobytes() == payload
+                seen.update(tools)
+    assert seen == {"palette", "predictor1", "predictor2", "cross", "green", "copies", "cache", "plain"}
     with pytest.raises(ValueError):
         webp.decode(b"RIFF0000WEBPVP8 " + bytes(20))
 
 
+def test_fast_and_general_transforms_agree():
+    """Running sums against the pixel-by-pixel predictor, and one tile against many."""
+    r = np.random.default_rng(2)
+    for w, h in ((16, 40), (5, 9), (1, 7), (600, 3)):
+        p = r.integers(0, 1 << 32, w * h, np.uint32)
+        for mode in (1, 2):
+            tiles = np.full(-(-w >> 2) * -(-h >> 2), mode << 8, np.uint32)
+            slow = tiles.copy()
+            if len(slow) > 1:
+                slow[-1] = 0  # the last tile has another mode, so all goes pixel by pixel
+                got, want = webp._undo_predictor(p, w, h, 2, slow), webp._undo_predictor(p, w, h, 2, tiles)
+                y = (h - 1) >> 2 << 2
+                assert (got[: y * w] == want[: y * w]).all()
+        one = np.array([0xFF000000 | 0x00F3117F], np.uint32)
+        if w <= 16 and h <= 16:
+            assert (webp._undo_cross(p, w, h, 4, one) == webp._undo_cross(p, w, h, 2, np.repeat(one, -(-w >> 2) * -(-h >> 2)))).all()
+
+
+def test_codes_are_complete():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3, 17, 256, 344):
+        for _ in range(20):
+            counts = np.zeros(400, np.int64)
+            counts[r.choice(400, n, replace=False)] = np.floor(np.exp(r.uniform(0, 12, n)))
+            lengths = webp.code_lengths(counts)
+            assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= 10
+            if n > 1:
+                assert (1 << (10 - lengths[lengths > 0])).sum() == 1024
+
+
 def test_media_rows(spark):
     import hashlib
     import zlib
