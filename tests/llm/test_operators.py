@@ -263,28 +263,50 @@ def test_suffix_tree_scores_held_out_rows_above_the_base(spark):
     assert got.s > got.b
 
 
+CALLS = "conv_id long, turn long, call_id string, needs array<string>, name string, arguments string"
+RESULTS = "conv_id long, turn long, call_id string, content string"
+
+
 def test_tool_linking(spark):
-    schema = {"add": {"a": {"type": "integer", "required": True, "minimum": 0}, "b": {"type": "number", "maximum": 5}, "s": {"type": "string", "minLength": 2, "maxLength": 3}}}
+    schema = {"add": {"a": {"type": "integer", "required": True, "minimum": 0}, "b": {"type": "number", "maximum": 5}, "s": {"type": "string", "minLength": 2, "maxLength": 3}, "t": {"type": "boolean"}}}
     calls = [
-        (1, 0, "c1", None, "add", {"b": "1.5", "a": "3"}), (1, 4, "c3", "c2", "add", {"a": "-1", "s": "x"}), (1, 2, "c2", "c1", "add", {"b": "9"}), (1, 6, "c4", "gone", "sub", {}),
-        (2, 0, "x", "y", "add", {"a": "z", "q": "1"}), (2, 2, "y", "x", "add", {"a": "1"}), (2, 2, "y", "x", "add", {"a": "1"}), (2, 4, None, None, "add", {"a": "1"}), (None, None, "n", None, None, None),
+        (1, 0, "c1", None, "add", '{"b": 1.5,  "a": 3, "t": true}'), (1, 4, "c3", ["c2", "c1", "c2"], "add", '{"a": -1, "s": "x"}'), (1, 2, "c2", ["c1"], "add", '{"b": 9}'), (1, 6, "c4", ["gone", None], "sub", "{}"),
+        (2, 0, "x", ["y"], "add", '{"a": "1", "q": {"z": [1, null], "b": "é"}}'), (2, 2, "y", ["x"], "add", '{"a": 1}'), (2, 2, "y", ["x"], "add", '{"a": 1}'), (2, 3, "z", ["y", "w"], "add", '{"a": 1}'), (2, 4, "w", [], "add", "not json"),
+        (2, 4, None, None, "add", '{"a": 1}'), (3, 0, "c1", None, "add", '{"a": 7}'), (None, None, "c1", None, None, None),
     ]
-    results = [(1, 1, "c1", "4"), (1, 9, "c1", "late"), (3, 1, "lost", None), (3, 2, None, "z")]
-    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, needs string, name string, arguments map<string,string>")
-    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
-    got = {x.call_id: x for x in chat.linked(c, r, schema).collect()}
-    assert set(got) == {"c1", "c2", "c3", "c4", "x", "y", "n", "lost"}
-    assert [(got[k].depth, got[k].position) for k in ("c1", "c4", "c2", "c3")] == [(0, 0), (0, 1), (1, 2), (2, 3)]
-    assert got["x"].depth is None and got["y"].depth is None and got["y"].n_calls == 2
-    assert {k: got[k].errors for k in ("c1", "c2", "c3", "c4", "x", "lost")} == {"c1": "", "c2": "a:required,b:maximum", "c3": "a:minimum,s:minLength", "c4": "unknown_tool", "x": "a:type,q:unexpected", "lost": "unknown_call"}
-    assert got["c1"].json == '{"arguments":{"a":"3","b":"1.5"},"call_id":"c1","errors":[],"name":"add","result":{"content":"4","turn":1}}' and got["c1"].n_results == 2
-    assert (got["c1"].status, got["c2"].status, got["lost"].status) == ("linked", "pending", "orphan")
+    results = [(1, 1, "c1", "4"), (1, 9, "c1", "late"), (3, 1, "c1", "seven"), (3, 1, "lost", None), (3, 2, None, "z"), (None, 5, "c1", "none")]
+    c, r = spark.createDataFrame(calls, CALLS).withColumn("json", F.lit(1)), spark.createDataFrame(results, RESULTS)
+    got = {(x.conv_id, x.call_id): x for x in chat.linked(c, r, schema).collect()}
+    assert set(got) == {(1, "c1"), (1, "c2"), (1, "c3"), (1, "c4"), (2, "x"), (2, "y"), (2, "z"), (2, "w"), (3, "c1"), (3, "lost"), (None, "c1")}
+    assert [(got[1, k].depth, got[1, k].position) for k in ("c1", "c4", "c2", "c3")] == [(0, 0), (0, 1), (1, 2), (2, 3)]
+    assert [got[2, k].depth for k in "xyzw"] == [None, None, None, 0] and got[2, "y"].n_calls == 2
+    errors = {k: x.errors for k, x in got.items()}
+    assert [errors[1, k] for k in ("c1", "c2", "c3", "c4")] == ["", "a:required,b:maximum", "a:minimum,s:minLength", "unknown_tool"]
+    assert errors[2, "x"] == "a:type,q:unexpected" and errors[2, "w"] == "a:required,arguments:json" and errors[3, "lost"] == "unknown_call"
+    assert got[1, "c1"].json == '{"arguments":{"a":3,"b":1.5,"t":true},"call_id":"c1","errors":[],"name":"add","result":{"content":"4","turn":1}}' and got[1, "c1"].n_results == 2
+    assert '"arguments":{"a":"1","q":{"b":"é","z":[1,null]}}' in got[2, "x"].json
+    assert got[3, "c1"].status == got[None, "c1"].status == "linked" and '"content":"seven"' in got[3, "c1"].json and '"content":"none"' in got[None, "c1"].json
+    assert (got[1, "c2"].status, got[3, "lost"].status) == ("pending", "orphan")
     assert chat.linked(c.limit(0), r.limit(0), schema).count() == 0
 
 
+def test_order_of_calls_against_brute_force(spark):
+    """Several needs, chains between them, cycles, and the same ids in several conversations."""
+    r = random.Random(4)
+    needs = {(v, i): sorted({r.randrange(60) if r.random() < 0.03 else max(0, i - r.randrange(1, 6)) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))}) for v in (1, 2) for i in range(50)}
+    rows = [(v, i, f"c{i}", [f"c{u}" for u in up], "add", "{}") for (v, i), up in needs.items()]
+    c = spark.createDataFrame(rows, CALLS)
+    got = {(x.conv_id, int(x.call_id[1:])): x.depth for x in chat.linked(c, spark.createDataFrame([], RESULTS), {}).collect()}
+    known = {}
+    for _ in needs:
+        for (v, i), up in needs.items():
+            real = [(v, u) for u in up if (v, u) in needs]
+            if all(u in known for u in real):
+                known[v, i] = max((known[u] + 1 for u in real), default=0)
+    assert got == {k: known.get(k) for k in needs} and max(known.values()) > 4 and len(known) < len(needs)
+
+
 def test_long_chain_of_calls(spark):
-    rows = [(1, i, f"c{i:04d}", f"c{i - 1:04d}" if i else None, "add", {"a": "1"}) for i in range(1500)]
-    c = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, needs string, name string, arguments map<string,string>")
-    r = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
-    got = chat.linked(c, r, {"add": {"a": {"type": "integer"}}}).select("turn", "depth", "position").collect()
-    assert all(x.turn == x.depth == x.position for x in got) and len(got) == 1500
+    rows = [(1, i, f"c{i:04d}", [f"c{i - 1:04d}"] if i else None, "add", '{"a": 1}') for i in range(1500)]
+    got = chat.linked(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), {"add": {"a": {"type": "integer"}}}).select("turn", "depth", "position", "errors").collect()
+    assert all(x.turn == x.depth == x.position and not x.errors for x in got) and len(got) == 1500
