@@ -34,16 +34,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *tables: DataFrame, keep: str = "/") -> None:
-    """Delete written tables that later ones have replaced, but for their folder `keep`, and hint that shuffle files of ended jobs can go, which else
-    stay until the driver happens to collect its garbage."""
+def dropped(spark: SparkSession, *tables: DataFrame, only: str = "") -> None:
+    """Delete written tables, or their folder `only`, that later ones have replaced, and hint that shuffle files of ended
+    jobs can go, which else stay until the driver happens to collect its garbage."""
     shared = shared_dir(spark)
     for folder in {f.split("/part-")[0] for table in tables for f in table.inputFiles()}:
-        if folder.endswith(keep):
-            continue
         place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.makeQualified(place).toString().startswith(fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared)).toString()):
+        root = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared)).toString()
+        if folder.endswith(only) and fs.makeQualified(place).toString().startswith(root):
             fs.delete(place, True)
     gc.collect()
     spark._jvm.System.gc()

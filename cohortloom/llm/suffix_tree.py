@@ -49,7 +49,8 @@ class _Block:
     """One block's symbols, which stay the same, and what is known of them so far."""
 
     def __init__(self, fixed: list[np.ndarray], rows: bytes, state: list[np.ndarray] | None = None) -> None:
-        self.words, self.symbols, self.size = fixed
+        words, self.symbols, self.size = fixed
+        self.words = np.cumsum(words, dtype=np.uint64)  # fingerprints at first, then names
         self.rows = rows
         if state is None:
             none, zero = np.zeros(0, np.int64), np.zeros(len(self.size))
@@ -66,7 +67,7 @@ class _Block:
         self.mixed = _text.mix(self.words, 9)[self.symbols]
 
     def fixed(self) -> bytes:
-        return packed(self.words, self.symbols, self.size)
+        return packed(np.diff(self.words, prepend=np.uint64(0)), self.symbols, self.size)
 
     def state(self) -> bytes:
         return packed(self.level, self.count, self.known, self.base, self.score, np.diff(self.at, prepend=np.int32(0)), self.p, self.c.astype(np.int32), self.asked)
@@ -82,9 +83,11 @@ class _Block:
         """These positions have their last probability."""
         self.score = self.score + np.bincount(self.row[at], np.log10(p), len(self.size))
 
-    def words_known(self, counts: np.ndarray, room: float) -> None:
-        """Base scores from the counts of words; which positions have a context that may stay."""
-        self.count = counts.astype(np.int64)
+    def words_known(self, counts: np.ndarray, names: np.ndarray, room: float) -> None:
+        """Base scores from the counts of words, whose names now stand for their fingerprints; which positions have a context
+        that may stay."""
+        self.count, self.words = counts.astype(np.int64), names
+        self.mixed = _text.mix(names, 9)[self.symbols]
         at = np.flatnonzero(self.place > 0)
         c = self.count[self.symbols[at]]
         p = (c + 1) / room
@@ -167,9 +170,9 @@ class _Block:
         if held:
             yield out()
         lone = lambda kind, place, n, blob, more: [pa.array([kind], pa.int8()), pa.array([block]), pa.array([place]), pa.array([n]), pa.array([blob], pa.binary()), pa.array([more], pa.binary())]
-        if self.level[0] == 0:
+        if self.level[0] <= 1:
             yield pa.RecordBatch.from_arrays(lone(TEXTS, -2, 0, self.fixed(), self.rows), names=names)
-        else:
+        if self.level[0]:
             yield pa.RecordBatch.from_arrays(lone(STATE, -1, len(self.at), self.state(), None), names=names)
 
 
@@ -187,7 +190,7 @@ def _first(docs: DataFrame, places: int) -> DataFrame:
                 for part in rows:
                     w.write_batch(part)
             words, symbols = np.unique(np.concatenate(parts), return_inverse=True)
-            made = _Block([words, symbols.astype(np.int32), np.concatenate(sizes)], sink.getvalue().to_pybytes())
+            made = _Block([np.diff(words, prepend=np.uint64(0)), symbols.astype(np.int32), np.concatenate(sizes)], sink.getvalue().to_pybytes())
             made.load()
             yield from made.batches(block, places, 1.0, 0.0)
 
@@ -218,9 +221,10 @@ def _first(docs: DataFrame, places: int) -> DataFrame:
 ANSWERS = "block long, place long, n long, blob binary, more binary, total long, names long, kept long"
 
 
-def _answers(questions: DataFrame, gain: float) -> DataFrame:
-    """Each place's sums: for every question the n-grams' counts (0 for a single one) and each context's size and the share
-    left to the shorter context, -1 if it does not stay. total and names: the place's symbols and distinct ones, at the
+def _answers(questions: DataFrame, gain: float, first: bool) -> DataFrame:
+    """Each place's sums: for every question the n-grams' counts and each context's size and the share left to the shorter
+    context, -1 if it does not stay. At the first level words get names in the order of their fingerprints; one that occurs
+    once is in no n-gram that counts and shares its neighbour's. total and names: the place's symbols and distinct ones, at the
     first level; kept: the contexts that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +236,7 @@ def _answers(questions: DataFrame, gain: float) -> DataFrame:
             c = np.bincount(where, np.concatenate([g[1] for g in grams]), len(keys)).astype(np.int64)
             own = keys != START
             stats = [int(c[own].sum()), int((c[own] > 0).sum())]
-            counts = c[where]
+            counts, rank = c[where], (np.maximum(np.cumsum(c >= 2) - 1, 0) + (now << 32)).astype(np.uint64)[where]
             names, of = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in contexts]), return_inverse=True)
             n, seen, mass, gained = (np.bincount(of, np.concatenate([x[i] for x in contexts]), len(names)) for i in range(1, 5))
             left = 1 - mass / np.maximum(n, 1)
@@ -242,7 +246,8 @@ def _answers(questions: DataFrame, gain: float) -> DataFrame:
             n, a, b = n.astype(np.int64)[of], 0, 0
             for i, (block, size, _, _) in enumerate(held):
                 g, x = len(grams[i][0]), len(contexts[i][0])
-                cols = [block, now, size, packed(counts[a : a + g]), packed(n[b : b + x], left[b : b + x]), *([0, 0, 0] if i else [*stats, int(stay.sum())])]
+                told = packed(counts[a : a + g], rank[a : a + g]) if first else packed(counts[a : a + g])
+                cols = [block, now, size, told, packed(n[b : b + x], left[b : b + x]), *([0, 0, 0] if i else [*stats, int(stay.sum())])]
                 a, b = a + g, b + x
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in cols], names=["block", "place", "n", "blob", "more", "total", "names", "kept"])
 
@@ -264,14 +269,14 @@ def _steps(rows: list[DataFrame], places: int, room: float, deepest: int | None,
     """The blocks after the answers, and their next questions. rows: texts, states (from the first level on) and answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed, state, counts, sizes, left, name = None, None, [], [], [], None
+        fixed, state, counts, words, sizes, left, name = None, None, [], [], [], [], None
 
         def out() -> Iterator[pa.RecordBatch]:
             block = _Block(*fixed, state)
             block.load()
             joined = [np.concatenate(x) if x else np.zeros(0) for x in (counts, sizes, left)]
             if block.level[0] == 0:
-                block.words_known(joined[0], room)
+                block.words_known(joined[0], np.concatenate(words), room)
             else:
                 block.answered(*joined, room, deepest, discount)
             yield from block.batches(name, places, room, discount)
@@ -282,11 +287,13 @@ def _steps(rows: list[DataFrame], places: int, room: float, deepest: int | None,
                 if place == -2:
                     if fixed is not None:
                         yield from out()
-                    fixed, state, counts, sizes, left, name = (unpacked(blob), more), None, [], [], [], here
+                    fixed, state, counts, words, sizes, left, name = (unpacked(blob), more), None, [], [], [], [], here
                 elif place == -1:
                     state = unpacked(blob)
                 else:
-                    counts.append(unpacked(blob)[0])
+                    told = unpacked(blob)
+                    counts.append(told[0])
+                    words += told[1:]
                     n, share = unpacked(more)
                     sizes.append(n)
                     left.append(share)
@@ -312,18 +319,24 @@ def scored(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (training(F.col(id_col)) if train is None else train).alias("train"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = int(max(64, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PLACE))
-    blocks, total, room, level = written(_first(docs, places), "level-0", "kind"), 0, 1.0, 0
-    table, texts = blocks, blocks.filter(F.col("kind") == TEXTS)
+    spark, kind_of = docs.sparkSession, lambda table, kind: table.filter(F.col("kind") == kind)
+    table, total, room, level, texts = written(_first(docs, places), "level-0", "kind"), 0, 1.0, 0, None
     while True:
-        states = [table.filter(F.col("kind") == STATE)] if level else []
-        answers = written(_answers(table.filter(F.col("kind") == QUESTION), gain), f"answers-{level}")
+        if level < 2:  # texts stay as they are once words have names
+            before, texts = texts, kind_of(table, TEXTS)
+            dropped(spark, *([before] if level else []))
+        states = [kind_of(table, STATE)] if level else []
+        answers = written(_answers(kind_of(table, QUESTION), gain, not level), f"answers-{level}")
+        dropped(spark, table, only=f"/kind={QUESTION}")
         if not level:
             size = answers.agg(F.sum("total").alias("n"), F.sum("names").alias("v")).first()
             total, room = size.n or 0, float((size.n or 0) + (size.v or 0) + 1)
         after = written(_steps([texts, *states, answers], places, room, deepest, discount), f"level-{level + 1}", "kind")
-        dropped(docs.sparkSession, answers, table, keep=f"/kind={TEXTS}")
+        dropped(spark, answers)
+        dropped(spark, table, only=f"/kind={STATE}")
         table, level = after, level + 1
-        if not (table.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0):
+        if not (kind_of(table, STATE).agg(F.sum("n")).first()[0] or 0):
+            texts = kind_of(table, TEXTS) if level == 1 else texts
             break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +351,7 @@ def scored(
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
-    last = texts.unionByName(table.filter(F.col("kind") == STATE)).select("block", "place", "blob", "more")
+    last = texts.unionByName(kind_of(table, STATE)).select("block", "place", "blob", "more")
     whole = mapped(last.repartition("block").sortWithinPartitions("block", "place"), run, schema)
     held_out = ~F.coalesce("train", F.lit(False))
     return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
