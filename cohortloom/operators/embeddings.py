@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .features import vector_means
+from .ranks import hash_bucket, ranked
 
 
 def levels(df: DataFrame) -> dict[str, DataFrame]:
@@ -63,24 +65,33 @@ def whitened(df: DataFrame, subject: str, ids: list[str], vector: str = "embeddi
     n, s = moments(df, [], vector).first()
     _, pooled = _covariance(n, np.array(s))
     colour = _power(pooled, 0.5, ridge)
-    own = moments(df, [subject], vector)
+    own = moments(df, [subject], vector).select(F.col(subject).alias("_s"), "n", "s")
+    cols = [subject, *ids, vector]
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in (subject, *ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
+        mean = w = None
         for b in batches:
-            out = []
-            for who, n, s, x in zip(b[subject], b["n"], b["s"], b[vector], strict=True):
-                if who not in kept:
-                    if len(kept) > 64:
-                        kept.clear()
-                    mean, cov = _covariance(n, np.asarray(s))
-                    kept[who] = (mean, _power(cov, -0.5, ridge) @ colour)
-                mean, w = kept[who]
-                out.append(((np.asarray(x, float) - mean) @ w).tolist())
-            yield b[[subject, *ids]].assign(**{vector: out})
+            told = b["s"].notna().to_numpy()
+            group = np.cumsum(told)
+            for g in np.unique(group):  # a subject's sums stand before its rows
+                part, here = b[group == g], told[group == g]
+                if here[0]:
+                    mean, cov = _covariance(part["n"].iloc[0], np.asarray(part["s"].iloc[0]))
+                    w = _power(cov, -0.5, ridge) @ colour
+                    part = part[1:]
+                if len(part):
+                    yield part[[subject, *ids]].assign(**{vector: list((np.stack(part[vector].to_numpy()).astype(float) - mean) @ w)})
+
+    # Each subject's rows meet its sums once, in PARTS places, so that no subject is a task of its own.
+    rows = df.filter(F.col(vector).isNotNull()).select(*cols).withColumn("_part", F.pmod(F.xxhash64(*ids), F.lit(PARTS)))
+    sums = own.select(F.col("_s").alias(subject), "n", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part"))
+    both = rows.withColumn("_row", F.lit(1)).unionByName(sums.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    dealt = both.repartition(subject, "_part").sortWithinPartitions(subject, "_part", "_row")
+    return dealt.select(*cols, "n", "s").mapInPandas(run, f"{kinds}, {vector} array<double>")
+
 
-    return df.join(own, subject).select(subject, *ids, vector, "n", "s").repartition(subject, *ids).sortWithinPartitions(subject).mapInPandas(run, f"{kinds}, {vector} array<double>")
+PARTS = 8
 
 
 def erased(df: DataFrame, subject: str, ids: list[str], vector: str = "embedding", ridge: float = 1e-6) -> DataFrame:
@@ -171,26 +182,33 @@ def variance_parts(df: DataFrame, groups: list[str], subject: str, vector: str =
     return d.groupBy(*groups).agg(total.alias("total_variance"), between.alias("between_variance"), (between / total).alias("eta2"))
 
 
+SLOT = 1024
+
+
 def excess_eta2(df: DataFrame, subject: str, ids: list[str], vector: str = "embedding", shuffles: int = 5, seed: int = 0) -> DataFrame:
     """Observed eta2, mean eta2 of seeded label shuffles, and their difference. Replicates are rows of one plan.
 
     A shuffle deals the subjects' row counts out anew: rows in hash order take the labels in their order.
     """
     rep = df.select(*ids, subject, vector).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
-    h = F.xxhash64(*ids, "rep", F.lit(seed))
-    rows = rep.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(h, *ids)))
-    labels = rep.select("rep", F.col(subject).alias("_label"), *[F.col(i).alias(f"_{i}") for i in ids]).withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("_label", *[f"_{i}" for i in ids])))
-    dealt = rows.join(labels.select("rep", "_r", "_label"), ["rep", "_r"])
+    h = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ids], F.col("rep").cast("string"), F.lit(str(seed))))
+    rows = ranked(rep.withColumn("_h", h), ["rep"], hash_bucket(F.col("_h")), [F.col("_h"), *[F.col(c) for c in ids]], "_at")
+    # The label that row number n gets: labels in order, each as often as it occurs.
+    sizes = df.groupBy(F.col(subject).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.sum("_n").over(Window.orderBy(F.col("_label").asc_nulls_first()))  # one row for each label
+    spans = sizes.select("_label", (last - F.col("_n")).alias("_from"), last.alias("_to"))
+    slots = spans.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_from") / SLOT), F.floor((F.col("_to") - 1) / SLOT))))
+    dealt = rows.withColumn("_slot", F.floor(F.col("_at") / SLOT)).join(slots, "_slot").filter("_at >= _from and _at < _to")
     null = variance_parts(dealt.select("rep", "_label", vector), ["rep"], "_label", vector).agg(F.avg("eta2").alias("null_eta2"))
     seen = variance_parts(df.select(subject, vector), [], subject, vector).select("eta2", "total_variance")
     return seen.crossJoin(null).withColumn("excess_eta2", F.col("eta2") - F.col("null_eta2"))
 
 
 def participation_ratio(df: DataFrame, vector: str = "embedding") -> float:
-    """(sum of eigenvalues)^2 / sum of their squares of the covariance."""
+    """(sum of eigenvalues)^2 / sum of their squares of the covariance: squared trace by squared Frobenius norm."""
     n, s = moments(df, [], vector).first()
-    v = np.linalg.eigvalsh(_covariance(n, np.array(s))[1])
-    return float(v.sum() ** 2 / (v**2).sum())
+    c = _covariance(n, np.array(s))[1]
+    return float(np.trace(c) ** 2 / (c**2).sum())
 
 
 def skipped(tasks: DataFrame, transform: str, reason: str) -> DataFrame:
@@ -206,18 +224,31 @@ def selected_diagnostics(df: DataFrame, cohort: str, population: str) -> DataFra
     return df.filter((F.col("cohort_name") == cohort) & (F.col("population") == population) & ~F.col("model_key").contains("_align-"))
 
 
-def neighbour_retention(df: DataFrame, id_col: str, high: str, low: str, k: int, sample: int) -> DataFrame:
-    """Trustworthiness and continuity of `low` against `high` over the `sample` rows of least hash (a sampling operator).
+def neighbour_retention(df: DataFrame, id_col: str, high: str, low: str, k: int, queries: Column) -> DataFrame:
+    """Trustworthiness and continuity of `low` against `high`: the rows for which `queries` holds against all rows.
 
-    The pairs are those of the sample against itself, a stated query set of bounded size.
+    Distances stream by; only each query's k nearest in either space are kept, and then the rows nearer than those are
+    counted. Ties go to the smaller id.
     """
-    s = df.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("i"), F.col(high).alias("h"), F.col(low).alias("l"))
-    o = s.select(F.col("i").alias("j"), F.col("h").alias("h2"), F.col("l").alias("l2"))
-    dist = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x - y, 2)), F.lit(0.0).cast("double"), lambda t, x: t + x)
-    pairs = s.join(F.broadcast(o), F.col("i") != F.col("j")).select("i", "j", dist("h", "h2").alias("dh"), dist("l", "l2").alias("dl"))
-    r = pairs.withColumn("rh", F.row_number().over(Window.partitionBy("i").orderBy("dh", "j"))).withColumn("rl", F.row_number().over(Window.partitionBy("i").orderBy("dl", "j")))
-    n = r.agg(F.countDistinct("i").alias("n"), F.sum(F.when((F.col("rl") <= k) & (F.col("rh") > k), F.col("rh") - k)).alias("t"), F.sum(F.when((F.col("rh") <= k) & (F.col("rl") > k), F.col("rl") - k)).alias("c"))
-    scale = F.lit(2.0) / (F.col("n") * k * (2 * F.col("n") - 3 * k - 1))
+    rows = df.select(F.col(id_col).alias("i"), F.col(high).alias("h"), F.col(low).alias("l"), queries.alias("q"))
+    asked = scratch(rows.filter("q").drop("q"), "queries")
+    others = rows.select(F.col("i").alias("j"), F.col("h").alias("h2"), F.col("l").alias("l2"))
+    dist = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda t, x: t + x)
+    pairs = others.join(F.broadcast(asked), F.col("i") != F.col("j")).select("i", "j", dist("h", "h2").alias("dh"), dist("l", "l2").alias("dl"))
+
+    def nearest(by: str) -> DataFrame:
+        return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(by, "j"))).filter(F.col("_r") <= k)
+
+    def excess(near: str, far: str, name: str) -> DataFrame:
+        """Sum over near's nearest of how far beyond k they rank by `far`."""
+        told = scratch(nearest(near).select("i", F.col("j").alias("m"), F.col(far).alias("d")), "nearest")
+        seen = pairs.select("i", "j", far).join(F.broadcast(told), "i").filter((F.col(far) < F.col("d")) | ((F.col(far) == F.col("d")) & (F.col("j") <= F.col("m"))))
+        ranks = seen.groupBy("i", "m").agg(F.count(F.lit(1)).alias("rank"))
+        return ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias(name))
+
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked"))
+    n = size.crossJoin(excess("dl", "dh", "t")).crossJoin(excess("dh", "dl", "c"))
+    scale = F.lit(2.0) / (F.col("asked") * k * (2 * F.col("n") - 3 * k - 1))
     return n.select((1 - scale * F.coalesce("t", F.lit(0))).alias("trustworthiness"), (1 - scale * F.coalesce("c", F.lit(0))).alias("continuity"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import number
+from ..session import scratch
+from .ranks import hash_bucket, ranked, same_keys
 
 
 def target(df: DataFrame, column: str, mapping: dict[str, int] | None = None, positive: str | None = None, order: list[str] | None = None) -> DataFrame:
@@ -41,9 +43,9 @@ def group_folds(df: DataFrame, k: int, label: str = "y", group: str = "group", s
     """T4: add fold 0..k-1; no group is in two folds. Groups take the label that most of their rows have and are dealt
     round robin within it in the order of a seeded hash."""
     g = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max(F.struct("n", label)).alias("m")).select(group, F.col(f"m.{label}").alias("_y"))
-    w = Window.partitionBy("_y").orderBy(F.xxhash64(F.col(group).cast("string"), F.lit(seed)), group)
-    dealt = g.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).select(group, "fold")
-    return df.join(dealt, group)
+    g = g.withColumn("_h", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed)))))
+    dealt = ranked(g, ["_y"], hash_bucket(F.col("_h")), [F.col("_h"), F.col(group)], "_at").withColumn("fold", (F.col("_at") % k).cast("int"))
+    return df.join(dealt.select(group, "fold"), group)
 
 
 def unit_grid(modes: DataFrame, models: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -54,14 +56,15 @@ def unit_grid(modes: DataFrame, models: DataFrame, allowed: DataFrame) -> DataFr
 def fold_predictions(df: DataFrame, features: str, kind: str = "logistic", label: str = "y", **settings) -> DataFrame:
     """Out-of-fold (ids, fold, y, prediction, probability): scaling and fitting see the other folds only; balanced class weights.
 
-    A loop over the few folds, each a distributed fit.
+    A loop over the few folds, each a distributed fit over one written table.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.withColumn("_x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("_y", F.col(label).cast("double")).persist()
+    rows = df.withColumn("_x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("_y", F.col(label).cast("double"))
+    rows = scratch(rows.withColumn("_x", vector_to_array("_x")), "folds").withColumn("_x", array_to_vector("_x"))
     folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
     out = None
     for f in folds:
@@ -108,17 +111,28 @@ def fold_metrics(df: DataFrame, unit: list[str], label: str = "y") -> DataFrame:
     """Accuracy, balanced accuracy, precision, recall, f1 and rank AUC of binary predictions by (unit, fold)."""
     keys = [*unit, "fold"]
     y, p = F.col(label) == 1, F.col("prediction") == 1
-    w = Window.partitionBy(*keys).orderBy("probability")
-    r = df.withColumn("_rank", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "probability")) - 1) / 2.0)
-    c = r.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"), F.sum(F.when(y, F.col("_rank"))).alias("_s"))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    # Area: for each score, its positives times the negatives below it and half of those beside it. Scores are summed
+    # by distinct value, and run up within buckets of scores and then over the buckets.
+    by_score = df.groupBy(*keys, "probability").agg(F.count_if(y).alias("_pos"), F.count_if(~y).alias("_neg"))
+    by_score = by_score.withColumn("_b", F.floor(F.coalesce("probability", F.lit(-1.0)) * BUCKETS))
+    below = Window.partitionBy(*keys, "_b").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
+    parts = by_score.withColumn("_inner", F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2.0)
+    parts = parts.groupBy(*keys, "_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.sum(F.col("_pos") * F.col("_inner")).alias("_area"))
+    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_area", F.col("_area") + F.col("_pos") * F.coalesce(F.sum("_neg").over(lower), F.lit(0)))
+    area = parts.groupBy(*named).agg(F.sum("_area").alias("_s"))
+    c = df.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    c = c.join(area, same_keys(keys))
     div = lambda a, b: F.when(b > 0, a / b)
     pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
     recall, special, precision = div(F.col("tp"), pos), div(F.col("tn"), neg), F.coalesce(div(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     return c.select(
         *keys, ((F.col("tp") + F.col("tn")) / (pos + neg)).alias("accuracy"), (F.coalesce((recall + special) / 2, recall, special)).alias("balanced_accuracy"), precision.alias("precision"), F.coalesce(recall, F.lit(0.0)).alias("recall"),
-        F.coalesce(div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"), div(F.col("_s") - pos * (pos + 1) / 2, pos * neg).alias("roc_auc"))
+        F.coalesce(div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"), div(F.col("_s"), pos * neg).alias("roc_auc"))
 
 
+BUCKETS = 4096
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc"]
 
 

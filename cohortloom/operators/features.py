@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import number
+from ..session import scratch
+from .ranks import hash_bucket, medians, ranked
 
 ROBUST = 0.6745
 
@@ -130,7 +132,9 @@ def family_health(health: DataFrame, names: DataFrame) -> DataFrame:
 
 def distribution(rows: DataFrame) -> DataFrame:
     """mean, sample sd, minimum, median and maximum of each feature."""
-    return rows.filter("value is not null").groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.median("value").alias("median"), F.max("value").alias("high"))
+    rows = rows.filter("value is not null")
+    plain = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return plain.join(F.broadcast(medians(rows, ["feature"], "value", "median")), "feature")
 
 
 def family_conditions(rows: DataFrame, names: DataFrame, failures: DataFrame) -> DataFrame:
@@ -150,12 +154,18 @@ def flags(metrics: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFra
 
 
 def robust_z(rows: DataFrame, within: list[str]) -> DataFrame:
-    """Add z = 0.6745 (value - median) / MAD by (within, feature); NULL where MAD is 0 or the value is missing."""
+    """Add z = 0.6745 (value - median) / MAD by (within, feature); NULL where MAD is 0 or the value is missing.
+
+    Without `within` a group is a whole feature, so medians are selected from counts; else groups are a subject's.
+    """
     keys = [*within, "feature"]
-    mid = rows.groupBy(*keys).agg(F.median("value").alias("_mid"))
-    off = rows.join(mid, keys)
-    mad = off.groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col("_mid"))).alias("_mad"))
-    return off.join(mad, keys).withColumn("z", F.when(F.col("_mad") > 0, ROBUST * (F.col("value") - F.col("_mid")) / F.col("_mad"))).drop("_mid", "_mad")
+    if not within:
+        off = rows.join(F.broadcast(medians(rows, keys, "value", "_mid")), keys, "left").withColumn("_off", F.abs(F.col("value") - F.col("_mid")))
+        both = off.join(F.broadcast(medians(off, keys, "_off", "_mad")), keys, "left")
+    else:
+        w = Window.partitionBy(*keys)  # both medians over one layout of the rows
+        both = rows.withColumn("_mid", F.median("value").over(w)).withColumn("_off", F.abs(F.col("value") - F.col("_mid"))).withColumn("_mad", F.median("_off").over(w))
+    return both.withColumn("z", F.when(F.col("_mad") > 0, ROBUST * (F.col("value") - F.col("_mid")) / F.col("_mad"))).drop("_mid", "_mad", "_off")
 
 
 def outlier_fractions(rows: DataFrame, within: list[str], obs: list[str], groups: DataFrame, z: float) -> DataFrame:
@@ -175,7 +185,8 @@ def kept_epochs(rows: DataFrame, groups: DataFrame, z: float = 5.0, most: float
 def outlier_masks(rows: DataFrame, groups: DataFrame, z: float = 5.0, most: float = 0.5) -> DataFrame:
     """(grp, obs_id) to leave out of a group: epochs of outlying subjects (by subject means), and outlying epochs of
     subjects with several. An outlier in one group stays for the others."""
-    mean = rows.groupBy("subject", "feature").agg(F.avg("value").alias("value"))
+    rows = scratch(rows, "rows")
+    mean = scratch(rows.groupBy("subject", "feature").agg(F.avg("value").alias("value")), "means")
     bad_subject = outlier_fractions(mean, [], ["subject"], groups, z).filter(F.col("fraction") > most).select("subject", "grp")
     own = rows.select("subject", "obs_id").distinct()
     several = own.groupBy("subject").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("subject")
@@ -190,7 +201,7 @@ def without_bad(rows: DataFrame, groups: DataFrame, bad: DataFrame) -> DataFrame
 
 def subject_burden(rows: DataFrame, z: float = 5.0) -> DataFrame:
     """F16: (subject, burden): fraction of a subject's mean features that are outliers among subjects."""
-    mean = rows.groupBy("subject", "feature").agg(F.avg("value").alias("value"))
+    mean = scratch(rows.groupBy("subject", "feature").agg(F.avg("value").alias("value")), "means")
     return robust_z(mean, []).groupBy("subject").agg((F.count_if(F.abs("z") > z) / F.count(F.lit(1))).alias("burden"))
 
 
@@ -215,10 +226,11 @@ def pooled_conditions(rows: DataFrame) -> DataFrame:
 
 
 def balanced(df: DataFrame, label: str, ids: list[str], seed: int = 0) -> DataFrame:
-    """as many rows of each class as the smallest has, chosen by seeded hash."""
-    least = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("_m"))
-    h = F.xxhash64(*ids, F.lit(seed))
-    return df.filter(F.col(label).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(h, *ids))).crossJoin(F.broadcast(least)).filter("_r <= _m").drop("_r", "_m")
+    """as many rows of each class as the smallest has, those of least seeded hash; equal ids are interchangeable."""
+    rows = df.filter(F.col(label).isNotNull()).withColumn("_h", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ids], F.lit(str(seed)))))
+    least = rows.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("_m"))
+    dealt = ranked(rows, [label], hash_bucket(F.col("_h")), [F.col("_h"), *[F.col(c) for c in ids]], "_rank")
+    return dealt.crossJoin(F.broadcast(least)).filter("_rank < _m").drop("_rank", "_m", "_h")
 
 
 def time_features(signal: DataFrame, keys: list[str]) -> DataFrame:

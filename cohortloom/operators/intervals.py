@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 KEY = ("recording_id",)
 
 
@@ -126,21 +128,24 @@ def inferred_blocks(blocks: DataFrame, others: DataFrame, markers: DataFrame, re
 
 
 def segments(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Condition segments from canonical labels (see `canonical`), by start and type.
+    """Condition segments from canonical labels (see `canonical`), in no order.
 
     Hyperventilation blocks come from start/end pairs, post blocks from I9, photo blocks last until the next photo event,
     eye states until the next eye event. Photo, hyperventilation and post blocks are cut out of the eye states; what is
     left is raw; before the first eye event stands RAW_baseline. Blocks are split by eye state.
     """
     a = annotations.select("recording_id", F.col("onset"), F.col("description").alias("label"), F.monotonically_increasing_id().alias("place"))
+    a, recordings = scratch(a, "marks"), scratch(recordings, "recordings")
     eyes = a.filter("label in ('eyes_open', 'eyes_closed')").select("recording_id", "onset", F.when(F.col("label") == "eyes_open", "EO").otherwise("EC").alias("state"))
-    eye = states(eyes, recordings)
+    eye = scratch(states(eyes, recordings), "eyes")
     hv = paired(a.filter("label in ('hv_start', 'hv_end')").select("recording_id", "onset", "place", F.when(F.col("label") == "hv_start", "start").otherwise("end").alias("kind")))
+    hv = scratch(hv, "pairs")
     flash = states(a.filter(F.col("label").startswith("photo")).select("recording_id", "onset", F.col("label").alias("state")), recordings).withColumn("freq_hz", frequency(F.col("state")))
     others = hv.select("recording_id", "start").union(flash.select("recording_id", "start"))
     post = inferred_blocks(hv, others, a.filter("label = 'post_hv'").select("recording_id", "onset"), recordings)
     block = lambda df, name: df.select("recording_id", "start", "stop", F.lit(name).alias("block"))
     blocks = block(hv, "HV").union(block(post, "POSTHV")).union(block(flash, "PHOTO"))
+    blocks = scratch(blocks, "blocks")
     cut = blocks.select("recording_id", "start", "stop")
     raw = subtracted(eye.select("recording_id", "start", "stop", "state"), cut).select("recording_id", F.concat_ws("_", F.lit("RAW"), "state").alias("segment_type"), "start", "stop")
     first = eyes.groupBy("recording_id").agg(F.min("onset").alias("stop"))
@@ -148,7 +153,7 @@ def segments(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
     base = subtracted(lead, cut).select("recording_id", F.lit("RAW_baseline").alias("segment_type"), "start", "stop")
     split = intersected(blocks, eye.select("recording_id", "start", "stop", "state"))
     out = raw.unionByName(base).unionByName(split)
-    return out.withColumn("duration", F.col("stop") - F.col("start")).orderBy("recording_id", "start", "segment_type")
+    return out.withColumn("duration", F.col("stop") - F.col("start"))
 
 
 def block_windows(annotations: DataFrame, recordings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import age_group_order
 from ..functions.predicates import COMPARISONS, CONSTRAINTS, MILESTONES, POOLS, bits, pool_counts, set_status
+from ..session import scratch
 
 LONGITUDINAL = "DrugResistance_First_vs_Later"
 #: Comparisons of named drugs, whose empty arm is a lack of that category; then those that lack it by arm 2.
@@ -49,6 +50,7 @@ def opportunities(df: DataFrame, least: int) -> DataFrame:
     exactly when the members are, but for hash collisions) are partial aggregates; no member list is gathered.
     """
     spark = df.sparkSession
+    df = scratch(df, "patients")  # its many derived columns are read by every predicate
     sexes = F.array(F.lit("All"), F.when(F.col("sex") == "M", "Male").when(F.col("sex") == "F", "Female"))
     row = _met(df).select(
         "patient_id", "study_id", F.explode(F.filter(sexes, lambda x: x.isNotNull())).alias("sex"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import number
+from ..session import scratch
+from .ranks import medians
 
 #: Bands in Hz and limits of the usability flag.
 BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 12.0), "beta": (12.0, 30.0), "gamma": (30.0, 45.0)}
@@ -182,9 +184,9 @@ def deltas(df: DataFrame, other: DataFrame, keys: list[str], metrics: list[str],
 def robust_outliers(df: DataFrame, ids: list[str], metrics: list[str], limit: float = 3.5) -> DataFrame:
     """Q17: (ids, metric, value, z) where |0.6745 (value - median) / MAD| reaches limit; a metric with MAD 0 is skipped."""
     long = df.select(*ids, *[number(F.col(m)).alias(m) for m in metrics]).unpivot(ids, metrics, "metric", "value").filter("value is not null")
-    mid = long.groupBy("metric").agg(F.median("value").alias("mid"))
-    off = long.join(F.broadcast(mid), "metric").withColumn("off", F.abs(F.col("value") - F.col("mid")))
-    mad = off.groupBy("metric").agg(F.median("off").alias("mad")).filter("mad > 0")
+    long = scratch(long, "metrics")
+    off = long.join(F.broadcast(medians(long, ["metric"], "value", "mid")), "metric").withColumn("off", F.abs(F.col("value") - F.col("mid")))
+    mad = medians(off, ["metric"], "off", "mad").filter("mad > 0")
     z = 0.6745 * (F.col("value") - F.col("mid")) / F.col("mad")
     return off.join(F.broadcast(mad), "metric").withColumn("z", z).filter(F.abs("z") >= limit).select(*ids, "metric", "value", "z").orderBy(F.desc(F.abs("z")), "metric", *ids)
 
@@ -202,7 +204,8 @@ def status_counts(df: DataFrame, status: str) -> DataFrame:
 def dataset_metrics(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Q20: (metric, mean, median, n) over non-missing values."""
     long = df.select(*[number(F.col(m)).alias(m) for m in metrics]).unpivot([], metrics, "metric", "value").filter("value is not null")
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.count(F.lit(1)).alias("n"))
+    plain = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return plain.join(F.broadcast(medians(long, ["metric"], "value", "median")), "metric").select("metric", "mean", "median", "n")
 
 
 def verdicts(values: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:

@@ -105,10 +105,42 @@ def _(spark, d):
     return out.withColumns({c: F.round(c, 8) for c in ("start", "stop")})
 
 
-@query("i10_segments")
+FLASH = """fm AS (SELECT recording_id, onset, CASE label WHEN 'hv_end' THEN 'photo_stim_' || (place % 30) || 'Hz' WHEN 'post_hv' THEN 'photo_off' END AS state FROM marks WHERE label IN ('hv_end', 'post_hv')),
+    fl AS (SELECT recording_id, state, onset AS start, coalesce(lead(onset) OVER (PARTITION BY recording_id ORDER BY onset, state), raw_end) AS stop FROM fm JOIN recs USING (recording_id))"""
+
+
+@query("i08_photo_blocks", f"{W}, {FLASH} SELECT recording_id, state, round(start, 6) AS start, round(stop, 6) AS stop, try_cast(nullif(regexp_extract(lower(state), '([0-9]+(?:[.][0-9]+)?) *hz', 1), '') AS DOUBLE) AS freq_hz FROM fl WHERE stop > start")
+def _(spark, d):
+    m = marks(spark, d)
+    state = F.when(F.col("label") == "hv_end", F.concat(F.lit("photo_stim_"), F.col("place") % 30, F.lit("Hz"))).when(F.col("label") == "post_hv", "photo_off")
+    blocks = I.states(m.select("recording_id", "onset", state.alias("state")).filter("state is not null"), recordings(m))
+    return six(blocks.select("recording_id", "state", "start", "stop", I.frequency(F.col("state")).alias("freq_hz")), "start", "stop")
+
+
+#: Parts of a base interval that no cut touches, by subtracting the merged cuts.
+SEGMENTS = f"""{W}, {STATES}, {PAIRS}, eye AS (SELECT recording_id, state, start, stop FROM st WHERE stop > start),
+    b AS (SELECT DISTINCT hv.*, raw_end FROM hv JOIN recs USING (recording_id)),
+    l AS (SELECT b.*, coalesce((SELECT min(h.start) FROM hv h WHERE h.recording_id = b.recording_id AND h.start > 0 AND h.start > b.stop + 0.1::DOUBLE), raw_end) AS lim FROM b),
+    e AS (SELECT *, coalesce((SELECT max(onset) FROM marks m WHERE m.label = 'post_hv' AND m.recording_id = l.recording_id AND onset >= l.stop AND onset < lim), least(stop + 0.25::DOUBLE * (stop - start), lim)) AS fin FROM l),
+    blk AS (SELECT recording_id, start, stop, 'HV' AS block FROM hv UNION ALL SELECT recording_id, stop, fin, 'POSTHV' FROM e WHERE fin - stop > 1),
+    isl AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY recording_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < start, true) AS fresh FROM blk WHERE stop > start),
+    num AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY recording_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM isl),
+    cut AS (SELECT recording_id, min(start) AS start, max(stop) AS stop FROM num GROUP BY recording_id, k),
+    base AS (SELECT recording_id, 'RAW_' || state AS segment_type, start, stop FROM eye
+        UNION ALL SELECT recording_id, 'RAW_baseline', 0.0::DOUBLE, coalesce((SELECT min(onset) FROM marks m WHERE m.recording_id = recs.recording_id AND label IN ('eyes_open', 'eyes_closed')), raw_end) FROM recs),
+    edge AS (SELECT base.*, cut.start AS cs, cut.stop AS ce FROM base LEFT JOIN cut ON cut.recording_id = base.recording_id AND cut.start < base.stop AND cut.stop > base.start),
+    piece AS (SELECT recording_id, segment_type, coalesce(lag(ce) OVER w, start) AS start, coalesce(cs, stop) AS stop FROM edge WINDOW w AS (PARTITION BY recording_id, segment_type, start, stop ORDER BY cs)
+        UNION ALL SELECT recording_id, segment_type, max(ce) AS start, stop FROM edge WHERE ce IS NOT NULL GROUP BY recording_id, segment_type, start, stop),
+    parts AS (SELECT recording_id, segment_type, start, stop FROM piece WHERE stop > start
+        UNION ALL SELECT blk.recording_id, block || '_' || coalesce(state, 'UNKNOWN'), greatest(blk.start, coalesce(eye.start, blk.start)), least(blk.stop, coalesce(eye.stop, blk.stop))
+        FROM blk LEFT JOIN eye ON eye.recording_id = blk.recording_id AND blk.start < eye.stop AND eye.start < blk.stop)"""
+
+
+@query("i10_segments", f"{SEGMENTS} SELECT recording_id, segment_type, round(start, 3) AS start, round(stop, 3) AS stop FROM parts")
 def _(spark, d):
     m = marks(spark, d)
-    return six(I.segments(m.select("recording_id", "onset", F.col("label").alias("description")), recordings(m)), "start", "stop", "duration")
+    found = I.segments(m.select("recording_id", "onset", F.col("label").alias("description")), recordings(m))
+    return found.select("recording_id", "segment_type", F.round("start", 3).alias("start"), F.round("stop", 3).alias("stop"))
 
 
 @query("j09_intersection", f"""{W}, {STATES}, {PAIRS} SELECT hv.recording_id, 'HV_' || coalesce(state, 'UNKNOWN') AS segment_type, round(greatest(hv.start, coalesce(st.start, hv.start)), 6) AS start, round(least(hv.stop, coalesce(st.stop, hv.stop)), 6) AS stop
@@ -200,10 +232,10 @@ def _(spark, d):
 RULES = [("ignore", ["de la*"]), ("eyes", ["the", "les"]), ("photo_{f}hz", ["photo"]), ("clinical", ["der", "en", "el"])]
 
 
-@query("i23_canonical", r"""WITH t AS (SELECT doc_id, regexp_replace(trim(translate(replace(lower(text[1:60]), 'ß', 'q'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), '\s+', ' ', 'g') AS t FROM documents)
+@query("i23_canonical", r"""WITH t AS (SELECT doc_id, regexp_replace(trim(translate(replace(lower(text), 'ß', 'q'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), '\s+', ' ', 'g') AS t FROM documents)
     SELECT doc_id, CASE WHEN t LIKE 'de la%' THEN NULL WHEN regexp_matches(t, '\b(the|les)\b') THEN 'eyes' WHEN regexp_matches(t, '\bphoto\b') THEN 'photo' WHEN regexp_matches(t, '\b(der|en|el)\b') THEN 'clinical' END AS label FROM t""")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", I.canonical(F.substring("text", 1, 60), RULES).alias("label"))
+    return read(spark, d, "documents").select("doc_id", I.canonical(F.col("text"), RULES).alias("label"))
 
 
 @query("i24_event_counts", """SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL) GROUP BY 1""")

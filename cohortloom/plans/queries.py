@@ -1,7 +1,7 @@
 """All registered queries of the library (without the llm subpackage) and their SQL."""
 
-from . import cohorts, intervals, tables
+from . import cohorts, files, intervals, results, tables
 from .derive import QUERIES, SQL
 
 entry = cohorts.entry
-__all__ = ["QUERIES", "SQL", "entry", "intervals", "tables"]
+__all__ = ["QUERIES", "SQL", "entry", "files", "intervals", "results", "tables"]

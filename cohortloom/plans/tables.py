@@ -334,21 +334,26 @@ def _(spark, d):
     return c.select("vec_id", F.explode("embedding").alias("v")).groupBy("vec_id").agg(F.round(F.sum("v"), 5).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("energy"))
 
 
+def _energy(df, vector):
+    """Width, sum and sum of squares of each vector."""
+    total = lambda f: F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + f(x)), 4)
+    return df.select("vec_id", F.size(vector).alias("width"), total(lambda x: x).alias("total"), total(lambda x: x * x).alias("energy"))
+
+
 @query("e03_whitened")
 def _(spark, d):
-    return E.whitened(_emb(spark, d), "subject", ["vec_id"]).select("vec_id", F.size("embedding").alias("width"))
+    return _energy(E.whitened(_emb(spark, d), "subject", ["vec_id"]), "embedding")
 
 
 @query("e04_erased")
 def _(spark, d):
-    out = E.erased(_emb(spark, d), "label", ["vec_id"])
-    return rounded(E.variance_parts(out, [], "label").select("eta2"), 4)
+    return _energy(E.erased(_emb(spark, d), "label", ["vec_id"]), "embedding")
 
 
 @query("e05_token_covariance")
 def _(spark, d):
     tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
-    return E.token_covariance(_emb(spark, d).withColumn("tokens", tokens), ["vec_id"]).select("vec_id", F.size("vector").alias("width"))
+    return _energy(E.token_covariance(_emb(spark, d).withColumn("tokens", tokens), ["vec_id"]), "vector")
 
 
 @query("e07_fingerprint", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
@@ -368,15 +373,20 @@ def _(spark, d):
     return rounded(E.excess_eta2(_emb(spark, d), "label", ["vec_id"]))
 
 
-@query("e11_retention")
+@query("e11_retention", f"""WITH {EMB}, q AS (SELECT vec_id AS i, embedding::DOUBLE[] AS h FROM emb WHERE vec_id % 100 = 0), o AS (SELECT vec_id AS j, embedding::DOUBLE[] AS h2 FROM emb),
+    p AS (SELECT i, j, list_sum(list_transform(list_zip(h, h2), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dh, list_sum(list_transform(list_zip(h[1:8], h2[1:8]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dl FROM q, o WHERE i <> j),
+    r AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY dh, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY dl, j) AS rl FROM p),
+    s AS (SELECT (SELECT count(*) FROM q) AS a, (SELECT count(*) FROM o) AS n, coalesce(sum(rh - 10) FILTER (WHERE rl <= 10 AND rh > 10), 0) AS t, coalesce(sum(rl - 10) FILTER (WHERE rh <= 10 AND rl > 10), 0) AS c FROM r)
+    SELECT round(1 - 2.0::DOUBLE / (a * 10 * (2 * n - 31)) * t, 6) AS trustworthiness, round(1 - 2.0::DOUBLE / (a * 10 * (2 * n - 31)) * c, 6) AS continuity FROM s""")
 def _(spark, d):
     e = _emb(spark, d).withColumn("low", F.slice("embedding", 1, 8))
-    return rounded(E.neighbour_retention(e, "vec_id", "embedding", "low", 10, 200))
+    return rounded(E.neighbour_retention(e, "vec_id", "embedding", "low", 10, F.col("vec_id") % 100 == 0))
 
 
 @query("e12_pca_sweep")
 def _(spark, d):
-    return E.pca_sweep(_emb(spark, d), ["vec_id"], [2, 5, 500]).select("vec_id", "size", F.size("scores").alias("width"))
+    s = E.pca_sweep(_emb(spark, d), ["vec_id"], [2, 5, 500])
+    return s.select("vec_id", "size", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 5).alias("energy"))  # signs are free
 
 
 @query("t01_t04_folds", "SELECT label % 2 AS y, count(*) AS rows FROM embeddings GROUP BY 1")
