@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: The drug flags in printing order, the ages at which groups begin, and the display order of diagnoses.
 DRUGS = ("LEV", "LTG", "LCS", "CLB", "CBZ", "VPA", "ETH", "TPM", "RUF", "BRV", "STP", "OXZ", "CBM")
 AGE_GROUPS = ((0, 5, "0-4"), (5, 9, "5-8"), (9, 13, "9-12"), (13, 19, "13-18"))
@@ -152,7 +154,7 @@ def normalised(raw: DataFrame, drugs: tuple[str, ...] = DRUGS, excluded: tuple[i
 
 def dense_ids(keys: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Number the rows of keys from 0 in order, without a window over all rows: sorted partitions and their counts."""
-    rows = keys.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    rows = scratch(keys.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
     parts = rows.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     start = parts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return rows.join(start, F.shiftright("_m", 33) == F.col("_p")).withColumn(out, F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_start")

@@ -113,6 +113,7 @@ def set_status(names: Column) -> Column:
 LEV, VPA = "epilepsy = 1 AND asm_types = 'LEV'", "epilepsy = 1 AND asm_types = 'VPA'"
 UNMEDICATED_EPILEPSY, UNMEDICATED_ADHD = "epilepsy = 1 AND asm = 0", "adhd = 1 AND psychostimulant = 0"
 CONTROL, NO_EPILEPSY = "combined_diagnosis = 'Control'", "epilepsy = 0"
+#: The background constraint sets of each kind of comparison.
 ADHD_BACKGROUND = ("No_Epilepsy", "No_Autism", "No_Autism+No_Epilepsy", "ASM_False", "No_Autism+ASM_False", "ASM_Resistant_False", "No_Autism+ASM_Resistant_False")
 EPILEPSY_BACKGROUND = ("No_ADHD", "No_Autism", "No_ADHD+No_Autism", "Psychostim_False", "No_ADHD+Psychostim_False", "No_Autism+Psychostim_False")
 MEDICATED_BACKGROUND = (*EPILEPSY_BACKGROUND, "ASM_Resistant_False")

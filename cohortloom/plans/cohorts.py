@@ -10,6 +10,7 @@ from ..operators import cohort as C
 from ..operators import joins as J
 from ..operators import opportunities as O
 from ..sources import tables as S
+from ..session import scratch
 from .derive import SQL, WITH, clean, patients, query, raw, read
 
 COLUMNS = ["study_id", "patient_id", "source_dataset", "eeg_date", "first_eeg", "age", "age_group", "sex", "adhd", "autism", "epilepsy", "combined_diagnosis", "psychostimulant", "psychostimulant_category", "asm", "asm_types", "other_asm", "meds_summary", "asm_resistant", "drop_reason"]
@@ -129,7 +130,7 @@ _need = [(a, m, *n) for a, ns in REQUIRED.items() for m, n in zip(P.MILESTONES,
            feasible AND NOT coalesce(lag(feasible) OVER (PARTITION BY label ORDER BY milestone), n1 >= t1 AND n2 >= t2) AS newly_feasible,
            CASE WHEN feasible THEN 'none' WHEN short1 > 0 AND short2 > 0 THEN 'both' WHEN short1 > 0 THEN 'group_1' ELSE 'group_2' END AS limiting_group FROM z""")
 def _(spark, d):
-    found = O.opportunities(clean(spark, d).filter("study_id is not null"), 3).persist()
+    found = scratch(O.opportunities(clean(spark, d).filter("study_id is not null"), 3), "opportunities")
     required = spark.createDataFrame(_need, "analysis string, milestone int, need1 int, need2 int")
     names = found.filter("is_valid and sex = 'All' and age_group = 'All'").join(F.broadcast(required.select("analysis").distinct()), "analysis", "left_semi")
     tracked = O.resolved(found, names.select("analysis", "constraint", "sex", "age_group")).select(F.concat_ws("|", "analysis", "constraint").alias("label"), "analysis", "n1", "n2")

@@ -9,6 +9,7 @@ from ..operators import evaluation as T
 from ..operators import features as X
 from ..operators import joins as J
 from ..operators import quality as Q
+from ..session import scratch
 from .derive import query, read
 
 #: Line items as a signal: supplier = recording, line number = channel.
@@ -146,7 +147,7 @@ def _(spark, d):
 
 @query("q16_deltas", f"WITH {QC} SELECT a.recording_id, round(a.hf_lf_ratio - b.hf_lf_ratio, 6) AS raw_hf_lf_ratio FROM (FROM qc WHERE state = 'EC') a LEFT JOIN (FROM qc WHERE state = 'EO' AND recording_id % 3 > 0) b USING (recording_id)")
 def _(spark, d):
-    q = _qc(spark, d).persist()
+    q = scratch(_qc(spark, d), "quality")
     return rounded(Q.deltas(q.filter("state = 'EC'"), q.filter("state = 'EO' and recording_id % 3 > 0"), ["recording_id"], ["hf_lf_ratio"], "raw").select("recording_id", "raw_hf_lf_ratio"))
 
 
@@ -159,14 +160,14 @@ def _(spark, d):
 
 @query("q18_q19_reasons", f"WITH {USABLE} SELECT r AS reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ';')) AS r FROM us) WHERE r <> '' GROUP BY 1 UNION ALL SELECT 'status:' || status, count(*) FROM us GROUP BY 1")
 def _(spark, d):
-    u = Q.usability(_qc(spark, d)).persist()
+    u = scratch(Q.usability(_qc(spark, d)), "usability")
     s = Q.status_counts(u, "status").drop("total").unpivot([], ["usable", "borderline", "unusable"], "reason", "n").filter("n > 0").withColumn("reason", F.concat(F.lit("status:"), "reason"))
     return Q.reason_counts(u, "reasons").unionByName(s)
 
 
 @query("q20_q21_dataset", f"WITH {QC}, l AS (UNPIVOT (SELECT {', '.join(METRICS)} FROM qc) ON COLUMNS(*) INTO NAME metric VALUE value), s AS (SELECT metric, round(avg(value), 6) AS mean, round(median(value), 6) AS median, count(*) AS n FROM l GROUP BY 1) SELECT s.*, CASE metric WHEN 'hf_lf_ratio' THEN CASE WHEN mean <= 0.5 THEN 'pass' ELSE 'fail' END WHEN 'aperiodic_slope' THEN CASE WHEN mean >= 0.5 THEN 'pass' ELSE 'fail' END END AS verdict FROM s")
 def _(spark, d):
-    q = _qc(spark, d).persist()
+    q = scratch(_qc(spark, d), "quality")
     v = Q.verdicts(q.agg(F.avg("hf_lf_ratio").alias("hf_lf_ratio"), F.avg("aperiodic_slope").alias("aperiodic_slope")), {"hf_lf_ratio": ("max", 0.5), "aperiodic_slope": ("min", 0.5)})
     return rounded(Q.dataset_metrics(q, METRICS)).join(v.select("metric", "verdict"), "metric", "left")
 
@@ -263,7 +264,7 @@ def _(spark, d):
     bad AS (SELECT grp, obs_id FROM bs JOIN (SELECT DISTINCT subject, obs_id FROM feat) USING (subject) UNION SELECT grp, obs_id FROM be) SELECT string_split(feature, '_')[1] AS grp, feature, count(*) AS rows, round(sum(value), 4) AS total FROM feat WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.obs_id = feat.obs_id AND bad.grp = string_split(feature, '_')[1]) GROUP BY 1, 2""")
 def _(spark, d):
     groups = _names(spark).select("feature", F.col("family").alias("grp"))
-    rows = _features(spark, d).persist()
+    rows = scratch(_features(spark, d), "features")
     kept = X.without_bad(rows, groups, X.outlier_masks(rows, groups, 1.5, 0.5))
     return kept.groupBy("grp", "feature").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -304,7 +305,7 @@ def _(spark, d):
 @query("p12_p14_prune", f"WITH {FEAT}, n AS (SELECT *, CASE WHEN obs_id % 7 = 0 AND feature LIKE 'band%' THEN NULL WHEN feature LIKE '%entropy_ch-Cz' THEN 1.0 ELSE value END AS v FROM feat) SELECT feature, avg((v IS NULL)::INT) <= 0.1 AND coalesce(stddev_pop(v), 0) > 1e-12 AS kept, count(*) FILTER (WHERE v IS NULL) AS bad_cells FROM n GROUP BY 1")
 def _(spark, d):
     v = F.when((F.col("obs_id") % 7 == 0) & F.col("feature").startswith("band"), None).when(F.col("feature").endswith("entropy_ch-Cz"), 1.0).otherwise(F.col("value"))
-    rows = _features(spark, d).withColumn("value", v).persist()
+    rows = scratch(_features(spark, d).withColumn("value", v), "features")
     bad = rows.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("bad_cells"))
     return bad.join(X.prune(rows, 0.1).withColumn("kept", F.lit(True)), "feature", "left").na.fill(False, ["kept"])
 
@@ -475,7 +476,7 @@ def _(spark, d):
 
 @query("t23_signal_change", "WITH a AS (SELECT l_suppkey AS r, l_linenumber AS channel, l_orderkey * 3000 + l_partkey AS i, avg(l_extendedprice) AS a, avg(l_quantity * 900) AS b FROM lineitem GROUP BY 1, 2, 3) SELECT r AS recording_id, channel, round(corr(a, b), 6) AS correlation, round(greatest(0, least(100, 100.0::DOUBLE * (1 - var_pop(b) / nullif(var_pop(a), 0)))), 6) AS variance_removed_pct FROM a GROUP BY 1, 2")
 def _(spark, d):
-    s = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").alias("channel"), (F.col("l_orderkey") * 3000 + F.col("l_partkey")).alias("sample_idx")).agg(F.avg("l_extendedprice").alias("a"), F.avg(F.col("l_quantity") * 900).alias("b")).persist()
+    s = scratch(read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").alias("channel"), (F.col("l_orderkey") * 3000 + F.col("l_partkey")).alias("sample_idx")).agg(F.avg("l_extendedprice").alias("a"), F.avg(F.col("l_quantity") * 900).alias("b")), "signals")
     one = lambda c: s.select("recording_id", "channel", "sample_idx", F.col(c).alias("value"))
     return rounded(T.signal_change(one("a"), one("b"), ["recording_id"]))
 
