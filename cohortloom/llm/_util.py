@@ -1,35 +1,26 @@
-"""Session helpers of the subpackage: shared scratch tables and bounded ranks."""
+"""Helpers of the subpackage: written tables, bounded broadcasts, and lean Python workers."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..operators.ranks import ranked
+from ..session import scratch_path, shared_dir, ship
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured and all run on one machine."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="cohortloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+__all__ = ["documents", "dropped", "free", "held", "mapped", "ranked", "ship", "small_side", "text_hash", "written"]
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df once as a table in the shared folder (by values of a column) and read it back: cuts lineage and survives
     lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -107,21 +98,3 @@ def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
-    """Add `out`, the 0-based rank within keys, without sorting a whole group in one task.
-
-    `bucket` must not decrease along `order`; each (keys, bucket) is ranked alone and shifted by the rows in the
-    buckets before it, which come from a count table of one row for each (keys, bucket).
-    """
-    rows = df.withColumn("_b", bucket)
-    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*keys, "_b").orderBy(*order)
-    on = F.col("_b").eqNullSafe(F.col("_kb"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    numbered = rows.withColumn("_r", F.row_number().over(within) - 1)
-    return numbered.join(start, on).withColumn(out, F.col("_r") + F.col("_start")).drop("_b", "_r", "_kb", "_start", *[f"_k{i}" for i in range(len(keys))])

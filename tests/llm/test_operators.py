@@ -153,6 +153,86 @@ def base(text):
     return sorted(out)
 
 
+def brute_profile(texts, top):
+    count = Counter()
+    for t in texts:
+        count.update(brute_grams(t))
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))  # noqa: E731  ties go by this number
+    return sorted(count, key=lambda g: (-count[g], code(g)))[:top]
+
+
+def brute_grams(text):
+    words = re.sub(r"[^\w]|[\d_]", " ", text.lower()).split()
+    line = " " + "".join(w + " " for w in words)
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i : i + n]
+            if g.strip() and (n < 3 or g[1] != " "):
+                yield g
+
+
+def test_language_against_brute_force(spark):
+    """Out-of-place distances by plain counting, over texts cut into stretches and texts in one."""
+    r = random.Random(8)
+    bits = {"en": ["the", "and", "ing", "tion"], "de": ["der", "sch", "und", "ß"], "fr": ["le", "eau", "ê", "çon"]}
+    make = lambda l, n: "".join(r.choice([*bits[l], " ", " ", ". "]) for _ in range(n))
+    learn = [(make(l, 400), l) for l in bits for _ in range(3)]
+    asked = [(i, make(r.choice(list(bits)), r.choice([1, 2, 5, 30]))) for i in range(40)] + [(90, make("de", 300_000))]
+    profile = langid.profiles(spark.createDataFrame(learn, "text string, lang string"), 50)
+    got = {x.doc_id: x for x in langid.identified(table(spark, asked), profile, top=50).collect()}
+    known = {l: brute_profile([t for t, m in learn if m == l], 50) for l in bits}
+    for i, text in asked:
+        own = brute_profile([text], 50)
+        if not own:
+            assert got[i].lang_pred == "und"
+            continue
+        away = {l: sum(abs(p.index(g) - k) if g in p else 50 for k, g in enumerate(own)) for l, p in known.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[i].lang_pred == best and abs(got[i].score - (1 - away[best] / (50 * len(own)))) < 1e-9
+
+
+def test_interleaving_against_brute_force(spark):
+    rows = [(i, ["a", "b", None][i % 7 % 3], i * 31 % 11) for i in range(500)] + [(500, "lone", 1), (500, "lone", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
+    got = sorted((r.shard, r.slot, r.doc_id, r.source) for r in sharding.interleaved(df, "source", "doc_id", ["size"]).collect())
+    order = []
+    for s in {x[1] for x in rows}:
+        own = sorted((x for x in rows if x[1] == s), key=lambda x: (hashlib.md5(f"17:{x[0]}".encode()).hexdigest(), x[0], x[2]))
+        order += [((k + 0.5) / len(own), s is not None, s or "", k, x) for k, x in enumerate(own)]
+    order.sort(key=lambda o: o[:4])
+    n, want = len(order), []
+    first = [-(-s * n // 8) for s in range(9)]
+    for at, o in enumerate(order):
+        shard = at * 8 // n
+        want.append((shard, at - first[shard], o[4][0], o[4][1]))
+    assert got == sorted(want, key=lambda w: w[:3])
+
+
+def test_ownership_against_brute_force(spark):
+    """Live spans and examples by plain counting, with a value that most rows hold."""
+    r = random.Random(3)
+    value = lambda: "".join(r.choice("ABCdefGHi0123456789jkLMnop") for _ in range(30))
+    pool = [value() for _ in range(12)]
+    rows = []
+    for i in range(300):
+        held = [r.choice(pool[2:]) for _ in range(r.randrange(3))] + ([pool[0]] if r.random() < 0.7 else []) + ([pool[1]] if i < 4 else [])
+        rows.append((i, " ".join(["word", *held, "end"]), "s0" if i < 9 else f"s{r.randrange(4)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in secret_scan.secrets(df).collect()}
+    owners, repos = defaultdict(set), defaultdict(set)
+    for i, text, s in rows:
+        for m in secret_scan.OPAQUE.finditer(text):
+            owners[m[0]].add(s)
+            repos[m[0]].add(i)
+    example = {v: len(owners[v]) >= secret_scan.MANY_OWNERS or len(repos[v]) >= secret_scan.MANY_REPOS for v in owners}
+    assert len(set(example.values())) == 2
+    for i, text, _ in rows:
+        found = [m for m in secret_scan.OPAQUE.finditer(text) if secret_scan.looks_live(m[0])]
+        live = [(m.start(), m.end()) for m in found if not example[m[0]]]
+        assert got[i].n_live == len(live) and got[i].n_example == len(found) - len(live)
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("live")] == live
+
+
 def test_secrets(spark):
     r = random.Random(2)
     key = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz3456789") for _ in range(32))
