@@ -215,12 +215,15 @@ def _(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("bad_seconds", "recovered_seconds", "recovery_pct")})
 
 
-@query("i21_calibration")
+@query("i21_calibration", """WITH s AS (SELECT l_suppkey AS recording_id, l_linenumber AS channel, (l_orderkey * 7 + l_partkey) % 20 AS i, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+    e AS (SELECT recording_id, w, channel, var_pop(v) AS v FROM s, (SELECT unnest(range(10)) AS w) WHERE i // 2 BETWEEN w AND w + 3 GROUP BY ALL HAVING count(*) >= 8),
+    f AS (SELECT recording_id, w, avg(v) AS variance, NOT (recording_id = 3 AND w < 6) AS clean FROM e GROUP BY ALL)
+    SELECT recording_id, w * 1.0::DOUBLE AS start, w + 4.0::DOUBLE AS stop, round(variance / 1e6, 4) AS variance, clean FROM f QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY NOT clean, variance, w) = 1""")
 def _(spark, d):
-    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").alias("channel"), F.pmod(F.xxhash64("l_orderkey", "l_partkey"), F.lit(20)).alias("sample_idx"), F.col("l_extendedprice").alias("value"))
+    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").alias("channel"), ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % 20).alias("sample_idx"), F.col("l_extendedprice").alias("value"))
     signal = li.groupBy("recording_id", "channel", "sample_idx").agg(F.avg("value").alias("value"))
     bad = spark.range(1).select(F.lit(3).cast("long").alias("recording_id"), F.lit(0.0).alias("start"), F.lit(6.0).alias("stop"))
-    return I.calibration(signal, bad, 2.0, 4.0)
+    return I.calibration(signal, bad, 2.0, 4.0).withColumn("variance", F.round(F.col("variance") / 1e6, 4))
 
 
 @query("i22_crop", f"""{W}, f AS (SELECT recording_id, min(onset) AS t FROM marks WHERE label = 'eyes_open' AND onset <= 40000 GROUP BY 1) SELECT place, round(onset - coalesce(t, 0), 6) AS onset FROM marks LEFT JOIN f USING (recording_id) WHERE t IS NULL OR onset >= t""")

@@ -75,7 +75,11 @@ def _(spark, d):
     return rounded(Q.spectral_distance(p, p.withColumn("recording_id", F.col("recording_id") + 1)))
 
 
-@query("q07_welch")
+@query("q07_welch", """WITH s AS (SELECT l_suppkey AS recording_id, l_linenumber % 2 AS channel, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) % 64 AS i, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
+    g AS (SELECT recording_id, channel, w, i - 8 * w AS j, v FROM s, (SELECT unnest(range(8)) AS w) WHERE i >= 8 * w AND i < 8 * w + 16),
+    m AS (SELECT *, (v - avg(v) OVER p) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) AS x, count(*) OVER p AS n FROM g WINDOW p AS (PARTITION BY recording_id, channel, w)),
+    f AS (SELECT recording_id, channel, w, k, sum(x * cos(2 * pi() * k * j / 16)) AS a, sum(x * sin(2 * pi() * k * j / 16)) AS b FROM m, (SELECT unnest(range(9)) AS k) WHERE n = 16 GROUP BY ALL)
+    SELECT recording_id, channel, k * 4.0::DOUBLE AS freq, round(avg((a * a + b * b) * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END / 384.0::DOUBLE), 6) AS power FROM f GROUP BY ALL""")
 def _(spark, d):
     li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("recording_id"), (F.col("l_linenumber") % 2).alias("channel"), (F.datediff("l_shipdate", F.lit("1990-01-01")) % 64).cast("long").alias("sample_idx"), "l_quantity")
     signal = li.groupBy("recording_id", "channel", "sample_idx").agg(F.avg("l_quantity").alias("value"))
