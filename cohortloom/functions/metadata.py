@@ -138,26 +138,32 @@ def normalised(raw: DataFrame, drugs: tuple[str, ...] = DRUGS, excluded: tuple[i
     """The canonical table from raw rows of text, with drop_reason (NULL for rows that stay)."""
     out = raw.withColumn("tentative", tentative("adhd", "autism", "epilepsy"))
     out = out.withColumns({
-        "study_id": F.col("study_id").try_cast("long"), "patient_id": F.col("patient_id").try_cast("long"), "age": age_years(F.col("age")), "sex": sex(F.col("sex")),
+        "study_id": F.col("study_id").try_cast("long"), "patient_id": F.col("patient_id").try_cast("long"), "age": age_years(F.col("age")),
+            "sex": sex(F.col("sex")),
         **{c: flag(F.col(c)) for _, c in DIAGNOSES}, **{c: flag_or_zero(F.col(c)) for c in ("first_eeg", *drugs, "other_asm", "asm_resistant")},
     })
     key = F.concat_ws("|", F.trim(F.coalesce("psychostimulant_description", F.lit(""))), category_key(F.col("psychostimulant_code")))
     table = F.create_map(*[F.lit(x) for (d, c), v in STIMULANTS.items() for x in (f"{d}|{c}", v)])
-    out = out.withColumn("psychostimulant_category", F.coalesce(F.try_element_at(table, key), F.raise_error(F.concat(F.lit("unknown medication pair: "), key))))
-    out = out.withColumn("psychostimulant", (F.col("psychostimulant_category") != "No Psychostimulant").cast("int")).withColumn("asm", any_drug(drugs))
+    out = out.withColumn("psychostimulant_category",
+        F.coalesce(F.try_element_at(table, key), F.raise_error(F.concat(F.lit("unknown medication pair: "), key))))
+    out = out.withColumn("psychostimulant", (F.col("psychostimulant_category") != "No Psychostimulant").cast("int")).withColumn("asm",
+        any_drug(drugs))
     out = out.withColumns({
         "age_group": age_group(F.col("age")), "combined_diagnosis": combined_diagnosis(), "asm_types": drug_types(drugs),
         "meds_summary": medication_summary(F.col("asm"), F.col("psychostimulant")),
     })
-    return out.withColumn("drop_reason", drop_reason(waterfall_rules(excluded))).drop("tentative", "psychostimulant_description", "psychostimulant_code")
+    return out.withColumn("drop_reason", drop_reason(waterfall_rules(excluded))).drop("tentative", "psychostimulant_description",
+        "psychostimulant_code")
 
 
 def dense_ids(keys: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Number the rows of keys from 0 in order, without a window over all rows: sorted partitions and their counts."""
     rows = scratch(keys.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
     parts = rows.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    start = parts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return rows.join(start, F.shiftright("_m", 33) == F.col("_p")).withColumn(out, F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_start")
+    start = parts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_start"))
+    return rows.join(start, F.shiftright("_m", 33) == F.col("_p")).withColumn(out,
+        F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_start")
 
 
 def group_ids(df: DataFrame, clean: Column) -> DataFrame:
@@ -166,7 +172,8 @@ def group_ids(df: DataFrame, clean: Column) -> DataFrame:
     Key: the patient id, else the study id, else a hash of the row (a position is not reproducible).
     """
     key = F.coalesce(
-        F.when(F.col("patient_id").isNotNull(), F.concat(F.lit("patient:"), F.col("patient_id"))), F.when(F.col("study_id").isNotNull(), F.concat(F.lit("missing_patient_study:"), F.col("study_id"))),
+        F.when(F.col("patient_id").isNotNull(), F.concat(F.lit("patient:"), F.col("patient_id"))),
+            F.when(F.col("study_id").isNotNull(), F.concat(F.lit("missing_patient_study:"), F.col("study_id"))),
         F.concat(F.lit("missing_both:"), F.hex(F.xxhash64(*df.columns))))
     keyed = df.withColumn("_key", key)
     keys = keyed.groupBy("_key").agg(F.bool_or(clean).alias("_clean"))
@@ -181,7 +188,8 @@ def subject(c: Column) -> Column:
 def padded_subject(c: Column) -> Column:
     """Four digits; anything but digits is an error."""
     s = subject(c)
-    return F.when(s.rlike(r"^\d+$"), F.when(F.length(s) >= 4, s).otherwise(F.lpad(s, 4, "0"))).otherwise(F.raise_error(F.concat(F.lit("not a subject number: "), s)))
+    return F.when(s.rlike(r"^\d+$"), F.when(F.length(s) >= 4,
+        s).otherwise(F.lpad(s, 4, "0"))).otherwise(F.raise_error(F.concat(F.lit("not a subject number: "), s)))
 
 
 def token(c: Column) -> Column:
@@ -194,14 +202,16 @@ def portable_path(c: Column, root: str) -> Column:
     """Inside root bids:///rel, relative relative:///, else external:///name."""
     base = root.rstrip("/") + "/"
     return (
-        F.when(c.startswith(base), F.concat(F.lit("bids:///"), F.substring(c, len(base) + 1, 1 << 20))).when(~c.startswith("/"), F.concat(F.lit("relative:///"), c))
+        F.when(c.startswith(base), F.concat(F.lit("bids:///"), F.substring(c, len(base) + 1, 1 << 20))).when(~c.startswith("/"),
+            F.concat(F.lit("relative:///"), c))
         .otherwise(F.concat(F.lit("external:///"), F.substring_index(c, "/", -1)))
     )
 
 
 def recording_id(subject_col: str = "subject", session_col: str = "session", run_col: str = "run") -> Column:
     """`subject-<s>_session-<ss>_run-<r>`; a missing part is an error."""
-    parts = [F.coalesce(F.concat(F.lit(f"{n}-"), F.col(c).cast("string")), F.raise_error(F.lit(f"missing {n}"))) for n, c in (("subject", subject_col), ("session", session_col), ("run", run_col))]
+    parts = [F.coalesce(F.concat(F.lit(f"{n}-"), F.col(c).cast("string")), F.raise_error(F.lit(f"missing {n}"))) for n,
+        c in (("subject", subject_col), ("session", session_col), ("run", run_col))]
     return F.concat_ws("_", *parts)
 
 

@@ -16,7 +16,8 @@ from .ranks import hash_bucket, ranked
 
 def levels(df: DataFrame) -> dict[str, DataFrame]:
     """The epoch, recording and subject tables of embeddings(model_key, condition, subject, recording_id, embedding)."""
-    return {"epoch": df, "recording": vector_means(df, ["model_key", "condition", "subject", "recording_id"], "embedding"), "subject": vector_means(df, ["model_key", "condition", "subject"], "embedding")}
+    return {"epoch": df, "recording": vector_means(df, ["model_key", "condition", "subject", "recording_id"], "embedding"),
+        "subject": vector_means(df, ["model_key", "condition", "subject"], "embedding")}
 
 
 def centred(df: DataFrame, subject: str, ids: list[str], vector: str = "embedding") -> DataFrame:
@@ -85,7 +86,8 @@ def whitened(df: DataFrame, subject: str, ids: list[str], vector: str = "embeddi
 
     # Each subject's rows meet its sums once, in PARTS places, so that no subject is a task of its own.
     rows = df.filter(F.col(vector).isNotNull()).select(*cols).withColumn("_part", F.pmod(F.xxhash64(*ids), F.lit(PARTS)))
-    sums = own.select(F.col("_s").alias(subject), "n", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part"))
+    sums = own.select(F.col("_s").alias(subject), "n", "s",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(sums.withColumn("_row", F.lit(0)), allowMissingColumns=True)
     dealt = both.repartition(subject, "_part").sortWithinPartitions(subject, "_part", "_row")
     return dealt.select(*cols, "n", "s").mapInPandas(run, f"{kinds}, {vector} array<double>")
@@ -170,15 +172,18 @@ def fingerprint(df: DataFrame, task: list[str], parts: list[str]) -> DataFrame:
     """
     h = lambda seed: F.sum(F.xxhash64(*parts, F.lit(seed)).cast("decimal(38,0)")).cast("string")
     s = df.groupBy(*task).agg(F.count(F.lit(1)).alias("n"), h(1).alias("_a"), h(2).alias("_b"))
-    return s.select(*task, "n", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in task], F.col("n").cast("string"), "_a", "_b"), 256).alias("selection_fingerprint"))
+    return s.select(*task, "n", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in task], F.col("n").cast("string"),
+        "_a", "_b"), 256).alias("selection_fingerprint"))
 
 
 def variance_parts(df: DataFrame, groups: list[str], subject: str, vector: str = "embedding") -> DataFrame:
     """(groups, total_variance, between_variance, eta2): sums of squares over dimensions."""
     e = df.select(*groups, subject, F.posexplode(vector).alias("i", "x"))
     s = e.groupBy(*groups, subject, "i").agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
-    d = s.groupBy(*groups, "i").agg(F.sum("k").alias("n"), F.sum("sx").alias("t"), F.sum("sxx").alias("q"), F.sum(F.col("sx") * F.col("sx") / F.col("k")).alias("b"))
-    total, between = F.sum(F.col("q") / F.col("n") - F.pow(F.col("t") / F.col("n"), 2)), F.sum(F.col("b") / F.col("n") - F.pow(F.col("t") / F.col("n"), 2))
+    d = s.groupBy(*groups, "i").agg(F.sum("k").alias("n"), F.sum("sx").alias("t"), F.sum("sxx").alias("q"),
+        F.sum(F.col("sx") * F.col("sx") / F.col("k")).alias("b"))
+    total, between = F.sum(F.col("q") / F.col("n") - F.pow(F.col("t") / F.col("n"),
+        2)), F.sum(F.col("b") / F.col("n") - F.pow(F.col("t") / F.col("n"), 2))
     return d.groupBy(*groups).agg(total.alias("total_variance"), between.alias("between_variance"), (between / total).alias("eta2"))
 
 
@@ -242,7 +247,8 @@ def neighbour_retention(df: DataFrame, id_col: str, high: str, low: str, k: int,
     def excess(near: str, far: str, name: str) -> DataFrame:
         """Sum over near's nearest of how far beyond k they rank by `far`."""
         told = scratch(nearest(near).select("i", F.col("j").alias("m"), F.col(far).alias("d")), "nearest")
-        seen = pairs.select("i", "j", far).join(F.broadcast(told), "i").filter((F.col(far) < F.col("d")) | ((F.col(far) == F.col("d")) & (F.col("j") <= F.col("m"))))
+        seen = pairs.select("i", "j", far).join(F.broadcast(told),
+            "i").filter((F.col(far) < F.col("d")) | ((F.col(far) == F.col("d")) & (F.col("j") <= F.col("m"))))
         ranks = seen.groupBy("i", "m").agg(F.count(F.lit(1)).alias("rank"))
         return ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias(name))
 
@@ -265,7 +271,8 @@ def pca_sweep(df: DataFrame, ids: list[str], sizes: list[int], vector: str = "em
     rows = df.select(*ids, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
     model = PCA(k=valid[-1], inputCol="_v", outputCol="_s").fit(rows)
     scores = model.transform(rows).select(*ids, vector_to_array("_s").alias("_s"))
-    return scores.withColumn("size", F.explode(F.array(*[F.lit(k) for k in valid]))).select(*ids, "size", F.slice("_s", F.lit(1), F.col("size")).alias("scores"))
+    return scores.withColumn("size", F.explode(F.array(*[F.lit(k) for k in valid]))).select(*ids, "size",
+        F.slice("_s", F.lit(1), F.col("size")).alias("scores"))
 
 
 def availability(n_rows: int, n_features: int, sizes: list[int]) -> list[dict]:

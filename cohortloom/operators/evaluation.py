@@ -12,7 +12,8 @@ from ..session import scratch
 from .ranks import hash_bucket, ranked, same_keys
 
 
-def target(df: DataFrame, column: str, mapping: dict[str, int] | None = None, positive: str | None = None, order: list[str] | None = None) -> DataFrame:
+def target(df: DataFrame, column: str, mapping: dict[str, int] | None = None, positive: str | None = None,
+    order: list[str] | None = None) -> DataFrame:
     """Add y by a label map, a positive class (1, others 0) or the place in a class order; rows without y are dropped."""
     c = F.col(column).cast("string")
     if mapping is not None:
@@ -42,7 +43,8 @@ def validity(df: DataFrame, unit: list[str], label: str = "y") -> DataFrame:
 def group_folds(df: DataFrame, k: int, label: str = "y", group: str = "group", seed: int = 0) -> DataFrame:
     """T4: add fold 0..k-1; no group is in two folds. Groups take the label that most of their rows have and are dealt
     round robin within it in the order of a seeded hash."""
-    g = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max(F.struct("n", label)).alias("m")).select(group, F.col(f"m.{label}").alias("_y"))
+    g = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max(F.struct("n", label)).alias("m")).select(group,
+        F.col(f"m.{label}").alias("_y"))
     g = g.withColumn("_h", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed)))))
     dealt = ranked(g, ["_y"], hash_bucket(F.col("_h")), [F.col("_h"), F.col(group)], "_at").withColumn("fold", (F.col("_at") % k).cast("int"))
     return df.join(dealt.select(group, "fold"), group)
@@ -74,9 +76,12 @@ def fold_predictions(df: DataFrame, features: str, kind: str = "logistic", label
         for y, c in n.items():
             weight = F.when(F.col("_y") == y, sum(n.values()) / (len(n) * c)).otherwise(weight)
         common = {"featuresCol": "_z", "labelCol": "_y", "weightCol": "_w", "predictionCol": "prediction", "probabilityCol": "_p"}
-        model = LogisticRegression(**common, **{"elasticNetParam": 0.5, "regParam": 0.01, "maxIter": 50, **settings}) if kind == "logistic" else RandomForestClassifier(**common, **{"numTrees": 50, "seed": 0, **settings})
+        model = LogisticRegression(**common,
+            **{"elasticNetParam": 0.5, "regParam": 0.01, "maxIter": 50, **settings}) if kind == "logistic" else RandomForestClassifier(**common,
+                **{"numTrees": 50, "seed": 0, **settings})
         fitted = Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_z", withMean=True), model]).fit(train.withColumn("_w", weight))
-        got = fitted.transform(rows.filter(F.col("fold") == f)).select(*[c for c in df.columns if c != features], "prediction", F.try_element_at(vector_to_array("_p"), F.lit(2)).alias("probability"))
+        got = fitted.transform(rows.filter(F.col("fold") == f)).select(*[c for c in df.columns if c != features], "prediction",
+            F.try_element_at(vector_to_array("_p"), F.lit(2)).alias("probability"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -118,18 +123,23 @@ def fold_metrics(df: DataFrame, unit: list[str], label: str = "y") -> DataFrame:
     by_score = by_score.withColumn("_b", F.floor(F.coalesce("probability", F.lit(-1.0)) * BUCKETS))
     below = Window.partitionBy(*keys, "_b").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
     parts = by_score.withColumn("_inner", F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2.0)
-    parts = parts.groupBy(*keys, "_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.sum(F.col("_pos") * F.col("_inner")).alias("_area"))
+    parts = parts.groupBy(*keys, "_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"),
+        F.sum(F.col("_pos") * F.col("_inner")).alias("_area"))
     lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_area", F.col("_area") + F.col("_pos") * F.coalesce(F.sum("_neg").over(lower), F.lit(0)))
     area = parts.groupBy(*named).agg(F.sum("_area").alias("_s"))
-    c = df.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    c = df.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
+        F.count_if(~y & ~p).alias("tn"))
     c = c.join(area, same_keys(keys))
     div = lambda a, b: F.when(b > 0, a / b)
     pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
     recall, special, precision = div(F.col("tp"), pos), div(F.col("tn"), neg), F.coalesce(div(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     return c.select(
-        *keys, ((F.col("tp") + F.col("tn")) / (pos + neg)).alias("accuracy"), (F.coalesce((recall + special) / 2, recall, special)).alias("balanced_accuracy"), precision.alias("precision"), F.coalesce(recall, F.lit(0.0)).alias("recall"),
-        F.coalesce(div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"), div(F.col("_s"), pos * neg).alias("roc_auc"))
+        *keys, ((F.col("tp") + F.col("tn")) / (pos + neg)).alias("accuracy"),
+            (F.coalesce((recall + special) / 2, recall, special)).alias("balanced_accuracy"), precision.alias("precision"),
+                F.coalesce(recall, F.lit(0.0)).alias("recall"),
+        F.coalesce(div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"),
+            div(F.col("_s"), pos * neg).alias("roc_auc"))
 
 
 BUCKETS = 4096
@@ -143,9 +153,11 @@ def metric_summary(folds: DataFrame, unit: list[str]) -> DataFrame:
 
 def chance_p(df: DataFrame, hits: str, n: str, chance: float = 0.5) -> DataFrame:
     """Add p, the binomial tail of at least `hits` of n at chance, by log-gamma-free recursion over the few outcomes."""
-    lc = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), k)), F.lit(0.0), lambda a, i: a + F.log((F.col(n) - i + 1) / i))
+    lc = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), k)), F.lit(0.0), lambda a,
+        i: a + F.log((F.col(n) - i + 1) / i))
     term = lambda k: F.exp(F.when(k > 0, lc(k)).otherwise(0.0) + k * math.log(chance) + (F.col(n) - k) * math.log(1 - chance))
-    return df.withColumn("p", F.least(F.lit(1.0), F.aggregate(F.sequence(F.col(hits).cast("int"), F.col(n).cast("int")), F.lit(0.0), lambda a, k: a + term(k))))
+    return df.withColumn("p", F.least(F.lit(1.0),
+        F.aggregate(F.sequence(F.col(hits).cast("int"), F.col(n).cast("int")), F.lit(0.0), lambda a, k: a + term(k))))
 
 
 def adjusted(df: DataFrame, p: str, by: list[str]) -> DataFrame:
@@ -153,7 +165,9 @@ def adjusted(df: DataFrame, p: str, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
     r = df.withColumn("_m", F.count(p).over(w)).withColumn("_i", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last())))
     raw = F.when(F.col(p).isNotNull(), F.col(p) * F.col("_m") / F.col("_i"))
-    return r.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(raw).over(w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)))).withColumn("p_adjusted", F.when(F.col(p).isNotNull(), F.col("p_adjusted"))).drop("_m", "_i")
+    return r.withColumn("p_adjusted", F.least(F.lit(1.0),
+        F.min(raw).over(w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)))).withColumn("p_adjusted",
+            F.when(F.col(p).isNotNull(), F.col("p_adjusted"))).drop("_m", "_i")
 
 
 def allowed_units(spec: DataFrame) -> DataFrame:
@@ -176,7 +190,8 @@ def best_decoding(df: DataFrame, by: list[str], p: str = "p_adjusted", ids: tupl
     """The best row of each group by the first metric there is; equal ones by the smaller p."""
     have = [m for m in PRIORITY if m in df.columns]
     w = Window.partitionBy(*by).orderBy(F.col("primary_value").desc_nulls_last(), F.col(p).asc_nulls_last(), *ids)
-    return df.withColumn("primary_value", F.coalesce(*[number(F.col(m)) for m in have])).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return df.withColumn("primary_value", F.coalesce(*[number(F.col(m)) for m in have])).withColumn("_r",
+        F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def model_parts(c: Column) -> tuple[Column, Column]:
@@ -206,7 +221,8 @@ def compatibility(df: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
     """Whether a group has one signature, and the fields that differ."""
     n = {f: F.countDistinct(F.coalesce(F.col(f).cast("string"), F.lit("\u0000"))) for f in fields}
     return df.groupBy(*by).agg(*[n[f].alias(f"_{f}") for f in fields]).select(
-        *by, F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_{f}") > 1, F.lit(f)) for f in fields])), ",").alias("differing")).withColumn("comparable", F.col("differing") == "")
+        *by, F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_{f}") > 1, F.lit(f)) for f in fields])),
+            ",").alias("differing")).withColumn("comparable", F.col("differing") == "")
 
 
 def deltas(df: DataFrame, by: list[str], kind: str, baseline: str, metric: str) -> DataFrame:
@@ -217,7 +233,8 @@ def deltas(df: DataFrame, by: list[str], kind: str, baseline: str, metric: str)
 
 def failures(df: DataFrame, reason: str, top: int = 8) -> DataFrame:
     """The most frequent failure reasons."""
-    return df.filter("status <> 'success'").groupBy(F.coalesce(reason, F.lit("unknown")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(top)
+    return df.filter("status <> 'success'").groupBy(F.coalesce(reason,
+        F.lit("unknown")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(top)
 
 
 def resume(units: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,8 +249,10 @@ def step_scores(df: DataFrame) -> DataFrame:
     corr, slope, var = number(F.col("mean_dss_ica_corr")), number(F.col("slope_distortion")), number(F.col("variance_removed_pct"))
     parts = F.coalesce("eog_components", F.lit(0)) + F.coalesce("ecg_components", F.lit(0)) + F.coalesce("emg_components", F.lit(0))
     score = (
-        F.when(corr > 0.98, 0.4).when(corr > 0.95, 0.3).when(corr > 0.9, 0.15).otherwise(0.0) + F.when(slope < 0.15, 0.3).when(slope < 0.3, 0.2).when(slope < 0.5, 0.1).otherwise(0.0)
-        + F.when(parts <= 4, 0.2).when(parts <= 7, 0.15).when(parts <= 10, 0.1).otherwise(0.0) + F.when(var.between(5, 25), 0.1).when((var < 5) | var.between(25, 40), 0.05).otherwise(0.0)
+        F.when(corr > 0.98, 0.4).when(corr > 0.95, 0.3).when(corr > 0.9, 0.15).otherwise(0.0) + F.when(slope < 0.15, 0.3).when(slope < 0.3,
+            0.2).when(slope < 0.5, 0.1).otherwise(0.0)
+        + F.when(parts <= 4, 0.2).when(parts <= 7, 0.15).when(parts <= 10, 0.1).otherwise(0.0) + F.when(var.between(5, 25),
+            0.1).when((var < 5) | var.between(25, 40), 0.05).otherwise(0.0)
     )
     return df.withColumn("score", F.round(score, 6))
 
@@ -251,14 +270,17 @@ def method_means(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 def signal_change(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """By (key, channel) the correlation of two signals and the percent of variance removed, clipped to 0..100."""
-    j = before.select(*key, "channel", "sample_idx", F.col("value").alias("a")).join(after.select(*key, "channel", "sample_idx", F.col("value").alias("b")), [*key, "channel", "sample_idx"])
+    j = before.select(*key, "channel", "sample_idx",
+        F.col("value").alias("a")).join(after.select(*key, "channel", "sample_idx", F.col("value").alias("b")), [*key, "channel", "sample_idx"])
     v = 100.0 * (1 - F.var_pop("b") / F.when(F.var_pop("a") > 0, F.var_pop("a")))
-    return j.groupBy(*key, "channel").agg(F.corr("a", "b").alias("correlation"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)).alias("variance_removed_pct"))
+    return j.groupBy(*key, "channel").agg(F.corr("a", "b").alias("correlation"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)).alias("variance_removed_pct"))
 
 
 def scope_stats(df: DataFrame, scope: str) -> DataFrame:
     """T24."""
-    return df.groupBy(scope).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("subject").alias("subjects"), F.countDistinct("recording_id").alias("recordings"))
+    return df.groupBy(scope).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("subject").alias("subjects"),
+        F.countDistinct("recording_id").alias("recordings"))
 
 
 def run_variant(path: Column) -> Column:
@@ -269,5 +291,7 @@ def run_variant(path: Column) -> Column:
 def provenance(df: DataFrame, column: str) -> DataFrame:
     """Total seconds of the timing map and the three component counts (missing is 0) of a JSON text."""
     p = F.from_json(column, "timing map<string,double>, components struct<eog:int,ecg:int,emg:int>")
-    total = F.aggregate(F.coalesce(F.map_values("_p.timing"), F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return df.withColumn("_p", p).select(*df.columns, total.alias("total_seconds"), *[F.coalesce(f"_p.components.{c}", F.lit(0)).alias(f"{c}_components") for c in ("eog", "ecg", "emg")]).drop("_p")
+    total = F.aggregate(F.coalesce(F.map_values("_p.timing"), F.array().cast("array<double>")), F.lit(0.0), lambda a,
+        x: a + F.coalesce(x, F.lit(0.0)))
+    return df.withColumn("_p", p).select(*df.columns, total.alias("total_seconds"),
+        *[F.coalesce(f"_p.components.{c}", F.lit(0)).alias(f"{c}_components") for c in ("eog", "ecg", "emg")]).drop("_p")

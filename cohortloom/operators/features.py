@@ -24,7 +24,8 @@ def schema(names: DataFrame) -> DataFrame:
     part = F.split(body, "_")
     return names.select(
         "feature", part[0].alias("family"), F.concat_ws("_", part[0], F.try_element_at(part, F.lit(2))).alias("subfamily"), body.alias("measure"),
-        F.nullif(F.regexp_extract("feature", r"_(?:ch|chgrp)-(.*)$", 1), F.lit("")).alias("sensor"), F.col("feature").contains("_chgrp-").alias("grouped"))
+        F.nullif(F.regexp_extract("feature", r"_(?:ch|chgrp)-(.*)$", 1), F.lit("")).alias("sensor"),
+            F.col("feature").contains("_chgrp-").alias("grouped"))
 
 
 def families(names: list[str], enabled: list[str]) -> list[str]:
@@ -48,7 +49,8 @@ def finite_audit(rows: DataFrame, preview: int = 20) -> DataFrame:
     """One row: bad cells, rows and features, and the first features and rows by name."""
     bad = rows.filter("value is null or isnan(value)")
     top = lambda c: bad.select(F.col(c).cast("string").alias("x")).distinct().orderBy("x").limit(preview).agg(F.array_join(F.sort_array(F.collect_list("x")), ",").alias(f"{c}_preview"))
-    sums = bad.agg(F.count(F.lit(1)).alias("bad_cells"), F.countDistinct("obs_id").alias("bad_rows"), F.countDistinct("feature").alias("bad_features"))
+    sums = bad.agg(F.count(F.lit(1)).alias("bad_cells"), F.countDistinct("obs_id").alias("bad_rows"),
+        F.countDistinct("feature").alias("bad_features"))
     return sums.crossJoin(top("feature")).crossJoin(top("obs_id"))
 
 
@@ -105,12 +107,14 @@ def shard_audit(files: DataFrame, expected: DataFrame, required: list[str]) -> D
     have = files.select("shard", "file").distinct().withColumn("_have", F.lit(True))
     grid = expected.select("shard").distinct().crossJoin(F.broadcast(need)).join(have, ["shard", "file"], "left")
     absent = F.sort_array(F.collect_list(F.when(F.col("_have").isNull(), F.col("file"))))
-    return grid.groupBy("shard").agg(absent.alias("m")).select("shard", F.size("m").alias("n_missing"), F.array_join("m", ",").alias("missing"), (F.size("m") == 0).alias("complete"))
+    return grid.groupBy("shard").agg(absent.alias("m")).select("shard", F.size("m").alias("n_missing"), F.array_join("m", ",").alias("missing"),
+        (F.size("m") == 0).alias("complete"))
 
 
 def reason_rollup(failures: DataFrame, keys: list[str], message: str, top: int = 15) -> DataFrame:
     """the most frequent (keys, first 80 characters of the message)."""
-    return failures.groupBy(*keys, F.substring(message, 1, 80).alias("message")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys, "message").limit(top)
+    return failures.groupBy(*keys, F.substring(message, 1, 80).alias("message")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys,
+        "message").limit(top)
 
 
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -120,26 +124,31 @@ def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def feature_health(rows: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """by feature the missing rate, whether it is all missing, constant (sd within tolerance) or nearly so (ten times that)."""
-    s = rows.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"), F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("n"))
-    return s.withColumns({"all_missing": F.col("missing_rate") == 1, "constant": F.coalesce(F.col("sd") <= tolerance, F.lit(False)), "near_constant": F.coalesce((F.col("sd") > tolerance) & (F.col("sd") <= 10 * tolerance), F.lit(False))})
+    s = rows.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"), F.stddev_pop("value").alias("sd"),
+        F.count(F.lit(1)).alias("n"))
+    return s.withColumns({"all_missing": F.col("missing_rate") == 1, "constant": F.coalesce(F.col("sd") <= tolerance, F.lit(False)),
+        "near_constant": F.coalesce((F.col("sd") > tolerance) & (F.col("sd") <= 10 * tolerance), F.lit(False))})
 
 
 def family_health(health: DataFrame, names: DataFrame) -> DataFrame:
     """by family the features, mean missing rate, and constant and all-missing features."""
     j = health.join(F.broadcast(names.select("feature", "family")), "feature")
-    return j.groupBy("family").agg(F.count(F.lit(1)).alias("features"), F.avg("missing_rate").alias("missing_rate"), F.count_if("constant").alias("constant"), F.count_if("all_missing").alias("all_missing"))
+    return j.groupBy("family").agg(F.count(F.lit(1)).alias("features"), F.avg("missing_rate").alias("missing_rate"),
+        F.count_if("constant").alias("constant"), F.count_if("all_missing").alias("all_missing"))
 
 
 def distribution(rows: DataFrame) -> DataFrame:
     """mean, sample sd, minimum, median and maximum of each feature."""
     rows = rows.filter("value is not null")
-    plain = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    plain = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"),
+        F.max("value").alias("high"))
     return plain.join(F.broadcast(medians(rows, ["feature"], "value", "median")), "feature")
 
 
 def family_conditions(rows: DataFrame, names: DataFrame, failures: DataFrame) -> DataFrame:
     """(family, condition, subjects, missing_rate, failures), 0 failures where none."""
-    j = rows.join(F.broadcast(names.select("feature", "family")), "feature").groupBy("family", "condition").agg(F.countDistinct("subject").alias("subjects"), F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"))
+    j = rows.join(F.broadcast(names.select("feature", "family")), "feature").groupBy("family",
+        "condition").agg(F.countDistinct("subject").alias("subjects"), F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"))
     n = failures.groupBy("family", "condition").agg(F.count(F.lit(1)).alias("failures"))
     return j.join(n, ["family", "condition"], "left").na.fill(0, ["failures"])
 
@@ -150,7 +159,8 @@ def flags(metrics: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFra
     t = metrics.sparkSession.createDataFrame([(m, float(a), float(b)) for m, (a, b) in limits.items()], "code string, warn double, fail double")
     j = wide.join(F.broadcast(t), "code")
     severity = F.when(F.col("value") > F.col("fail"), "fail").when(F.col("value") > F.col("warn"), "warn").otherwise("pass")
-    return j.select("scope", "code", "value", F.when(F.col("value") > F.col("fail"), F.col("fail")).otherwise(F.col("warn")).alias("threshold"), severity.alias("severity"))
+    return j.select("scope", "code", "value", F.when(F.col("value") > F.col("fail"), F.col("fail")).otherwise(F.col("warn")).alias("threshold"),
+        severity.alias("severity"))
 
 
 def robust_z(rows: DataFrame, within: list[str]) -> DataFrame:
@@ -164,7 +174,8 @@ def robust_z(rows: DataFrame, within: list[str]) -> DataFrame:
         both = off.join(F.broadcast(medians(off, keys, "_off", "_mad")), keys, "left")
     else:
         w = Window.partitionBy(*keys)  # both medians over one layout of the rows
-        both = rows.withColumn("_mid", F.median("value").over(w)).withColumn("_off", F.abs(F.col("value") - F.col("_mid"))).withColumn("_mad", F.median("_off").over(w))
+        both = rows.withColumn("_mid", F.median("value").over(w)).withColumn("_off", F.abs(F.col("value") - F.col("_mid"))).withColumn("_mad",
+            F.median("_off").over(w))
     return both.withColumn("z", F.when(F.col("_mad") > 0, ROBUST * (F.col("value") - F.col("_mid")) / F.col("_mad"))).drop("_mid", "_mad", "_off")
 
 
@@ -190,7 +201,8 @@ def outlier_masks(rows: DataFrame, groups: DataFrame, z: float = 5.0, most: floa
     bad_subject = outlier_fractions(mean, [], ["subject"], groups, z).filter(F.col("fraction") > most).select("subject", "grp")
     own = rows.select("subject", "obs_id").distinct()
     several = own.groupBy("subject").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("subject")
-    epoch = outlier_fractions(rows.join(several, "subject", "left_semi"), ["subject"], ["subject", "obs_id"], groups, z).filter(F.col("fraction") > most).select("grp", "obs_id")
+    epoch = outlier_fractions(rows.join(several, "subject", "left_semi"), ["subject"], ["subject", "obs_id"], groups,
+        z).filter(F.col("fraction") > most).select("grp", "obs_id")
     return own.join(bad_subject, "subject").select("grp", "obs_id").union(epoch).distinct()
 
 
@@ -209,11 +221,14 @@ def units(names: DataFrame) -> DataFrame:
     """(mode, unit, feature): the features of every analysis unit, from the feature schema."""
     f = lambda *cs: F.concat_ws("|", *[F.col(c) for c in cs])
     modes = {
-        "flat": F.lit("all"), "sensor": f("sensor"), "family": f("family"), "subfamily": f("subfamily"), "sensor_within_family": f("family", "sensor"), "sensor_within_subfamily": f("subfamily", "sensor"),
-        "feature": f("feature"), "feature_within_family": f("family", "feature"), "descriptor": f("measure"), "descriptor_sensor": f("measure", "sensor"),
+        "flat": F.lit("all"), "sensor": f("sensor"), "family": f("family"), "subfamily": f("subfamily"),
+            "sensor_within_family": f("family", "sensor"), "sensor_within_subfamily": f("subfamily", "sensor"),
+        "feature": f("feature"), "feature_within_family": f("family", "feature"), "descriptor": f("measure"),
+            "descriptor_sensor": f("measure", "sensor"),
     }
     needs = {"sensor", "sensor_within_family", "sensor_within_subfamily", "descriptor_sensor"}
-    each = F.array(*[F.when(F.col("sensor").isNotNull() | F.lit(m not in needs), F.struct(F.lit(m).alias("mode"), k.alias("unit"))) for m, k in modes.items()])
+    each = F.array(*[F.when(F.col("sensor").isNotNull() | F.lit(m not in needs), F.struct(F.lit(m).alias("mode"), k.alias("unit"))) for m,
+        k in modes.items()])
     return names.select("feature", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("u")).select("u.mode", "u.unit", "feature")
 
 
@@ -221,7 +236,8 @@ def pooled_conditions(rows: DataFrame) -> DataFrame:
     """rows of the features that every condition has; more than one grouping level is an error."""
     n = rows.agg(F.countDistinct("condition").alias("_n"), F.countDistinct(F.col("feature").contains("_chgrp-")).alias("_levels"))
     common = rows.groupBy("feature").agg(F.countDistinct("condition").alias("_c")).crossJoin(F.broadcast(n))
-    ok = common.filter(F.col("_c") == F.when(F.col("_levels") > 1, F.raise_error(F.lit("mixed grouping levels")).cast("long")).otherwise(F.col("_n"))).select("feature")
+    ok = common.filter(F.col("_c") == F.when(F.col("_levels") > 1,
+        F.raise_error(F.lit("mixed grouping levels")).cast("long")).otherwise(F.col("_n"))).select("feature")
     return rows.join(F.broadcast(ok), "feature", "left_semi")
 
 
@@ -237,7 +253,8 @@ def time_features(signal: DataFrame, keys: list[str]) -> DataFrame:
     """activity, mobility, complexity, zero crossings, kurtosis (population excess), Petrosian dimension and order-3
     permutation entropy of each epoch and channel, by lags over sample_idx."""
     w = Window.partitionBy(*keys).orderBy("sample_idx")
-    s = signal.withColumn("d1", F.col("value") - F.lag("value").over(w)).withColumn("a", F.lag("value", 2).over(w)).withColumn("b", F.lag("value").over(w))
+    s = signal.withColumn("d1", F.col("value") - F.lag("value").over(w)).withColumn("a", F.lag("value", 2).over(w)).withColumn("b",
+        F.lag("value").over(w))
     s = s.withColumn("d2", F.col("d1") - F.lag("d1").over(w))
     sign = lambda c: (F.col(c) >= 0).cast("int")
     s = s.withColumn("cross", (sign("value") != sign("b")).cast("int")).withColumn("turn", (sign("d1") != F.lag(sign("d1")).over(w)).cast("int"))
@@ -246,8 +263,10 @@ def time_features(signal: DataFrame, keys: list[str]) -> DataFrame:
     v, v1, v2 = F.var_pop("value"), F.var_pop("d1"), F.var_pop("d2")
     n, turns = F.count(F.lit(1)).cast("double"), F.coalesce(F.sum("turn"), F.lit(0))
     base = s.groupBy(*keys).agg(
-        v.alias("activity"), F.sqrt(v1 / F.when(v > 0, v)).alias("mobility"), F.sqrt(v2 / F.when(v1 > 0, v1) * (v / F.when(v1 > 0, v1))).alias("complexity"),
-        F.coalesce(F.sum("cross"), F.lit(0)).alias("zero_crossings"), F.kurtosis("value").alias("kurtosis"), F.try_divide(F.log10(n), F.log10(n) + F.log10(n / (n + 0.4 * turns))).alias("petrosian_fd"))
+        v.alias("activity"), F.sqrt(v1 / F.when(v > 0, v)).alias("mobility"),
+            F.sqrt(v2 / F.when(v1 > 0, v1) * (v / F.when(v1 > 0, v1))).alias("complexity"),
+        F.coalesce(F.sum("cross"), F.lit(0)).alias("zero_crossings"), F.kurtosis("value").alias("kurtosis"),
+            F.try_divide(F.log10(n), F.log10(n) + F.log10(n / (n + 0.4 * turns))).alias("petrosian_fd"))
     p = s.filter("pattern is not null").groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("c"))
     share = F.col("c") / F.sum("c").over(Window.partitionBy(*keys))
     entropy = p.withColumn("p", share).groupBy(*keys).agg((F.lit(0.0) - F.sum(F.col("p") * F.log2("p")) / F.log2(F.lit(6.0))).alias("permutation_entropy"))

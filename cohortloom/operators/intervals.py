@@ -19,7 +19,8 @@ def merged(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.filter("stop > start").withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    return marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
+    return marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*key,
+        "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY, how: str = "inner") -> DataFrame:
@@ -52,7 +53,8 @@ def intersected(blocks: DataFrame, states: DataFrame, key: tuple[str, ...] = KEY
         on = on & (F.col(k) == F.col(f"_{k}"))
     j = blocks.join(s, on, "left")
     return j.select(
-        *key, F.concat_ws("_", kind, F.coalesce("_s", F.lit("UNKNOWN"))).alias("segment_type"), F.greatest("start", F.coalesce("_a", "start")).alias("start"), F.least("stop", F.coalesce("_b", "stop")).alias("stop"))
+        *key, F.concat_ws("_", kind, F.coalesce("_s", F.lit("UNKNOWN"))).alias("segment_type"),
+            F.greatest("start", F.coalesce("_a", "start")).alias("start"), F.least("stop", F.coalesce("_b", "stop")).alias("stop"))
 
 
 def duration(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -68,19 +70,23 @@ def clean_fractions(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
     """
     end = recordings.select("recording_id", "raw_end")
     bad = annotations.filter(F.col("description").startswith("BAD_") & (F.coalesce(F.size("ch_names"), F.lit(0)) <= 0)).join(end, "recording_id")
-    bad = bad.select("recording_id", "description", F.greatest("onset", F.lit(0.0)).alias("start"), F.least(F.col("onset") + F.col("duration"), F.col("raw_end")).alias("stop"))
-    kind = F.when(F.col("description").startswith("BAD_epoch_"), "automatic").when(~F.col("description").isin("BAD_ACQ_SKIP", "BAD_boundary"), "manual")
+    bad = bad.select("recording_id", "description", F.greatest("onset", F.lit(0.0)).alias("start"),
+        F.least(F.col("onset") + F.col("duration"), F.col("raw_end")).alias("stop"))
+    kind = F.when(F.col("description").startswith("BAD_epoch_"), "automatic").when(~F.col("description").isin("BAD_ACQ_SKIP", "BAD_boundary"),
+        "manual")
     labelled = bad.select("recording_id", "start", "stop", F.explode(F.array(F.lit("all"), kind)).alias("kind")).filter("kind is not null")
     sums = duration(labelled, ("recording_id", "kind")).groupBy("recording_id").pivot("kind", ["all", "automatic", "manual"]).agg(F.first("seconds"))
     both = recordings.join(sums, "recording_id", "left").na.fill(0.0, ["all", "automatic", "manual"])
     share = lambda c: F.when(F.col("raw_end") > 0, F.col(c) / F.col("raw_end")).otherwise(0.0)
-    return both.select("recording_id", F.greatest(F.lit(0.0), F.col("raw_end") - F.col("all")).alias("clean_seconds"), share("all").alias("bad_fraction"), share("automatic").alias("automatic_fraction"), share("manual").alias("manual_fraction"))
+    return both.select("recording_id", F.greatest(F.lit(0.0), F.col("raw_end") - F.col("all")).alias("clean_seconds"),
+        share("all").alias("bad_fraction"), share("automatic").alias("automatic_fraction"), share("manual").alias("manual_fraction"))
 
 
 def coverage(segments: DataFrame, bad: DataFrame, condition: str, key: tuple[str, ...] = KEY) -> DataFrame:
     """Usable seconds of each recording and condition: each segment's length less its overlap with the union of bad, not below 0."""
     rows = segments.withColumn("_row", F.monotonically_increasing_id())
-    hit = overlaps(rows, merged(bad, key), key, "left").groupBy(*key, condition, "_row").agg(F.first(F.col("stop") - F.col("start")).alias("length"), F.coalesce(F.sum("shared"), F.lit(0.0)).alias("bad"))
+    hit = overlaps(rows, merged(bad, key), key, "left").groupBy(*key, condition,
+        "_row").agg(F.first(F.col("stop") - F.col("start")).alias("length"), F.coalesce(F.sum("shared"), F.lit(0.0)).alias("bad"))
     return hit.groupBy(*key, condition).agg(F.sum(F.greatest(F.lit(0.0), F.col("length") - F.col("bad"))).alias("usable_seconds"))
 
 
@@ -100,7 +106,8 @@ def paired(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("onset", "place")
     last = F.last(F.when(F.col("kind") == "start", F.col("onset")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     live = events.withColumn("_last", last).filter((F.col("kind") == "start") | (F.col("_last").isNotNull() & (F.col("onset") > F.col("_last"))))
-    return live.withColumn("_before", F.lag("kind").over(w)).filter("kind = 'end' and _before = 'start'").select(*key, F.col("_last").alias("start"), F.col("onset").alias("stop"))
+    return live.withColumn("_before", F.lag("kind").over(w)).filter("kind = 'end' and _before = 'start'").select(*key,
+        F.col("_last").alias("start"), F.col("onset").alias("stop"))
 
 
 def frequency(label: Column) -> Column:
@@ -108,7 +115,8 @@ def frequency(label: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(label), r"(\d+(?:\.\d+)?)\s*hz", 1), F.lit("")).cast("double")
 
 
-def inferred_blocks(blocks: DataFrame, others: DataFrame, markers: DataFrame, recordings: DataFrame, key: tuple[str, ...] = KEY, gap: float = 0.1, share: float = 0.25, least: float = 1.0) -> DataFrame:
+def inferred_blocks(blocks: DataFrame, others: DataFrame, markers: DataFrame, recordings: DataFrame, key: tuple[str, ...] = KEY, gap: float = 0.1,
+    share: float = 0.25, least: float = 1.0) -> DataFrame:
     """The block after each block (start, stop). Its limit is the first start of another block later than stop + gap, else the
     recording's end; it stops at the last marker in [stop, limit), else after `share` of the block's length; longer than `least` only."""
     w = blocks.select(*key, "start", "stop").distinct().join(recordings.select(*key, "raw_end"), list(key))
@@ -136,20 +144,25 @@ def segments(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
     """
     a = annotations.select("recording_id", F.col("onset"), F.col("description").alias("label"), F.monotonically_increasing_id().alias("place"))
     a, recordings = scratch(a, "marks"), scratch(recordings, "recordings")
-    eyes = a.filter("label in ('eyes_open', 'eyes_closed')").select("recording_id", "onset", F.when(F.col("label") == "eyes_open", "EO").otherwise("EC").alias("state"))
+    eyes = a.filter("label in ('eyes_open', 'eyes_closed')").select("recording_id", "onset",
+        F.when(F.col("label") == "eyes_open", "EO").otherwise("EC").alias("state"))
     eye = scratch(states(eyes, recordings), "eyes")
-    hv = paired(a.filter("label in ('hv_start', 'hv_end')").select("recording_id", "onset", "place", F.when(F.col("label") == "hv_start", "start").otherwise("end").alias("kind")))
+    hv = paired(a.filter("label in ('hv_start', 'hv_end')").select("recording_id", "onset", "place",
+        F.when(F.col("label") == "hv_start", "start").otherwise("end").alias("kind")))
     hv = scratch(hv, "pairs")
-    flash = states(a.filter(F.col("label").startswith("photo")).select("recording_id", "onset", F.col("label").alias("state")), recordings).withColumn("freq_hz", frequency(F.col("state")))
+    flash = states(a.filter(F.col("label").startswith("photo")).select("recording_id", "onset", F.col("label").alias("state")),
+        recordings).withColumn("freq_hz", frequency(F.col("state")))
     others = hv.select("recording_id", "start").union(flash.select("recording_id", "start"))
     post = inferred_blocks(hv, others, a.filter("label = 'post_hv'").select("recording_id", "onset"), recordings)
     block = lambda df, name: df.select("recording_id", "start", "stop", F.lit(name).alias("block"))
     blocks = block(hv, "HV").union(block(post, "POSTHV")).union(block(flash, "PHOTO"))
     blocks = scratch(blocks, "blocks")
     cut = blocks.select("recording_id", "start", "stop")
-    raw = subtracted(eye.select("recording_id", "start", "stop", "state"), cut).select("recording_id", F.concat_ws("_", F.lit("RAW"), "state").alias("segment_type"), "start", "stop")
+    raw = subtracted(eye.select("recording_id", "start", "stop", "state"), cut).select("recording_id",
+        F.concat_ws("_", F.lit("RAW"), "state").alias("segment_type"), "start", "stop")
     first = eyes.groupBy("recording_id").agg(F.min("onset").alias("stop"))
-    lead = recordings.join(first, "recording_id", "left").select("recording_id", F.lit(0.0).alias("start"), F.coalesce("stop", "raw_end").alias("stop"))
+    lead = recordings.join(first, "recording_id", "left").select("recording_id", F.lit(0.0).alias("start"),
+        F.coalesce("stop", "raw_end").alias("stop"))
     base = subtracted(lead, cut).select("recording_id", F.lit("RAW_baseline").alias("segment_type"), "start", "stop")
     split = intersected(blocks, eye.select("recording_id", "start", "stop", "state"))
     out = raw.unionByName(base).unionByName(split)
@@ -159,10 +172,12 @@ def segments(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
 def block_windows(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
     """Windows of BLOCK_<family>_<state> annotations, clipped to the recording, empty and non-finite ones dropped."""
     j = annotations.filter(F.col("description").startswith("BLOCK_")).join(recordings.select("recording_id", "raw_end"), "recording_id")
-    j = j.select("recording_id", "description", F.greatest(F.lit(0.0), F.col("onset")).alias("start"), F.least(F.col("raw_end"), F.col("onset") + F.col("duration")).alias("stop"))
+    j = j.select("recording_id", "description", F.greatest(F.lit(0.0), F.col("onset")).alias("start"),
+        F.least(F.col("raw_end"), F.col("onset") + F.col("duration")).alias("stop"))
     parts = F.split(F.regexp_replace("description", "^BLOCK_", ""), "_")
     eye = F.when(F.element_at(parts, -1).isin("EO", "EC"), F.element_at(parts, -1)).otherwise("UNKNOWN")
-    return j.filter("stop > start and not isnan(start) and not isnan(stop)").select("recording_id", parts[0].alias("block_family"), eye.alias("eye_state"), "start", "stop")
+    return j.filter("stop > start and not isnan(start) and not isnan(stop)").select("recording_id", parts[0].alias("block_family"),
+        eye.alias("eye_state"), "start", "stop")
 
 
 def windows(blocks: DataFrame, length: float, overlap: float = 0.0) -> DataFrame:
@@ -171,13 +186,15 @@ def windows(blocks: DataFrame, length: float, overlap: float = 0.0) -> DataFrame
     if step <= 0:
         raise ValueError("the overlap must be shorter than the window")
     n = F.floor((F.col("stop") - F.col("start") - length) / step + F.lit(1e-9))
-    rows = blocks.filter(F.col("stop") - F.col("start") >= length - 1e-9).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))))
+    rows = blocks.filter(F.col("stop") - F.col("start") >= length - 1e-9).withColumn("k",
+        F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))))
     return rows.withColumn("start", F.col("start") + F.col("k") * step).withColumn("stop", F.col("start") + length).drop("k")
 
 
 def epochs(wins: DataFrame, bad: DataFrame | None, sfreq: float, key: tuple[str, ...] = KEY) -> DataFrame:
     """One window for each start sample; with `bad` those that touch no bad interval."""
-    once = wins.withColumn("start_sample", F.round(F.col("start") * sfreq).cast("long")).groupBy(*key, "start_sample").agg(F.min("start").alias("start"), F.min("stop").alias("stop"))
+    once = wins.withColumn("start_sample", F.round(F.col("start") * sfreq).cast("long")).groupBy(*key,
+        "start_sample").agg(F.min("start").alias("start"), F.min("stop").alias("stop"))
     if bad is None:
         return once
     b = bad.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("_a"), F.col("stop").alias("_b"))
@@ -202,9 +219,11 @@ def runs(df: DataFrame, index: str, key: tuple[str, ...] = KEY) -> DataFrame:
 def reject_annotations(table: DataFrame, length: float) -> DataFrame:
     """I16: annotations of a table (recording_id, epoch, channel, bad) of rejected epochs: a NULL channel is the whole epoch, others are spans for each channel."""
     bad = table.filter("bad")
-    whole = bad.filter("channel is null").select("recording_id", (F.col("epoch") * length).alias("onset"), F.lit(length).alias("duration"), F.lit("BAD_epoch").alias("description"), F.array().cast("array<string>").alias("ch_names")).distinct()
+    whole = bad.filter("channel is null").select("recording_id", (F.col("epoch") * length).alias("onset"), F.lit(length).alias("duration"),
+        F.lit("BAD_epoch").alias("description"), F.array().cast("array<string>").alias("ch_names")).distinct()
     spans = runs(bad.filter("channel is not null"), "epoch", ("recording_id", "channel"))
-    return whole.unionByName(spans.select("recording_id", (F.col("first") * length).alias("onset"), (F.col("n") * length).alias("duration"), F.lit("BAD_channel").alias("description"), F.array("channel").alias("ch_names")))
+    return whole.unionByName(spans.select("recording_id", (F.col("first") * length).alias("onset"), (F.col("n") * length).alias("duration"),
+        F.lit("BAD_channel").alias("description"), F.array("channel").alias("ch_names")))
 
 
 def chunks(df: DataFrame, order: str, size: int, least: int, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -222,13 +241,16 @@ def inflated(annotations: DataFrame, longer: float = 5.0, shorter: float = 3.0)
     low = F.lower("description")
     bad = low.startswith("bad")
     rest = F.trim(F.trim(F.regexp_replace(F.regexp_replace(low, "bad_", ""), "bad", ""), F.lit("_")))
-    name = F.when(~bad | F.col("description").startswith("BAD_"), F.col("description")).otherwise(F.concat(F.lit("BAD_"), F.coalesce(F.nullif(rest, F.lit("")), F.lit("manual"))))
-    return annotations.withColumn("duration", F.when(bad, F.when(low.rlike("|".join(MAJOR)), longer).otherwise(shorter)).otherwise(F.col("duration"))).withColumn("description", name)
+    name = F.when(~bad | F.col("description").startswith("BAD_"),
+        F.col("description")).otherwise(F.concat(F.lit("BAD_"), F.coalesce(F.nullif(rest, F.lit("")), F.lit("manual"))))
+    return annotations.withColumn("duration",
+        F.when(bad, F.when(low.rlike("|".join(MAJOR)), longer).otherwise(shorter)).otherwise(F.col("duration"))).withColumn("description", name)
 
 
 def grid_overlap(found: DataFrame, manual: DataFrame, key: tuple[str, ...] = KEY, step: float = 0.1) -> DataFrame:
     """Percent of the grid cells of `manual` that `found` covers too."""
-    cell = lambda df: df.filter("stop > start").select(*key, F.explode(F.sequence(F.floor(F.col("start") / step), F.ceil(F.col("stop") / step) - 1)).alias("cell")).distinct()
+    cell = lambda df: df.filter("stop > start").select(*key,
+        F.explode(F.sequence(F.floor(F.col("start") / step), F.ceil(F.col("stop") / step) - 1)).alias("cell")).distinct()
     a, b = cell(manual), cell(found).withColumn("_hit", F.lit(1))
     return a.join(b, [*key, "cell"], "left").groupBy(*key).agg((100.0 * F.count("_hit") / F.count(F.lit(1))).alias("overlap_pct"))
 
@@ -256,11 +278,14 @@ def calibration(signal: DataFrame, bad: DataFrame, sfreq: float, length: float,
     n = int(length / step)
     at = F.floor(F.col("sample_idx") / (sfreq * step))
     rows = signal.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), at - (n - 1)), at)))
-    each = rows.groupBy("recording_id", "w", "channel").agg(F.var_pop("value").alias("v"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= int(length * sfreq))
-    found = each.groupBy("recording_id", "w").agg(F.avg("v").alias("variance")).withColumn("start", F.col("w") * step).withColumn("stop", F.col("start") + length)
+    each = rows.groupBy("recording_id", "w", "channel").agg(F.var_pop("value").alias("v"),
+        F.count(F.lit(1)).alias("c")).filter(F.col("c") >= int(length * sfreq))
+    found = each.groupBy("recording_id", "w").agg(F.avg("v").alias("variance")).withColumn("start", F.col("w") * step).withColumn("stop",
+        F.col("start") + length)
     hit = overlaps(found, merged(bad)).select("recording_id", "w").distinct().withColumn("_bad", F.lit(True))
     order = Window.partitionBy("recording_id").orderBy(F.coalesce("_bad", F.lit(False)), "variance", "w")
-    return found.join(hit, ["recording_id", "w"], "left").withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("recording_id", "start", "stop", "variance", F.coalesce(~F.col("_bad"), F.lit(True)).alias("clean"))
+    return found.join(hit, ["recording_id", "w"], "left").withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("recording_id",
+        "start", "stop", "variance", F.coalesce(~F.col("_bad"), F.lit(True)).alias("clean"))
 
 
 def crop_start(annotations: DataFrame, label: str, within: float = 60.0) -> DataFrame:

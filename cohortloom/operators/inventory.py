@@ -24,7 +24,8 @@ def condition_summary(segments: DataFrame, key: list[str]) -> DataFrame:
 def availability(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """(category, n, pct) of rows that pass each test."""
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])
-    return wide.unpivot(["_n"], list(tests), "category", "n").select("category", "n", F.round(F.when(F.col("_n") > 0, 100.0 * F.col("n") / F.col("_n")).otherwise(0.0), 2).alias("pct"))
+    return wide.unpivot(["_n"], list(tests), "category", "n").select("category", "n",
+        F.round(F.when(F.col("_n") > 0, 100.0 * F.col("n") / F.col("_n")).otherwise(0.0), 2).alias("pct"))
 
 
 def missing_ids(df: DataFrame, id_col: str, tests: dict[str, Column]) -> DataFrame:
@@ -36,7 +37,8 @@ def missing_ids(df: DataFrame, id_col: str, tests: dict[str, Column]) -> DataFra
 def event_rates(df: DataFrame, counts: str) -> DataFrame:
     """(event, records, total, pct): records with the event, from maps of counts."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    e = df.select(F.explode(counts).alias("event", "n")).filter("n > 0").groupBy("event").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("total"))
+    e = df.select(F.explode(counts).alias("event", "n")).filter("n > 0").groupBy("event").agg(F.count(F.lit(1)).alias("records"),
+        F.sum("n").alias("total"))
     return e.crossJoin(F.broadcast(total)).select("event", "records", "total", F.round(100.0 * F.col("records") / F.col("_n"), 2).alias("pct"))
 
 
@@ -67,7 +69,9 @@ def hour_histogram(df: DataFrame, ts: str) -> DataFrame:
 
 def totals(df: DataFrame, subject: str, session: str, seconds: str) -> DataFrame:
     """R9."""
-    return df.agg(F.countDistinct(subject).alias("subjects"), F.countDistinct(subject, session).alias("sessions"), F.count(F.lit(1)).alias("runs"), F.round(F.sum(seconds), 4).alias("total_seconds"), F.round(F.avg(seconds), 4).alias("mean_seconds"), F.round(F.median(seconds), 4).alias("median_seconds"))
+    return df.agg(F.countDistinct(subject).alias("subjects"), F.countDistinct(subject, session).alias("sessions"), F.count(F.lit(1)).alias("runs"),
+        F.round(F.sum(seconds), 4).alias("total_seconds"), F.round(F.avg(seconds), 4).alias("mean_seconds"),
+            F.round(F.median(seconds), 4).alias("median_seconds"))
 
 
 def consistency(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -84,7 +88,8 @@ def span(seconds: Column) -> Column:
     """`Xh Ym Zs`, leading parts of 0 left out."""
     s = F.floor(seconds).cast("long")
     h, m = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)
-    return F.concat_ws(" ", F.when(h > 0, F.concat(h, F.lit("h"))), F.when((h > 0) | (m > 0), F.concat(m, F.lit("m"))), F.concat(F.pmod(s, F.lit(60)), F.lit("s")))
+    return F.concat_ws(" ", F.when(h > 0, F.concat(h, F.lit("h"))), F.when((h > 0) | (m > 0), F.concat(m, F.lit("m"))),
+        F.concat(F.pmod(s, F.lit(60)), F.lit("s")))
 
 
 def clock(seconds: Column) -> Column:
@@ -104,15 +109,20 @@ def session_rollup(runs: DataFrame, summary: DataFrame, by: list[str], run: str,
 
     Conditions are summarised for each run and summed; merging the time axes of different runs would undercount.
     """
-    head = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum(seconds).alias("raw_seconds"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(run))).alias(c) for c in first])
+    head = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum(seconds).alias("raw_seconds"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(run))).alias(c) for c in first])
     tail = summary.groupBy(*by).agg(F.sum("seconds").alias("condition_seconds"), F.sum("blocks").alias("blocks"))
     return head.join(tail, by, "left").na.fill(0, ["condition_seconds", "blocks"])
 
 
 def run_metrics(summary: DataFrame, runs: DataFrame, key: str, seconds: str) -> DataFrame:
     """(run, metric, value): seconds and blocks by condition, covered percent and seconds outside all conditions."""
-    kinds = summary.select(key, F.explode(F.array(F.struct(F.concat(F.lit("seconds:"), "segment_type").alias("metric"), F.col("seconds").alias("value")), F.struct(F.concat(F.lit("blocks:"), "segment_type").alias("metric"), F.col("blocks").cast("double").alias("value")))).alias("m")).select(key, "m.*")
+    kinds = summary.select(key, F.explode(F.array(F.struct(F.concat(F.lit("seconds:"), "segment_type").alias("metric"),
+        F.col("seconds").alias("value")), F.struct(F.concat(F.lit("blocks:"), "segment_type").alias("metric"),
+            F.col("blocks").cast("double").alias("value")))).alias("m")).select(key, "m.*")
     used = summary.groupBy(key).agg(F.sum("seconds").alias("_u"))
     cover = runs.select(key, F.col(seconds).alias("_s")).join(used, key, "left").na.fill(0.0, ["_u"])
-    facts = F.array(F.struct(F.lit("coverage_pct").alias("metric"), F.when(F.col("_s") > 0, 100.0 * F.col("_u") / F.col("_s")).otherwise(0.0).alias("value")), F.struct(F.lit("discarded_seconds").alias("metric"), F.greatest(F.lit(0.0), F.col("_s") - F.col("_u")).alias("value")))
+    facts = F.array(F.struct(F.lit("coverage_pct").alias("metric"),
+        F.when(F.col("_s") > 0, 100.0 * F.col("_u") / F.col("_s")).otherwise(0.0).alias("value")),
+            F.struct(F.lit("discarded_seconds").alias("metric"), F.greatest(F.lit(0.0), F.col("_s") - F.col("_u")).alias("value")))
     return kinds.unionByName(cover.select(key, F.explode(facts).alias("m")).select(key, "m.*"))

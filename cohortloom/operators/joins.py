@@ -12,13 +12,15 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """A left join to a lookup table that must know every key; an unknown one stops the job."""
     t = table.withColumn("_hit", F.lit(True))
     j = df.join(t, keys, "left")
-    return j.withColumn(keys[0], F.when(F.col("_hit"), F.col(keys[0])).otherwise(F.raise_error(F.concat_ws("|", F.lit("unknown key"), *[F.col(k).cast("string") for k in keys])))).drop("_hit")
+    return j.withColumn(keys[0], F.when(F.col("_hit"),
+        F.col(keys[0])).otherwise(F.raise_error(F.concat_ws("|", F.lit("unknown key"), *[F.col(k).cast("string") for k in keys])))).drop("_hit")
 
 
 def enriched(df: DataFrame, meta: DataFrame, left: str, right: str) -> DataFrame:
     """Metadata columns that df lacks, by normalised subject; the first metadata row of a subject counts (least by all columns)."""
     new = [c for c in meta.columns if c not in df.columns and c != right]
-    one = meta.withColumn("_s", subject(F.col(right))).withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(*meta.columns))).filter("_r = 1").select("_s", *new)
+    one = meta.withColumn("_s", subject(F.col(right))).withColumn("_r",
+        F.row_number().over(Window.partitionBy("_s").orderBy(*meta.columns))).filter("_r = 1").select("_s", *new)
     return df.join(one, subject(F.col(left)) == F.col("_s"), "left").drop("_s")
 
 
@@ -30,7 +32,8 @@ def resolved(records: DataFrame, meta: DataFrame, second_source: str = "drug_res
     a = by_study.select(F.col("study_id").alias("_a"), F.col("hit").alias("_ha"))
     b = by_patient.select(F.col("patient_id").alias("_b"), F.col("s").alias("_sb"))
     c = by_study.select(F.col("study_id").alias("_c"), F.col("hit").alias("_hc"))
-    j = records.join(a, records.study_id == F.col("_a"), "left").join(b, records.patient_id == F.col("_b"), "left").join(c, (records.folder_id == F.col("_c")) & (records.source == second_source), "left")
+    j = records.join(a, records.study_id == F.col("_a"), "left").join(b, records.patient_id == F.col("_b"), "left").join(c,
+        (records.folder_id == F.col("_c")) & (records.source == second_source), "left")
     how = F.when(F.col("_ha"), "study_id").when(F.col("_b").isNotNull(), "patient_id").when(F.col("_hc"), "folder_id")
     found = F.when(F.col("_ha"), F.col("_a")).when(F.col("_b").isNotNull(), F.col("_sb")).when(F.col("_hc"), F.col("_c"))
     missing = F.col("has_eeg") == F.lit(False) if "has_eeg" in records.columns else F.lit(False)
@@ -40,7 +43,8 @@ def resolved(records: DataFrame, meta: DataFrame, second_source: str = "drug_res
 
 def reference_row(runs: DataFrame, keys: list[str], reference: DataFrame, key: str, order: str) -> DataFrame:
     """The reference row of the first key column of a run that is known; of rows that share a key the last by `order`."""
-    last = reference.groupBy(key).agg(F.max(F.struct(order, *[c for c in reference.columns if c not in (key, order)])).alias("_ref")).withColumnRenamed(key, "_key")
+    last = reference.groupBy(key).agg(F.max(F.struct(order,
+        *[c for c in reference.columns if c not in (key, order)])).alias("_ref")).withColumnRenamed(key, "_key")
     tries = runs.select("run_id", F.posexplode(F.array(*[F.col(k) for k in keys])).alias("priority", "_key")).join(last, "_key")
     best = tries.withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy("priority"))).filter("_r = 1")
     return runs.join(best.select("run_id", "priority", "_ref"), "run_id", "left").select(*[runs[c] for c in runs.columns], "priority", "_ref.*")

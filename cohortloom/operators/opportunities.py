@@ -12,9 +12,11 @@ from ..session import scratch
 LONGITUDINAL = "DrugResistance_First_vs_Later"
 #: Comparisons of named drugs, whose empty arm is a lack of that category; then those that lack it by arm 2.
 BY_CATEGORY = (
-    "Epilepsy_ASM_Effect_LEV_Only", "Epilepsy_ASM_Effect_VPA_Only", "Epilepsy_LEV_vs_VPA_Only", "NonEpilepsy_vs_Epilepsy_LEV_Only", "NonEpilepsy_vs_Epilepsy_VPA_Only",
+    "Epilepsy_ASM_Effect_LEV_Only", "Epilepsy_ASM_Effect_VPA_Only", "Epilepsy_LEV_vs_VPA_Only", "NonEpilepsy_vs_Epilepsy_LEV_Only",
+        "NonEpilepsy_vs_Epilepsy_VPA_Only",
     "ADHD_Psychostim_Effect_Methylphenidate", "ADHD_Psychostim_Effect_Lisdexamfetamine", "ADHD_Psychostim_Effect_Dextroamphetamine",
-    "ADHD_Methylphenidate_vs_Lisdexamfetamine", "ADHD_Methylphenidate_vs_Amphetamine", "Control_vs_ADHD_Methylphenidate", "Control_vs_ADHD_Lisdexamfetamine", "Control_vs_ADHD_Amphetamine",
+    "ADHD_Methylphenidate_vs_Lisdexamfetamine", "ADHD_Methylphenidate_vs_Amphetamine", "Control_vs_ADHD_Methylphenidate",
+        "Control_vs_ADHD_Lisdexamfetamine", "Control_vs_ADHD_Amphetamine",
 )
 BY_SECOND_ARM = ("NonEpilepsy_vs_Epilepsy_Unmedicated", "NonEpilepsy_vs_Epilepsy_ASM_Any", "Control_vs_ADHD_Medicated_Any")
 SPECS = [(i, *x) for i, x in enumerate((c[0], c[1], c[2], s) for c in COMPARISONS for s in c[5])]
@@ -22,7 +24,8 @@ SPECS = [(i, *x) for i, x in enumerate((c[0], c[1], c[2], s) for c in COMPARISON
 
 def specs(spark) -> DataFrame:
     """(spec, analysis, group_1, group_2, constraint, status): the fixed list of comparisons and constraint sets."""
-    return spark.createDataFrame(SPECS, "spec int, analysis string, group_1 string, group_2 string, constraint string").withColumn("status", set_status(F.split("constraint", "\\+")))
+    return spark.createDataFrame(SPECS, "spec int, analysis string, group_1 string, group_2 string, constraint string").withColumn("status",
+        set_status(F.split("constraint", "\\+")))
 
 
 ARMS = list(dict.fromkeys(p for c in COMPARISONS for p in (c[3], c[4])))
@@ -61,21 +64,26 @@ def opportunities(df: DataFrame, least: int) -> DataFrame:
     mark = F.xxhash64("study_id").cast("decimal(38,0)")
     cells = row.groupBy("sex", "age_group", "spec", "pair").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("one").alias("n1"), F.count_if("two").alias("n2"),
-        F.coalesce(F.sum(F.when(F.col("one"), mark)), F.lit(0)).alias("f1"), F.coalesce(F.sum(F.when(F.col("two"), mark)), F.lit(0)).alias("f2"))
+        F.coalesce(F.sum(F.when(F.col("one"), mark)), F.lit(0)).alias("f1"),
+            F.coalesce(F.sum(F.when(F.col("two"), mark)), F.lit(0)).alias("f2"))
     in_arm = F.col("pair").isNull() | ((F.col("pair") != "none") & (F.col("n1") > 0) & (F.col("n2") > 0))
     total = lambda c: F.coalesce(F.sum(F.when(in_arm, F.col(c))), F.lit(0))
     sized = cells.groupBy("sex", "age_group", "spec").agg(
-        F.sum("n").alias("cohort_n"), total("n1").alias("n1"), total("n2").alias("n2"), total("f1").alias("f1"), total("f2").alias("f2"), F.count_if(F.col("pair").isNotNull() & in_arm).alias("paired"))
+        F.sum("n").alias("cohort_n"), total("n1").alias("n1"), total("n2").alias("n2"), total("f1").alias("f1"), total("f2").alias("f2"),
+            F.count_if(F.col("pair").isNotNull() & in_arm).alias("paired"))
     ages = df.select("age_group").filter("age_group is not null").distinct().select("age_group", age_group_order(F.col("age_group")).alias("place"))
     ages = ages.union(spark.createDataFrame([("All", -1)], "age_group string, place int"))
-    grid = spark.createDataFrame([("All", 0), ("Male", 1), ("Female", 2)], "sex string, sex_place int").crossJoin(ages).crossJoin(F.broadcast(specs(spark)))
+    grid = spark.createDataFrame([("All", 0), ("Male", 1), ("Female", 2)],
+        "sex string, sex_place int").crossJoin(ages).crossJoin(F.broadcast(specs(spark)))
     both = grid.join(sized, ["sex", "age_group", "spec"], "left").na.fill(0, ["cohort_n", "n1", "n2", "paired"])
     both = both.withColumns({c: F.when(F.col("status").isNull(), F.col(c)).otherwise(0) for c in ("cohort_n", "n1", "n2", "paired")})
-    empty = F.when(F.col("analysis") == LONGITUDINAL, "insufficient_longitudinal_pairs").when(F.col("analysis").isin(*BY_CATEGORY), "insufficient_category_support")
+    empty = F.when(F.col("analysis") == LONGITUDINAL, "insufficient_longitudinal_pairs").when(F.col("analysis").isin(*BY_CATEGORY),
+        "insufficient_category_support")
     empty = empty.when(F.col("analysis").isin(*BY_SECOND_ARM) & (F.col("n2") == 0), "insufficient_category_support").otherwise("one_group_empty")
     small = F.when(F.col("analysis") == LONGITUDINAL, F.col("paired") < least).otherwise((F.col("n1") < least) | (F.col("n2") < least))
     reason = (
-        F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("cohort_n") == 0, "empty_filtered_cohort").when((F.col("n1") == 0) | (F.col("n2") == 0), empty)
+        F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("cohort_n") == 0,
+            "empty_filtered_cohort").when((F.col("n1") == 0) | (F.col("n2") == 0), empty)
         .when(small, "too_small_group").when((F.col("f1") == F.col("f2")) & (F.col("n1") == F.col("n2")), "same_group_membership")
     )
     judged = both.withColumn("reason", reason)
@@ -96,7 +104,8 @@ def resolved(found: DataFrame, selectors: DataFrame) -> DataFrame:
     """The one valid opportunity of each selector (analysis, constraint, sex, age_group); none or several is an error."""
     keys = ["analysis", "constraint", "sex", "age_group"]
     hits = selectors.join(found.filter("is_valid"), keys, "left").withColumn("hits", F.count("is_valid").over(Window.partitionBy(*keys)))
-    return hits.withColumn("n1", F.when(F.col("hits") == 1, F.col("n1")).otherwise(F.raise_error(F.concat(F.lit("selector without exactly one valid opportunity: "), *keys)).cast("long"))).drop("hits")
+    return hits.withColumn("n1", F.when(F.col("hits") == 1,
+        F.col("n1")).otherwise(F.raise_error(F.concat(F.lit("selector without exactly one valid opportunity: "), *keys)).cast("long"))).drop("hits")
 
 
 def family(c: Column) -> Column:
@@ -121,24 +130,33 @@ def projection(tracked: DataFrame, required: DataFrame, cohort_n: int, milestone
     today = required.filter(F.col("milestone") == now).select("analysis", F.col("need1").alias("t1"), F.col("need2").alias("t2"))
     rows = rows.join(today, "analysis").withColumn("scale", F.greatest(F.lit(1.0), F.col("milestone") / F.lit(float(cohort_n))))
     rows = rows.withColumns({"projected1": F.floor(F.col("n1") * F.col("scale")), "projected2": F.floor(F.col("n2") * F.col("scale"))})
-    rows = rows.withColumns({"short1": F.greatest(F.lit(0), F.col("need1") - F.col("projected1")), "short2": F.greatest(F.lit(0), F.col("need2") - F.col("projected2"))})
-    rows = rows.withColumn("feasible", (F.col("short1") == 0) & (F.col("short2") == 0)).withColumn("rows_to_add", F.greatest(F.lit(0), F.col("milestone") - cohort_n))
-    before = F.coalesce(F.lag("feasible").over(Window.partitionBy("label").orderBy("milestone")), (F.col("n1") >= F.col("t1")) & (F.col("n2") >= F.col("t2")))
-    limiting = F.when(F.col("feasible"), "none").when((F.col("short1") > 0) & (F.col("short2") > 0), "both").when(F.col("short1") > 0, "group_1").otherwise("group_2")
+    rows = rows.withColumns({"short1": F.greatest(F.lit(0), F.col("need1") - F.col("projected1")),
+        "short2": F.greatest(F.lit(0), F.col("need2") - F.col("projected2"))})
+    rows = rows.withColumn("feasible", (F.col("short1") == 0) & (F.col("short2") == 0)).withColumn("rows_to_add",
+        F.greatest(F.lit(0), F.col("milestone") - cohort_n))
+    before = F.coalesce(F.lag("feasible").over(Window.partitionBy("label").orderBy("milestone")),
+        (F.col("n1") >= F.col("t1")) & (F.col("n2") >= F.col("t2")))
+    limiting = F.when(F.col("feasible"), "none").when((F.col("short1") > 0) & (F.col("short2") > 0), "both").when(F.col("short1") > 0,
+        "group_1").otherwise("group_2")
     return rows.withColumn("newly_feasible", F.col("feasible") & ~before).select(
-        "label", "analysis", family(F.col("analysis")).alias("family"), "milestone", "rows_to_add", "n1", "n2", "projected1", "projected2", "need1", "need2", "short1", "short2", "feasible", "newly_feasible", limiting.alias("limiting_group"))
+        "label", "analysis", family(F.col("analysis")).alias("family"), "milestone", "rows_to_add", "n1", "n2", "projected1", "projected2", "need1",
+            "need2", "short1", "short2", "feasible", "newly_feasible", limiting.alias("limiting_group"))
 
 
 def pools(df: DataFrame, milestones: tuple[int, ...] = MILESTONES) -> DataFrame:
     """Current and needed sizes of the pool tree; a pool's net need is its gap less its children's, bottom up."""
     spark = df.sparkSession
     counts = pool_counts(df).unpivot([], list(POOLS), "pool", "current_n")
-    targets = spark.createDataFrame([(k, p[1], p[2], m, t) for k, p in POOLS.items() for m, t in zip(MILESTONES, p[3], strict=True) if m in milestones], "pool string, depth int, parent string, milestone int, target_n int")
-    rows = targets.join(counts, "pool").withColumn("raw_gap", F.greatest(F.lit(0), F.col("target_n") - F.col("current_n"))).withColumn("child_planned", F.lit(0).cast("long"))
+    targets = spark.createDataFrame([(k, p[1], p[2], m, t) for k, p in POOLS.items() for m,
+        t in zip(MILESTONES, p[3], strict=True) if m in milestones], "pool string, depth int, parent string, milestone int, target_n int")
+    rows = targets.join(counts, "pool").withColumn("raw_gap",
+        F.greatest(F.lit(0), F.col("target_n") - F.col("current_n"))).withColumn("child_planned", F.lit(0).cast("long"))
     rows = rows.withColumn("net_needed", F.col("raw_gap"))
     for depth in (1, 0):
-        child = rows.filter(F.col("depth") == depth + 1).groupBy(F.col("parent").alias("_p"), F.col("milestone").alias("_m")).agg(F.sum("net_needed").alias("_net"))
+        child = rows.filter(F.col("depth") == depth + 1).groupBy(F.col("parent").alias("_p"),
+            F.col("milestone").alias("_m")).agg(F.sum("net_needed").alias("_net"))
         rows = rows.join(F.broadcast(child), (F.col("pool") == F.col("_p")) & (F.col("milestone") == F.col("_m")), "left")
         planned = F.when(F.col("depth") == depth, F.coalesce("_net", F.lit(0))).otherwise(F.col("child_planned"))
-        rows = rows.withColumn("child_planned", planned).withColumn("net_needed", F.greatest(F.lit(0), F.col("raw_gap") - F.col("child_planned"))).drop("_p", "_m", "_net")
+        rows = rows.withColumn("child_planned", planned).withColumn("net_needed",
+            F.greatest(F.lit(0), F.col("raw_gap") - F.col("child_planned"))).drop("_p", "_m", "_net")
     return rows.select("milestone", "pool", "depth", "parent", "current_n", "target_n", "raw_gap", "child_planned", "net_needed")

@@ -19,17 +19,20 @@ STATUS_ORDER = {"usable": 0, "borderline": 1, "unusable": 2}
 def peak_to_peak(signal: DataFrame, key: tuple[str, ...] = ("recording_id",), channel: str = "channel", value: str = "value") -> DataFrame:
     """Q1: per channel the range of values; over channels mean, median, population sd, minimum and maximum."""
     each = signal.groupBy(*key, channel).agg((F.max(value) - F.min(value)).alias("ptp"))
-    return each.groupBy(*key).agg(F.avg("ptp").alias("ptp_mean"), F.median("ptp").alias("ptp_median"), F.stddev_pop("ptp").alias("ptp_std"), F.min("ptp").alias("ptp_min"), F.max("ptp").alias("ptp_max"))
+    return each.groupBy(*key).agg(F.avg("ptp").alias("ptp_mean"), F.median("ptp").alias("ptp_median"), F.stddev_pop("ptp").alias("ptp_std"),
+        F.min("ptp").alias("ptp_min"), F.max("ptp").alias("ptp_max"))
 
 
-def bad_channels(signal: DataFrame, key: tuple[str, ...] = ("recording_id",), channel: str = "channel", value: str = "value", low: float = 0.01, high: float = 0.99) -> DataFrame:
+def bad_channels(signal: DataFrame, key: tuple[str, ...] = ("recording_id",), channel: str = "channel", value: str = "value", low: float = 0.01,
+    high: float = 0.99) -> DataFrame:
     """Q2: channels whose variance lies below the 1st (flat) or above the 99th (noisy) percentile of the recording's channels."""
     each = signal.groupBy(*key, channel).agg(F.var_pop(value).alias("v"))
     bounds = each.groupBy(*key).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
     j = each.join(bounds, list(key))
     flat, noisy = F.col("v") < F.col("q")[0], F.col("v") > F.col("q")[1]
     names = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col(channel).cast("string")))), ",")
-    return j.groupBy(*key).agg(F.count_if(flat).alias("n_flat"), F.count_if(noisy).alias("n_noisy"), names(flat).alias("flat"), names(noisy).alias("noisy"), (100.0 * F.count_if(flat | noisy) / F.count(F.lit(1))).alias("pct_bad"))
+    return j.groupBy(*key).agg(F.count_if(flat).alias("n_flat"), F.count_if(noisy).alias("n_noisy"), names(flat).alias("flat"),
+        names(noisy).alias("noisy"), (100.0 * F.count_if(flat | noisy) / F.count(F.lit(1))).alias("pct_bad"))
 
 
 def _trapezoid(psd: DataFrame, keys: list[str], freq: str, power: str) -> DataFrame:
@@ -37,7 +40,8 @@ def _trapezoid(psd: DataFrame, keys: list[str], freq: str, power: str) -> DataFr
     return psd.withColumn("_area", (F.lead(freq).over(w) - F.col(freq)) * (F.lead(power).over(w) + F.col(power)) / 2)
 
 
-def band_power(psd: DataFrame, bands: dict[str, tuple[float, float]] = BANDS, keys: tuple[str, ...] = ("recording_id", "channel"), freq: str = "freq", power: str = "power", scale: float = 1e12) -> DataFrame:
+def band_power(psd: DataFrame, bands: dict[str, tuple[float, float]] = BANDS, keys: tuple[str, ...] = ("recording_id", "channel"),
+    freq: str = "freq", power: str = "power", scale: float = 1e12) -> DataFrame:
     """Q3: (keys, band, power): trapezoid over the bins inside each band (both ends included), scaled to square microvolts."""
     table = psd.sparkSession.createDataFrame([(b, lo, hi) for b, (lo, hi) in bands.items()], "band string, lo double, hi double")
     inside = psd.join(F.broadcast(table), (F.col(freq) >= F.col("lo")) & (F.col(freq) <= F.col("hi")))
@@ -71,7 +75,8 @@ def spectral_distance(a: DataFrame, b: DataFrame, key: tuple[str, ...] = ("recor
     return j.groupBy(*key).agg(F.sqrt(F.avg(F.pow(10 * F.log10("power") - 10 * F.log10("_other"), 2))).alias("log_spectral_distance"))
 
 
-def welch(signal: DataFrame, sfreq: float, segment: int = 256, overlap: float = 0.5, keys: tuple[str, ...] = ("recording_id", "channel")) -> DataFrame:
+def welch(signal: DataFrame, sfreq: float, segment: int = 256, overlap: float = 0.5,
+    keys: tuple[str, ...] = ("recording_id", "channel")) -> DataFrame:
     """Q7: power spectral density (keys, freq, power) by Welch's method with a Hann window.
 
     signal(keys, sample_idx, value): each sample is sent to the segments that hold it, and a task works on one segment
@@ -83,8 +88,10 @@ def welch(signal: DataFrame, sfreq: float, segment: int = 256, overlap: float =
     step = int(segment * (1 - overlap))
     back = -(-segment // step) - 1
     at = F.floor(F.col("sample_idx") / step)
-    rows = signal.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), at - back), at))).filter(F.col("sample_idx") < F.col("w") * step + segment)
-    parts = rows.groupBy(*keys, "w").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("s")).filter(F.size("s") == segment).select(*keys, F.col("s.value").alias("v"))
+    rows = signal.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), at - back),
+        at))).filter(F.col("sample_idx") < F.col("w") * step + segment)
+    parts = rows.groupBy(*keys, "w").agg(F.array_sort(F.collect_list(F.struct("sample_idx",
+        "value"))).alias("s")).filter(F.size("s") == segment).select(*keys, F.col("s.value").alias("v"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hann = np.hanning(segment + 1)[:-1]
@@ -98,18 +105,21 @@ def welch(signal: DataFrame, sfreq: float, segment: int = 256, overlap: float =
 
     kinds = ", ".join(f"{k} {t}" for k, t in signal.dtypes if k in keys)
     spectra = parts.mapInPandas(run, f"{kinds}, p array<double>")
-    return spectra.select(*keys, F.posexplode("p").alias("bin", "power")).groupBy(*keys, "bin").agg(F.avg("power").alias("power")).select(*keys, (F.col("bin") * sfreq / segment).alias("freq"), "power")
+    return spectra.select(*keys, F.posexplode("p").alias("bin", "power")).groupBy(*keys, "bin").agg(F.avg("power").alias("power")).select(*keys,
+        (F.col("bin") * sfreq / segment).alias("freq"), "power")
 
 
 def segment_flag(df: DataFrame) -> DataFrame:
     """Q8: flag and `;`-joined reasons of hf_lf_ratio, aperiodic_slope and pct_bad_channels."""
     reasons = F.concat_ws(
-        ";", F.when(F.col("hf_lf_ratio") > 0.5, "high_hf_lf_ratio"), F.when((F.col("aperiodic_slope") < 0.5) | (F.col("aperiodic_slope") > 3), "atypical_slope"), F.when(F.col("pct_bad_channels") > 30, "many_bad_channels"))
+        ";", F.when(F.col("hf_lf_ratio") > 0.5, "high_hf_lf_ratio"),
+            F.when((F.col("aperiodic_slope") < 0.5) | (F.col("aperiodic_slope") > 3), "atypical_slope"), F.when(F.col("pct_bad_channels") > 30, "many_bad_channels"))
     return df.withColumn("flag_reasons", reasons).withColumn("flagged", reasons != "")
 
 
 #: Limits of the usability flag.
-LIMITS = {"n_bad_unusable": 7, "n_bad_borderline": 4, "amplitude_max_uv": 800.0, "line_noise_ratio": 5.0, "hf_lf_ratio": 0.5, "duration_retention_pct": 50.0, "condition_coverage_retention_pct": 80.0}
+LIMITS = {"n_bad_unusable": 7, "n_bad_borderline": 4, "amplitude_max_uv": 800.0, "line_noise_ratio": 5.0, "hf_lf_ratio": 0.5,
+    "duration_retention_pct": 50.0, "condition_coverage_retention_pct": 80.0}
 
 
 def usability(df: DataFrame, retention: bool = False, limits: dict[str, float] = LIMITS) -> DataFrame:
@@ -122,14 +132,16 @@ def usability(df: DataFrame, retention: bool = False, limits: dict[str, float] =
     above = lambda c: F.coalesce(number(F.col(c)) > limits[c], F.lit(False))
     below = lambda c: F.coalesce(number(F.col(c)) < limits[c], F.lit(False))
     many, loud = bad >= limits["n_bad_unusable"], above("amplitude_max_uv")
-    notes = [F.when(many, "too_many_bad_channels").when(bad >= limits["n_bad_borderline"], "many_bad_channels"), F.when(loud, "amplitude_above_threshold"), F.when(above("line_noise_ratio"), "line_noise_residual"), F.when(above("hf_lf_ratio"), "high_hf_ratio")]
+    notes = [F.when(many, "too_many_bad_channels").when(bad >= limits["n_bad_borderline"], "many_bad_channels"),
+        F.when(loud, "amplitude_above_threshold"), F.when(above("line_noise_ratio"), "line_noise_residual"), F.when(above("hf_lf_ratio"), "high_hf_ratio")]
     unusable = many | loud
     if retention:
         short = below("duration_retention_pct")
         notes += [F.when(short, "low_duration_retention"), F.when(below("condition_coverage_retention_pct"), "low_condition_retention")]
         unusable = unusable | short
     reasons = F.concat_ws(";", *notes)
-    return df.withColumn("reasons", reasons).withColumn("status", F.when(unusable, "unusable").when(F.col("reasons") != "", "borderline").otherwise("usable"))
+    return df.withColumn("reasons", reasons).withColumn("status",
+        F.when(unusable, "unusable").when(F.col("reasons") != "", "borderline").otherwise("usable"))
 
 
 def qc_score(count: Column, count_limit: float, others: list[tuple[Column, float]]) -> Column:
@@ -147,32 +159,37 @@ def rollup(df: DataFrame, by: list[str], weight: str, means: list[str], maxima:
         rank = rank.when(F.col(status) == s, i)
     weighted = lambda c: (F.sum(number(F.col(c)) * w) / F.sum(F.when(number(F.col(c)).isNotNull(), w))).alias(c)
     words = F.array_remove(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(F.coalesce(reasons, F.lit("")), ";"))))), "")
-    return df.groupBy(*by).agg(*[weighted(c) for c in means], *[F.max(number(F.col(c))).alias(f"max_{c}") for c in maxima], F.max_by(status, F.struct(rank.otherwise(unknown), F.col(status))).alias(status), F.array_join(words, ";").alias(reasons))
+    return df.groupBy(*by).agg(*[weighted(c) for c in means], *[F.max(number(F.col(c))).alias(f"max_{c}") for c in maxima],
+        F.max_by(status, F.struct(rank.otherwise(unknown), F.col(status))).alias(status), F.array_join(words, ";").alias(reasons))
 
 
 def channel_maps(df: DataFrame, metric: str = "metric", values: str = "channel_values", weight: str = "weight") -> DataFrame:
     """Q12: (metric, channel, value): weighted means of finite values in arrays of (channel, value)."""
-    e = df.select(metric, F.col(weight).alias("_w"), F.explode(values).alias("c")).select(metric, "_w", F.col("c.channel").alias("channel"), number(F.col("c.value")).alias("v")).filter("v is not null and _w > 0")
+    e = df.select(metric, F.col(weight).alias("_w"), F.explode(values).alias("c")).select(metric, "_w", F.col("c.channel").alias("channel"),
+        number(F.col("c.value")).alias("v")).filter("v is not null and _w > 0")
     return e.groupBy(metric, "channel").agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("value"))
 
 
 def top_channels(df: DataFrame, by: list[str], channel: str, value: str, k: int = 5) -> DataFrame:
     """Q13: the k channels of largest finite value of each group, with their place; ties by name."""
     w = Window.partitionBy(*by).orderBy(F.desc("_v"), channel)
-    return df.withColumn("_v", number(F.col(value))).filter("_v is not null").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("_v")
+    return df.withColumn("_v", number(F.col(value))).filter("_v is not null").withColumn("place",
+        F.row_number().over(w)).filter(F.col("place") <= k).drop("_v")
 
 
 def failure_rate(df: DataFrame, flat: str, noisy: str) -> DataFrame:
     """Q14: (channel, rate): flat plus noisy hits by the number of records; it can pass 1."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    hits = df.select(F.explode(F.concat(F.coalesce(flat, F.array().cast("array<string>")), F.coalesce(noisy, F.array().cast("array<string>")))).alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("hits"))
+    hits = df.select(F.explode(F.concat(F.coalesce(flat, F.array().cast("array<string>")),
+        F.coalesce(noisy, F.array().cast("array<string>")))).alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("hits"))
     return hits.crossJoin(F.broadcast(total)).select("channel", "hits", (F.col("hits") / F.col("_n")).alias("rate"))
 
 
 def reactivity(df: DataFrame, by: list[str], state: str, power: str) -> DataFrame:
     """Q15: mean alpha power with eyes closed over eyes open, where the latter is above 0."""
     m = lambda s: F.avg(F.when(F.col(state) == s, number(F.col(power))))
-    return df.groupBy(*by).agg(m("EC").alias("_c"), m("EO").alias("_o")).select(*by, F.when(F.col("_o") > 0, F.col("_c") / F.col("_o")).alias("alpha_reactivity"))
+    return df.groupBy(*by).agg(m("EC").alias("_c"), m("EO").alias("_o")).select(*by,
+        F.when(F.col("_o") > 0, F.col("_c") / F.col("_o")).alias("alpha_reactivity"))
 
 
 def deltas(df: DataFrame, other: DataFrame, keys: list[str], metrics: list[str], prefix: str) -> DataFrame:
@@ -188,12 +205,14 @@ def robust_outliers(df: DataFrame, ids: list[str], metrics: list[str], limit: fl
     off = long.join(F.broadcast(medians(long, ["metric"], "value", "mid")), "metric").withColumn("off", F.abs(F.col("value") - F.col("mid")))
     mad = medians(off, ["metric"], "off", "mad").filter("mad > 0")
     z = 0.6745 * (F.col("value") - F.col("mid")) / F.col("mad")
-    return off.join(F.broadcast(mad), "metric").withColumn("z", z).filter(F.abs("z") >= limit).select(*ids, "metric", "value", "z").orderBy(F.desc(F.abs("z")), "metric", *ids)
+    return off.join(F.broadcast(mad), "metric").withColumn("z", z).filter(F.abs("z") >= limit).select(*ids, "metric", "value",
+        "z").orderBy(F.desc(F.abs("z")), "metric", *ids)
 
 
 def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
     """Q18: (reason, n) of `;`-joined reasons."""
-    return df.select(F.explode(F.split(F.coalesce(reasons, F.lit("")), ";")).alias("reason")).select(F.trim("reason").alias("reason")).filter("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.explode(F.split(F.coalesce(reasons, F.lit("")),
+        ";")).alias("reason")).select(F.trim("reason").alias("reason")).filter("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_counts(df: DataFrame, status: str) -> DataFrame:
@@ -213,7 +232,8 @@ def verdicts(values: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFra
     long = values.select(*[number(F.col(m)).alias(m) for m in limits]).unpivot([], list(limits), "metric", "value")
     table = values.sparkSession.createDataFrame([(m, k, float(x)) for m, (k, x) in limits.items()], "metric string, kind string, limit double")
     ok = F.when(F.col("kind") == "max", F.col("value") <= F.col("limit")).otherwise(F.col("value") >= F.col("limit"))
-    return long.join(F.broadcast(table), "metric").select("metric", "value", "limit", F.when(F.col("value").isNull(), "unknown").when(ok, "pass").otherwise("fail").alias("verdict"))
+    return long.join(F.broadcast(table), "metric").select("metric", "value", "limit",
+        F.when(F.col("value").isNull(), "unknown").when(ok, "pass").otherwise("fail").alias("verdict"))
 
 
 def run_means(df: DataFrame, by: list[str], metrics: list[str], usable: Column) -> DataFrame:

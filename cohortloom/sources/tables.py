@@ -45,7 +45,8 @@ def shards(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame
     """S3: (path, sub, ses, condition) of the files below sub-*/ses-*/eeg/<condition>/."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path")
     e = entities(F.col("path"))
-    return files.select("path", e["sub"].alias("sub"), e["ses"].alias("ses"), F.nullif(F.regexp_extract("path", r"/eeg/([^/]+)/[^/]+$", 1), F.lit("")).alias("condition"))
+    return files.select("path", e["sub"].alias("sub"), e["ses"].alias("ses"),
+        F.nullif(F.regexp_extract("path", r"/eeg/([^/]+)/[^/]+$", 1), F.lit("")).alias("condition"))
 
 
 def sidecars(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
@@ -68,7 +69,8 @@ def header_fields(df: DataFrame, text: str) -> DataFrame:
     """Record number, date and time in a text."""
     find = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     stamp = F.concat_ws(" ", find(r"(\d{4}[-/]\d{2}[-/]\d{2})"), find(r"(\d{2}:\d{2}:\d{2})"))
-    return df.withColumn("record_id", find(r"(?i)\b(?:id|no)\s*[:=]?\s*(\d+)")).withColumn("recorded_at", F.try_to_timestamp(F.regexp_replace(stamp, "/", "-"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    return df.withColumn("record_id", find(r"(?i)\b(?:id|no)\s*[:=]?\s*(\d+)")).withColumn("recorded_at",
+        F.try_to_timestamp(F.regexp_replace(stamp, "/", "-"), F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def write_tables(df: DataFrame, root: str, by: tuple[str, ...] = ("model_key", "condition"), text: bool = False) -> None:
@@ -115,7 +117,8 @@ def replace_table(df: DataFrame, path: str, keep: str) -> None:
 def removed_summary(df: DataFrame, reason: str, source: str) -> DataFrame:
     """(kind, value, n): removed rows in all, by reason and by source."""
     rows = df.filter(F.col(reason).isNotNull())
-    kinds = F.array(F.struct(F.lit("all").alias("kind"), F.lit("all").alias("value")), F.struct(F.lit("reason").alias("kind"), F.col(reason).alias("value")), F.struct(F.lit("source").alias("kind"), F.col(source).alias("value")))
+    kinds = F.array(F.struct(F.lit("all").alias("kind"), F.lit("all").alias("value")),
+        F.struct(F.lit("reason").alias("kind"), F.col(reason).alias("value")), F.struct(F.lit("source").alias("kind"), F.col(source).alias("value")))
     return rows.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"))
 
 
