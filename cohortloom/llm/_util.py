@@ -35,8 +35,9 @@ def dropped(spark: SparkSession, *tables: DataFrame, only: str = "") -> None:
         root = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared)).toString()
         if folder.endswith(only) and fs.makeQualified(place).toString().startswith(root):
             fs.delete(place, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees can hold what the second finds
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 #: Bytes of a table of numbers that may be broadcast, as its rows lie in memory: 8 a column and 64 for the row and its place.
