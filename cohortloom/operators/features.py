@@ -142,7 +142,7 @@ def distribution(rows: DataFrame) -> DataFrame:
     rows = rows.filter("value is not null")
     plain = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"),
         F.max("value").alias("high"))
-    return plain.join(F.broadcast(medians(rows, ["feature"], "value", "median")), "feature")
+    return plain.join(medians(rows, ["feature"], "value", "median"), "feature")
 
 
 def family_conditions(rows: DataFrame, names: DataFrame, failures: DataFrame) -> DataFrame:
@@ -170,8 +170,8 @@ def robust_z(rows: DataFrame, within: list[str]) -> DataFrame:
     """
     keys = [*within, "feature"]
     if not within:
-        off = rows.join(F.broadcast(medians(rows, keys, "value", "_mid")), keys, "left").withColumn("_off", F.abs(F.col("value") - F.col("_mid")))
-        both = off.join(F.broadcast(medians(off, keys, "_off", "_mad")), keys, "left")
+        off = rows.join(medians(rows, keys, "value", "_mid"), keys, "left").withColumn("_off", F.abs(F.col("value") - F.col("_mid")))
+        both = off.join(medians(off, keys, "_off", "_mad"), keys, "left")
     else:
         w = Window.partitionBy(*keys)  # both medians over one layout of the rows
         both = rows.withColumn("_mid", F.median("value").over(w)).withColumn("_off", F.abs(F.col("value") - F.col("_mid"))).withColumn("_mad",

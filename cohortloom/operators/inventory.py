@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import duration
+from .ranks import medians
 
 
 def numbered_runs(df: DataFrame, subject: str, order: list[str]) -> DataFrame:
@@ -68,10 +69,11 @@ def hour_histogram(df: DataFrame, ts: str) -> DataFrame:
 
 
 def totals(df: DataFrame, subject: str, session: str, seconds: str) -> DataFrame:
-    """R9."""
-    return df.agg(F.countDistinct(subject).alias("subjects"), F.countDistinct(subject, session).alias("sessions"), F.count(F.lit(1)).alias("runs"),
-        F.round(F.sum(seconds), 4).alias("total_seconds"), F.round(F.avg(seconds), 4).alias("mean_seconds"),
-            F.round(F.median(seconds), 4).alias("median_seconds"))
+    """One row; the median is selected, not gathered."""
+    sums = df.agg(F.countDistinct(subject).alias("subjects"), F.countDistinct(subject, session).alias("sessions"), F.count(F.lit(1)).alias("runs"), F.round(F.sum(seconds), 4).alias("total_seconds"),
+                  F.round(F.avg(seconds), 4).alias("mean_seconds"))
+    middle = medians(df, [], seconds, "median").agg(F.round(F.first("median"), 4).alias("median_seconds"))
+    return sums.crossJoin(middle)
 
 
 def consistency(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

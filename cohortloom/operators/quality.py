@@ -202,10 +202,10 @@ def robust_outliers(df: DataFrame, ids: list[str], metrics: list[str], limit: fl
     """Q17: (ids, metric, value, z) where |0.6745 (value - median) / MAD| reaches limit; a metric with MAD 0 is skipped."""
     long = df.select(*ids, *[number(F.col(m)).alias(m) for m in metrics]).unpivot(ids, metrics, "metric", "value").filter("value is not null")
     long = scratch(long, "metrics")
-    off = long.join(F.broadcast(medians(long, ["metric"], "value", "mid")), "metric").withColumn("off", F.abs(F.col("value") - F.col("mid")))
+    off = long.join(medians(long, ["metric"], "value", "mid"), "metric").withColumn("off", F.abs(F.col("value") - F.col("mid")))
     mad = medians(off, ["metric"], "off", "mad").filter("mad > 0")
     z = 0.6745 * (F.col("value") - F.col("mid")) / F.col("mad")
-    return off.join(F.broadcast(mad), "metric").withColumn("z", z).filter(F.abs("z") >= limit).select(*ids, "metric", "value",
+    return off.join(mad, "metric").withColumn("z", z).filter(F.abs("z") >= limit).select(*ids, "metric", "value",
         "z").orderBy(F.desc(F.abs("z")), "metric", *ids)
 
 
@@ -224,7 +224,7 @@ def dataset_metrics(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Q20: (metric, mean, median, n) over non-missing values."""
     long = df.select(*[number(F.col(m)).alias(m) for m in metrics]).unpivot([], metrics, "metric", "value").filter("value is not null")
     plain = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return plain.join(F.broadcast(medians(long, ["metric"], "value", "median")), "metric").select("metric", "mean", "median", "n")
+    return plain.join(medians(long, ["metric"], "value", "median"), "metric").select("metric", "mean", "median", "n")
 
 
 def verdicts(values: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:

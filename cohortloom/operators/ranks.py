@@ -33,24 +33,55 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return joined.withColumn(out, F.col("_r") + F.col("_start")).drop("_b", "_r", "_kb", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
-SKETCH = 10_000
+#: Error of the first bounds as a share of the rows; distinct values of a group that one task may look at; buckets of a further pass.
+SKETCH, DISTINCT, BUCKETS = 10_000, 20_000, 64
 
 
-def medians(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """(keys, out): exact medians of large groups; missing values do not count.
+def middle_values(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(_k, _n, _v, _c): the distinct values around each group's median with the rows that have them, at most DISTINCT a group,
+    and one row with _v null for all rows below. _k holds the keys, _n counts the group's rows.
 
-    A sketch with an error of n / SKETCH ranks gives bounds around the middle; rows below are counted, and only those
-    between them, a few of ten thousand, are sorted.
+    A sketch bounds the middle and one pass counts what lies within by value, so that tied rows are added up before they
+    are shuffled. While a group has too many distinct values left, they are dealt into buckets by quantiles of their own
+    and only the buckets that hold the middle ranks go on.
     """
-    rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = rows.filter(F.col(value).isNotNull()).select(key.alias("_k"), F.col(value).cast("double").alias("_v"))
     edge = F.percentile_approx("_v", F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH)), SKETCH)
-    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), edge.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    bounds = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), edge.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     small = F.col("_n") < 2 * SKETCH  # the sketch of a small group may miss by a rank
     low, high = F.when(small, F.col("_min")).otherwise(F.col("_e")[0]), F.when(small, F.col("_max")).otherwise(F.col("_e")[1])
-    bounds = scratch(bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", low.alias("_low"), high.alias("_high")), "bounds")
-    near = rows.join(F.broadcast(bounds), same_keys(keys)).filter("_v <= _high")
-    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
-    found = near.groupBy(*keys, "_n").agg(F.count_if(F.col("_v") < F.col("_low")).alias("_below"), F.array_sort(F.collect_list(inside)).alias("_vs"))
-    at = lambda i: F.get("_vs", (i - F.col("_below")).cast("int"))
-    half = F.floor((F.col("_n") - 1) / 2)
-    return found.select(*keys, ((at(half) + at(F.floor(F.col("_n") / 2))) / 2).alias(out))
+    bounds = scratch(bounds.select(F.col("_k").alias("_key"), "_n", low.alias("_low"), high.alias("_high")), "bounds")
+    near = rows.join(bounds, F.col("_k").eqNullSafe(F.col("_key"))).filter("_v <= _high")
+    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")
+    table = scratch(near.groupBy("_k", "_n", inside).agg(F.count(F.lit(1)).alias("_c")), "middle")
+    while (table.groupBy("_k").agg(F.count("_v").alias("d")).agg(F.max("d")).first()[0] or 0) > DISTINCT:
+        table = _narrowed(table)
+    return table
+
+
+def _ranks() -> tuple[Column, Column]:
+    """0-based ranks of the one or two middle rows."""
+    return F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+
+
+def _narrowed(table: DataFrame) -> DataFrame:
+    splits = table.groupBy(F.col("_k").alias("_key")).agg(F.percentile_approx("_v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), SKETCH).alias("_s"))
+    place = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_s", lambda s: s < F.col("_v"))))
+    dealt = scratch(table.join(splits, F.col("_k").eqNullSafe(F.col("_key"))).select("_k", "_n", "_v", "_c", place.alias("_b")), "dealt")
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    counts = dealt.groupBy("_k", "_n", "_b").agg(F.sum("_c").alias("_c")).withColumn("_u", upto)
+    first, second = _ranks()
+    edges = counts.groupBy(F.col("_k").alias("_key")).agg(F.min(F.when(F.col("_u") > first, F.col("_b"))).alias("_from"), F.min(F.when(F.col("_u") > second, F.col("_b"))).alias("_to"))
+    near = dealt.join(edges, F.col("_k").eqNullSafe(F.col("_key"))).filter("_b <= _to")
+    return scratch(near.groupBy("_k", "_n", F.when(F.col("_b") >= F.col("_from"), F.col("_v")).alias("_v")).agg(F.sum("_c").alias("_c")), "middle")
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out): exact medians of groups of any size; missing values do not count. The result is a written table, so that a
+    join with it is a broadcast where Spark finds it small. An empty group has no row."""
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    first, second = _ranks()
+    middle = middle_values(rows, keys, value).withColumn("_u", upto).groupBy("_k")
+    found = middle.agg(((F.min(F.when(F.col("_u") > first, F.col("_v"))) + F.min(F.when(F.col("_u") > second, F.col("_v")))) / 2).alias(out))
+    return scratch(found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], out), "medians")
