@@ -27,15 +27,17 @@ from ._util import documents, held, mapped, written
 
 BLOCK = 4 << 20  # bytes of text of a block
 REMEMBERED = 400_000  # windows that a worker carries on to its next block
-MARK = np.uint32(0xFFFFFFFF)  # between the two id tuples of a window
+MARK = b"\xff\xff\xff\xff"  # between the two id tuples of a window; no id is that large
 BODY, NONE = -1, b""
 
 
 class Vocabulary:
-    """`encode` gives the ids of each of a list of texts, after a space that is put before each; `pieces` the bytes of each id."""
+    """`encode` gives the ids of each of a list of texts, after a space that is put before each; `pieces` the bytes of each id;
+    `spell` those of a list of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes]) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes], spell: Callable[[list[int]], bytes] | None = None) -> None:
         self.encode, self.pieces = encode, pieces
+        self.spell = spell or (lambda ids: b"".join(map(pieces.__getitem__, ids)))
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.marked = np.array([p[:1] == b" " for p in pieces])
 
@@ -61,7 +63,7 @@ def byte_level(path: str) -> Vocabulary:
     if all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)):
         ranks = {p: i for p, i in words.items() if i < 256 + len(merges)}
         plain = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return Vocabulary(lambda texts: [plain.encode_ordinary(" " + t) for t in texts], pieces)
+        return Vocabulary(lambda texts: [plain.encode_ordinary(" " + t) for t in texts], pieces, plain.decode_bytes)
     whole.encode_special_tokens = True
     return Vocabulary(lambda texts: [whole.encode(" " + t, add_special_tokens=False).ids for t in texts], pieces)
 
@@ -90,8 +92,8 @@ class Windows(dict):
         self.groups, self.starts, self.links = array("q"), array("q", [0]), array("q")
 
     def __missing__(self, key: bytes) -> int:
-        ids = np.frombuffer(key, np.uint32)
-        cut = int(np.flatnonzero(ids == MARK)[0])
+        ids = array("I", key)
+        cut = ids.index(0xFFFFFFFF)
         a, b = ids[:cut].tolist(), ids[cut + 1 :].tolist()
         size_a, size_b = self.a.size[a].tolist(), self.b.size[b].tolist()
         groups, i, j, first_a, first_b, at_a, at_b = [], 0, 0, 0, 0, size_a[0], size_b[0]
@@ -117,23 +119,17 @@ class Windows(dict):
 
 
 def window_keys(a: np.ndarray, b: np.ndarray, va: Vocabulary, vb: Vocabulary) -> list[bytes]:
-    """The windows of one text by its ids: a window starts where tokens of both begin with a space at the same byte."""
-    start_a, start_b = (np.cumsum(v.size[x]) - v.size[x] for x, v in ((a, va), (b, vb)))
-    open_a, open_b = va.marked[a], vb.marked[b]
-    shared = np.zeros(int(start_a[-1]) + int(va.size[a[-1]]) + 1, np.int8)
-    shared[start_a[open_a]] += 1
-    shared[start_b[open_b]] += 1
+    """The windows of one text by its ids (uint32): a window starts where tokens of both begin with a space at the same byte."""
+    size_a, size_b = va.size[a], vb.size[b]
+    start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    shared = np.zeros(int(start_a[-1] + size_a[-1]), np.int8)
+    shared[start_a[va.marked[a]]] = 1
+    shared[start_b[vb.marked[b]]] += 1
     shared[0] = 2
     at_a, at_b = np.flatnonzero(shared[start_a] == 2), np.flatnonzero(shared[start_b] == 2)
-    n = len(at_a)
-    merged = np.full(len(a) + len(b) + n, MARK, np.uint32)
-    size_a, size_b = np.diff(at_a, append=len(a)), np.diff(at_b, append=len(b))
-    which = np.arange(n)
-    merged[np.arange(len(a)) + np.repeat(at_b + which, size_a)] = a
-    merged[np.arange(len(b)) + np.repeat(at_a + size_a + which + 1, size_b)] = b
-    cuts = ((at_a + at_b + which) * 4).tolist() + [len(merged) * 4]
-    raw = merged.tobytes()
-    return [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+    cut_a, cut_b = ((at * 4).tolist() for at in (at_a, at_b))
+    raw_a, raw_b = a.tobytes(), b.tobytes()
+    return [raw_a[s:e] + MARK + raw_b[t:u] for s, e, t, u in zip(cut_a, [*cut_a[1:], len(raw_a)], cut_b, [*cut_b[1:], len(raw_b)], strict=True)]
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -157,12 +153,11 @@ class _Block:
         for text, a, b in zip(kept, w.a.encode(kept), w.b.encode(kept), strict=True):
             self.bytes += len(text)
             whole = b" " + text.encode()
-            none = not text or b"".join(map(w.a.pieces.__getitem__, a)) != whole or b"".join(map(w.b.pieces.__getitem__, b)) != whole
-            if none:
+            if not text or w.a.spell(a) != whole or w.b.spell(b) != whole:
                 self.rows.append((0, 0, ""))
                 found = times = np.zeros(0, np.int64)
             else:
-                places = list(map(w.__getitem__, window_keys(np.array(a, np.int64), np.array(b, np.int64), w.a, w.b)))
+                places = list(map(w.__getitem__, window_keys(np.array(a, np.uint32), np.array(b, np.uint32), w.a, w.b)))
                 found, times = np.unique(np.array(places, np.int64), return_counts=True)
                 sha = hashlib.sha256(";".join(map(w.texts.__getitem__, places)).encode()).hexdigest()
                 self.rows.append((len(a), len(b), sha))
