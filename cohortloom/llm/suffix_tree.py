@@ -223,8 +223,8 @@ ANSWERS = "block long, place long, n long, blob binary, more binary, total long,
 
 def _answers(questions: DataFrame, gain: float, first: bool) -> DataFrame:
     """Each place's sums: for every question the n-grams' counts and each context's size and the share left to the shorter
-    context, -1 if it does not stay. At the first level words get names in the order of their fingerprints; one that occurs
-    once is in no n-gram that counts and shares its neighbour's. total and names: the place's symbols and distinct ones, at the
+    context, -1 if it does not stay. At the first level each word gets a name of its own, its place in the order of
+    fingerprints. total and names: the place's symbols and distinct ones, at the
     first level; kept: the contexts that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def _answers(questions: DataFrame, gain: float, first: bool) -> DataFrame:
             c = np.bincount(where, np.concatenate([g[1] for g in grams]), len(keys)).astype(np.int64)
             own = keys != START
             stats = [int(c[own].sum()), int((c[own] > 0).sum())]
-            counts, rank = c[where], (np.maximum(np.cumsum(c >= 2) - 1, 0) + (now << 32)).astype(np.uint64)[where]
+            counts, rank = c[where], (where + (now << 32)).astype(np.uint64)
             names, of = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in contexts]), return_inverse=True)
             n, seen, mass, gained = (np.bincount(of, np.concatenate([x[i] for x in contexts]), len(names)) for i in range(1, 5))
             left = 1 - mass / np.maximum(n, 1)

@@ -338,6 +338,22 @@ def test_suffix_tree_matches_brute_force(spark):
     assert all(abs(sum(p(c, s) for s in alphabet) - 1) < 1e-9 for c in [(), *retained])
 
 
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_suffix_tree_tells_rare_words_apart(spark, monkeypatch, block):
+    """Words that occur once, or in held-out texts only, before words of contexts that recur; one block and many."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", block)
+    phrases = ["a b c", "d b e", "f b g", "a h i", "a b c j"]
+    docs = [(i, phrases[i % 5]) for i in range(200)] + [(200 + i, f"one{i} b c") for i in range(80)] + [(300 + i, f"two{i % 40} a b rare{i} c") for i in range(60)]
+    p, retained, steps, _ = brute_tree([t for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2], 1.0, 0.75)
+    got = {x.doc_id: x.score for x in suffix_tree.scored(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), gain=1.0).collect()}
+    assert max(map(len, retained)) >= 3
+    for d, t in docs:
+        s, total = steps(t), 0.0
+        for i in range(1, len(s)):
+            total += math.log10(p(next((tuple(s[j:i]) for j in range(i) if tuple(s[j:i]) in retained), ()), s[i]))
+        assert abs(got[d] - total) < 1e-4 * len(s), (d, t)
+
+
 def test_suffix_tree_scores_held_out_rows_above_the_base(spark):
     got = suffix_tree.op10_suffix_tree(spark, SF).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
