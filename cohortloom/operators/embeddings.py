@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 from .features import vector_means
-from .ranks import hash_bucket, ranked
+from .ranks import LANES, hash_bucket, lane_values, lanes_text, ranked
 
 
 def levels(df: DataFrame) -> dict[str, DataFrame]:
@@ -168,12 +168,15 @@ def diagnostic_tasks(df: DataFrame, evals: dict[str, dict], populations: dict[st
 def fingerprint(df: DataFrame, task: list[str], parts: list[str]) -> DataFrame:
     """(task, n, selection_fingerprint): a hash of the task and of its members, the same for any order.
 
-    Members enter as sums of two 64-bit hashes, so a task of any size is a partial aggregate.
+    Members enter as sums of 16 lanes of 64 bits, so a task of any size is a partial aggregate. Parts are told apart by their
+    lengths; missing ones count as empty.
     """
-    h = lambda seed: F.sum(F.xxhash64(*parts, F.lit(seed)).cast("decimal(38,0)")).cast("string")
-    s = df.groupBy(*task).agg(F.count(F.lit(1)).alias("n"), h(1).alias("_a"), h(2).alias("_b"))
-    return s.select(*task, "n", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in task], F.col("n").cast("string"),
-        "_a", "_b"), 256).alias("selection_fingerprint"))
+    text = [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
+    member = F.concat_ws("|", *[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in text])
+    lanes = df.select(*task, *[x.alias(f"_lane{i}") for i, x in enumerate(lane_values(member))])
+    s = lanes.groupBy(*task).agg(F.count(F.lit(1)).alias("n"), lanes_text([F.sum(f"_lane{i}") for i in range(LANES)]).alias("_sums"))
+    named = [F.coalesce(F.col(t).cast("string"), F.lit("")) for t in task]
+    return s.select(*task, "n", F.sha2(F.concat_ws("|", *named, F.col("n").cast("string"), "_sums").cast("binary"), 256).alias("selection_fingerprint"))
 
 
 def variance_parts(df: DataFrame, groups: list[str], subject: str, vector: str = "embedding") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.metadata import age_group_order
 from ..functions.predicates import COMPARISONS, CONSTRAINTS, MILESTONES, POOLS, bits, pool_counts, set_status
 from ..session import scratch
+from .ranks import LANES, lane_values, lanes_text
 
 LONGITUDINAL = "DrugResistance_First_vs_Later"
 #: Comparisons of named drugs, whose empty arm is a lack of that category; then those that lack it by arm 2.
@@ -31,47 +32,63 @@ def specs(spark) -> DataFrame:
 ARMS = list(dict.fromkeys(p for c in COMPARISONS for p in (c[3], c[4])))
 
 
-def _met(df: DataFrame) -> DataFrame:
-    """One row for each spec whose constraints a row meets, with its arms. Predicates are evaluated once, as bits."""
+LATER = [i for i, a, *_ in SPECS if a == LONGITUDINAL]
+
+
+def _needs(keep: list[int]) -> Column:
+    """The specs listed, as an array of (spec, need, a, b): bits of the constraints asked for and places of the arms."""
     names = list(CONSTRAINTS)
-    table, i = [], 0
-    for c in COMPARISONS:
-        for s in c[5]:
-            need = sum(1 << names.index(n) for n in s.split("+"))
-            table.append(f"named_struct('spec', {i}, 'need', {need}L, 'a', {ARMS.index(c[3])}, 'b', {ARMS.index(c[4])})")
-            i += 1
-    held = df.withColumn("_bits", bits(list(CONSTRAINTS.values()))).withColumn("_arms", bits(ARMS))
-    met = held.withColumn("_m", F.explode(F.expr(f"filter(array({', '.join(table)}), x -> (_bits & x.need) = x.need)")))
+    wanted = [(c, s) for c in COMPARISONS for s in c[5]]
+    table = [
+        f"named_struct('spec', {i}, 'need', {sum(1 << names.index(n) for n in wanted[i][1].split('+'))}L, 'a', {ARMS.index(wanted[i][0][3])}, 'b', {ARMS.index(wanted[i][0][4])})" for i in keep]
+    return F.expr(f"array({', '.join(table)})")
+
+
+def _spread(cells: DataFrame, keep: list[int], rest: list[str]) -> DataFrame:
+    """A row for each listed spec that a cell (sex, age_group, _bits, _arms) meets, in its own stratum and in All."""
+    sexes = F.array(F.lit("All"), F.when(F.col("sex") == "M", "Male").when(F.col("sex") == "F", "Female"))
+    known = lambda a: F.filter(a, lambda x: x.isNotNull())
+    met = cells.select(
+        known(sexes).alias("_sexes"), known(F.array(F.lit("All"), "age_group")).alias("_ages"), "_arms",
+        F.filter(_needs(keep), lambda x: F.col("_bits").bitwiseAND(x["need"]) == x["need"]).alias("_met"), *rest)
+    met = met.select("_sexes", "_ages", "_arms", F.explode("_met").alias("_m"), *rest)
     arm = lambda k: F.expr(f"shiftright(_arms, _m.{k}) & 1L = 1L")
-    return met.withColumns({"spec": F.col("_m.spec"), "one": arm("a"), "two": arm("b")}).drop("_bits", "_arms", "_m")
+    met = met.select(F.explode("_sexes").alias("sex"), "_ages", F.col("_m.spec").alias("spec"), arm("a").alias("one"), arm("b").alias("two"), *rest)
+    return met.select("sex", F.explode("_ages").alias("age_group"), "spec", "one", "two", *rest)
 
 
 def opportunities(df: DataFrame, least: int) -> DataFrame:
     """Every sex and age stratum, comparison and constraint set with its sizes, validity and skip reason.
 
-    Each row is counted in its own stratum and in All. Sizes and membership fingerprints (sums of id hashes, so equal
-    exactly when the members are, but for hash collisions) are partial aggregates; no member list is gathered.
+    Rows are added up first by signature: sex, age group, and the constraints and arms that they meet, as bits. Specs and
+    strata are then spread over the few distinct signatures, so the work for a row does not grow with them. Only the
+    longitudinal specs, which pair a patient's rows, add up by patient too. Each signature is counted in its own stratum and
+    in All. Membership is compared by multiset hashes; no member list is gathered.
     """
     spark = df.sparkSession
-    df = scratch(df, "patients")  # its many derived columns are read by every predicate
-    sexes = F.array(F.lit("All"), F.when(F.col("sex") == "M", "Male").when(F.col("sex") == "F", "Female"))
-    row = _met(df).select(
-        "patient_id", "study_id", F.explode(F.filter(sexes, lambda x: x.isNotNull())).alias("sex"),
-        F.filter(F.array(F.lit("All"), "age_group"), lambda x: x.isNotNull()).alias("ages"), "spec", "one", "two")
-    row = row.select("patient_id", "study_id", "sex", F.explode("ages").alias("age_group"), "spec", "one", "two")
-    later = [i for i, a, *_ in SPECS if a == LONGITUDINAL]
-    row = row.withColumn("pair", F.when(F.col("spec").isin(later), F.coalesce(F.col("patient_id").cast("string"), F.lit("none"))))
-    mark = F.xxhash64("study_id").cast("decimal(38,0)")
-    cells = row.groupBy("sex", "age_group", "spec", "pair").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("one").alias("n1"), F.count_if("two").alias("n2"),
-        F.coalesce(F.sum(F.when(F.col("one"), mark)), F.lit(0)).alias("f1"),
-            F.coalesce(F.sum(F.when(F.col("two"), mark)), F.lit(0)).alias("f2"))
-    in_arm = F.col("pair").isNull() | ((F.col("pair") != "none") & (F.col("n1") > 0) & (F.col("n2") > 0))
-    total = lambda c: F.coalesce(F.sum(F.when(in_arm, F.col(c))), F.lit(0))
-    sized = cells.groupBy("sex", "age_group", "spec").agg(
-        F.sum("n").alias("cohort_n"), total("n1").alias("n1"), total("n2").alias("n2"), total("f1").alias("f1"), total("f2").alias("f2"),
-            F.count_if(F.col("pair").isNotNull() & in_arm).alias("paired"))
-    ages = df.select("age_group").filter("age_group is not null").distinct().select("age_group", age_group_order(F.col("age_group")).alias("place"))
+    held = df.select("sex", "age_group", "patient_id", "study_id", bits(list(CONSTRAINTS.values())).alias("_bits"), bits(ARMS).alias("_arms"))
+    held = scratch(held.withColumns({f"_m{i}": x for i, x in enumerate(lane_values(F.col("study_id")))}), "patients")
+    marks = [f"_m{i}" for i in range(LANES)]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(m).cast("decimal(28,0)").alias(m) for m in marks]]
+    ones = [i for i, *_ in SPECS if i not in LATER]
+    plain = _spread(held.groupBy("sex", "age_group", "_bits", "_arms").agg(*sums), ones, ["n", *marks])
+    plain = plain.select("sex", "age_group", "spec", "n", F.when(F.col("one"), F.col("n")).otherwise(0).alias("n1"), F.when(F.col("two"), F.col("n")).otherwise(0).alias("n2"), F.lit(0).alias("paired"), "one", "two", *marks)
+    patient = F.col("patient_id").cast("string").alias("pair")
+    cells = _spread(held.groupBy("sex", "age_group", "_bits", "_arms", patient).agg(*sums), LATER, ["pair", "n", *marks])
+    cells = cells.groupBy("sex", "age_group", "spec", "pair", "one", "two").agg(F.sum("n").alias("n"), *[F.sum(m).cast("decimal(28,0)").alias(m) for m in marks])
+    # A patient counts in an arm if the other arm holds rows of the same patient.
+    own = cells.groupBy("sex", "age_group", "spec", "pair").agg(
+        F.max("one").alias("has1"), F.max("two").alias("has2"), F.sum("n").alias("n"), F.sum(F.when(F.col("one"), F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("two"), F.col("n")).otherwise(0)).alias("n2"),
+        *[F.sum(F.when(F.col("one"), F.col(m))).alias(f"{m}a") for m in marks], *[F.sum(F.when(F.col("two"), F.col(m))).alias(f"{m}b") for m in marks])
+    both = F.col("pair").isNotNull() & F.col("has1") & F.col("has2")
+    kept = lambda c: F.coalesce(F.when(both, F.col(c)), F.lit(0))
+    lane = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(28,0)")
+    paired = own.select("sex", "age_group", "spec", "n", kept("n1").alias("n1"), kept("n2").alias("n2"), both.cast("int").alias("paired"), *[lane(F.when(both, F.col(f"{m}{s}"))).alias(f"{m}{s}") for s in "ab" for m in marks])
+    plain = plain.select("sex", "age_group", "spec", "n", "n1", "n2", "paired", *[lane(F.when(F.col(arm), F.col(m))).alias(f"{m}{s}") for s, arm in (("a", "one"), ("b", "two")) for m in marks])
+    sized = plain.unionByName(paired).groupBy("sex", "age_group", "spec").agg(
+        F.sum("n").alias("cohort_n"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum("paired").alias("paired"),
+        lanes_text([F.sum(f"{m}a") for m in marks]).alias("f1"), lanes_text([F.sum(f"{m}b") for m in marks]).alias("f2"))
+    ages = held.select("age_group").filter("age_group is not null").distinct().select("age_group", age_group_order(F.col("age_group")).alias("place"))
     ages = ages.union(spark.createDataFrame([("All", -1)], "age_group string, place int"))
     grid = spark.createDataFrame([("All", 0), ("Male", 1), ("Female", 2)],
         "sex string, sex_place int").crossJoin(ages).crossJoin(F.broadcast(specs(spark)))

@@ -33,6 +33,22 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return joined.withColumn(out, F.col("_r") + F.col("_start")).drop("_b", "_r", "_kb", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
+LANES = 16  # of 64 bits: a multiset hash of 1,024 bits
+
+
+def lane_values(member: Column) -> list[Column]:
+    """A member's part of a multiset hash: LANES numbers of 64 bits from SHA-256. Members are equal as multisets, in any order,
+    when the sums of each lane modulo 2^64 are; with lanes this wide no collision can be made or met by chance."""
+    text = F.coalesce(member.cast("string"), F.lit(""))
+    wide = [F.sha2(F.concat(text, F.lit(f":{i}")).cast("binary"), 256) for i in range(LANES // 4)]
+    return [F.conv(F.substring(wide[i // 4], 1 + 16 * (i % 4), 16), 16, 10).cast("decimal(28,0)") for i in range(LANES)]
+
+
+def lanes_text(sums: list[Column]) -> Column:
+    """Sums of lanes as one text."""
+    return F.concat_ws(",", *[F.coalesce((s % F.lit(str(2**64)).cast("decimal(28,0)")).cast("decimal(28,0)").cast("string"), F.lit("0")) for s in sums])
+
+
 #: Error of the first bounds as a share of the rows; distinct values of a group that one task may look at; buckets of a further pass.
 SKETCH, DISTINCT, BUCKETS = 10_000, 20_000, 64
 

@@ -361,10 +361,13 @@ def _(spark, d):
     return _energy(E.token_covariance(_emb(spark, d).withColumn("tokens", tokens), ["vec_id"]), "vector")
 
 
-@query("e07_fingerprint", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+LANE_SUMS = ", ".join(f"(sum(('0x' || substr(sha256(m || ':{i // 4}'), {1 + 16 * (i % 4)}, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR" for i in range(16))
+
+
+@query("e07_fingerprint", f"""WITH {EMB}, k AS (SELECT label, length(vec_id::VARCHAR) || ':' || vec_id || '|' || length(subject::VARCHAR) || ':' || subject AS m FROM emb)
+    SELECT label, count(*) AS n, sha256(label || '|' || count(*) || '|' || concat_ws(',', {LANE_SUMS})) AS selection_fingerprint FROM k GROUP BY 1""")
 def _(spark, d):
-    e = _emb(spark, d)
-    return E.fingerprint(e, ["label"], ["vec_id", "subject"]).join(E.fingerprint(e.repartition(3), ["label"], ["vec_id", "subject"]), ["label", "n", "selection_fingerprint"]).select("label", "n")
+    return E.fingerprint(_emb(spark, d), ["label"], ["vec_id", "subject"])
 
 
 @query("e08_variance", f"""WITH {EMB}, x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM emb), s AS (SELECT label, i, count(*) AS k, sum(v) AS sv, sum(v * v) AS q FROM x GROUP BY ALL), t AS (SELECT i, sum(k) AS n, sum(sv) AS t, sum(q) AS q, sum(sv * sv / k) AS b FROM s GROUP BY 1)
