@@ -40,14 +40,29 @@ def validity(df: DataFrame, unit: list[str], label: str = "y") -> DataFrame:
     return c.select(*unit, reason.isNull().alias("valid"), reason.alias("reason"))
 
 
-def group_folds(df: DataFrame, k: int, label: str = "y", group: str = "group", seed: int = 0) -> DataFrame:
-    """T4: add fold 0..k-1; no group is in two folds. Groups take the label that most of their rows have and are dealt
-    round robin within it in the order of a seeded hash."""
-    g = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max(F.struct("n", label)).alias("m")).select(group,
-        F.col(f"m.{label}").alias("_y"))
+def dealt_groups(df: DataFrame, k: int, keys: list[str], label: str, group: str, seed: int) -> DataFrame:
+    """(keys, group, label, rows, fold): each group's place among k folds, within keys.
+
+    Groups take the label that most of their rows have. Within a label they are dealt in turn from the largest to the
+    smallest, those of equal size by a seeded hash, and every second label is dealt backwards; so the rows of a label, and
+    with two labels those of a fold, differ from fold to fold by no more than one largest group.
+    """
+    counted = "_rows" in df.columns
+    n = df if counted else df.groupBy(*keys, group, label).agg(F.count(F.lit(1)).alias("n"))
+    g = n if counted else n.groupBy(*keys, group).agg(F.max(F.struct("n", label)).alias("m"), F.sum("n").alias("_rows")).select(*keys, group, F.col(f"m.{label}").alias(label), "_rows")
     g = g.withColumn("_h", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed)))))
-    dealt = ranked(g, ["_y"], hash_bucket(F.col("_h")), [F.col("_h"), F.col(group)], "_at").withColumn("fold", (F.col("_at") % k).cast("int"))
-    return df.join(dealt.select(group, "fold"), group)
+    bucket = F.struct((-F.col("_rows")).alias("a"), hash_bucket(F.col("_h")).alias("b"))
+    at = ranked(g, [*keys, label], bucket, [F.col("_rows").desc(), F.col("_h"), F.col(group)], "_at")
+    # Labels are few: their order is a small table.
+    turn = g.select(label).distinct().select(F.col(label).alias("_y"), ((F.row_number().over(Window.orderBy(label)) - 1) % 2 == 1).alias("_back"))
+    at = at.join(turn, F.col(label).eqNullSafe(F.col("_y")))
+    fold = F.when(F.col("_back"), k - 1 - F.col("_at") % k).otherwise(F.col("_at") % k).cast("int")
+    return at.select(*keys, group, label, "_rows", fold.alias("fold"))
+
+
+def group_folds(df: DataFrame, k: int, label: str = "y", group: str = "group", seed: int = 0) -> DataFrame:
+    """T4: add fold 0..k-1; no group is in two folds. See `dealt_groups`; rows without a group are left out."""
+    return df.join(dealt_groups(df, k, [], label, group, seed).select(group, "fold"), group)
 
 
 def unit_grid(modes: DataFrame, models: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -86,32 +101,6 @@ def fold_predictions(df: DataFrame, features: str, kind: str = "logistic", label
     return out
 
 
-def tuned(df: DataFrame, features: str, grid: list[dict], label: str = "y") -> tuple[dict, list[tuple[dict, float]]]:
-    """The settings of largest mean balanced accuracy over the inner folds (column fold); ties to the first."""
-    scores = []
-    for settings in grid:
-        m = fold_metrics(fold_predictions(df, features, label=label, **settings), [], label).agg(F.avg("balanced_accuracy")).first()[0]
-        scores.append((settings, m or 0.0))
-    return max(scores, key=lambda s: s[1])[0], scores
-
-
-def forward_selection(df: DataFrame, features: list[str], most: int, tolerance: float = 1e-3, label: str = "y") -> list[str]:
-    """Add the feature that helps balanced accuracy most until the gain falls below tolerance. A driver loop over few features."""
-    chosen: list[str] = []
-    best = -1.0
-    while len(chosen) < most:
-        tried = []
-        for f in [f for f in features if f not in chosen]:
-            rows = df.select("fold", label, F.array(*[F.col(c) for c in [*chosen, f]]).alias("_f"))
-            tried.append((fold_metrics(fold_predictions(rows, "_f", label=label), [], label).agg(F.avg("balanced_accuracy")).first()[0] or 0.0, f))
-        top = max(tried, key=lambda t: t[0], default=None)
-        if top is None or top[0] < best + tolerance:
-            break
-        best, _ = top
-        chosen.append(top[1])
-    return chosen
-
-
 def fold_metrics(df: DataFrame, unit: list[str], label: str = "y") -> DataFrame:
     """Accuracy, balanced accuracy, precision, recall, f1 and rank AUC of binary predictions by (unit, fold)."""
     keys = [*unit, "fold"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import embeddings as E
 from ..operators import evaluation as T
 from ..operators import features as X
+from ..operators import tuning as U
 from .derive import query, read
 from .tables import EMB, FEAT, NAMES, _emb, _features, rounded
 
@@ -77,7 +78,8 @@ def _(spark, d):
 
 
 @query("t04_chosen_folds", """WITH g AS (SELECT vec_id % 500 AS grp, label % 2 AS y, count(*) AS n FROM embeddings GROUP BY 1, 2), m AS (SELECT grp, y FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, y DESC) = 1)
-    SELECT grp, ((row_number() OVER (PARTITION BY y ORDER BY md5(grp || ':0'), grp) - 1) % 5)::INT AS fold FROM m""")
+    , s AS (SELECT grp, y, sum(n) AS size FROM (SELECT grp, n FROM g) JOIN m USING (grp) GROUP BY 1, 2), r AS (SELECT grp, y, (row_number() OVER (PARTITION BY y ORDER BY size DESC, md5(grp || ':0'), grp) - 1) % 5 AS at FROM s)
+    SELECT grp, (CASE WHEN y = 1 THEN 4 - at ELSE at END)::INT AS fold FROM r""")
 def _(spark, d):
     df = _emb(spark, d).select((F.col("vec_id") % 500).alias("grp"), (F.col("label") % 2).alias("y"))
     return T.group_folds(df, 5, group="grp").select("grp", "fold").distinct()
@@ -115,24 +117,19 @@ def _(spark, d):
     return kept.withColumn("eval_name", F.when(F.col("eval_name") == "condition_separation", "F").otherwise(F.col("eval_name")))
 
 
-def _decoding(spark, d, width):
-    e = T.target(_emb(spark, d).withColumn("name", F.col("label") < 5), "name", positive="true").withColumn("group", F.col("subject"))
-    return T.group_folds(e.select("vec_id", "y", "group", F.slice("embedding", 1, width).alias("x")), 2)
+def _decoding(spark, d):
+    e = T.target(_emb(spark, d).withColumn("name", F.col("label") < 5), "name", positive="true").withColumn("group", F.col("vec_id") % 500)
+    return e.select("vec_id", "y", "group", F.col("embedding").alias("x"))
 
 
 @query("t07_tuned")
 def _(spark, d):
-    """Mean balanced accuracy of each setting over the inner folds, and the chosen one."""
-    grid = [{"regParam": 0.01, "maxIter": 5}, {"regParam": 5.0, "maxIter": 5}]
-    best, scores = T.tuned(_decoding(spark, d, 8), "x", grid)
-    return spark.createDataFrame([(s["regParam"], float(round(v, 6)), s == best) for s, v in scores], "reg double, balanced_accuracy double, chosen boolean")
+    """For each outer fold the inner score of each setting, the chosen one and its score on the outer fold; whole vectors."""
+    grid = [{"penalty": p, "l1_share": share} for p in (0.001, 0.03) for share in (0.0, 0.5)]
+    return rounded(U.nested_tuning(U.nested_folds(_decoding(spark, d), 3, 3), "x", grid, inner_folds=3), 4)
 
 
 @query("t08_forward")
 def _(spark, d):
-    """Features in the order in which forward selection adds them."""
-    rows = _decoding(spark, d, 2)
-    names = ["x1", "x2"]
-    df = rows.select("fold", "y", *[F.get("x", i).alias(n) for i, n in enumerate(names)])
-    chosen = T.forward_selection(df, names, 1)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(chosen)], "place int, feature string")
+    """Places of the vectors in the order in which forward selection adds them, until they help no more."""
+    return rounded(U.forward_selection(T.group_folds(_decoding(spark, d), 3), "x", 0.002), 4)
