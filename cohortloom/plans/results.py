@@ -78,8 +78,8 @@ def _(spark, d):
 
 
 @query("t04_chosen_folds", """WITH g AS (SELECT vec_id % 500 AS grp, label % 2 AS y, count(*) AS n FROM embeddings GROUP BY 1, 2), m AS (SELECT grp, y FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, y DESC) = 1)
-    , s AS (SELECT grp, y, sum(n) AS size FROM (SELECT grp, n FROM g) JOIN m USING (grp) GROUP BY 1, 2), r AS (SELECT grp, y, (row_number() OVER (PARTITION BY y ORDER BY size DESC, md5(grp || ':0'), grp) - 1) % 5 AS at FROM s)
-    SELECT grp, (CASE WHEN y = 1 THEN 4 - at ELSE at END)::INT AS fold FROM r""")
+    , s AS (SELECT grp, y, sum(n) AS size FROM (SELECT grp, n FROM g) JOIN m USING (grp) GROUP BY 1, 2), r AS (SELECT grp, y, (row_number() OVER (PARTITION BY y ORDER BY size DESC, md5(grp || ':0'), grp) - 1) % 5 AS place FROM s)
+    SELECT grp, (CASE WHEN y = 1 THEN 4 - place ELSE place END)::INT AS fold FROM r""")
 def _(spark, d):
     df = _emb(spark, d).select((F.col("vec_id") % 500).alias("grp"), (F.col("label") % 2).alias("y"))
     return T.group_folds(df, 5, group="grp").select("grp", "fold").distinct()
