@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -26,18 +27,17 @@ from ._pack import packed, unpacked
 from ._util import documents, held, mapped, written
 
 BLOCK = 4 << 20  # bytes of text of a block
-REMEMBERED = 400_000  # windows that a worker carries on to its next block
+REMEMBERED = 200_000  # windows that a worker carries on to its next block
 MARK = b"\xff\xff\xff\xff"  # between the two id tuples of a window; no id is that large
 BODY, NONE = -1, b""
 
 
 class Vocabulary:
-    """`encode` gives the ids of each of a list of texts, after a space that is put before each; `pieces` the bytes of each id;
-    `spell` those of a list of ids."""
+    """`encode` gives a text's ids, after a space that is put before it, and the bytes that they spell; `pieces` the bytes of
+    each id."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes], spell: Callable[[list[int]], bytes] | None = None) -> None:
+    def __init__(self, encode: Callable[[str], tuple[np.ndarray, bytes]], pieces: list[bytes]) -> None:
         self.encode, self.pieces = encode, pieces
-        self.spell = spell or (lambda ids: b"".join(map(pieces.__getitem__, ids)))
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.marked = np.array([p[:1] == b" " for p in pieces])
 
@@ -63,21 +63,57 @@ def byte_level(path: str) -> Vocabulary:
     if all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)):
         ranks = {p: i for p, i in words.items() if i < 256 + len(merges)}
         plain = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return Vocabulary(lambda texts: [plain.encode_ordinary(" " + t) for t in texts], pieces, plain.decode_bytes)
-    whole.encode_special_tokens = True
-    return Vocabulary(lambda texts: [whole.encode(" " + t, add_special_tokens=False).ids for t in texts], pieces)
+        ids_of, spelled = lambda text: plain.encode_ordinary(" " + text), plain.decode_bytes
+    else:
+        whole.encode_special_tokens = True
+        ids_of, spelled = lambda text: whole.encode(" " + text, add_special_tokens=False).ids, lambda ids: b"".join(map(pieces.__getitem__, ids))
+
+    def encode(text: str) -> tuple[np.ndarray, bytes]:
+        ids = ids_of(text)
+        return np.array(ids, np.uint32), spelled(ids)
+
+    return Vocabulary(encode, pieces)
+
+
+SEGMENT = re.compile(" +[^ ]*")
+LONG, SEGMENTS = 64, 200_000  # characters of a segment that is not remembered; remembered ones
+
+
+class Segments(dict):
+    """The ids of a text's segments, each the spaces and what follows up to the next space, and the bytes they spell."""
+
+    def __init__(self, encode: Callable[[str], list[int]], lone: int, pieces: list[bytes]) -> None:
+        self.encode, self.lone, self.pieces = encode, lone, pieces
+
+    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
+        ids = self.encode(segment[1:]) if segment != " " else [self.lone]  # the model puts the first space itself, but not before nothing
+        found = array("I", ids).tobytes(), b"".join(map(self.pieces.__getitem__, ids))
+        if len(segment) <= LONG:
+            if len(self) >= SEGMENTS:
+                self.clear()
+            self[segment] = found
+        return found
 
 
 def sentence_pieces(path: str) -> Vocabulary:
-    """A sentencepiece model, which puts the space before a text itself."""
+    """A sentencepiece BPE model, which puts the space before a text itself. Where no piece goes on after a space that follows
+    something else, merges end before spaces and a text's ids are those of its segments, most of which are known already."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    pieces = []
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        pieces.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Vocabulary(lambda texts: model.encode(texts, num_threads=1), pieces)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    pieces = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+    apart = not any(re.search("[^▁]▁", n) for n in names)
+    known = Segments(model.encode, model.piece_to_id("▁"), pieces)
+
+    def encode(text: str) -> tuple[np.ndarray, bytes]:
+        if not apart or not text or "▁" in text:  # a mark in the text is a space to the model
+            ids = model.encode(text)
+            return np.array(ids, np.uint32), b"".join(map(pieces.__getitem__, ids))
+        found = list(map(known.__getitem__, SEGMENT.findall(" " + text)))
+        return np.frombuffer(b"".join([f[0] for f in found]), np.uint32), b"".join([f[1] for f in found])
+
+    return Vocabulary(encode, pieces)
 
 
 LOADERS = {"byte_level": byte_level, "sentence_pieces": sentence_pieces}
@@ -150,14 +186,15 @@ class _Block:
         w = self.windows
         self.ids.append(ids)
         kept = [t or "" for t in texts]
-        for text, a, b in zip(kept, w.a.encode(kept), w.b.encode(kept), strict=True):
+        for text in kept:
             self.bytes += len(text)
             whole = b" " + text.encode()
-            if not text or w.a.spell(a) != whole or w.b.spell(b) != whole:
+            (a, first), (b, second) = (v.encode(text) for v in (w.a, w.b))
+            if not text or first != whole or second != whole:
                 self.rows.append((0, 0, ""))
                 found = times = np.zeros(0, np.int64)
             else:
-                places = list(map(w.__getitem__, window_keys(np.array(a, np.uint32), np.array(b, np.uint32), w.a, w.b)))
+                places = list(map(w.__getitem__, window_keys(a, b, w.a, w.b)))
                 found, times = np.unique(np.array(places, np.int64), return_counts=True)
                 sha = hashlib.sha256(";".join(map(w.texts.__getitem__, places)).encode()).hexdigest()
                 self.rows.append((len(a), len(b), sha))

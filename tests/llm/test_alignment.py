@@ -91,12 +91,15 @@ def test_alignment_empty_and_long(spark):
     assert got.n_links >= got.n_groups > 150_000
 
 
-def test_pieces_spell_the_vocabulary():
-    """tiktoken on the file's own ranks gives the ids of the tokenizers library."""
+def test_ids_are_those_of_the_libraries():
+    """tiktoken on the file's own ranks gives the ids of the tokenizers library, segments those of a whole text."""
+    from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
 
-    (_, path), _ = alignment.given()
-    whole = Tokenizer.from_file(path)
+    (_, a), (_, b) = alignment.given()
+    whole, pieces = Tokenizer.from_file(a), SentencePieceProcessor(model_file=b)
     whole.encode_special_tokens = True
-    texts = hostile(5, 2000)
-    assert alignment.byte_level(path).encode(texts) == [x.ids for x in whole.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    one, two = alignment.byte_level(a), alignment.sentence_pieces(b)
+    for text in [*hostile(5, 2000), " ", "  ", "a ", "a  b   c ", " a", "x" * 300 + " " + "y" * 80, "\n \n  ", "a\u00a0b \u3000c"]:
+        assert one.encode(text)[0].tolist() == whole.encode(" " + text, add_special_tokens=False).ids
+        assert two.encode(text)[0].tolist() == pieces.encode(text), text
