@@ -232,35 +232,43 @@ def selected_diagnostics(df: DataFrame, cohort: str, population: str) -> DataFra
     return df.filter((F.col("cohort_name") == cohort) & (F.col("population") == population) & ~F.col("model_key").contains("_align-"))
 
 
+#: Bytes of asked vectors, or of asked pairs, that are sent to every task at a time.
+ASKED_BYTES = 32 << 20
+
+
 def neighbour_retention(df: DataFrame, id_col: str, high: str, low: str, k: int, queries: Column) -> DataFrame:
     """Trustworthiness and continuity of `low` against `high`: the rows for which `queries` holds against all rows.
 
-    Distances stream by; only each query's k nearest in either space are kept, and then the rows nearer than those are
-    counted. Ties go to the smaller id.
+    Queries are dealt into blocks of bounded bytes by a hash of their id. For each block all rows stream by: each task keeps
+    the k nearest of each query in either space, and then counts the rows nearer than those. Ties go to the smaller id.
     """
     rows = df.select(F.col(id_col).alias("i"), F.col(high).alias("h"), F.col(low).alias("l"), queries.alias("q"))
     asked = scratch(rows.filter("q").drop("q"), "queries")
     others = rows.select(F.col("i").alias("j"), F.col("h").alias("h2"), F.col("l").alias("l2"))
+    size = asked.agg(F.sum(F.greatest(8 * (F.size("h") + F.size("l")), F.lit(24 * k)).cast("long") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // ASKED_BYTES))
     dist = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda t, x: t + x)
-    pairs = others.join(F.broadcast(asked), F.col("i") != F.col("j")).select("i", "j", dist("h", "h2").alias("dh"), dist("l", "l2").alias("dl"))
-
-    def nearest(by: str) -> DataFrame:
-        return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(by, "j"))).filter(F.col("_r") <= k)
-
-    def excess(near: str, far: str, name: str) -> DataFrame:
-        """Sum over near's nearest of how far beyond k they rank by `far`."""
-        told = scratch(nearest(near).select("i", F.col("j").alias("m"), F.col(far).alias("d")), "nearest")
-        seen = pairs.select("i", "j", far).join(F.broadcast(told),
-            "i").filter((F.col(far) < F.col("d")) | ((F.col(far) == F.col("d")) & (F.col("j") <= F.col("m"))))
-        ranks = seen.groupBy("i", "m").agg(F.count(F.lit(1)).alias("rank"))
-        return ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias(name))
-
+    sums = None
+    for block in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
+        pairs = others.join(F.broadcast(own), F.col("i") != F.col("j")).select("i", "j", dist("h", "h2").alias("dh"), dist("l", "l2").alias("dl"))
+        found = scratch(_excess(pairs, "dl", "dh", "t", k).crossJoin(_excess(pairs, "dh", "dl", "c", k)), "excess")
+        sums = found if sums is None else sums.unionByName(found)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked"))
-    n = size.crossJoin(excess("dl", "dh", "t")).crossJoin(excess("dh", "dl", "c"))
+    n = size.crossJoin(sums.agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     scale = F.lit(2.0) / (F.col("asked") * k * (2 * F.col("n") - 3 * k - 1))
     return n.select((1 - scale * F.coalesce("t", F.lit(0))).alias("trustworthiness"), (1 - scale * F.coalesce("c", F.lit(0))).alias("continuity"))
 
 
+def _excess(pairs: DataFrame, near: str, far: str, name: str, k: int) -> DataFrame:
+    """Sum over the k nearest by `near` of how far beyond k they rank by `far`. k rows for each query of a block are sent out."""
+    nearest = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(near, "j"))).filter(F.col("_r") <= k)
+    told = scratch(nearest.select("i", F.col("j").alias("m"), F.col(far).alias("d")), "nearest")
+    seen = pairs.select("i", "j", far).join(F.broadcast(told), "i").filter((F.col(far) < F.col("d")) | ((F.col(far) == F.col("d")) & (F.col("j") <= F.col("m"))))
+    ranks = seen.groupBy("i", "m").agg(F.count(F.lit(1)).alias("rank"))
+    return ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias(name))
+
+
 def pca_sweep(df: DataFrame, ids: list[str], sizes: list[int], vector: str = "embedding") -> DataFrame:
     """Components fitted once at the largest valid size (<= rows and width); (ids, size, scores) are slices of it."""
     from pyspark.ml.feature import PCA

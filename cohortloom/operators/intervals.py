@@ -23,20 +23,73 @@ def merged(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
         "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY, how: str = "inner") -> DataFrame:
-    """The rows of a with each overlapping row of b (start, stop as o_start, o_stop) and the seconds shared. Touching is no overlap."""
-    right = b.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("o_start"), F.col("stop").alias("o_stop"))
-    on = (F.col("start") < F.col("o_stop")) & (F.col("o_start") < F.col("stop"))
+def reached(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The rows of a with _from and _to: how many rows of b end at or before the start, and how many begin before the stop.
+    The difference is the number of rows of b that overlap, whether or not these overlap each other. Both are running counts
+    over the sorted ends, so no pair is looked at. A row without key, start or stop, or that ends before it starts, overlaps none."""
+
+    def counted(rows: DataFrame, mine: str, theirs: str, out: str, ties: Column) -> DataFrame:
+        row = F.struct(*[F.col(c) for c in rows.columns])
+        points = rows.select(*key, F.col(mine).alias("_t"), row.alias("_row"), F.lit(0).alias("_one"))
+        ends = b.filter("start <= stop").select(*key, F.col(theirs).alias("_t"), F.lit(None).cast(points.schema["_row"].dataType).alias("_row"), F.lit(1).alias("_one"))
+        w = Window.partitionBy(*key).orderBy(F.col("_t"), ties).rowsBetween(Window.unboundedPreceding, 0)
+        return points.unionByName(ends).withColumn("_n", F.sum("_one").over(w)).filter("_row is not null").select("_row.*", F.col("_n").alias(out))
+
+    both = counted(counted(a, "start", "stop", "_from", F.col("_one").desc()), "stop", "start", "_to", F.col("_one").asc())
+    able = F.col("start") <= F.col("stop")
     for k in key:
-        on = on & (F.col(k) == F.col(f"_{k}"))
+        able = able & F.col(k).isNotNull()
+    return both.withColumn("_to", F.when(able, F.greatest("_from", "_to")).otherwise(F.col("_from")))
+
+
+def untouched(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The rows of a that no row of b overlaps."""
+    return reached(a, b, key).filter("_to = _from").drop("_from", "_to")
+
+
+def overlaps(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY, how: str = "inner", disjoint: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a with each overlapping row of b (start, stop as o_start, o_stop) and the seconds shared. Touching is no
+    overlap. how: inner, or left to keep rows of a without any. carry: further columns of b, as o_<name>.
+
+    Rows of b are numbered by their start, and a row of a is joined by number with the stretch of b that it can reach, so
+    the work follows the pairs found. If b is `disjoint` the stretch is exact. Else b is dealt into levels by length, each
+    up to twice as long as the one below, and a row of a reaches back by a level's length in each level that its key has.
+    """
+    cols = a.columns
+    right = b.filter("start <= stop").select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), *[F.col(c).alias(f"o_{c}") for c in carry])
+    others = ["o_start", "o_stop", *[f"o_{c}" for c in carry]]
     shared = F.when(F.col("o_start").isNotNull(), F.least("stop", "o_stop") - F.greatest("start", "o_start"))
-    return a.join(right, on, how).drop(*[f"_{k}" for k in key]).withColumn("shared", shared)
+    rows = reached(a, b, key)
+    same = lambda keys: [F.col(k) == F.col(f"_{k}") for k in keys]
+    place = F.row_number().over(Window.partitionBy(*[f"_{k}" for k in key], *([] if disjoint else ["_level"])).orderBy("o_start", "o_stop")) - 1
+    if disjoint:
+        stretch = F.when(F.col("_to") > F.col("_from"), F.sequence("_from", F.col("_to") - 1))
+        spread = (F.explode_outer if how == "left" else F.explode)(stretch)
+        pairs = rows.withColumn("_at", spread).join(right.withColumn("_place", place), [*same(key), F.col("_at") == F.col("_place")], how)
+        return pairs.select(*cols, *others, shared.alias("shared"))
+    length = F.col("o_stop") - F.col("o_start")
+    level = F.when(length > 0, F.ceil(F.log2(length))).otherwise(F.lit(-1074)).cast("int")
+    right = right.withColumn("_level", level)
+    levels = right.groupBy(*[F.col(f"_{k}") for k in key]).agg(F.collect_set("_level").alias("_levels"))
+    some = rows.filter("_to > _from").drop("_from", "_to").join(levels, same(key)).withColumn("level", F.explode("_levels"))
+    some = some.select(*cols, "level", (F.col("start") - 1.000001 * F.pow(F.lit(2.0), "level")).alias("_back"))
+    numbered = right.withColumn("_place", place)
+    deep = numbered.select(*[F.col(f"_{k}").alias(k) for k in key], F.col("_level").alias("level"), F.col("o_start").alias("start"), F.col("o_start").alias("stop"))
+    # How many starts of the level lie before the row reaches back, and how many before it stops.
+    probe = some.select(F.struct(*cols).alias("_own"), *key, "level", F.least("_back", "start").alias("start"), "stop")
+    near = reached(probe, deep.withColumn("stop", F.col("start")), (*key, "level")).select("_own", "level", F.explode(F.when(F.col("_to") > F.col("_from"), F.sequence("_from", F.col("_to") - 1))).alias("_at")).select("_own.*", "level", "_at")
+    pairs = near.join(numbered, [*same(key), F.col("level") == F.col("_level"), F.col("_at") == F.col("_place"), F.col("start") < F.col("o_stop"), F.col("o_start") < F.col("stop")])
+    found = pairs.select(*cols, *others, shared.alias("shared"))
+    if how == "left":
+        none = rows.filter("_to = _from").select(*cols)
+        found = found.unionByName(none, allowMissingColumns=True)
+    return found
 
 
 def subtracted(base: DataFrame, cut: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """The pieces of each base interval outside cut, in order. Other columns of base stay; equal rows count once."""
     cols = base.columns
-    part = overlaps(base.filter("stop > start").distinct(), merged(cut.select(*key, "start", "stop"), key), key, "left")
+    part = overlaps(base.filter("stop > start").distinct(), merged(cut.select(*key, "start", "stop"), key), key, "left", True)
     w = Window.partitionBy(*cols).orderBy("o_start")
     ends = part.withColumn("_from", F.coalesce(F.lag("o_stop").over(w), F.col("start"))).withColumn("_last", F.lead("o_start").over(w).isNull())
     gap = F.struct(F.col("_from").alias("a"), F.coalesce("o_start", "stop").alias("b"))
@@ -45,16 +98,12 @@ def subtracted(base: DataFrame, cut: DataFrame, key: tuple[str, ...] = KEY) -> D
     return pieces.select(*[c for c in cols if c not in ("start", "stop")], F.col("_p.a").alias("start"), F.col("_p.b").alias("stop"))
 
 
-def intersected(blocks: DataFrame, states: DataFrame, key: tuple[str, ...] = KEY, kind: str = "block", state: str = "state") -> DataFrame:
-    """Blocks split by state; a block that no state overlaps comes once as `<kind>_UNKNOWN`."""
-    s = states.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col(state).alias("_s"))
-    on = (F.col("start") < F.col("_b")) & (F.col("_a") < F.col("stop"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    j = blocks.join(s, on, "left")
+def intersected(blocks: DataFrame, states: DataFrame, key: tuple[str, ...] = KEY, kind: str = "block", state: str = "state", disjoint: bool = False) -> DataFrame:
+    """Blocks split by state; a block that no state overlaps comes once as `<kind>_UNKNOWN`. disjoint: states do not overlap."""
+    j = overlaps(blocks, states, key, "left", disjoint, (state,))
     return j.select(
-        *key, F.concat_ws("_", kind, F.coalesce("_s", F.lit("UNKNOWN"))).alias("segment_type"),
-            F.greatest("start", F.coalesce("_a", "start")).alias("start"), F.least("stop", F.coalesce("_b", "stop")).alias("stop"))
+        *key, F.concat_ws("_", kind, F.coalesce(f"o_{state}", F.lit("UNKNOWN"))).alias("segment_type"), F.greatest("start", F.coalesce("o_start", "start")).alias("start"),
+        F.least("stop", F.coalesce("o_stop", "stop")).alias("stop"))
 
 
 def duration(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -85,7 +134,7 @@ def clean_fractions(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
 def coverage(segments: DataFrame, bad: DataFrame, condition: str, key: tuple[str, ...] = KEY) -> DataFrame:
     """Usable seconds of each recording and condition: each segment's length less its overlap with the union of bad, not below 0."""
     rows = segments.withColumn("_row", F.monotonically_increasing_id())
-    hit = overlaps(rows, merged(bad, key), key, "left").groupBy(*key, condition,
+    hit = overlaps(rows, merged(bad, key), key, "left", True).groupBy(*key, condition,
         "_row").agg(F.first(F.col("stop") - F.col("start")).alias("length"), F.coalesce(F.sum("shared"), F.lit(0.0)).alias("bad"))
     return hit.groupBy(*key, condition).agg(F.sum(F.greatest(F.lit(0.0), F.col("length") - F.col("bad"))).alias("usable_seconds"))
 
@@ -164,7 +213,7 @@ def segments(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
     lead = recordings.join(first, "recording_id", "left").select("recording_id", F.lit(0.0).alias("start"),
         F.coalesce("stop", "raw_end").alias("stop"))
     base = subtracted(lead, cut).select("recording_id", F.lit("RAW_baseline").alias("segment_type"), "start", "stop")
-    split = intersected(blocks, eye.select("recording_id", "start", "stop", "state"))
+    split = intersected(blocks, eye.select("recording_id", "start", "stop", "state"), disjoint=True)
     out = raw.unionByName(base).unionByName(split)
     return out.withColumn("duration", F.col("stop") - F.col("start"))
 
@@ -197,11 +246,7 @@ def epochs(wins: DataFrame, bad: DataFrame | None, sfreq: float, key: tuple[str,
         "start_sample").agg(F.min("start").alias("start"), F.min("stop").alias("stop"))
     if bad is None:
         return once
-    b = bad.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("_a"), F.col("stop").alias("_b"))
-    on = (F.col("start") < F.col("_b")) & (F.col("_a") < F.col("stop"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    return once.join(b, on, "left_anti")
+    return untouched(once, bad, key)
 
 
 def epoch_yield(segs: DataFrame, length: float, by: list[str]) -> DataFrame:
@@ -260,11 +305,7 @@ def recovery(before: DataFrame, after: DataFrame, key: tuple[str, ...] = KEY) ->
     old = merged(before, key)
     seconds = old.groupBy(*key).agg(F.sum(F.col("stop") - F.col("start")).alias("bad_seconds"))
     kept = subtracted(old, after, key).groupBy(*key).agg(F.sum(F.col("stop") - F.col("start")).alias("recovered_seconds"))
-    b = merged(after, key).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("_a"), F.col("stop").alias("_b"))
-    on = (F.col("start") < F.col("_b")) & (F.col("_a") < F.col("stop"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    whole = old.join(b, on, "left_anti").groupBy(*key).agg(F.count(F.lit(1)).alias("recovered_segments"))
+    whole = untouched(old, merged(after, key), key).groupBy(*key).agg(F.count(F.lit(1)).alias("recovered_segments"))
     j = seconds.join(kept, list(key), "left").join(whole, list(key), "left").na.fill(0)
     return j.withColumn("recovery_pct", 100.0 * F.col("recovered_seconds") / F.col("bad_seconds"))
 
@@ -282,7 +323,7 @@ def calibration(signal: DataFrame, bad: DataFrame, sfreq: float, length: float,
         F.count(F.lit(1)).alias("c")).filter(F.col("c") >= int(length * sfreq))
     found = each.groupBy("recording_id", "w").agg(F.avg("v").alias("variance")).withColumn("start", F.col("w") * step).withColumn("stop",
         F.col("start") + length)
-    hit = overlaps(found, merged(bad)).select("recording_id", "w").distinct().withColumn("_bad", F.lit(True))
+    hit = reached(found, merged(bad)).filter("_to > _from").select("recording_id", "w").distinct().withColumn("_bad", F.lit(True))
     order = Window.partitionBy("recording_id").orderBy(F.coalesce("_bad", F.lit(False)), "variance", "w")
     return found.join(hit, ["recording_id", "w"], "left").withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("recording_id",
         "start", "stop", "variance", F.coalesce(~F.col("_bad"), F.lit(True)).alias("clean"))

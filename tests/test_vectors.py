@@ -111,3 +111,23 @@ def test_area_under_the_curve(spark):
         want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
         assert abs(got[f].roc_auc - want) < 1e-9
     assert got[2].roc_auc is None and got[2].accuracy == 1.0
+
+
+def test_retention_in_blocks(spark, monkeypatch):
+    """Queries dealt into many blocks give what one block gives, and what ranks of all distances give."""
+    r = np.random.default_rng(8)
+    x = r.integers(-9, 9, size=(150, 6)).astype(float)  # exact distances, with ties
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i long, h array<double>").withColumn("l", F.slice("h", 1, 2))
+    k, asked = 5, range(0, 150, 3)
+    t = c = 0
+    for i in asked:
+        d = [((x[i] - x) ** 2).sum(1), ((x[i, :2] - x[:, :2]) ** 2).sum(1)]
+        order = [[j for j in sorted(range(150), key=lambda j, v=v: (v[j], j)) if j != i] for v in d]
+        rank = [{j: n + 1 for n, j in enumerate(o)} for o in order]
+        t += sum(max(rank[0][j] - k, 0) for j in order[1][:k])
+        c += sum(max(rank[1][j] - k, 0) for j in order[0][:k])
+    scale = 2 / (len(asked) * k * (2 * 150 - 3 * k - 1))
+    for size in (1 << 25, 2000):
+        monkeypatch.setattr(E, "ASKED_BYTES", size)
+        got = E.neighbour_retention(df, "i", "h", "l", k, F.col("i") % 3 == 0).first()
+        assert abs(got.trustworthiness - (1 - scale * t)) < 1e-9 and abs(got.continuity - (1 - scale * c)) < 1e-9
