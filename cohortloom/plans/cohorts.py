@@ -282,12 +282,6 @@ def _(spark, d):
     return p.select("page_id", e["sub"].alias("sub"), e["ses"].alias("ses"), e["task"].alias("task"))
 
 
-@query("s06_record_headers", r"""SELECT page_id, nullif(regexp_extract(t, 'id=(\d+)', 1), '') AS record_id, strptime('2024-03-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || ' 10:20:30', '%Y-%m-%d %H:%M:%S') AS recorded_at FROM (SELECT page_id, 'id=' || page_id AS t FROM pages)""")
-def _(spark, d):
-    text = F.concat(F.lit("x id="), "page_id", F.lit(" 2024/03/"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0"), F.lit(" 10:20:30 end"))
-    return S.header_fields(read(spark, d, "pages").select("page_id", text.alias("t")), "t").select("page_id", "record_id", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))
-
-
 def entry(spark, sf_dir):
     """Prevalence after the removal waterfall."""
     return C.prevalence(clean(spark, sf_dir), ["adhd", "autism", "epilepsy"])

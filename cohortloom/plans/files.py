@@ -8,23 +8,19 @@ from ..operators import features as X
 from ..operators import joins as J
 from ..session import scratch_path
 from ..sources import tables as S
+from ..sources import versions as V
 from .derive import patients, query, read
 from .derive import WITH
 
-#: Folders of the shard layout: subjects are regions, conditions two market segments.
-SEGMENTS = ("BUILDING", "MACHINERY")
 
-
-@query("s03_shards", f"""SELECT 'sub' || (n_regionkey + 1) AS sub, 'a' AS ses, lower(c_mktsegment) AS condition, count(*) AS rows FROM customer JOIN nation ON c_nationkey = n_nationkey
-    WHERE c_mktsegment IN {SEGMENTS} GROUP BY ALL""")
+@query("s03_shards", """SELECT 'sub' || (n_regionkey + 1) AS sub, 'a' AS ses, lower(c_mktsegment) AS condition, count(*) AS rows FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def _(spark, d):
-    """Shards are found by their folders; each is then read by its path."""
+    """One write lays all shards out by subject (region), session and condition (market segment); they are found by their
+    folders and each is read by its path."""
     root = scratch_path(spark, "shards")
-    c = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
-    for region in range(5):
-        for segment in SEGMENTS:
-            part = c.filter((F.col("n_regionkey") == region) & (F.col("c_mktsegment") == segment)).select("c_custkey")
-            part.write.parquet(f"{root}/sub-sub{region + 1}/ses-a/eeg/{segment.lower()}")
+    nation = read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    c = read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    S.write_shards(c.select("c_custkey", F.concat(F.lit("sub"), F.col("n_regionkey") + 1).alias("sub"), F.lit("a").alias("ses"), F.lower("c_mktsegment").alias("condition")), root)
     found = S.shards(spark, root)
     rows = spark.read.option("recursiveFileLookup", "true").parquet(root).select(F.input_file_name().alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     name = F.regexp_extract("path", r"(sub-[^/]+/ses-[^/]+/eeg/[^/]+/[^/]+)$", 1)
@@ -32,6 +28,18 @@ def _(spark, d):
     return both.groupBy("sub", "ses", "condition").agg(F.sum(F.coalesce("n", F.lit(0))).alias("rows")).filter("rows > 0")
 
 
+@query("s06_record_headers", r"""SELECT page_id::VARCHAR AS record_id, strptime('2024-03-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || ' 10:20:30', '%Y-%m-%d %H:%M:%S') AS recorded_at, strlen(html) AS n_bytes FROM pages""")
+def _(spark, d):
+    """Whole pages behind a header line as record files with NULs, one for each page, read back as binary files in Latin-1."""
+    root, nul = scratch_path(spark, "records"), F.lit("\u0000")
+    stamp = F.concat(F.lit("2024/03/"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0"), F.lit(" 10:20:30"))
+    head = F.concat(F.lit("Record No: "), F.col("page_id").cast("string"), nul, F.lit(" of "), stamp, nul)
+    read(spark, d, "pages").select("page_id", F.concat(head, F.lit("|"), "html").alias("value")).write.partitionBy("page_id").option("lineSep", "|").text(root)
+    found = S.record_headers(spark, f"{root}/*/*.txt")
+    size = F.length("t") - F.instr("t", "|") - 1
+    return found.select("record_id", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"), size.cast("long").alias("n_bytes"))
+
+
 @query("s04_sidecars", "SELECT event_type AS model_key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def _(spark, d):
     """One JSON sidecar for each event type, found below the root and grouped by its model key."""
@@ -64,15 +72,13 @@ def _(spark, d):
     return both.groupBy("format", "model_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@query("s10_replaced", "SELECT o_orderpriority, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END), 2) AS total FROM orders GROUP BY 1")
+@query("s10_replaced", "SELECT o_orderpriority, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END), 2) AS total, 2 AS version FROM orders GROUP BY 1")
 def _(spark, d):
-    """A table is replaced by a plan that reads it."""
-    path, keep = scratch_path(spark, "table"), scratch_path(spark, "beside")
-    read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice").write.parquet(path)
-    old = spark.read.parquet(path)
-    new = old.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0))
-    S.replace_table(S.upserted(old, new, ["o_orderkey"]), path, keep)
-    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """A table whose next version is made by a plan that reads the one before."""
+    path = scratch_path(spark, "table")
+    V.replace_table(read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), path)
+    V.upsert_table(V.current(spark, path).filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0)), path, ["o_orderkey"])
+    return V.current(spark, path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.lit(V.version(spark, path)).alias("version"))
 
 
 @query("s12_written", f"{WITH} SELECT drop_reason, source_dataset, count(*) AS n FROM allrows WHERE drop_reason IS NOT NULL GROUP BY ALL")

@@ -81,6 +81,28 @@ def write_tables(df: DataFrame, root: str, by: tuple[str, ...] = ("model_key", "
         df.select(*flat).write.mode("overwrite").partitionBy(*by).option("header", "true").csv(f"{root}/csv")
 
 
+def store(spark: SparkSession, path: str):
+    """The file system of a path, by Spark's own settings, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def write_shards(df: DataFrame, root: str) -> None:
+    """Rows by sub, ses and condition in the folders that `shards` finds: one write, whose folders are then renamed."""
+    draft = f"{root}/draft"
+    df.write.partitionBy("sub", "ses", "condition").parquet(draft)
+    fs, make = store(df.sparkSession, root)
+    folders = lambda p: [f.getPath() for f in fs.listStatus(p) if f.isDirectory()]
+    value = lambda p: p.getName().split("=", 1)[1]
+    for sub in folders(make(draft)):
+        for ses in folders(sub):
+            place = f"{root}/sub-{value(sub)}/ses-{value(ses)}/eeg"
+            fs.mkdirs(make(place))
+            for condition in folders(ses):
+                fs.rename(condition, make(f"{place}/{value(condition)}"))
+    fs.delete(make(draft), True)
+
+
 def participants(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row for each participant (the least by all columns), in order."""
     w = Window.partitionBy(key).orderBy(*columns)
@@ -108,12 +130,6 @@ def last_wins(old: DataFrame, new: DataFrame, keys: list[str], recency: str, ord
     return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_new").orderBy(*order)
 
 
-def replace_table(df: DataFrame, path: str, keep: str) -> None:
-    """Write a table whose plan may read `path`: first beside it, then over it."""
-    df.write.mode("overwrite").parquet(keep)
-    df.sparkSession.read.parquet(keep).write.mode("overwrite").parquet(path)
-
-
 def removed_summary(df: DataFrame, reason: str, source: str) -> DataFrame:
     """(kind, value, n): removed rows in all, by reason and by source."""
     rows = df.filter(F.col(reason).isNotNull())

@@ -1,12 +1,14 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import evaluation as T
 from cohortloom.operators import features as X
 from cohortloom.operators import quality as Q
 from cohortloom.sources import tables as S
+from cohortloom.sources import versions as V
 
 A, B = "band_log_abs_alpha_ch-Fz", "complexity_sample_entropy_ch-Fz"
 
@@ -126,3 +128,30 @@ def test_files(spark, tmp_path):
     (tmp_path / "r.pnt").write_bytes("x\0 id=77 2024/03/05 10:20:30".encode("latin-1"))
     r = S.record_headers(spark, str(tmp_path / "r.pnt")).first()
     assert r.record_id == "77" and str(r.recorded_at) == "2024-03-05 10:20:30"
+
+
+def test_a_failure_between_the_writes_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/table"
+    rows = lambda at=None: sorted((tuple(r) for r in V.current(spark, path, at).collect()), key=str)
+    table = lambda *r: spark.createDataFrame(list(r), "k string, v int, t int")
+    with pytest.raises(ValueError):
+        V.current(spark, path)
+    assert V.upsert_table(table(("a", 1, 1), ("b", 2, 1)), path, ["k"]) == 1
+    assert V.upsert_table(table(("b", 3, 2), (None, 4, 2)), path, ["k"]) == 2
+    assert rows() == sorted([("a", 1, 1), ("b", 3, 2), (None, 4, 2)], key=str)
+    commit, before = V._commit, sorted(map(str, V.current(spark, path).collect()))
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(V, "_commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        V.replace_table(V.current(spark, path).limit(0), path)
+    assert V.version(spark, path) == 2 and sorted(map(str, V.current(spark, path).collect())) == before
+    monkeypatch.setattr(V, "_commit", commit)
+    with pytest.raises(V.Conflict):  # made from version 1, but 2 has been made since
+        V.replace_table(table(("z", 0, 0)), path, after=1)
+    assert V.upsert_latest(table(("a", 9, 0), ("b", 9, 3)), path, ["k"], "t", ["k"]) == 3
+    assert sorted((r.k or "", r.v) for r in V.current(spark, path).collect()) == [("", 4), ("a", 1), ("b", 9)]
+    assert rows(1) == [("a", 1, 1), ("b", 2, 1)]
+    assert V.expire(spark, path, keep=1) == 2 and V.version(spark, path) == 3 and V.current(spark, path).count() == 3
