@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
 from .features import vector_means
 from .ranks import LANES, hash_bucket, lane_values, lanes_text, ranked
+from .sums import summed, vectors
 
 
 def levels(df: DataFrame) -> dict[str, DataFrame]:
@@ -269,21 +271,63 @@ def _excess(pairs: DataFrame, near: str, far: str, name: str, k: int) -> DataFra
     return ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias(name))
 
 
+#: Width up to which second moments are summed; seed, further directions and rounds of the range finder beyond it, and how
+#: little its values may change at the end.
+NARROW, SEED, MORE, ROUNDS, STILL = 2048, 7, 10, 100, 1e-9
+
+
+def components(rows: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, directions: width x k) of the k largest principal components of rows(x), each with its largest entry positive.
+
+    Narrow vectors: from their second moments. Wide ones: a randomised range finder, whose passes send a width x (k + MORE)
+    matrix out and sum one of that size, so no width x width matrix is made; it is exact at once where that many directions
+    hold all rows, and else goes on until the values stay.
+    """
+    total = summed(rows, lambda b: np.concatenate([[b.num_rows], vectors(b.column(0)).sum(0)]))
+    n, mean = int(total[0]), total[1:] / total[0]
+
+    def centred(b: pa.RecordBatch) -> np.ndarray:
+        return vectors(b.column(0)) - mean
+
+    if width <= NARROW:
+        second = summed(rows, lambda b: (centred(b).T @ centred(b)).ravel()).reshape(width, width)
+        found = np.linalg.eigh(second)[1][:, ::-1][:, :k]
+    else:
+        size = min(n, width, k + MORE)
+        q, last = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, size)))[0], None
+        for _ in range(ROUNDS):
+            w = summed(rows, lambda b, q=q: (centred(b).T @ (centred(b) @ q)).ravel()).reshape(width, size)
+            values, turn = np.linalg.eigh((q.T @ w + w.T @ q) / 2)
+            found, values = (q @ turn)[:, ::-1][:, :k], values[::-1][:k]
+            if last is not None and np.allclose(values, last, rtol=STILL, atol=0):
+                break
+            q, last = np.linalg.qr(w)[0], values
+    return mean, found * np.where(found[np.abs(found).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+
+
 def pca_sweep(df: DataFrame, ids: list[str], sizes: list[int], vector: str = "embedding") -> DataFrame:
-    """Components fitted once at the largest valid size (<= rows and width); (ids, size, scores) are slices of it."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Components fitted once at the largest valid size (<= rows and width); (ids, size, scores) are slices of it.
 
-    n = df.count()
-    width = df.agg(F.max(F.size(vector))).first()[0] or 0
+    The sign of a component is that its largest entry is positive. Vectors have one width; rows without one are left out.
+    """
+    rows = scratch(df.filter(F.col(vector).isNotNull()).select(F.transform(vector, lambda x: x.cast("double")).alias("_v"), *ids), "vectors")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("w")).first()
+    n, width = size.n, size.w or 0
     valid = sorted({k for k in sizes if 1 <= k <= min(n, width)})
     if not valid:
         raise ValueError("no valid number of components")
-    rows = df.select(*ids, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
-    model = PCA(k=valid[-1], inputCol="_v", outputCol="_s").fit(rows)
-    scores = model.transform(rows).select(*ids, vector_to_array("_s").alias("_s"))
-    return scores.withColumn("size", F.explode(F.array(*[F.lit(k) for k in valid]))).select(*ids, "size",
-        F.slice("_s", F.lit(1), F.col("size")).alias("scores"))
+    mean, found = components(rows.select("_v"), width, valid[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                c = b.slice(at, 1024)
+                scores = (vectors(c.column(0)) - mean) @ found
+                yield pa.RecordBatch.from_arrays([*c.columns[1:], pa.array(list(scores), pa.list_(pa.float64()))], names=[*c.schema.names[1:], "_s"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*ids).schema)
+    scores = rows.mapInArrow(run, f"{kinds}, _s array<double>")
+    return scores.withColumn("size", F.explode(F.array(*[F.lit(k) for k in valid]))).select(*ids, "size", F.slice("_s", F.lit(1), F.col("size")).alias("scores"))
 
 
 def availability(n_rows: int, n_features: int, sizes: list[int]) -> list[dict]:

@@ -7,7 +7,7 @@ models, are added up in a tree of tasks and come to the driver, which steps ever
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch, ship
+from ..session import scratch
 from .evaluation import dealt_groups
+from .sums import summed, vectors
 
-FAN, STEPS, CLOSE = 32, 60, 1e-5  # sums that one task or the driver adds up; passes of a fit at most; largest change at its end
+STEPS, CLOSE = 60, 1e-5  # passes of a fit at most; largest change at its end
 
 
 def nested_folds(df: DataFrame, outer: int, inner: int, label: str = "y", group: str = "group", seed: int = 0) -> DataFrame:
@@ -57,42 +58,15 @@ def _members(parts: list[Part], fold: np.ndarray, inner: np.ndarray | None, held
 
 
 def _summed(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of sums(x, y, fold, inner), added up in a tree."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                c = b.slice(at, 4096)
-                if not c.num_rows:
-                    continue
-                x = c.column(0)
-                x = np.asarray(x.flatten(), np.float64).reshape(len(x), -1)
-                inner = None
-                if c.num_columns > 3:
-                    lists = c.column(3)
-                    inner = np.asarray(lists.flatten().fill_null(-1)).reshape(len(lists), -1)
-                found = sums(x, np.asarray(c.column(1)), np.asarray(c.column(2)), inner)
-                total = found if total is None else total + found
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total, np.float64).tobytes()], pa.binary())], names=["sums"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for s in b.column(0):
-                found = np.frombuffer(s.as_py())
-                total = found if total is None else total + found
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    left = ship(rows.sparkSession) and rows.mapInArrow(part, "sums binary")
-    n = rows.rdd.getNumPartitions()
-    while n > FAN:
-        n = -(-n // FAN)
-        left = left.repartition(n).mapInArrow(added, "sums binary")
-    found = [np.frombuffer(r.sums) for r in left.collect()]
-    return np.sum(found, axis=0) if found else np.zeros(0)
+    """The sum over all batches of sums(x, y, fold, inner)."""
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        inner = None
+        if b.num_columns > 3:
+            inner = np.asarray(b.column(3).flatten().fill_null(-1)).reshape(b.num_rows, -1)
+        return sums(vectors(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), inner)
+
+    return summed(rows, part)
 
 
 def _table(df: DataFrame, features: str, label: str, nested: bool) -> tuple[DataFrame, int]:

@@ -128,3 +128,18 @@ def test_folds_are_balanced(spark):
     for own in (got, [r for r in got if r.y == 0], [r for r in got if r.y == 1]):
         n = Counter(r.fold for r in own)
         assert max(n.values()) - min(n.values()) <= max(sizes)
+
+
+def test_fold_predictions_are_a_plain_fit(spark):
+    """Scaling and an elastic-net logistic fit on the other folds give the same classes and probabilities as plain steps."""
+    df = T.group_folds(table(spark, data()), 3)
+    got = T.fold_predictions(df.selectExpr("group", "y", "x", "fold", "monotonically_increasing_id() AS i"), "x", maxIter=500, regParam=0.01, elasticNetParam=0.5, tol=1e-10)
+    got = {r.i: r for r in got.collect()}
+    rows = df.selectExpr("y", "x", "fold", "monotonically_increasing_id() AS i").collect()
+    x, y, fold = np.array([r.x for r in rows]), np.array([r.y for r in rows]), np.array([r.fold for r in rows])
+    assert sorted(got) == sorted(r.i for r in rows)
+    for f in range(3):
+        want = fitted(x[fold != f], y[fold != f], x[fold == f], 0.01, 0.5)
+        have = np.array([got[r.i].prediction for r in rows if r.fold == f]) == 1
+        assert (want == have).mean() > 0.97
+        assert all((got[r.i].probability > 0.5) == (got[r.i].prediction == 1) for r in rows if r.fold == f)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import embeddings as E
 from cohortloom.operators import evaluation as T
 from cohortloom.operators import ranks
+from cohortloom.operators import tuning as U
 
 
 @pytest.fixture(scope="module")
@@ -69,7 +70,7 @@ def test_component_sweep_is_nested(vectors):
     assert len(got) == 240
     _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     for i in range(0, 120, 11):
-        assert np.allclose(np.abs(got[i, 4]), np.abs(x[i] @ vt[:4].T), atol=1e-6) and np.allclose(got[i, 2], got[i, 4][:2])
+        assert np.allclose(np.abs(got[i, 4]), np.abs((x[i] - x.mean(axis=0)) @ vt[:4].T), atol=1e-6) and np.allclose(got[i, 2], got[i, 4][:2])
 
 
 def test_ratio_of_participation(vectors):
@@ -97,9 +98,12 @@ def test_tuning_and_forward_selection(spark):
     r = random.Random(1)
     rows = [(i % 3, y, float(y * 4 + r.random()), float(r.random())) for i in range(90) for y in (i // 3 % 2,)]
     df = spark.createDataFrame(rows, "fold int, y int, good double, noise double")
-    assert T.forward_selection(df, ["noise", "good"], 2) == ["good"]
-    best, scores = T.tuned(df.withColumn("x", F.array("good", "noise")), "x", [{"regParam": 100.0, "maxIter": 5}, {"regParam": 0.01, "maxIter": 20}])
-    assert best["regParam"] == 0.01 and scores[1][1] == 1.0 > scores[0][1]
+    found = U.forward_selection(df.withColumn("x", F.array("noise", "good")), "x").collect()
+    assert [(r.place, r.feature, r.score) for r in found] == [(0, 1, 1.0)]
+    own = df.withColumns({"x": F.array("good", "noise"), "group": F.monotonically_increasing_id()}).drop("fold")
+    settings = [{"penalty": 100.0, "l1_share": 1.0}, {"penalty": 0.01, "l1_share": 0.5}]
+    got = {(r.fold, r.setting): r for r in U.nested_tuning(U.nested_folds(own, 3, 2), "x", settings, inner_folds=2).collect()}
+    assert all(got[f, 1].chosen and got[f, 1].inner_score == got[f, 1].outer_score == 1.0 > got[f, 0].inner_score for f in range(3))
 
 
 def test_area_under_the_curve(spark):
@@ -131,3 +135,16 @@ def test_retention_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(E, "ASKED_BYTES", size)
         got = E.neighbour_retention(df, "i", "h", "l", k, F.col("i") % 3 == 0).first()
         assert abs(got.trustworthiness - (1 - scale * t)) < 1e-9 and abs(got.continuity - (1 - scale * c)) < 1e-9
+
+
+@pytest.mark.parametrize("rows, width, narrow", [(40, 20_000, 2048), (200, 30, 8), (200, 30, 2048), (3, 5, 2)])
+def test_wide_components(spark, monkeypatch, rows, width, narrow):
+    """Scores of wide vectors are those of a singular value decomposition, up to sign, without a width x width matrix."""
+    monkeypatch.setattr(E, "NARROW", narrow)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(rows, 25)) * 0.8 ** np.arange(25) @ r.normal(size=(25, width)) + 3
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i long, embedding array<double>").repartition(3)
+    k = min(6, rows, width)
+    got = np.array([s.scores for s in E.pca_sweep(df, ["i"], [k]).orderBy("i").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :k] * s[:k]), atol=1e-4 * s[0])
