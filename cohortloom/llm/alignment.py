@@ -27,7 +27,7 @@ from ._pack import packed, unpacked
 from ._util import documents, held, mapped, written
 
 BLOCK = 4 << 20  # bytes of text of a block
-REMEMBERED = 200_000  # windows that a worker carries on to its next block
+REMEMBERED = 500_000  # windows that a worker carries on to its next block
 MARK = b"\xff\xff\xff\xff"  # between the two id tuples of a window; no id is that large
 BODY, NONE = -1, b""
 
@@ -76,23 +76,26 @@ def byte_level(path: str) -> Vocabulary:
 
 
 SEGMENT = re.compile(" +[^ ]*")
-LONG, SEGMENTS = 64, 200_000  # characters of a segment that is not remembered; remembered ones
+SEGMENT_BYTES = 48 << 20  # of remembered segments, as they lie in memory
 
 
 class Segments(dict):
-    """The ids of a text's segments, each the spaces and what follows up to the next space, and the bytes they spell."""
+    """The ids of segments, each some spaces and what follows up to the next space, and the bytes they spell."""
 
-    def __init__(self, encode: Callable[[str], list[int]], lone: int, pieces: list[bytes]) -> None:
-        self.encode, self.lone, self.pieces = encode, lone, pieces
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], lone: int, pieces: list[bytes]) -> None:
+        self.encode, self.lone, self.pieces, self.held = encode, lone, pieces, 0
 
-    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
-        ids = self.encode(segment[1:]) if segment != " " else [self.lone]  # the model puts the first space itself, but not before nothing
-        found = array("I", ids).tobytes(), b"".join(map(self.pieces.__getitem__, ids))
-        if len(segment) <= LONG:
-            if len(self) >= SEGMENTS:
-                self.clear()
-            self[segment] = found
-        return found
+    def learn(self, segments: list[str]) -> None:
+        """Make sure that these are known."""
+        if self.held > SEGMENT_BYTES:
+            self.clear()
+            self.held = 0
+        new = [s for s in set(segments) if s not in self]
+        for segment, ids in zip(new, self.encode([s[1:] for s in new]), strict=True):
+            if segment == " ":  # the model puts the first space itself, but not before nothing
+                ids = [self.lone]
+            self[segment] = found = array("I", ids).tobytes(), b"".join(map(self.pieces.__getitem__, ids))
+            self.held += 300 + len(segment) + len(found[0]) + len(found[1])
 
 
 def sentence_pieces(path: str) -> Vocabulary:
@@ -104,13 +107,15 @@ def sentence_pieces(path: str) -> Vocabulary:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     pieces = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
     apart = not any(re.search("[^▁]▁", n) for n in names)
-    known = Segments(model.encode, model.piece_to_id("▁"), pieces)
+    known = Segments(lambda texts: model.encode(texts, num_threads=1), model.piece_to_id("▁"), pieces)
 
     def encode(text: str) -> tuple[np.ndarray, bytes]:
         if not apart or not text or "▁" in text:  # a mark in the text is a space to the model
             ids = model.encode(text)
             return np.array(ids, np.uint32), b"".join(map(pieces.__getitem__, ids))
-        found = list(map(known.__getitem__, SEGMENT.findall(" " + text)))
+        segments = SEGMENT.findall(" " + text)
+        known.learn(segments)
+        found = list(map(known.__getitem__, segments))
         return np.frombuffer(b"".join([f[0] for f in found]), np.uint32), b"".join([f[1] for f in found])
 
     return Vocabulary(encode, pieces)
@@ -120,38 +125,46 @@ LOADERS = {"byte_level": byte_level, "sentence_pieces": sentence_pieces}
 
 
 class Windows(dict):
-    """The place of each window by its ids, worked out at first sight; groups, their number and links by that place."""
+    """The place of each window by its ids; its groups, their number and its links by that place."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary) -> None:
         self.a, self.b = a, b
+        self.size_a, self.size_b = a.size.tolist(), b.size.tolist()
+        self.name_a, self.name_b = (list(map(str, range(len(v.pieces)))) for v in (a, b))
         self.texts: list[str] = []
         self.groups, self.starts, self.links = array("q"), array("q", [0]), array("q")
 
-    def __missing__(self, key: bytes) -> int:
-        ids = array("I", key)
-        cut = ids.index(0xFFFFFFFF)
-        a, b = ids[:cut].tolist(), ids[cut + 1 :].tolist()
-        size_a, size_b = self.a.size[a].tolist(), self.b.size[b].tolist()
-        groups, i, j, first_a, first_b, at_a, at_b = [], 0, 0, 0, 0, size_a[0], size_b[0]
-        while True:  # tokens i and j overlap
-            self.links.append(a[i] << 32 | b[j])
-            same, behind = at_a == at_b, at_a <= at_b
-            if at_b <= at_a:
-                j += 1
-                at_b += size_b[j] if j < len(b) else 0
-            if behind:
-                i += 1
-                at_a += size_a[i] if i < len(a) else 0
-            if same:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                if i == len(a):
-                    break
-        self.texts.append(";".join(groups))
-        self.groups.append(len(groups))
-        self.starts.append(len(self.links))
-        self[key] = place = len(self)
-        return place
+    def learn(self, keys: list[bytes]) -> None:
+        """Work the windows out that are not known yet."""
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        for key in [k for k in set(keys) if k not in self]:
+            ids = array("I", key).tolist()
+            cut = ids.index(0xFFFFFFFF)
+            i, j, links, groups = 0, cut + 1, [], []
+            a, b = ids[0], ids[j]
+            end_a, end_b, own_a, own_b = size_a[a], size_b[b], name_a[a], name_b[b]
+            while True:  # tokens a and b overlap
+                links.append(a << 32 | b)
+                if end_a == end_b:
+                    groups.append(own_a + "|" + own_b)
+                    i, j = i + 1, j + 1
+                    if i == cut:
+                        break
+                    a, b = ids[i], ids[j]
+                    end_a, end_b, own_a, own_b = end_a + size_a[a], end_b + size_b[b], name_a[a], name_b[b]
+                elif end_a < end_b:
+                    i += 1
+                    a = ids[i]
+                    end_a, own_a = end_a + size_a[a], f"{own_a},{name_a[a]}"
+                else:
+                    j += 1
+                    b = ids[j]
+                    end_b, own_b = end_b + size_b[b], f"{own_b},{name_b[b]}"
+            self[key] = len(self.texts)
+            self.texts.append(";".join(groups))
+            self.groups.append(len(groups))
+            self.links.extend(links)
+            self.starts.append(len(self.links))
 
 
 def window_keys(a: np.ndarray, b: np.ndarray, va: Vocabulary, vb: Vocabulary) -> list[bytes]:
@@ -194,7 +207,9 @@ class _Block:
                 self.rows.append((0, 0, ""))
                 found = times = np.zeros(0, np.int64)
             else:
-                places = list(map(w.__getitem__, window_keys(a, b, w.a, w.b)))
+                keys = window_keys(a, b, w.a, w.b)
+                w.learn(keys)
+                places = list(map(w.__getitem__, keys))
                 found, times = np.unique(np.array(places, np.int64), return_counts=True)
                 sha = hashlib.sha256(";".join(map(w.texts.__getitem__, places)).encode()).hexdigest()
                 self.rows.append((len(a), len(b), sha))
