@@ -15,6 +15,7 @@ a block, so no place is hot, and only n-grams whose shorter ones recur are sent.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._pack import packed, unpacked
-from ._util import documents, dropped, mapped, written
+from ._util import documents, dropped, mapped, scratch_path, written
 
 GAIN, DISCOUNT = 10.0, 0.75
 BLOCK, PLACE = 6 << 20, 6 << 20  # bytes of text of a block and, on average, of a place
@@ -265,46 +266,37 @@ def _answers(questions: DataFrame, gain: float, first: bool) -> DataFrame:
     return mapped(dealt, run, ANSWERS)
 
 
-def _steps(rows: list[DataFrame], places: int, room: float, deepest: int | None, discount: float) -> DataFrame:
-    """The blocks after the answers, and their next questions. rows: texts, states (from the first level on) and answers."""
+def _steps(texts: DataFrame, states: DataFrame | None, answers: DataFrame, places: int, room: float, deepest: int | None, discount: float) -> DataFrame:
+    """The blocks after the answers, and their next questions. Texts and states (from the first level on) lie in buckets by
+    block and stay where they are; only answers are shuffled to them, those of a block as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed, state, counts, words, sizes, left, name = None, None, [], [], [], [], None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            block = _Block(*fixed, state)
-            block.load()
-            joined = [np.concatenate(x) if x else np.zeros(0) for x in (counts, sizes, left)]
-            if block.level[0] == 0:
-                block.words_known(joined[0], np.concatenate(words), room)
-            else:
-                block.answered(*joined, room, deepest, discount)
-            yield from block.batches(name, places, room, discount)
-
         for batch in batches:
             for i in range(batch.num_rows):
-                here, place, blob, more = (batch.column(j)[i].as_py() for j in range(4))
-                if place == -2:
-                    if fixed is not None:
-                        yield from out()
-                    fixed, state, counts, words, sizes, left, name = (unpacked(blob), more), None, [], [], [], [], here
-                elif place == -1:
-                    state = unpacked(blob)
+                name, fixed, rows, state = (batch.column(j)[i].as_py() for j in range(4))
+                told = sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["place"])
+                block = _Block(unpacked(fixed), rows, None if state is None else unpacked(state))
+                block.load()
+                grams, contexts = [unpacked(x["blob"]) for x in told], [unpacked(x["more"]) for x in told]
+                del told
+                joined = [np.concatenate(x) if x else np.zeros(0) for x in ([g[0] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts])]
+                if block.level[0] == 0:
+                    block.words_known(joined[0], np.concatenate([g[1] for g in grams]), room)
                 else:
-                    told = unpacked(blob)
-                    counts.append(told[0])
-                    words += told[1:]
-                    n, share = unpacked(more)
-                    sizes.append(n)
-                    left.append(share)
-        if fixed is not None:
-            yield from out()
+                    block.answered(*joined, room, deepest, discount)
+                del grams, contexts, joined
+                yield from block.batches(name, places, room, discount)
+
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("place", "blob", "more")).alias("told"))
+    return mapped(_beside(texts, states).join(told.hint("shuffle_hash"), "block", "left"), run, ROWS)
 
-    both = None
-    for part in rows:
-        part = part.select("block", "place", "blob", "more")
-        both = part if both is None else both.unionByName(part)
-    return mapped(both.repartition("block").sortWithinPartitions("block", "place"), run, ROWS)
+
+def _beside(texts: DataFrame, states: DataFrame | None) -> DataFrame:
+    """(block, fixed, rows, state): each block's texts with its state."""
+    own = texts.select("block", F.col("blob").alias("fixed"), F.col("more").alias("rows"))
+    if states is None:
+        return own.withColumn("state", F.lit(None).cast("binary"))
+    return own.join(states.select("block", F.col("blob").alias("state")).hint("shuffle_hash"), "block")
 
 
 def scored(
@@ -318,20 +310,31 @@ def scored(
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (training(F.col(id_col)) if train is None else train).alias("train"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = int(max(64, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PLACE))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    places = int(max(64, size // PLACE))
     spark, kind_of = docs.sparkSession, lambda table, kind: table.filter(F.col("kind") == kind)
-    table, total, room, level, texts = written(_first(docs, places), "level-0", "kind"), 0, 1.0, 0, None
+    buckets = int(min(50_000, max(12, size // (4 * BLOCK))))
+    names: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Rows written once to the shared folder, by kind and in buckets by block: a join by block moves none of them."""
+        path, table = scratch_path(spark, name), f"blocks_{uuid.uuid4().hex}"
+        df.write.partitionBy("kind").bucketBy(buckets, "block").format("parquet").option("path", path).saveAsTable(table)
+        names.append(table)
+        return spark.table(table)
+
+    table, total, room, level, texts = kept(_first(docs, places), "level-0"), 0, 1.0, 0, None
     while True:
         if level < 2:  # texts stay as they are once words have names
             before, texts = texts, kind_of(table, TEXTS)
             dropped(spark, *([before] if level else []))
-        states = [kind_of(table, STATE)] if level else []
+        states = kind_of(table, STATE) if level else None
         answers = written(_answers(kind_of(table, QUESTION), gain, not level), f"answers-{level}")
         dropped(spark, table, only=f"/kind={QUESTION}")
         if not level:
-            size = answers.agg(F.sum("total").alias("n"), F.sum("names").alias("v")).first()
-            total, room = size.n or 0, float((size.n or 0) + (size.v or 0) + 1)
-        after = written(_steps([texts, *states, answers], places, room, deepest, discount), f"level-{level + 1}", "kind")
+            told = answers.agg(F.sum("total").alias("n"), F.sum("names").alias("v")).first()
+            total, room = told.n or 0, float((told.n or 0) + (told.v or 0) + 1)
+        after = kept(_steps(texts, states, answers, places, room, deepest, discount), f"level-{level + 1}")
         dropped(spark, answers)
         dropped(spark, table, only=f"/kind={STATE}")
         table, level = after, level + 1
@@ -340,19 +343,18 @@ def scored(
             break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = rows = None
         for batch in batches:
-            for place, blob, more in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                if place.as_py() == -2:
-                    fixed, rows = unpacked(blob.as_py()), more.as_py()
-                    continue
-                block, told = _Block(fixed, rows, unpacked(blob.as_py())), pa.ipc.open_stream(rows).read_all().combine_chunks()
+            for i in range(batch.num_rows):
+                _, fixed, rows, state = (batch.column(j)[i].as_py() for j in range(4))
+                block, told = _Block(unpacked(fixed), rows, unpacked(state)), pa.ipc.open_stream(rows).read_all().combine_chunks()
                 cols = [told.column("doc_id").combine_chunks(), told.column("train").combine_chunks(), *map(pa.array, (block.size.astype(np.int64) - 1, block.known, block.base, block.score))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
-    last = texts.unionByName(kind_of(table, STATE)).select("block", "place", "blob", "more")
-    whole = mapped(last.repartition("block").sortWithinPartitions("block", "place"), run, schema)
+    whole = written(mapped(_beside(texts, kind_of(table, STATE)), run, schema), "scores")
+    dropped(spark, texts, table)
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
     held_out = ~F.coalesce("train", F.lit(False))
     return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
