@@ -17,6 +17,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,7 @@ class Segments(dict):
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], lone: int, pieces: list[bytes]) -> None:
         self.encode, self.lone, self.pieces, self.held = encode, lone, pieces, 0
+        self.size = np.array([len(p) for p in pieces], np.int64)
 
     def learn(self, segments: list[str]) -> None:
         """Make sure that these are known."""
@@ -91,11 +93,15 @@ class Segments(dict):
             self.clear()
             self.held = 0
         new = [s for s in set(segments) if s not in self]
-        for segment, ids in zip(new, self.encode([s[1:] for s in new]), strict=True):
-            if segment == " ":  # the model puts the first space itself, but not before nothing
-                ids = [self.lone]
-            self[segment] = found = array("I", ids).tobytes(), b"".join(map(self.pieces.__getitem__, ids))
-            self.held += 300 + len(segment) + len(found[0]) + len(found[1])
+        lists = self.encode([s[1:] for s in new])
+        lists = [[self.lone] if s == " " else ids for s, ids in zip(new, lists, strict=True)]  # the model puts the first space itself, but not before nothing
+        every = list(chain.from_iterable(lists))
+        raw, spelled = array("I", every).tobytes(), b"".join(map(self.pieces.__getitem__, every))
+        sizes = np.concatenate([[0], np.cumsum(self.size[every])])
+        cuts = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(int)
+        at, to = (4 * cuts).tolist(), sizes[cuts].tolist()
+        self.update((s, (raw[at[i] : at[i + 1]], spelled[to[i] : to[i + 1]])) for i, s in enumerate(new))
+        self.held += 300 * len(new) + len(raw) + len(spelled)
 
 
 def sentence_pieces(path: str) -> Vocabulary:
@@ -129,42 +135,43 @@ class Windows(dict):
 
     def __init__(self, a: Vocabulary, b: Vocabulary) -> None:
         self.a, self.b = a, b
-        self.size_a, self.size_b = a.size.tolist(), b.size.tolist()
-        self.name_a, self.name_b = (list(map(str, range(len(v.pieces)))) for v in (a, b))
+        # Each id as it stands within and at the end of its side of a group.
+        self.names = [f"{i}{end}" for v, ends in ((a, ",|"), (b, ",;")) for end in ends for i in range(len(v.pieces))]
         self.texts: list[str] = []
         self.groups, self.starts, self.links = array("q"), array("q", [0]), array("q")
 
     def learn(self, keys: list[bytes]) -> None:
-        """Work the windows out that are not known yet."""
-        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
-        for key in [k for k in set(keys) if k not in self]:
-            ids = array("I", key).tolist()
-            cut = ids.index(0xFFFFFFFF)
-            i, j, links, groups = 0, cut + 1, [], []
-            a, b = ids[0], ids[j]
-            end_a, end_b, own_a, own_b = size_a[a], size_b[b], name_a[a], name_b[b]
-            while True:  # tokens a and b overlap
-                links.append(a << 32 | b)
-                if end_a == end_b:
-                    groups.append(own_a + "|" + own_b)
-                    i, j = i + 1, j + 1
-                    if i == cut:
-                        break
-                    a, b = ids[i], ids[j]
-                    end_a, end_b, own_a, own_b = end_a + size_a[a], end_b + size_b[b], name_a[a], name_b[b]
-                elif end_a < end_b:
-                    i += 1
-                    a = ids[i]
-                    end_a, own_a = end_a + size_a[a], f"{own_a},{name_a[a]}"
-                else:
-                    j += 1
-                    b = ids[j]
-                    end_b, own_b = end_b + size_b[b], f"{own_b},{name_b[b]}"
-            self[key] = len(self.texts)
-            self.texts.append(";".join(groups))
-            self.groups.append(len(groups))
-            self.links.extend(links)
-            self.starts.append(len(self.links))
+        """Work the windows out that are not known yet, all at once: laid end to end, both sides have the same bytes, and each
+        end of a token of either side closes one link, each end of both a group."""
+        new = [k for k in set(keys) if k not in self]
+        if not new:
+            return
+        ids = np.frombuffer(b"".join(new), np.uint32)
+        mark = np.flatnonzero(ids == 0xFFFFFFFF)
+        size = np.array([len(k) // 4 for k in new])
+        window = np.repeat(np.arange(len(new)), size)
+        place = np.arange(len(ids)) - mark[window]
+        a, b = ids[place < 0].astype(np.int64), ids[place > 0].astype(np.int64)
+        own_a, own_b = window[place < 0], window[place > 0]
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        in_a, in_b = np.zeros(end_a[-1] + 1, bool), np.zeros(end_a[-1] + 1, bool)
+        in_a[end_a], in_b[end_b] = True, True
+        ends = np.flatnonzero(in_a | in_b)
+        i, j = (np.cumsum(x)[ends] - x[ends] for x in (in_a, in_b))
+        both = in_a & in_b
+        group = np.cumsum(both) - both
+        close_a, close_b = both[end_a], both[end_b]
+        width_a, width_b = len(self.a.pieces), len(self.b.pieces)
+        names = np.concatenate([a + width_a * close_a, 2 * width_a + b + width_b * close_b])
+        order = np.argsort(np.concatenate([2 * group[end_a], 2 * group[end_b] + 1]), kind="stable")
+        parts = list(map(self.names.__getitem__, names[order].tolist()))
+        cuts = np.concatenate([[0], np.cumsum(size - 1)]).tolist()
+        first = len(self.texts)
+        self.texts += ["".join(parts[s:e])[:-1] for s, e in zip(cuts, cuts[1:], strict=False)]
+        self.groups.frombytes(np.bincount(own_a[i[both[ends]]], minlength=len(new)).astype(np.int64).tobytes())
+        self.starts.frombytes((len(self.links) + np.cumsum(np.bincount(own_a[i], minlength=len(new)))).astype(np.int64).tobytes())
+        self.links.frombytes((a[i] << 32 | b[j]).tobytes())
+        self.update(zip(new, range(first, first + len(new)), strict=True))
 
 
 def window_keys(a: np.ndarray, b: np.ndarray, va: Vocabulary, vb: Vocabulary) -> list[bytes]:
