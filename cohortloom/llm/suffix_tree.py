@@ -313,7 +313,7 @@ def scored(
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     places = int(max(64, size // PLACE))
     spark, kind_of = docs.sparkSession, lambda table, kind: table.filter(F.col("kind") == kind)
-    buckets = int(min(50_000, max(12, size // (4 * BLOCK))))
+    buckets = int(min(50_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * BLOCK))))  # fewer than a shuffle makes would be dealt anew
     names: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
