@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as X
 from ..operators import joins as J
 from ..session import scratch_path
+from ..sources import shard_merge as SM
 from ..sources import tables as S
 from ..sources import versions as V
 from .derive import patients, query, read
@@ -72,6 +73,27 @@ def _(spark, d):
     return both.groupBy("format", "model_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
+_OUT = "CASE WHEN substr(shard, 6, 2) = '02' THEN ['recording adds price', 'recording lacks o_totalprice'] WHEN substr(shard, 6, 2) = '03' THEN ['recording is absent'] ELSE [] END"
+
+
+@query("f05_shard_merge", f"""WITH s AS (SELECT strftime(o_orderdate, '%Y-%m') AS shard, * FROM orders), r AS (SELECT shard, {_OUT} AS reasons, * EXCLUDE (shard) FROM s)
+    SELECT shard, array_to_string(reasons, '; ') AS reasons, CASE WHEN len(reasons) = 0 THEN count(*) ELSE 0 END AS rows,
+        CASE WHEN len(reasons) = 0 THEN round(sum(o_totalprice), 2) END AS total FROM r GROUP BY shard, reasons""")
+def _(spark, d):
+    """One shard for each month in two kinds of tables; shards of February have another column in one kind, those of March
+    lack that kind: both are left out and recorded, all others merged."""
+    root = scratch_path(spark, "merge")
+    o = read(spark, d, "orders").withColumn("shard", F.date_format("o_orderdate", "yyyy-MM"))
+    month = F.substring("shard", 6, 2)
+    one = o.select("shard", "o_orderkey", "o_custkey", "o_totalprice")
+    SM.write_part(one.filter(~month.isin("02", "03")), root, "recording")
+    SM.write_part(one.filter(month == "02").withColumnRenamed("o_totalprice", "price"), root, "recording")
+    SM.write_part(o.select("shard", "o_orderkey", "o_orderstatus"), root, "epoch")
+    rows, out = SM.merged(spark, root, "recording", "exclude", kinds=("recording", "epoch"))
+    sums = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return sums.withColumn("reasons", F.lit("")).unionByName(out.select("shard", F.array_join("reasons", "; ").alias("reasons"), F.lit(0).cast("long").alias("rows"), F.lit(None).cast("double").alias("total")))
+
+
 @query("s10_replaced", "SELECT o_orderpriority, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END), 2) AS total, 2 AS version FROM orders GROUP BY 1")
 def _(spark, d):
     """A table whose next version is made by a plan that reads the one before."""
