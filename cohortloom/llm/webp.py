@@ -726,6 +726,10 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (PREDICTOR, CROSS,
 CHAINS = ((PREDICTOR, CROSS), (CROSS, GREEN), (GREEN, PREDICTOR), (PREDICTOR, CROSS, GREEN))
 
 
+#: Bytes of a payload that one image holds; a longer payload becomes several files behind one another.
+IMAGE_BYTES = 16 << 20
+
+
 def stored(payload: bytes) -> tuple[bytes, list[str]]:
     """A payload of a positive multiple of 64 bytes as an image, 16 pixels a row where the format's height allows it, and
     the tools it uses."""
@@ -738,27 +742,57 @@ def stored(payload: bytes) -> tuple[bytes, list[str]]:
     return encode(pixels, CHAINS[zlib.crc32(payload) % len(CHAINS)])
 
 
-def media(docs: DataFrame, keep_file: bool = False) -> DataFrame:
+def images(payload: bytes, most: int = IMAGE_BYTES) -> Iterator[tuple[bytes, list[str]]]:
+    """The files of a payload, each of `most` bytes of it (a multiple of 64) but the last, with the tools they use."""
+    if most < 64 or most % 64:
+        raise ValueError("an image holds a positive multiple of 64 bytes")
+    view = memoryview(payload)
+    for at in range(0, len(payload), most):
+        yield stored(bytes(view[at : at + most]))
+
+
+def split_files(media: bytes) -> list[bytes]:
+    """Files that lie behind one another, told apart by their own sizes."""
+    out, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        if media[at : at + 4] != b"RIFF" or at + size > len(media):
+            raise ValueError("not a file where one should start")
+        out.append(media[at : at + size])
+        at += size
+    return out
+
+
+def media(docs: DataFrame, keep_file: bool = False, image_bytes: int = IMAGE_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
     tools[, media].
 
-    Every figure after n_bytes but the last columns' comes from the stored file as read back; tools names what the file
-    uses. A null text is empty: 64 zero bytes. Repeated rows give repeated rows, an empty table an empty result; other
-    columns are ignored. A text beyond one image, 1 GB, stops the job.
+    Every figure after n_bytes but the last columns' comes from the stored files as read back; tools names what the files
+    use. A null text is empty: 64 zero bytes. A text of more than image_bytes bytes is stored as several images behind one
+    another (split_files takes them apart), one in memory at a time. Repeated rows give repeated rows, an empty table an
+    empty result; other columns are ignored.
     """
 
     def one(text: str | None) -> tuple:
         raw = (text or "").encode()
         size = max(64, -(-len(raw) // 64) * 64)
-        file, tools = stored(raw.ljust(size, b"\0"))
-        width, height, pixels = decode(file)
-        back = pixels.tobytes()[:size]
-        samples = np.frombuffer(back, np.uint8)
-        counts = np.bincount(samples, minlength=256)
+        back, whole, counts = hashlib.sha256(), hashlib.sha256(), np.zeros(256, np.int64)
+        read, length, tail, shapes, used, files = 0, 0, b"", [], {}, []
+        for file, tools in images(raw.ljust(size, b"\0"), image_bytes):
+            width, height, pixels = decode(file)
+            piece = pixels.tobytes()[: min(image_bytes, size - read)]
+            back.update(piece)
+            whole.update(file)
+            counts += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
+            read, length, tail = read + len(piece), length + len(file), piece[-64:]
+            shapes.append(f"{width}x{height}")
+            used |= dict.fromkeys(tools)
+            if keep_file:
+                files.append(file)
         mean = float(counts @ np.arange(256)) / size
         spread = max(0.0, float(counts @ np.arange(256) ** 2) / size - mean * mean) ** 0.5
-        feature = f"{width}x{height};mean={mean:.3f};std={spread:.3f};values={int((counts > 0).sum())}"
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, ",".join(tools), file
+        feature = f"{'+'.join(shapes)};mean={mean:.3f};std={spread:.3f};values={int((counts > 0).sum())}"
+        return len(raw), read, back.hexdigest(), zlib.crc32(tail), length, whole.hexdigest(), feature, ",".join(used), b"".join(files)
 
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())[: 9 if keep_file else 8]
 

@@ -288,3 +288,26 @@ def test_media_rows(spark):
         assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.media_bytes == len(r.media)
     assert rows[4].media_sha256 == rows[5].media_sha256 and rows[4].feature == rows[5].feature
     assert webp.media(df.limit(0)).count() == 0
+
+
+def test_long_payloads_become_several_images(spark):
+    r = np.random.default_rng(5)
+    texts = ["a" * 500, "".join(map(chr, r.integers(32, 0x500, 700))), None, "x" * 64, "y" * 128, "z" * 129]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {x.doc_id: x for x in webp.media(df, keep_file=True, image_bytes=128).collect()}
+    whole = {x.doc_id: x for x in webp.media(df).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        files = webp.split_files(bytes(rows[i].media))
+        assert len(files) == -(-len(payload) // 128) and rows[i].media_bytes == len(rows[i].media)
+        parts = [webp.decode(f)[2].tobytes()[:128] for f in files]
+        assert b"".join(parts)[: len(payload)] == payload
+        assert rows[i].feature.split(";", 1)[1] == whole[i].feature.split(";", 1)[1]
+        assert (rows[i].payload_sha256, rows[i].tail_crc32, rows[i].payload_bytes) == (whole[i].payload_sha256, whole[i].tail_crc32, whole[i].payload_bytes)
+    assert list(webp.images(b"q" * 128)) == [webp.stored(b"q" * 128)]
+    for bad in (0, 100):
+        with pytest.raises(ValueError):
+            list(webp.images(b"q" * 128, bad))
+    with pytest.raises(ValueError):
+        webp.split_files(webp.stored(b"q" * 64)[0] + b"RIFF")
