@@ -2,7 +2,7 @@
 
 Candidates are found in each text; their hashes are counted over the whole corpus by distinct repositories and owners.
 A value that many owners or repositories hold is an example that was copied around; a value that one owner holds and
-that looks live (mixed characters, no placeholder) adds a span of kind `live`.
+that looks live (by its characters' spread, runs and classes, no word list) adds a span of kind `live`.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-PLACEHOLDER = re.compile(r"(?ai:example|sample|dummy|changeme|placeholder|your|test|xxxx|0123|1234|abcd)")
-MANY_OWNERS, MANY_REPOS, BITS, HOT = 2, 10, 2.5, 1e-4
+MANY_OWNERS, MANY_REPOS, HOT = 2, 10, 1e-4
+#: A live value's characters: bits of entropy at least, share of neighbours that are equal or follow each other at most, and
+#: changes between letters and digits at least.
+BITS, IN_ORDER, CHANGES = 2.5, 0.35, 2
 CANDIDATE = "array<struct<hash:binary,start:long,stop:long,live:boolean>>"
 
 
@@ -42,11 +44,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def looks_live(value: str) -> bool:
-    """Letters and digits, no placeholder word, and characters spread over BITS bits or more."""
-    if PLACEHOLDER.search(value) or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-        return False
+    """Whether the characters are as in a random key: spread over BITS or more, few neighbours that are equal or follow each
+    other (xxxx, 1234, abcd), and letters and digits that take turns, as they do not in words with a number behind."""
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= BITS
+    if n < 2 or -sum(c / n * math.log2(c / n) for c in Counter(value).values()) < BITS:
+        return False
+    if sum(0 <= ord(b) - ord(a) <= 1 for a, b in zip(value, value[1:], strict=False)) > IN_ORDER * (n - 1):
+        return False
+    classes = [c.isdigit() for c in value if c.isalnum()]
+    return sum(a != b for a, b in zip(classes, classes[1:], strict=False)) >= CHANGES
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
