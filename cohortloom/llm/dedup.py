@@ -7,6 +7,8 @@ functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +47,22 @@ def _pair_names(pairs: DataFrame) -> DataFrame:
 
 
 def identities(docs: DataFrame, text: Column, rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(row, blocks, name) of rows(row, keys): one collision-free identity for each text, by recursive pair naming."""
+    """(row, blocks, name) of rows(row, keys): one collision-free identity for each text, by recursive pair naming.
+
+    Texts of equally many blocks end in the same round; a text is out of the rounds after its own.
+    """
     spread = rows.select("row", F.size("keys").alias("blocks"), F.posexplode("keys").alias("pos", "key"))
     alone = -1 - F.col("row") * 2  # no other row has it, whatever the position
     level = spread.join(_block_names(docs, text, size), "key", "left").select("row", "blocks", "pos", F.coalesce("name", alone).alias("name"))
-    most, width = rows.agg(F.max(F.size("keys"))).first()[0] or 1, 1
+    most, width, ended = rows.agg(F.max(F.size("keys"))).first()[0] or 1, 1, []
     while width < most:  # one round for each doubling of the longest text
         level = written(level, "names")
-        paired = level.groupBy("row", "blocks", F.expr("pos div 2").alias("pos")).agg(
+        ended.append(level.filter(F.col("blocks") <= width).select("row", "blocks", "name"))
+        paired = level.filter(F.col("blocks") > width).groupBy("row", "blocks", F.expr("pos div 2").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-2)).alias("right"))
         level = paired.join(_pair_names(paired), ["left", "right"]).select("row", "blocks", "pos", "name")
         width *= 2
-    return level.select("row", "blocks", "name")
+    return reduce(DataFrame.unionByName, ended, level.select("row", "blocks", "name"))
 
 
 def exact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:

@@ -191,6 +191,42 @@ def test_language_against_brute_force(spark):
         assert got[i].lang_pred == best and abs(got[i].score - (1 - away[best] / (50 * len(own)))) < 1e-9
 
 
+def test_interleaving_keeps_columns_of_any_name(spark):
+    """Names that the plan uses itself, and a column with a dot; shard and slot are replaced."""
+    names = ["stratum", "own", "n", "row", "h", "rank", "f", "one", "at", "_b", "_r", "_k0", "_c", "_start", "a.b"]
+    rows = [(i, i % 3, "shard", -1, *[i * 10 + k for k in range(len(names))]) for i in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "source", "Shard", "slot", *names])
+    got = sharding.interleaved(df, "source", "doc_id", ["n"])
+    assert got.columns == ["doc_id", "source", *names, "shard", "slot"]
+    plain = {r.doc_id: (r.shard, r.slot) for r in sharding.interleaved(df.select("doc_id", "source"), "source", "doc_id", []).collect()}
+    for r in got.collect():
+        assert (r.shard, r.slot) == plain[r.doc_id] and list(r)[2:-2] == [r.doc_id * 10 + k for k in range(len(names))]
+
+
+def test_dedup_of_many_lengths(spark):
+    """Texts that end in different rounds of pair naming, against grouping by text."""
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab") * 64 for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 3, 4, 5, 7, 8, 9, 16, 17, 33) for _ in range(3)]
+    texts += [t.upper() for t in r.choices(texts, k=40)] + [t + "c" for t in texts[:10]] + ["", None]
+    got = dedup.exact_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=64).collect()
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[brute.ascii_lower(t or "")].append(i)
+    assert len(got) == len(texts)
+    for x in got:
+        own = groups[brute.ascii_lower(texts[x.doc_id] or "")]
+        assert (x.keep_id, x.group_size, x.kept) == (max(own), len(own), x.doc_id == max(own))
+
+
+def test_live_values_are_told_by_their_characters():
+    r = random.Random(4)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"):
+        keys = ["".join(r.choice(alphabet) for _ in range(32)) for _ in range(500)]
+        assert sum(map(secret_scan.looks_live, keys)) > 480
+    for dull in ("", "x", "xxxxxxxxxxxxxxxxxxxx", "changeme-changeme-changeme", "your-access-token-goes-here-2024", "abcd1234abcd1234abcd1234", "00000000000000001111", "1234567890123456", "a1a1a1a1a1a1a1a1", "0123456789abcdef0123456789abcdef"):
+        assert not secret_scan.looks_live(dull), dull
+
+
 def test_interleaving_against_brute_force(spark):
     rows = [(i, ["a", "b", None][i % 7 % 3], i * 31 % 11) for i in range(500)] + [(500, "lone", 1), (500, "lone", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
