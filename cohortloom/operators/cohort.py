@@ -133,11 +133,12 @@ def provenance(df: DataFrame, reason: str, labels: dict[str, str]) -> DataFrame:
 def class_cohort(df: DataFrame, label: str, patient: str = "patient_id", subject: str = "study_id") -> DataFrame:
     """One row for each class over one row for each patient (subject where the patient is missing): n, pct, mean and population sd of age, counts by sex.
 
-    Of a patient's rows the one of smallest subject counts. Fewer than two classes give no rows.
+    Of a patient's rows the one of smallest subject and label counts; among equal ones the first by sex, then the oldest, so
+    that the result is a function of the rows. Rows without any id are one patient. Fewer than two classes give no rows.
     """
     key = F.coalesce(F.concat(F.lit("p"), patient), F.concat(F.lit("s"), subject))
     first = df.filter(F.col(label).isNotNull()).withColumn("_k", key).withColumn("_r",
-        F.row_number().over(Window.partitionBy("_k").orderBy(subject, label))).filter("_r = 1")
+        F.row_number().over(Window.partitionBy("_k").orderBy(subject, label, F.asc_nulls_last("sex"), F.desc_nulls_last("age")))).filter("_r = 1")
     found = first.groupBy(F.col(label).alias("class")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("age").alias("mean_age"), F.stddev_pop("age").alias("sd_age"),
             F.count_if(F.expr("sex = 'M'")).alias("male"), F.count_if(F.expr("sex = 'F'")).alias("female"))
