@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,12 +61,36 @@ def failure_shards(spark: SparkSession, paths: list[str], schema: StructType | s
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(paths)
 
 
-def record_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record_id, recorded_at) from latin-1 record files with NULs, by pattern."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(F.decode("content", "ISO-8859-1"), "\u0000", "").alias("t"))
+def record_headers(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(path, t, record_id, recorded_at) from latin-1 record files with NULs, by pattern. A file is a record, or with
+    `separator` holds records that each end with it."""
+    text = F.decode("content", "ISO-8859-1")
+    files = spark.read.format("binaryFile").load(path)
+    if separator is not None:
+        parts = F.split(text, re.escape(separator))
+        text = F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1))
+    raw = files.select("path", text.alias("t")).withColumn("t", F.regexp_replace("t", "\u0000", ""))
     return header_fields(raw, "t")
 
 
+#: A record's body may hold any character: these are written as two, so that none ends a record or is dropped.
+ESCAPE, ESCAPED = "\u001b", {"\u001b": "0", "\u001e": "1", "\u0000": "2"}
+
+
+def escaped(text: Column) -> Column:
+    """Text without record separators (U+001E) and NULs."""
+    for c, mark in ESCAPED.items():
+        text = F.replace(text, F.lit(c), F.lit(ESCAPE + mark))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    """The text that `escaped` was given."""
+    for c, mark in reversed(ESCAPED.items()):
+        text = F.replace(text, F.lit(ESCAPE + mark), F.lit(c))
+    return text
+
+
 def header_fields(df: DataFrame, text: str) -> DataFrame:
     """Record number, date and time in a text."""
     find = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
