@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,13 @@ ARMS = list(dict.fromkeys(p for c in COMPARISONS for p in (c[3], c[4])))
 
 
 LATER = [i for i, a, *_ in SPECS if a == LONGITUDINAL]
+ASKED = [(c[3], c[4], s) for c in COMPARISONS for s in c[5]]  # arms and constraints of each spec
 
 
 def _needs(keep: list[int]) -> Column:
     """The specs listed, as an array of (spec, need, a, b): bits of the constraints asked for and places of the arms."""
     names = list(CONSTRAINTS)
-    wanted = [(c, s) for c in COMPARISONS for s in c[5]]
-    table = [
-        f"named_struct('spec', {i}, 'need', {sum(1 << names.index(n) for n in wanted[i][1].split('+'))}L, 'a', {ARMS.index(wanted[i][0][3])}, 'b', {ARMS.index(wanted[i][0][4])})" for i in keep]
+    table = [f"named_struct('spec', {i}, 'need', {sum(1 << names.index(n) for n in s.split('+'))}L, 'a', {ARMS.index(a)}, 'b', {ARMS.index(b)})" for i in keep for a, b, s in ASKED[i : i + 1]]
     return F.expr(f"array({', '.join(table)})")
 
 
@@ -57,35 +58,69 @@ def _spread(cells: DataFrame, keep: list[int], rest: list[str]) -> DataFrame:
     return met.select("sex", F.explode("_ages").alias("age_group"), "spec", "one", "two", *rest)
 
 
+def _paired(held: DataFrame, marks: list[str], sums: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Of the longitudinal specs, in which a patient counts in an arm if the other arm holds rows of the same patient: the
+    rows that count, added up by signature, and the patients that do.
+
+    A patient's specs are bits of two numbers for each sex and age group that it has rows in, so a patient of any number
+    of rows is a few; what it counts in goes back to its rows as the bits of four strata."""
+    table = [(k, 1 << ARMS.index(a), 1 << ARMS.index(b), sum(1 << list(CONSTRAINTS).index(n) for n in s.split("+"))) for k, (a, b, s) in enumerate(ASKED[i] for i in LATER)]
+    met = lambda j: F.expr(" | ".join(f"if(_bits & {x[3]}L = {x[3]}L and _arms & {x[j]}L <> 0L, {1 << x[0]}L, 0L)" for x in table))
+    by = ["_pair", "_sex", "age_group"]
+    rows = held.select(F.col("patient_id").cast("string").alias("_pair"), F.when(F.col("sex") == "M", "Male").when(F.col("sex") == "F", "Female").alias("_sex"), "age_group", *marks, met(1).alias("_one"), met(2).alias("_two"))
+    rows = rows.filter("_pair is not null and (_one | _two) <> 0")
+    cells = rows.groupBy(*by).agg(F.bit_or("_one").alias("_one"), F.bit_or("_two").alias("_two"))
+    strata = {"_aa": by[:1], "_sa": by[:2], "_ag": [by[0], by[2]], "_sg": by}
+    for name, keys in strata.items():
+        w, rest = Window.partitionBy(*keys), [k for k in by if k not in keys] or by[:1]
+        cells = cells.withColumns({name: F.bit_or("_one").over(w).bitwiseAND(F.bit_or("_two").over(w)), f"{name}_first": F.row_number().over(w.orderBy(*rest)) == 1})
+    cells = scratch(cells.filter("_aa <> 0").drop("_one", "_two"), "pairs")
+    places = [("_aa", F.lit("All"), F.lit("All")), ("_sa", F.col("_sex"), F.lit("All")), ("_ag", F.lit("All"), F.col("age_group")), ("_sg", F.col("_sex"), F.col("age_group"))]
+
+    def spread(table: DataFrame, mask, rest: list) -> DataFrame:
+        """A row for each stratum and each longitudinal spec that a signature counts in."""
+        at = F.filter(F.array(*[F.struct(s.alias("sex"), a.alias("age_group"), mask(m).alias("mask")) for m, s, a in places]), lambda x: x["sex"].isNotNull() & x["age_group"].isNotNull() & (x["mask"] != 0))
+        specs = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(k).alias("bit")) for k, i in enumerate(LATER)])
+        return table.select(F.explode(at).alias("_at"), *rest).select("_at.*", F.explode(specs).alias("_s"), *rest).filter("shiftright(mask, _s.bit) & 1L = 1L").select("sex", "age_group", "_s.spec", "_s.bit", *rest)
+
+    keep = [k.alias(f"_r{i}") for i, k in enumerate(map(F.col, by))]
+    joined = rows.join(cells.select(*keep, *strata), (F.col("_pair") == F.col("_r0")) & F.col("_sex").eqNullSafe(F.col("_r1")) & F.col("age_group").eqNullSafe(F.col("_r2")))
+    signed = joined.groupBy("_sex", "age_group", "_one", "_two", *strata).agg(*sums)
+    bit = lambda c: F.expr(f"shiftright({c}, bit) & 1L = 1L")
+    members = spread(signed, F.col, ["_one", "_two", "n", *marks]).select("sex", "age_group", "spec", "n", F.lit(0).alias("paired"), bit("_one").alias("one"), bit("_two").alias("two"), *marks)
+    counted = cells.groupBy("_sex", "age_group", *strata, *[f"{m}_first" for m in strata]).agg(F.count(F.lit(1)).alias("n"))
+    once = spread(counted, lambda m: F.when(F.col(f"{m}_first"), F.col(m)).otherwise(F.lit(0).cast("long")), ["n"])
+    patients = once.select("sex", "age_group", "spec", F.lit(0).cast("long").alias("n"), F.col("n").alias("paired"), F.lit(False).alias("one"), F.lit(False).alias("two"), *[F.lit(0).cast("decimal(28,0)").alias(m) for m in marks])
+    return members, patients
+
+
 def opportunities(df: DataFrame, least: int) -> DataFrame:
     """Every sex and age stratum, comparison and constraint set with its sizes, validity and skip reason.
 
     Rows are added up first by signature: sex, age group, and the constraints and arms that they meet, as bits. Specs and
-    strata are then spread over the few distinct signatures, so the work for a row does not grow with them. Only the
-    longitudinal specs, which pair a patient's rows, add up by patient too. Each signature is counted in its own stratum and
-    in All. Membership is compared by multiset hashes; no member list is gathered.
+    strata are then spread over the few distinct signatures, so the work for a row does not grow with them. For the
+    longitudinal specs, which pair a patient's rows, the signature also holds which specs the patient counts in. Each
+    signature is counted in its own stratum and in All. Membership is compared by multiset hashes; no member list is
+    gathered.
     """
     spark = df.sparkSession
-    held = df.select("sex", "age_group", "patient_id", "study_id", bits(list(CONSTRAINTS.values())).alias("_bits"), bits(ARMS).alias("_arms"))
-    held = scratch(held.withColumns({f"_m{i}": x for i, x in enumerate(lane_values(F.col("study_id")))}), "patients")
+    used = set(re.findall(r"\w+", " ".join([*CONSTRAINTS.values(), *ARMS]).lower()))
+    own = ["sex", "age_group", "patient_id", "study_id"]
+    # Written before and after the predicates and hashes are added: what makes the columns, these, and the sums are too much
+    # code for one method, which the JVM then interprets.
+    held = scratch(df.select(*own, *[c for c in df.columns if c.lower() in used and c not in own]), "patients")
+    held = held.select(*own, bits(list(CONSTRAINTS.values())).alias("_bits"), bits(ARMS).alias("_arms"))
+    held = scratch(held.withColumns({f"_m{i}": x for i, x in enumerate(lane_values(F.col("study_id")))}), "signatures")
     marks = [f"_m{i}" for i in range(LANES)]
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(m).cast("decimal(28,0)").alias(m) for m in marks]]
-    ones = [i for i, *_ in SPECS if i not in LATER]
-    plain = _spread(held.groupBy("sex", "age_group", "_bits", "_arms").agg(*sums), ones, ["n", *marks])
-    plain = plain.select("sex", "age_group", "spec", "n", F.when(F.col("one"), F.col("n")).otherwise(0).alias("n1"), F.when(F.col("two"), F.col("n")).otherwise(0).alias("n2"), F.lit(0).alias("paired"), "one", "two", *marks)
-    patient = F.col("patient_id").cast("string").alias("pair")
-    cells = _spread(held.groupBy("sex", "age_group", "_bits", "_arms", patient).agg(*sums), LATER, ["pair", "n", *marks])
-    cells = cells.groupBy("sex", "age_group", "spec", "pair", "one", "two").agg(F.sum("n").alias("n"), *[F.sum(m).cast("decimal(28,0)").alias(m) for m in marks])
-    # A patient counts in an arm if the other arm holds rows of the same patient.
-    own = cells.groupBy("sex", "age_group", "spec", "pair").agg(
-        F.max("one").alias("has1"), F.max("two").alias("has2"), F.sum("n").alias("n"), F.sum(F.when(F.col("one"), F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("two"), F.col("n")).otherwise(0)).alias("n2"),
-        *[F.sum(F.when(F.col("one"), F.col(m))).alias(f"{m}a") for m in marks], *[F.sum(F.when(F.col("two"), F.col(m))).alias(f"{m}b") for m in marks])
-    both = F.col("pair").isNotNull() & F.col("has1") & F.col("has2")
-    kept = lambda c: F.coalesce(F.when(both, F.col(c)), F.lit(0))
-    lane = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(28,0)")
-    paired = own.select("sex", "age_group", "spec", "n", kept("n1").alias("n1"), kept("n2").alias("n2"), both.cast("int").alias("paired"), *[lane(F.when(both, F.col(f"{m}{s}"))).alias(f"{m}{s}") for s in "ab" for m in marks])
-    plain = plain.select("sex", "age_group", "spec", "n", "n1", "n2", "paired", *[lane(F.when(F.col(arm), F.col(m))).alias(f"{m}{s}") for s, arm in (("a", "one"), ("b", "two")) for m in marks])
-    sized = plain.unionByName(paired).groupBy("sex", "age_group", "spec").agg(
+    plain = _spread(held.groupBy("sex", "age_group", "_bits", "_arms").agg(*sums), [i for i, *_ in SPECS], ["n", *marks])
+    plain = plain.withColumns({c: F.col(c) & ~F.col("spec").isin(LATER) for c in ("one", "two")}).select("sex", "age_group", "spec", "n", F.lit(0).alias("paired"), F.col("n").alias("_n"), "one", "two", *marks)
+    longitudinal = [x.select("sex", "age_group", "spec", F.lit(0).cast("long").alias("n"), "paired", F.col("n").alias("_n"), "one", "two", *marks) for x in _paired(held, marks, sums)]
+    lane = lambda arm, m: F.coalesce(F.when(F.col(arm), F.col(m)), F.lit(0)).cast("decimal(28,0)")
+    rows = plain.unionByName(longitudinal[0]).unionByName(longitudinal[1]).select(
+        "sex", "age_group", "spec", "n", "paired", F.when(F.col("one"), F.col("_n")).otherwise(0).alias("n1"), F.when(F.col("two"), F.col("_n")).otherwise(0).alias("n2"),
+        *[lane(arm, m).alias(f"{m}{s}") for s, arm in (("a", "one"), ("b", "two")) for m in marks])
+    sized = rows.groupBy("sex", "age_group", "spec").agg(
         F.sum("n").alias("cohort_n"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum("paired").alias("paired"),
         lanes_text([F.sum(f"{m}a") for m in marks]).alias("f1"), lanes_text([F.sum(f"{m}b") for m in marks]).alias("f2"))
     ages = held.select("age_group").filter("age_group is not null").distinct().select("age_group", age_group_order(F.col("age_group")).alias("place"))
