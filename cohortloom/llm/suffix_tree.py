@@ -10,7 +10,8 @@ by the longest retained context before it. Nothing bounds the depth but that no
 The tree is never gathered. Texts are cut into blocks. For each depth a block sends fingerprints of its distinct n-grams
 with their counts, and sums over its occurrences of each context, to the places that their fingerprints name; a place adds
 up what all blocks sent and answers each with the total counts and with which contexts stay. Every n-gram comes once from
-a block, so no place is hot, and only n-grams whose shorter ones recur are sent.
+a block, so no place is hot, and only n-grams whose shorter ones recur are sent. What is sent follows from a block's texts
+and state and goes straight into the shuffle; only texts, states and answers are written.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ BLOCK, PLACE = 6 << 20, 6 << 20  # bytes of text of a block and, on average, of
 START, END = np.uint64(0x5B1D7A3C9E84F2), np.uint64(0x9E3779B97F4A7C)  # fingerprints of the start mark and the end
 STEP = np.uint64(0xA0761D6478BD642F)
 UNUSED = np.uint64(8)  # fingerprints of n-grams keep 56 bits
-STATE, QUESTION, TEXTS = 0, 1, 2
-ROWS = "kind byte, block long, place long, n long, blob binary, more binary"
+STATE, TEXTS = 0, 2
+ROWS = "kind byte, block long, n long, blob binary, more binary"
+QUESTIONS = "block long, place long, n long, blob binary, more binary"
 
 
 def training(id_col: Column) -> Column:
@@ -154,14 +156,12 @@ class _Block:
         """Where each place's part of sorted keys begins: places take equal stretches of the fingerprints."""
         return np.searchsorted(keys, np.array([(i << 56) // places for i in range(places)], np.uint64)).tolist() + [len(keys)]
 
-    def batches(self, block: int, places: int, room: float, discount: float) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "block", "place", "n", "blob", "more"]
+    def asks(self, block: int, places: int, room: float, discount: float) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             place, n, first, second = zip(*held, strict=True)
-            kinds = pa.array([QUESTION] * len(held), pa.int8())
-            return pa.RecordBatch.from_arrays([kinds, pa.array([block] * len(held)), pa.array(place), pa.array(n), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(held)), pa.array(place), pa.array(n), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["block", "place", "n", "blob", "more"])
 
         for row in self.questions(places, room, discount):
             held.append(row)
@@ -170,30 +170,34 @@ class _Block:
                 held = []
         if held:
             yield out()
-        lone = lambda kind, place, n, blob, more: [pa.array([kind], pa.int8()), pa.array([block]), pa.array([place]), pa.array([n]), pa.array([blob], pa.binary()), pa.array([more], pa.binary())]
+
+    def kept(self, block: int) -> Iterator[pa.RecordBatch]:
+        """The block's state, and its texts while they may still change."""
         if self.level[0] <= 1:
-            yield pa.RecordBatch.from_arrays(lone(TEXTS, -2, 0, self.fixed(), self.rows), names=names)
-        if self.level[0]:
-            yield pa.RecordBatch.from_arrays(lone(STATE, -1, len(self.at), self.state(), None), names=names)
+            yield _row(TEXTS, block, 0, self.fixed(), self.rows)
+        yield _row(STATE, block, len(self.at), self.state(), None)
+
+
+def _row(kind: int, block: int, n: int, blob: bytes, more: bytes | None) -> pa.RecordBatch:
+    cols = [pa.array([kind], pa.int8()), pa.array([block]), pa.array([n]), pa.array([blob], pa.binary()), pa.array([more], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "block", "n", "blob", "more"])
 
 
-def _first(docs: DataFrame, places: int) -> DataFrame:
-    """The blocks of docs(doc_id, text, train) and their questions about words."""
+def _first(docs: DataFrame) -> DataFrame:
+    """The blocks of docs(doc_id, text, train)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, rows, parts, sizes, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for part in rows:
                     w.write_batch(part)
             words, symbols = np.unique(np.concatenate(parts), return_inverse=True)
-            made = _Block([np.diff(words, prepend=np.uint64(0)), symbols.astype(np.int32), np.concatenate(sizes)], sink.getvalue().to_pybytes())
-            made.load()
-            yield from made.batches(block, places, 1.0, 0.0)
+            return _row(TEXTS, block, 0, packed(np.diff(words, prepend=np.uint64(0)), symbols.astype(np.int32), np.concatenate(sizes)), sink.getvalue().to_pybytes())
 
         for b in batches:
             for at, end, data, off in _text.chunks(b.column(1)):
@@ -207,18 +211,32 @@ def _first(docs: DataFrame, places: int) -> DataFrame:
                 seq[head[:-1]], seq[head[1:] - 1] = START, END
                 seq[inner] = _text.word_hashes(low, starts, ends) >> UNUSED
                 if rows and held + len(data) > BLOCK:
-                    yield from out()
+                    yield out()
                     block, rows, parts, sizes, held = block + 1, [], [], [], 0
                 rows.append(b.slice(at, n).select(["doc_id", "train"]))
                 parts.append(seq)
                 sizes.append(size.astype(np.int32))
                 held += len(data)
         if rows:
-            yield from out()
+            yield out()
 
     return mapped(docs.select("doc_id", "text", "train"), run, ROWS)
 
 
+def _questions(texts: DataFrame, states: DataFrame | None, places: int, room: float, discount: float) -> DataFrame:
+    """What the blocks send to the places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, fixed, rows, state = (batch.column(j)[i].as_py() for j in range(4))
+                block = _Block(unpacked(fixed), rows, None if state is None else unpacked(state))
+                block.load()
+                yield from block.asks(name, places, room, discount)
+
+    return mapped(_beside(texts, states), run, QUESTIONS)
+
+
 ANSWERS = "block long, place long, n long, blob binary, more binary, total long, names long, kept long"
 
 
@@ -262,13 +280,13 @@ def _answers(questions: DataFrame, gain: float, first: bool) -> DataFrame:
         if held:
             yield from out()
 
-    dealt = questions.select("block", "place", "n", "blob", "more").repartition("place").sortWithinPartitions("place", "block")
+    dealt = questions.repartition("place").sortWithinPartitions("place", "block")
     return mapped(dealt, run, ANSWERS)
 
 
-def _steps(texts: DataFrame, states: DataFrame | None, answers: DataFrame, places: int, room: float, deepest: int | None, discount: float) -> DataFrame:
-    """The blocks after the answers, and their next questions. Texts and states (from the first level on) lie in buckets by
-    block and stay where they are; only answers are shuffled to them, those of a block as one row."""
+def _steps(texts: DataFrame, states: DataFrame | None, answers: DataFrame, room: float, deepest: int | None, discount: float) -> DataFrame:
+    """The blocks after the answers. Texts and states (from the first level on) lie in buckets by block and stay where they
+    are; only answers are shuffled to them, those of a block as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +303,7 @@ def _steps(texts: DataFrame, states: DataFrame | None, answers: DataFrame, place
                 else:
                     block.answered(*joined, room, deepest, discount)
                 del grams, contexts, joined
-                yield from block.batches(name, places, room, discount)
+                yield from block.kept(name)
 
     told = answers.groupBy("block").agg(F.collect_list(F.struct("place", "blob", "more")).alias("told"))
     return mapped(_beside(texts, states).join(told.hint("shuffle_hash"), "block", "left"), run, ROWS)
@@ -323,18 +341,18 @@ def scored(
         names.append(table)
         return spark.table(table)
 
-    table, total, room, level, texts = kept(_first(docs, places), "level-0"), 0, 1.0, 0, None
+    table, total, room, level, texts = kept(_first(docs), "level-0"), 0, 1.0, 0, None
     while True:
         if level < 2:  # texts stay as they are once words have names
             before, texts = texts, kind_of(table, TEXTS)
             dropped(spark, *([before] if level else []))
         states = kind_of(table, STATE) if level else None
-        answers = written(_answers(kind_of(table, QUESTION), gain, not level), f"answers-{level}")
-        dropped(spark, table, only=f"/kind={QUESTION}")
+        answers = written(_answers(_questions(texts, states, places, room, discount), gain, not level), f"answers-{level}")
+        dropped(spark)  # the questions' shuffle
         if not level:
             told = answers.agg(F.sum("total").alias("n"), F.sum("names").alias("v")).first()
             total, room = told.n or 0, float((told.n or 0) + (told.v or 0) + 1)
-        after = kept(_steps(texts, states, answers, places, room, deepest, discount), f"level-{level + 1}")
+        after = kept(_steps(texts, states, answers, room, deepest, discount), f"level-{level + 1}")
         dropped(spark, answers)
         dropped(spark, table, only=f"/kind={STATE}")
         table, level = after, level + 1

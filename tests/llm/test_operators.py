@@ -1,5 +1,6 @@
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -390,6 +391,19 @@ def test_suffix_tree_tells_rare_words_apart(spark, monkeypatch, block):
         assert abs(got[d] - total) < 1e-4 * len(s), (d, t)
 
 
+def test_suffix_tree_writes_no_questions(spark, monkeypatch):
+    """What blocks send lies in the shuffle only: a written copy beside it took the job beyond its disk."""
+    kinds, drop, folder = set(), suffix_tree.dropped, spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+
+    def dropped(*args, **more):
+        kinds.update(p.name for p in pathlib.Path(folder).glob("level-*/kind=*"))
+        drop(*args, **more)
+
+    monkeypatch.setattr(suffix_tree, "dropped", dropped)
+    assert suffix_tree.scored(table(spark, [(i, "the cat sat on the mat") for i in range(40)]), gain=1.0).count() == 40
+    assert kinds == {f"kind={suffix_tree.STATE}", f"kind={suffix_tree.TEXTS}"}
+
+
 def test_suffix_tree_scores_held_out_rows_above_the_base(spark):
     got = suffix_tree.op10_suffix_tree(spark, SF).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
