@@ -81,27 +81,43 @@ SEGMENT_BYTES = 48 << 20  # of remembered segments, as they lie in memory
 
 
 class Segments(dict):
-    """The ids of segments, each some spaces and what follows up to the next space, and the bytes they spell."""
+    """The ids of segments, each some spaces and what follows up to the next space. `odd` holds those whose ids do not spell
+    them, with the bytes that they spell."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], lone: int, pieces: list[bytes]) -> None:
         self.encode, self.lone, self.pieces, self.held = encode, lone, pieces, 0
+        self.odd: dict[str, bytes] = {}
         self.size = np.array([len(p) for p in pieces], np.int64)
 
-    def learn(self, segments: list[str]) -> None:
-        """Make sure that these are known."""
+    def ids_of(self, segments: list[str]) -> list[bytes]:
+        found = list(map(self.get, segments))
+        if None in found:
+            new = [i for i, ids in enumerate(found) if ids is None]
+            self.learn(list({segments[i] for i in new}))
+            for i in new:
+                found[i] = self[segments[i]]
+        return found
+
+    def forget(self) -> None:
         if self.held > SEGMENT_BYTES:
             self.clear()
+            self.odd.clear()
             self.held = 0
-        new = [s for s in set(segments) if s not in self]
+
+    def learn(self, new: list[str]) -> None:
         lists = self.encode([s[1:] for s in new])
         lists = [[self.lone] if s == " " else ids for s, ids in zip(new, lists, strict=True)]  # the model puts the first space itself, but not before nothing
         every = list(chain.from_iterable(lists))
         raw, spelled = array("I", every).tobytes(), b"".join(map(self.pieces.__getitem__, every))
-        sizes = np.concatenate([[0], np.cumsum(self.size[every])])
         cuts = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(int)
-        at, to = (4 * cuts).tolist(), sizes[cuts].tolist()
-        self.update((s, (raw[at[i] : at[i + 1]], spelled[to[i] : to[i + 1]])) for i, s in enumerate(new))
-        self.held += 300 * len(new) + len(raw) + len(spelled)
+        at = (4 * cuts).tolist()
+        self.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+        self.held += 250 * len(new) + len(raw)
+        ends, own = np.concatenate([[0], np.cumsum(self.size[every])])[cuts], "".join(new)
+        if not (own.isascii() and spelled == own.encode() and (np.diff(ends) == [len(s) for s in new]).all()):
+            for s, i, j in zip(new, ends.tolist(), ends[1:].tolist(), strict=False):
+                if spelled[i:j] != s.encode():
+                    self.odd[s] = spelled[i:j]
 
 
 def sentence_pieces(path: str) -> Vocabulary:
@@ -119,10 +135,12 @@ def sentence_pieces(path: str) -> Vocabulary:
         if not apart or not text or "▁" in text:  # a mark in the text is a space to the model
             ids = model.encode(text)
             return np.array(ids, np.uint32), b"".join(map(pieces.__getitem__, ids))
+        known.forget()
         segments = SEGMENT.findall(" " + text)
-        known.learn(segments)
-        found = list(map(known.__getitem__, segments))
-        return np.frombuffer(b"".join([f[0] for f in found]), np.uint32), b"".join([f[1] for f in found])
+        ids = np.frombuffer(b"".join(known.ids_of(segments)), np.uint32)
+        if not known.odd or known.odd.keys().isdisjoint(segments):
+            return ids, (" " + text).encode()
+        return ids, b"".join([known.odd[s] if s in known.odd else s.encode() for s in segments])
 
     return Vocabulary(encode, pieces)
 
@@ -140,12 +158,18 @@ class Windows(dict):
         self.texts: list[str] = []
         self.groups, self.starts, self.links = array("q"), array("q", [0]), array("q")
 
-    def learn(self, keys: list[bytes]) -> None:
-        """Work the windows out that are not known yet, all at once: laid end to end, both sides have the same bytes, and each
-        end of a token of either side closes one link, each end of both a group."""
-        new = [k for k in set(keys) if k not in self]
-        if not new:
-            return
+    def places(self, keys: list[bytes]) -> list[int]:
+        found = list(map(self.get, keys))
+        if None in found:
+            new = [i for i, place in enumerate(found) if place is None]
+            self.learn(list({keys[i] for i in new}))
+            for i in new:
+                found[i] = self[keys[i]]
+        return found
+
+    def learn(self, new: list[bytes]) -> None:
+        """Work new windows out, all at once: laid end to end, both sides have the same bytes, and each end of a token of either
+        side closes one link, each end of both a group."""
         ids = np.frombuffer(b"".join(new), np.uint32)
         mark = np.flatnonzero(ids == 0xFFFFFFFF)
         size = np.array([len(k) // 4 for k in new])
@@ -203,23 +227,22 @@ class _Block:
         self.times: list[np.ndarray] = []
 
     def add(self, ids: pa.Array, texts: list[str | None]) -> None:
-        w = self.windows
+        w, read, keys = self.windows, [], []
         self.ids.append(ids)
-        kept = [t or "" for t in texts]
-        for text in kept:
+        for text in texts:
+            text = text or ""
             self.bytes += len(text)
             whole = b" " + text.encode()
             (a, first), (b, second) = (v.encode(text) for v in (w.a, w.b))
-            if not text or first != whole or second != whole:
-                self.rows.append((0, 0, ""))
-                found = times = np.zeros(0, np.int64)
-            else:
-                keys = window_keys(a, b, w.a, w.b)
-                w.learn(keys)
-                places = list(map(w.__getitem__, keys))
-                found, times = np.unique(np.array(places, np.int64), return_counts=True)
-                sha = hashlib.sha256(";".join(map(w.texts.__getitem__, places)).encode()).hexdigest()
-                self.rows.append((len(a), len(b), sha))
+            own = window_keys(a, b, w.a, w.b) if text and first == whole and second == whole else []
+            read.append((len(a), len(b), len(own)))
+            keys += own
+        places, at = w.places(keys), 0  # new windows of all these texts are worked out together
+        for n_a, n_b, n in read:
+            own = places[at : at + n]
+            at += n
+            found, times = np.unique(np.array(own, np.int64), return_counts=True)
+            self.rows.append((n_a, n_b, hashlib.sha256(";".join(map(w.texts.__getitem__, own)).encode()).hexdigest()) if n else (0, 0, ""))
             self.found.append(found.astype(np.int32))
             self.times.append(times.astype(np.int32))
 

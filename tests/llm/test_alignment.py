@@ -103,3 +103,12 @@ def test_ids_are_those_of_the_libraries():
     for text in [*hostile(5, 2000), " ", "  ", "a ", "a  b   c ", " a", "x" * 300 + " " + "y" * 80, "\n \n  ", "a\u00a0b \u3000c"]:
         assert one.encode(text)[0].tolist() == whole.encode(" " + text, add_special_tokens=False).ids
         assert two.encode(text)[0].tolist() == pieces.encode(text), text
+
+
+def test_known_segments_are_looked_up_once_and_keep_ids_only():
+    """Segments whose ids spell something else keep that beside; the others keep no spelling."""
+    met = []
+    known = alignment.Segments(lambda texts: met.extend(texts) or [[0] * len(t) for t in texts], 1, [b"a", b" "])
+    assert known.ids_of([" a", " ab", " a"]) == [bytes(4), bytes(8), bytes(4)]
+    assert known.ids_of([" ab", " "]) == [bytes(8), b"\1\0\0\0"]
+    assert sorted(met) == ["", "a", "ab"] and known.odd == {" a": b"a", " ab": b"aa"} and " " in known
