@@ -216,21 +216,28 @@ def _one_group(bits: Bits, codes: list[Code], total: int, width: int, cache_bits
         raw = np.frombuffer(bits.data[base : base + SPAN + 8].ljust(SPAN + 8 if len(bits.data) - base > SPAN else len(bits.data) - base + 8, b"\0"), np.uint8).astype(np.uint32)
         wide = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
         value = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << most) - 1)).astype(np.uint16).reshape(-1)
-        green, red, blue, alpha = (t[value].tobytes() for t in (special, *(t[1] for t in tables[1:])))
+        each = {id(c): t[1] for c, t in zip(codes[1:4], tables[1:], strict=True)}  # equal codes are one object
+        each = {k: t[value].tobytes() for k, t in each.items()}
+        green, (red, blue, alpha) = special[value].tobytes(), (each[id(c)] for c in codes[1:4])
         p, limit, starts = bits.at - 8 * base, len(value) - 160, []
         add = starts.append
         if len(bits.data) - base <= SPAN:
             limit = len(value)
         while n < total and p < limit:
-            step = green[p]
-            if step < 128:
+            sure, before = min(total - n, 1 + (limit - 1 - p) // (4 * most)), len(starts)  # so many pixels begin before the limit
+            for _ in range(sure):
+                step = green[p]
+                if step > 127:
+                    break
                 add(p)
                 p += step
                 p += red[p]
                 p += blue[p]
                 p += alpha[p]
-                n += 1
+            n += len(starts) - before
+            if n == total or p >= limit or green[p] < 128:
                 continue
+            step = green[p]
             s = int(tables[0][0][value[p]])
             p += step & 127
             if s >= LITERALS + LENGTHS:
@@ -265,7 +272,7 @@ def _one_group(bits: Bits, codes: list[Code], total: int, width: int, cache_bits
         key = _slots(out, cache_bits)
         where, slot = np.array(hits).T
         key[where] = slot
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key.astype(np.uint16), kind="stable")  # a radix sort
         last = np.maximum.accumulate(np.where(known[order], np.arange(total), -1))
         source = order[np.maximum(last, 0)]
         full = np.where((last >= 0) & (key[source] == key[order]), out[source], np.uint32(0))
@@ -336,7 +343,7 @@ def _undo_bands(p: np.ndarray, width: int, height: int, bits: int, modes: np.nda
 
 def _undo_predictor(p: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
     grid = ((modes >> np.uint32(8)) & np.uint32(15)).reshape(-(-height >> bits), -(-width >> bits))
-    if (grid == grid[:, :1]).all() and np.isin(grid[:, 0], (1, 2)).all():
+    if (grid == grid[:, :1]).all() and ((grid[:, 0] == 1) | (grid[:, 0] == 2)).all():
         return _undo_bands(p, width, height, bits, grid[:, 0])
     c, across = _split(p), -(-width >> bits)
     for i in range(width * height):
@@ -424,8 +431,7 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     p = _pixels(bits, inner, height, True)
     for kind, w, n, extra in reversed(undo):
         p = _undo_predictor(p, w, height, n, extra) if kind == PREDICTOR else _undo_cross(p, w, height, n, extra) if kind == CROSS else _undo_green(p) if kind == GREEN else _undo_palette(p, w, height, n, extra)
-    c = p.view(np.uint32)
-    return width, height, np.stack([(c >> np.uint32(s)) & np.uint32(255) for s in (16, 8, 0, 24)], axis=-1).astype(np.uint8).reshape(height, width, 4)
+    return width, height, np.ascontiguousarray(p).view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
 
 
 class Writer:
@@ -536,6 +542,21 @@ def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(wide, 2 * top + half, v), extra, np.where(wide, v - ((2 + half) << extra), 0)
 
 
+def _fours(q: np.ndarray) -> np.ndarray:
+    """A number for each four pixels (uint64) that follow one another."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    return ((q[:-3] * step + q[1:-2]) * step + q[2:-1]) * step + q[3:]
+
+
+def repeats(p: np.ndarray) -> int:
+    """How many fours occurred before; matches hold four pixels for each of them at most."""
+    n = 0
+    for base in range(0, len(p), REACH):
+        key = np.sort(_fours(p[base : base + REACH].astype(np.uint64))) if len(p) - base >= 8 else np.zeros(0, np.uint64)
+        n += np.count_nonzero(key[1:] == key[:-1])
+    return n
+
+
 def matches(p: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, length, distance) of stretches of four pixels or more that occurred before; none overlap."""
     found: list[tuple[int, int, int]] = []
@@ -543,8 +564,7 @@ def matches(p: np.ndarray) -> list[tuple[int, int, int]]:
         q = p[base : base + REACH].astype(np.uint64)
         if len(q) < 8:
             continue
-        step = np.uint64(0x9E3779B97F4A7C15)
-        key = ((q[:-3] * step + q[1:-2]) * step + q[2:-1]) * step + q[3:]
+        key = _fours(q)
         order = np.argsort(key, kind="stable")
         same = key[order[1:]] == key[order[:-1]]
         d = np.zeros(len(key), np.int64)
@@ -577,11 +597,11 @@ def _put_pixels(out: Writer, p: np.ndarray, main: bool) -> str:
         return "plain"
     literal, copies, hit, cache_bits = np.ones(len(p), bool), [], None, 0
     if main:
-        copies = matches(p)
+        copies = matches(p) if 64 * repeats(p) >= len(p) else []
         if 16 * sum(n for _, n, _ in copies) < len(p):
             copies = []
             key = _slots(p, CACHE_BITS)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key.astype(np.uint8), kind="stable")
             again = np.zeros(len(p), bool)
             again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
             if 32 * again.sum() >= len(p):

@@ -311,3 +311,27 @@ def test_long_payloads_become_several_images(spark):
             list(webp.images(b"q" * 128, bad))
     with pytest.raises(ValueError):
         webp.split_files(webp.stored(b"q" * 64)[0] + b"RIFF")
+
+
+def test_stretches_are_looked_for_where_fours_recur(monkeypatch):
+    """Sorting the fours tells that too few recur; the search for stretches, which used to run on every image, is left out."""
+    r = np.random.default_rng(4)
+    lone, again = r.integers(0, 256, 64 * 50, np.uint8).tobytes(), r.integers(0, 256, 64 * 5, np.uint8).tobytes() * 10
+    assert "copies" in webp.stored(again)[1]
+    few = np.frombuffer(lone + lone[:32], np.uint32)
+    assert 0 < sum(n for _, n, _ in webp.matches(few)) <= 4 * webp.repeats(few)
+    calls = []
+    monkeypatch.setattr(webp, "matches", lambda p: calls.append(len(p)) or [])
+    assert webp.decode(webp.stored(lone)[0])[2].tobytes() == lone and not calls
+    webp.stored(again)
+    assert calls
+
+
+@pytest.mark.parametrize("span", [64, 200, 1 << 18])
+def test_windows_of_a_file_of_any_size(monkeypatch, span):
+    monkeypatch.setattr(webp, "SPAN", span)
+    r = np.random.default_rng(5)
+    parts = [r.integers(0, 256, 64 * 20, np.uint8).tobytes(), b"some words and more " * 64, r.choice(np.frombuffer(b"abcd  ef", np.uint8), 6400).tobytes()]
+    for payload in (*parts, b"".join(parts), b"".join(parts) * 2):
+        payload = payload.ljust(-(-len(payload) // 64) * 64, b"\0")
+        assert webp.decode(webp.stored(payload)[0])[2].tobytes()[: len(payload)] == payload
