@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are cut into blocks and split by the tokenizer's pattern. Each block sends its distinct words to the places that
-their checksums name; there each distinct word of the corpus is folded once, by Spark higher-order functions that apply
+their fingerprints name; there each distinct word of the corpus is folded once, by Spark higher-order functions that apply
 ranked merges to its bytes against a literal rank map, and its ids go back to the blocks that asked. Blocks look their
 words up, and decoding concatenates the ids' byte pieces. Only words of more than LONGEST bytes are folded in the block
 that holds them, by the same rule with a heap, as the fold takes a step for each byte.
@@ -10,10 +10,10 @@ that holds them, by the same rule with a heap, as the fold takes a step for each
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,11 @@ from . import _text
 from ._pack import packed, unpacked
 from ._util import documents, mapped
 
-BUCKETS, LONGEST, NONE = 8192, 64, (1 << 31) - 1
+BUCKETS, LONGEST, PLACES, NONE = 8192, 64, 1 << 16, (1 << 31) - 1
 BLOCK, PLACE, WINDOW = 6 << 20, 6 << 20, 1 << 20  # bytes of a block and, on average, of a place; characters looked at together
-#: With this pattern no word reaches back over a space, so a text whose spaces stand alone between other characters is
-#: the concatenation of its chunks, each led by its space; any other text or pattern is split as a whole.
+GROUP = 1 << 17  # words whose ids are laid out together
+#: With this pattern words begin where kinds of characters change, so arrays of kinds tell them for many texts at once, and
+#: a long text can be cut before a space that stands alone; with any other pattern a text is split as a whole.
 WORDS_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -53,24 +54,44 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Add ids (array<int>) to words(word binary), in Spark expressions only.
 
     A word with a rank is its own id; in others each step merges the leftmost adjacent pair of least rank, so a word of n
-    bytes takes n - 1 steps at most. A null or empty word has no ids.
+    bytes takes n - 1 steps at most. The ranks of all pairs are kept (null beside the edges), times PLACES so that adding
+    the place leaves the least of them leftmost: a step looks up those of the new part only. A null or empty word has no
+    ids; a word has fewer than PLACES bytes.
     """
-    table = _rank_map(ranks)
+    def bound(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
+    def ids(table: Column, text: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            return F.try_element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
 
-    def merged(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.struct(rank(F.concat(F.get(parts, i), F.get(parts, i + 1))).alias("r"), i.alias("i")))
-        best = F.array_min(F.filter(pairs, lambda p: p["r"].isNotNull()))
-        put = lambda b: F.concat(F.slice(parts, F.lit(1), b["i"]), F.array(F.concat(F.get(parts, b["i"]), F.get(parts, b["i"] + 1))), F.slice(parts, b["i"] + 3, F.size(parts)))
-        stepped = F.get(F.transform(F.array(best), lambda b: F.when(b.isNull(), parts).otherwise(put(b))), F.lit(0))
-        return F.when(F.size(parts) < 2, parts).otherwise(stepped)
+        def scaled(piece: Column) -> Column:
+            return rank(piece).cast("long") * PLACES
+
+        def joined(acc: Column, at: Column) -> Column:
+            parts, seen = acc["parts"], acc["seen"]
+
+            def put(new: Column) -> Column:
+                left, right = scaled(F.concat(F.get(parts, at - 2), new)), scaled(F.concat(new, F.get(parts, at + 1)))
+                return F.struct(
+                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                    F.concat(F.slice(seen, F.lit(1), at - 2), F.array(left, right), F.slice(seen, at + 2, F.size(seen))).alias("seen"),
+                )
+
+            return bound(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)
+
+        def merged(acc: Column) -> Column:
+            best = F.array_min(F.transform(acc["seen"], lambda r, i: r + i))
+            return bound(best, lambda b: F.when(b.isNull(), acc).otherwise(bound((b % PLACES).cast("int") + 1, lambda at: joined(acc, at))))
+
+        edge, none, steps = F.array(F.lit(None).cast("string")), F.array(F.lit(None).cast("long")), F.sequence(F.lit(1), F.length(text) - 1)
+        seen = F.concat(none, F.transform(steps, lambda i: scaled(F.substring(text, i, F.lit(2)))), none)
+        start = F.struct(F.concat(edge, F.split(text, ""), edge).alias("parts"), seen.alias("seen"))
+        folded = F.aggregate(steps, start, lambda acc, _: merged(acc), lambda acc: F.filter(acc["parts"], lambda p: p.isNotNull()))
+        return bound(rank(text), lambda own: F.when(own.isNotNull(), F.array(own)).when(F.length(text) < 2, F.array().cast("array<int>")).otherwise(F.transform(folded, rank)))
 
     text = F.decode(F.coalesce(F.col("word"), F.lit(b"")), "ISO-8859-1")
-    parts = F.filter(F.split(text, ""), lambda c: c != "")
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), parts, lambda acc, _: merged(acc))
-    return words.withColumn("ids", F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank)))
+    return words.withColumn("ids", bound(_rank_map(ranks), lambda table: bound(text, lambda x: ids(table, x))))
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -114,90 +135,121 @@ def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in alive if p is not None]
 
 
-class Irregular(Exception):
-    """A chunk that touches other white space."""
-
-
-class Seen(dict):
-    """Words of chunks of text, each led by `lead`, in the order in which the chunks were met."""
-
-    def __init__(self, lead: str, words: dict[str, None], split) -> None:
-        self.lead, self.words, self.split = lead, words, split
-
-    def __missing__(self, chunk: str) -> list[str]:
-        if chunk[:1].isspace() or chunk[-1:].isspace() or not chunk:
-            if self.lead or chunk:
-                raise Irregular
-        found = self[chunk] = self.split(self.lead + chunk)
-        self.words.update(dict.fromkeys(found))
-        return found
-
-
-class Chunks(dict):
-    """(ids, decoded bytes) of chunks of text, worked out at first sight from the ids of their words."""
-
-    def __init__(self, seen: Seen, ids: dict[str, bytes], ranks: dict[bytes, int], pieces: list[bytes]) -> None:
-        self.seen, self.ids, self.ranks, self.pieces = seen, ids, ranks, pieces
-
-    def whole(self, words: list[str]) -> tuple[bytes, bytes]:
-        out = []
-        for w in words:
-            ids = self.ids.get(w)
-            if ids is None:
-                ids = self.ids[w] = array("I", fold_word(w.encode(), self.ranks)).tobytes()
-            out.append(ids)
-        ids = b"".join(out)
-        return ids, b"".join(map(self.pieces.__getitem__, array("I", ids)))
-
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
-        found = self[chunk] = self.whole(self.seen[chunk])
-        return found
-
-
-def _stretches(text: str, apart: bool) -> Iterator[str]:
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point, as the regex library sees them: 0 white space, 1 letter, 2 number, 3 other."""
+    import regex
+
+    kinds, every = np.full(0x110000, 3, np.uint8), "".join(map(chr, range(0x110000)))
+    for kind, name in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for found in regex.finditer(name, every):
+            kinds[slice(*found.span())] = kind
+    return kinds
+
+
+def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the words of WORDS_APART begin in the bytes of texts, which themselves begin at off[:-1]."""
+    first, at = off[:-1][off[:-1] < off[1:]], None
+    codes = data
+    if len(data) and data.max() >= 128:
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        first = np.searchsorted(at, first)
+    n, kind = len(codes), _kinds().take(codes)
+    head = np.zeros(n + 1, bool)
+    head[first] = head[n] = True
+    space, starts = kind == 0, np.ones(n, bool)
+    starts[1:] = (kind[1:] != kind[:-1]) & ((codes[:-1] != 32) | space[1:])
+    starts[:-1] |= space[:-1] & ~space[1:] & ~head[1:n]  # the last of a run of white space before other characters
+    starts[first] = True
+    quote = np.flatnonzero((codes == 39) & starts)
+    quote = quote[~head[quote + 1]]
+    one, two = codes.take(quote + 1), codes.take(quote + 2, mode="clip")
+    short = np.isin(one, list(b"stmd"))
+    more = ~head.take(quote + 2, mode="clip") & (((two == ord("e")) & np.isin(one, list(b"rv"))) | ((one == ord("l")) & (two == ord("l"))))
+    for which, size in ((quote[short], 2), (quote[more & ~short], 3)):
+        starts[which + 1] = False
+        starts[which[which + size < n] + size] = True
+    return np.flatnonzero(starts) if at is None else at[starts]
+
+
+def _stretches(text: str) -> Iterator[str]:
     """The text in stretches of WINDOW characters that can be split alone: the next begins with a lone space."""
     at = 0
     while at < len(text):
         end = at + WINDOW
-        while apart and end < len(text):
+        while end < len(text):
             end = text.find(" ", end)
             if end < 0 or (end + 1 < len(text) and not text[end - 1].isspace() and not text[end + 1].isspace()):
                 break
             end += 1
-        if not apart or end < 0:
+        if end < 0:
             end = len(text)
         yield text[at:end]
         at = end
 
 
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values of these sizes that lie behind one another."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _coded(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values of arrays, as they were met, and which of them each value is."""
+    found = pa.chunked_array(parts, pa.binary()).dictionary_encode().unify_dictionaries()
+    if not found.num_chunks:
+        return pa.array([], pa.binary()), np.zeros(0, np.int32)
+    return found.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in found.chunks])
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of binary values."""
+    if not len(values):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    off = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return off.astype(np.int64), np.frombuffer(values.buffers()[2] or b"", np.uint8)
+
+
 class Words:
-    """The distinct words of texts, of LONGEST bytes at most, ordered by place and then as they were met."""
-
-    def __init__(self, texts: list[str], split, apart: bool, places: int) -> None:
-        words: dict[str, None] = {}
-        self.starts, self.spaced = Seen("", words, split), Seen(" ", words, split)
-        for text in texts:
-            for part in _stretches(text, apart):
-                if apart:
-                    lead, first, rest = _split(part, self.starts, self.spaced)
-                    try:
-                        lead[first]
-                        for chunk in rest:
-                            self.spaced[chunk]
-                        continue
-                    except Irregular:
-                        pass
-                words.update(dict.fromkeys(split(part)))
-        listed = [w for w in words if len(w) <= LONGEST and len(w.encode()) <= LONGEST]
-        place = np.fromiter((zlib.crc32(w.encode()) % places for w in listed), np.int64, len(listed))
-        self.listed = [listed[i] for i in np.argsort(place, kind="stable").tolist()]
+    """The words of texts. The distinct ones of LONGEST bytes at most lie in `off` and `body`, ordered by place (`cuts`)
+    and then as they were met; longer ones follow in `long`. `which` tells the place of each word of the texts in these,
+    `counts` the words of each text."""
+
+    def __init__(self, texts: pa.ChunkedArray, pattern: str, places: int) -> None:
+        parts, self.counts = [], np.zeros(len(texts), np.int64)
+        for at, end, data, off in _text.chunks(texts):
+            if pattern != WORDS_APART:
+                import regex
+
+                for row in range(end - at):
+                    found = regex.findall(pattern, data[off[row] : off[row + 1]].tobytes().decode())
+                    self.counts[at + row] = len(found)
+                    parts.append(pa.array([w.encode() for w in found], pa.binary()))
+                continue
+            whole = [(data, off)]
+            if end - at == 1 and len(data) > 4 * WINDOW:
+                whole = ((np.frombuffer(x, np.uint8), np.array([0, len(x)])) for x in map(str.encode, _stretches(data.tobytes().decode())))
+            for body, ends in whole:
+                starts = word_starts(body, ends)
+                self.counts[at:end] += np.diff(np.searchsorted(starts, ends))
+                parts.append(_binary(np.diff(starts, append=len(body)), body))
+        words, which = _coded(parts)
+        off, body = _bytes(words)
+        short = np.flatnonzero(np.diff(off) <= LONGEST)
+        place = (_text.word_hashes(body[: off[-1]], off[short], off[short + 1]) % np.uint64(places)).astype(np.int64)
+        order = short[np.argsort(place, kind="stable")]
         self.cuts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))])
+        self.off, self.body = _bytes(words.take(pa.array(order)))
+        late = np.flatnonzero(np.diff(off) > LONGEST)
+        self.long = words.take(pa.array(late)).to_pylist()
+        rank = np.zeros(len(words), np.int32)
+        rank[np.concatenate([order, late])] = np.arange(len(words), dtype=np.int32)
+        self.which = rank[which]
 
-
-def _split(part: str, starts: dict, spaced: dict) -> tuple[dict, str, list[str]]:
-    """Where to look the first chunk of a stretch up, that chunk, and the chunks that a space leads."""
-    first, *rest = part[1:].split(" ") if part[0] == " " else part.split(" ")
-    return (spaced if part[0] == " " else starts), first, rest
+    def of(self, place: int) -> np.ndarray:
+        return self.body[self.off[self.cuts[place]] : self.off[self.cuts[place + 1]]]
 
 
 def _blocks(docs: DataFrame, made, schema: str) -> DataFrame:
@@ -220,23 +272,16 @@ def _blocks(docs: DataFrame, made, schema: str) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, schema)
 
 
-def _texts(rows: pa.Table) -> list[str]:
-    return [t or "" for t in rows.column("text").to_pylist()]
-
-
 def _asked(docs: DataFrame, pattern: str, places: int) -> DataFrame:
     """(place, block, words): each block's distinct words by place."""
 
     def made(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        met = Words(_texts(rows), regex.compile(pattern).findall, pattern == WORDS_APART, places)
-        words, cuts = met.listed, met.cuts
-        some = np.flatnonzero(np.diff(cuts)).tolist()
+        met = Words(rows.column("text"), pattern, places)
+        size, some = np.diff(met.off).astype(np.uint8), np.flatnonzero(np.diff(met.cuts)).tolist()
         for i in range(0, len(some), 256):
-            part = [[w.encode() for w in words[cuts[p] : cuts[p + 1]]] for p in some[i : i + 256]]
-            blobs = [packed(np.fromiter(map(len, x), np.uint8, len(x)), np.frombuffer(b"".join(x), np.uint8)) for x in part]
-            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 256]), pa.array([block] * len(part)), pa.array(blobs)], names=["place", "block", "words"])
+            part = some[i : i + 256]
+            blobs = [packed(size[met.cuts[p] : met.cuts[p + 1]], met.of(p)) for p in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([block] * len(part)), pa.array(blobs)], names=["place", "block", "words"])
 
     return _blocks(docs, made, "place long, block long, words binary")
 
@@ -247,20 +292,17 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["place", "block", "word", "asked", "check"]
 
     def out() -> Iterator[pa.RecordBatch]:
-        asked = []
-        for block, blob in held:
-            size, body = unpacked(blob)
-            ends, raw = np.cumsum(size.astype(np.int64)).tolist(), body.tobytes()
-            asked.append((block, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], zlib.crc32(raw)))
-        words = list(dict.fromkeys(w for _, x, _ in asked for w in x))
-        index = {w: i for i, w in enumerate(words)}
+        asked = [(block, *unpacked(blob)) for block, blob in held]
+        words, which = _coded([_binary(size, body) for _, size, body in asked])
         for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([now] * len(part)), pa.array([None] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array([None] * len(part), pa.binary()), pa.array([None] * len(part), pa.int64())], names=names)
-        for block, x, check in asked:
-            at = np.fromiter(map(index.__getitem__, x), np.int32, len(x))
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([block]), pa.array([None], pa.binary()), pa.array([packed(at)]), pa.array([check])], names=names)
+            part = words.slice(i, 4096)
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now, pa.int64()), n), pa.nulls(n, pa.int64()), part, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
+        ends = np.cumsum([0, *(len(size) for _, size, _ in asked)]).tolist()
+        for i in range(0, len(asked), 64):
+            part = asked[i : i + 64]
+            blobs = [packed(which[a:b]) for a, b in zip(ends[i : i + 64], ends[i + 1 : i + 65], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now, pa.int64()), len(part)), pa.array([x for x, _, _ in part], pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(blobs, pa.binary()), pa.array([zlib.crc32(x) for _, _, x in part], pa.int64())], names=names)
 
     for batch in batches:
         for place, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -290,16 +332,20 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 if len(size) > 1:
                     size, flat = [np.concatenate(size)], [np.concatenate(flat)]
-                starts = np.cumsum(size[0]) - size[0]
+                starts, blobs = np.cumsum(size[0]) - size[0], []
                 for i in range(a, b):
                     at = unpacked(batch.column(2)[i].as_py())[0]
                     n = size[0][at].astype(np.int64)
-                    ids = flat[0][np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    cols = [batch.column(1)[i].as_py(), int(place[i]), packed(n.astype(np.uint8), ids.astype(np.int32)), batch.column(4)[i].as_py()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in cols], names=["block", "place", "blob", "check"])
+                    blobs.append(packed(n.astype(np.uint8), _spread(starts[at], n, flat[0]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary()), batch.column(4).slice(a, b - a)], names=["block", "place", "blob", "check"])
             now, asking = place[a], bool(asks[a])
 
 
+def _spread(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The n values of flat from each start on, behind one another."""
+    return flat[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, places: int) -> DataFrame:
     """(block, place, blob, check) for the blocks of docs: every distinct word of the corpus is folded once."""
     dealt = _asked(docs, pattern, places).repartition("place").sortWithinPartitions("place", "block")
@@ -308,20 +354,6 @@ def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, places: int
     return mapped(folded, _told, "block long, place long, blob binary, check long")
 
 
-def _all_ids(text: str, apart: bool, split, starts: Chunks, spaced: Chunks) -> Iterator[tuple[bytes, bytes]]:
-    """Ids and decoded bytes of each stretch of the text."""
-    for part in _stretches(text, apart):
-        if apart:
-            lead, first, rest = _split(part, starts, spaced)
-            try:
-                both = [lead[first], *map(spaced.__getitem__, rest)]
-                yield b"".join([x for x, _ in both]), b"".join([y for _, y in both])
-                continue
-            except Irregular:
-                pass
-        yield starts.whole(split(part))
-
-
 def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes[, ids]) for each row of docs(doc_id, text).
 
@@ -330,7 +362,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
     as a table does; if it does not, the job stops.
     """
     docs = docs.select("doc_id", "text")
-    ranks, apart = read_ranks(path), pattern == WORDS_APART
+    ranks = read_ranks(path)
     places = int(max(64, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PLACE))
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -340,44 +372,40 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
             w.write_table(rows.combine_chunks())
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1]), pa.array([sink.getvalue().to_pybytes()]), pa.array([None], pa.int64())], names=["block", "place", "blob", "check"])
 
-    def finished(rows: pa.Table, answers: list[tuple[int, bytes, int]], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split, texts, known = regex.compile(pattern).findall, _texts(rows), {}
-        met = Words(texts, split, apart, places)
-        words, cuts = met.listed, met.cuts
-        if [p for p, _, _ in answers] != np.flatnonzero(np.diff(cuts)).tolist():
+    def finished(rows: pa.Table, answers: list[tuple[int, bytes, int]], pieces: pa.Array) -> Iterator[pa.RecordBatch]:
+        met = Words(rows.column("text"), pattern, places)
+        if [p for p, _, _ in answers] != np.flatnonzero(np.diff(met.cuts)).tolist() or any(zlib.crc32(met.of(p)) != check for p, _, check in answers):
             raise ValueError("the table changed between two reads")
-        for place, blob, check in answers:
-            own = words[cuts[place] : cuts[place + 1]]
-            if zlib.crc32("".join(own).encode()) != check:
-                raise ValueError("the table changed between two reads")
-            n, ids = unpacked(blob)
-            ends, raw = (np.cumsum(n.astype(np.int64)) * 4).tolist(), ids.astype("<u4").tobytes()
-            known.update(zip(own, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        starts, spaced = (Chunks(seen, known, sent.value, pieces) for seen in (met.starts, met.spaced))
-        for at in range(0, len(texts), 64):
-            out = []
-            for text in texts[at : at + 64]:
-                one, two, n, size, whole = hashlib.sha256(), hashlib.sha256(), 0, 0, []
-                for ids, back in _all_ids(text, apart, split, starts, spaced):
-                    one.update(ids)
-                    two.update(back)
-                    n, size = n + len(ids) // 4, size + len(back)
-                    if keep_ids:
-                        whole.append(ids)
-                out.append((n, one.hexdigest(), two.hexdigest(), size, b"".join(whole)))
-            cols = list(zip(*out, strict=True))
-            arrays = [rows.column(0).slice(at, 64).combine_chunks(), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int64())]
+        told = [unpacked(blob) for _, blob, _ in answers] + [(np.array([len(x)]), np.array(x)) for x in (fold_word(w, sent.value) for w in met.long)]
+        n = np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for x, _ in told)])
+        flat, starts = np.concatenate([np.zeros(0, "<u4"), *(x.astype("<u4") for _, x in told)]), np.cumsum(n) - n
+        ends, at = np.concatenate([[0], np.cumsum(met.counts)]), 0
+        while at < len(met.counts):
+            upto = max(at + 1, min(at + 256, int(np.searchsorted(ends, ends[at] + GROUP, "right")) - 1))
+            sums, whole = [(hashlib.sha256(), hashlib.sha256()) for _ in range(upto - at)], []
+            tokens, size = np.zeros(upto - at, np.int64), np.zeros(upto - at, np.int64)
+            for a in range(ends[at], ends[upto], GROUP):
+                which = met.which[a : min(a + GROUP, ends[upto])]
+                ids = _spread(starts[which], n[which], flat)
+                off, back = _bytes(pieces.take(pa.array(ids)))
+                cut = np.concatenate([[0], np.cumsum(n[which])])[np.clip(ends[at : upto + 1] - a, 0, len(which))]
+                for (one, two), i, j, k, m in zip(sums, cut.tolist(), cut[1:].tolist(), off[cut].tolist(), off[cut[1:]].tolist(), strict=False):
+                    one.update(ids[i:j])
+                    two.update(back[k:m])
+                tokens, size = tokens + np.diff(cut), size + np.diff(off[cut])
+                whole += [ids] * keep_ids
+            hashed = [pa.array([x.hexdigest() for x in y]) for y in zip(*sums, strict=True)]
+            arrays = [rows.column(0).slice(at, upto - at).combine_chunks(), pa.array(tokens), *hashed, pa.array(size)]
             if keep_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tokens)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<u4"), *whole]).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"][: len(arrays)])
+            at = upto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(sent.value.values(), default=-1) + 1)
+        listed = [b""] * (max(sent.value.values(), default=-1) + 1)
         for piece, i in sent.value.items():
-            pieces[i] = piece
-        rows, answers = None, []
+            listed[i] = piece
+        rows, answers, pieces = None, [], pa.array(listed, pa.binary())
         for batch in batches:
             for i in range(batch.num_rows):
                 place, blob = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()

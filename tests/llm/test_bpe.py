@@ -46,3 +46,31 @@ def test_folds_agree(spark, ranks, theirs):
     df = spark.createDataFrame([(w.encode(),) for w in short] + [(None,), (b"",)], "word binary")
     for row in bpe.fold_words(df, ranks).collect():
         assert row.ids == (theirs._encode_single_piece(row.word) if row.word else [])
+
+
+def test_words_begin_where_the_pattern_says():
+    regex, r = pytest.importorskip("regex"), random.Random(3)
+    kinds = ["a", "s", "t", "re", "ve", "ll", "l", "d", "'", "'", " ", " ", "\n", "1", "½", "é", "日", ".", "\x1c", "　", "\xa0", "S", "😀", "́"]
+    for _ in range(500):
+        texts = ["".join(r.choice(kinds) for _ in range(r.randrange(25))).encode() for _ in range(r.randrange(1, 6))]
+        off, want = np.cumsum([0, *map(len, texts)]), []
+        for at, text in zip(off.tolist(), texts, strict=False):
+            sizes = [len(w.encode()) for w in regex.findall(bpe.WORDS_APART, text.decode())]
+            want += (at + np.cumsum([0, *sizes])[:-1]).tolist()
+        assert bpe.word_starts(np.frombuffer(b"".join(texts), np.uint8), off).tolist() == want
+
+
+def test_long_texts_are_cut_and_joined(ranks, theirs, monkeypatch):
+    pa, r = pytest.importorskip("pyarrow"), random.Random(4)
+    text = " ".join(r.choice(["the", "it's", "é\n\nx", "", "a" * 70, "12", "!?"]) for _ in range(2000))
+    for window, texts in ((50, [text]), (1 << 20, [text, None, "", text[:99]])):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        met = bpe.Words(pa.chunked_array([texts]), bpe.WORDS_APART, 7)
+        ends = met.off.tolist()
+        words = [met.body[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] + met.long
+        assert met.cuts[-1] == len(ends) - 1 and all(len(w) > bpe.LONGEST for w in met.long)
+        cut, at = [words[i] for i in met.which], 0
+        for own, n in zip(texts, met.counts.tolist(), strict=True):
+            assert b"".join(cut[at : at + n]).decode() == (own or "")
+            assert [i for w in cut[at : at + n] for i in bpe.fold_word(w, ranks)] == theirs.encode_ordinary(own or "")
+            at += n
