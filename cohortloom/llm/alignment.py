@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ._pack import packed, unpacked
 from ._util import documents, held, mapped, written
+from .bpe import WORDS_APART, binaries, bytes_of, coded, spread, word_starts
 
 BLOCK = 4 << 20  # bytes of text of a block
 REMEMBERED = 500_000  # windows that a worker carries on to its next block
@@ -34,11 +35,12 @@ BODY, NONE = -1, b""
 
 
 class Vocabulary:
-    """`encode` gives a text's ids, after a space that is put before it, and the bytes that they spell; `pieces` the bytes of
-    each id."""
+    """`encode` gives a text's ids, after a space that is put before it, and the bytes that they spell, `together` the same for
+    each of several texts; `pieces` the bytes of each id."""
 
-    def __init__(self, encode: Callable[[str], tuple[np.ndarray, bytes]], pieces: list[bytes]) -> None:
+    def __init__(self, encode: Callable[[str], tuple[np.ndarray, bytes]], pieces: list[bytes], together: Callable | None = None) -> None:
         self.encode, self.pieces = encode, pieces
+        self.together = together or (lambda texts: list(map(encode, texts)))
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.marked = np.array([p[:1] == b" " for p in pieces])
 
@@ -61,10 +63,14 @@ def byte_level(path: str) -> Vocabulary:
     pieces = [NONE] * whole.get_vocab_size()
     for p, i in words.items():
         pieces[i] = p
+    together = None
     if all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)):
         ranks = {p: i for p, i in words.items() if i < 256 + len(merges)}
         plain = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         ids_of, spelled = lambda text: plain.encode_ordinary(" " + text), plain.decode_bytes
+        if public_tokenizers.PATTERN == WORDS_APART:
+            size = np.array([len(p) for p in pieces], np.int64)
+            together = lambda texts: by_words(plain, size, texts) or list(map(encode, texts))
     else:
         whole.encode_special_tokens = True
         ids_of, spelled = lambda text: whole.encode(" " + text, add_special_tokens=False).ids, lambda ids: b"".join(map(pieces.__getitem__, ids))
@@ -73,11 +79,42 @@ def byte_level(path: str) -> Vocabulary:
         ids = ids_of(text)
         return np.array(ids, np.uint32), spelled(ids)
 
-    return Vocabulary(encode, pieces)
+    return Vocabulary(encode, pieces, together)
 
 
 SEGMENT = re.compile(" +[^ ]*")
 SEGMENT_BYTES = 48 << 20  # of remembered segments, as they lie in memory
+TOGETHER = 8 << 20  # bytes of texts whose words are told apart at once
+
+
+def by_words(plain, size: np.ndarray, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+    """Ids and bytes of each text after a space: each distinct word of WORDS_APART is merged once. Nothing for large texts and
+    for words that their ids do not spell."""
+    whole = [b" " + text.encode() for text in texts]
+    data, off = np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)])
+    if not len(data) or len(data) > TOGETHER:
+        return []
+    begin = word_starts(data, off)
+    words, which = coded([binaries(np.diff(begin, append=len(data)), data)])
+    cuts, body = bytes_of(words)
+    # Words of a space and another character stand apart when they are joined; those that may be white space go alone.
+    second = body[np.minimum(cuts[:-1] + 1, len(body) - 1)]
+    joint = (np.diff(cuts) > 1) & (body[cuts[:-1]] == 32) & (second > 32) & ~np.isin(second, [0xC2, 0xE1, 0xE2, 0xE3])
+    order = np.concatenate([np.flatnonzero(joint), np.flatnonzero(~joint)])
+    listed = words.take(pa.array(order))
+    cuts, body = bytes_of(listed)
+    n, raw = int(joint.sum()), body.tobytes()
+    parts = [plain.encode_ordinary(raw[: cuts[n]].decode()), *(plain.encode_ordinary(w.decode()) for w in listed.slice(n).to_pylist())]
+    ids = np.array(list(chain.from_iterable(parts)), np.uint32)
+    ends = np.concatenate([[0], np.cumsum(size[ids])])
+    first = np.searchsorted(ends, cuts)
+    if plain.decode_bytes(ids.tolist()) != raw or not np.array_equal(ends[first], cuts):
+        return []
+    start, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    start[order], count[order] = first[:-1], np.diff(first)
+    own = spread(start[which], count[which], ids)
+    at = np.concatenate([[0], np.cumsum(count[which])])[np.searchsorted(begin, off)].tolist()
+    return [(own[i:j], x) for i, j, x in zip(at, at[1:], whole, strict=False)]
 
 
 class Segments(dict):
@@ -226,14 +263,13 @@ class _Block:
         self.found: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, ids: pa.Array, texts: list[str | None]) -> None:
+    def add(self, ids: pa.Array, texts: list[str], firsts: list[tuple[np.ndarray, bytes]]) -> None:
+        """Texts with what `a` makes of them."""
         w, read, keys = self.windows, [], []
         self.ids.append(ids)
-        for text in texts:
-            text = text or ""
+        for text, (a, first), (b, second) in zip(texts, firsts, w.b.together(texts), strict=True):
             self.bytes += len(text)
             whole = b" " + text.encode()
-            (a, first), (b, second) = (v.encode(text) for v in (w.a, w.b))
             own = window_keys(a, b, w.a, w.b) if text and first == whole and second == whole else []
             read.append((len(a), len(b), len(own)))
             keys += own
@@ -285,9 +321,10 @@ def _blocks(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFram
             kept["of"], kept["windows"] = (a, b), Windows(kept[a[1]], kept[b[1]])
         block = _Block(kept["windows"])
         for batch in batches:
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            firsts = kept[a[1]].together(texts)
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                block.add(part.column(0), part.column(1).to_pylist())
+                block.add(batch.column(0).slice(at, 64), texts[at : at + 64], firsts[at : at + 64])
                 if block.bytes >= BLOCK:
                     yield block.batch(number)
                     number += 1

@@ -137,13 +137,13 @@ def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @functools.cache
 def _kinds() -> np.ndarray:
-    """By code point, as the regex library sees them: 0 white space, 1 letter, 2 number, 3 other."""
-    import regex
+    """By code point, as tiktoken sees them: 0 white space, 1 letter, 2 number, 3 other."""
+    import tiktoken
 
-    kinds, every = np.full(0x110000, 3, np.uint8), "".join(map(chr, range(0x110000)))
+    kinds, every = np.full(0x110000, 3, np.uint8), "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     for kind, name in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
-        for found in regex.finditer(name, every):
-            kinds[slice(*found.span())] = kind
+        plain = tiktoken.Encoding("kind", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        kinds[np.frombuffer(bytes(plain.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")] = kind
     return kinds
 
 
@@ -189,14 +189,14 @@ def _stretches(text: str) -> Iterator[str]:
         at = end
 
 
-def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+def binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
     """Values of these sizes that lie behind one another."""
     ends = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=ends[1:])
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def _coded(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+def coded(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     """The distinct values of arrays, as they were met, and which of them each value is."""
     found = pa.chunked_array(parts, pa.binary()).dictionary_encode().unify_dictionaries()
     if not found.num_chunks:
@@ -204,7 +204,7 @@ def _coded(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     return found.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in found.chunks])
 
 
-def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of binary values."""
     if not len(values):
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
@@ -234,14 +234,14 @@ class Words:
             for body, ends in whole:
                 starts = word_starts(body, ends)
                 self.counts[at:end] += np.diff(np.searchsorted(starts, ends))
-                parts.append(_binary(np.diff(starts, append=len(body)), body))
-        words, which = _coded(parts)
-        off, body = _bytes(words)
+                parts.append(binaries(np.diff(starts, append=len(body)), body))
+        words, which = coded(parts)
+        off, body = bytes_of(words)
         short = np.flatnonzero(np.diff(off) <= LONGEST)
         place = (_text.word_hashes(body[: off[-1]], off[short], off[short + 1]) % np.uint64(places)).astype(np.int64)
         order = short[np.argsort(place, kind="stable")]
         self.cuts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))])
-        self.off, self.body = _bytes(words.take(pa.array(order)))
+        self.off, self.body = bytes_of(words.take(pa.array(order)))
         late = np.flatnonzero(np.diff(off) > LONGEST)
         self.long = words.take(pa.array(late)).to_pylist()
         rank = np.zeros(len(words), np.int32)
@@ -293,7 +293,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         asked = [(block, *unpacked(blob)) for block, blob in held]
-        words, which = _coded([_binary(size, body) for _, size, body in asked])
+        words, which = coded([binaries(size, body) for _, size, body in asked])
         for i in range(0, len(words), 4096):
             part = words.slice(i, 4096)
             n = len(part)
@@ -336,12 +336,12 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(a, b):
                     at = unpacked(batch.column(2)[i].as_py())[0]
                     n = size[0][at].astype(np.int64)
-                    blobs.append(packed(n.astype(np.uint8), _spread(starts[at], n, flat[0]).astype(np.int32)))
+                    blobs.append(packed(n.astype(np.uint8), spread(starts[at], n, flat[0]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary()), batch.column(4).slice(a, b - a)], names=["block", "place", "blob", "check"])
             now, asking = place[a], bool(asks[a])
 
 
-def _spread(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+def spread(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The n values of flat from each start on, behind one another."""
     return flat[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
@@ -386,8 +386,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
             tokens, size = np.zeros(upto - at, np.int64), np.zeros(upto - at, np.int64)
             for a in range(ends[at], ends[upto], GROUP):
                 which = met.which[a : min(a + GROUP, ends[upto])]
-                ids = _spread(starts[which], n[which], flat)
-                off, back = _bytes(pieces.take(pa.array(ids)))
+                ids = spread(starts[which], n[which], flat)
+                off, back = bytes_of(pieces.take(pa.array(ids)))
                 cut = np.concatenate([[0], np.cumsum(n[which])])[np.clip(ends[at : upto + 1] - a, 0, len(which))]
                 for (one, two), i, j, k, m in zip(sums, cut.tolist(), cut[1:].tolist(), off[cut].tolist(), off[cut[1:]].tolist(), strict=False):
                     one.update(ids[i:j])

@@ -112,3 +112,27 @@ def test_known_segments_are_looked_up_once_and_keep_ids_only():
     assert known.ids_of([" a", " ab", " a"]) == [bytes(4), bytes(8), bytes(4)]
     assert known.ids_of([" ab", " "]) == [bytes(8), b"\1\0\0\0"]
     assert sorted(met) == ["", "a", "ab"] and known.odd == {" a": b"a", " ab": b"aa"} and " " in known
+
+
+def test_texts_together_are_as_alone():
+    import time
+
+    import numpy as np
+
+    a, _ = alignment.given()
+    v, r = alignment.LOADERS[a[0]](a[1]), random.Random(6)
+    kinds = ["a", "s", "'", " ", " ", "  ", "\n", "1", "é", "Â", "日", "か", ".", "\x1c", "　", "\xa0", "😀", "the", "ll", "՘", "꟎"]
+    texts = ["", *("".join(r.choice(kinds) for _ in range(r.randrange(40))) for _ in range(300))]
+    alone = v.encode
+    for text, (ids, spelled) in zip(texts, v.together(texts), strict=True):
+        want, back = alone(text)
+        assert np.array_equal(ids, want) and spelled == back
+    words = "the words of many texts recur and are merged once ".split()
+    texts = [" ".join(r.choices(words, k=2000)) for _ in range(300)]
+    v.together(texts[:2])
+    took = []
+    for run in (lambda: [alone(t) for t in texts], lambda: v.together(texts)):
+        began = time.process_time()
+        run()
+        took.append(time.process_time() - began)
+    assert took[1] < took[0]

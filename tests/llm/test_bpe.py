@@ -74,3 +74,12 @@ def test_long_texts_are_cut_and_joined(ranks, theirs, monkeypatch):
             assert b"".join(cut[at : at + n]).decode() == (own or "")
             assert [i for w in cut[at : at + n] for i in bpe.fold_word(w, ranks)] == theirs.encode_ordinary(own or "")
             at += n
+
+
+def test_new_letters_are_what_the_library_takes_them_for(ranks, theirs):
+    pa = pytest.importorskip("pyarrow")
+    text = "".join(f"a{c}1{c}. {c}{c}b\n{c}'s" for c in map(chr, [0x558, 0x58B, 0x88F, 0xC5C, 0x208F, 0xA7CE, 0xAB6C, 0x107BB]))
+    met = bpe.Words(pa.chunked_array([[text]]), bpe.WORDS_APART, 7)
+    ends = met.off.tolist()
+    words = [met.body[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    assert [i for w in met.which for i in bpe.fold_word(words[w], ranks)] == theirs.encode_ordinary(text)
