@@ -34,6 +34,7 @@ START, END = np.uint64(0x5B1D7A3C9E84F2), np.uint64(0x9E3779B97F4A7C)  # fingerp
 STEP = np.uint64(0xA0761D6478BD642F)
 UNUSED = np.uint64(8)  # fingerprints of n-grams keep 56 bits
 STATE, TEXTS = 0, 2
+FEW = 16  # a block whose open positions are fewer than one in so many symbols looks at these only
 ROWS = "kind byte, block long, n long, blob binary, more binary"
 QUESTIONS = "block long, place long, n long, blob binary, more binary"
 
@@ -63,11 +64,23 @@ class _Block:
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
 
     def load(self) -> None:
-        self.row = np.repeat(np.arange(len(self.size)), self.size)
-        self.place = np.arange(len(self.symbols)) - self.first[self.row]  # symbols before it in its row, with the start mark
-        train = pa.ipc.open_stream(self.rows).read_all().column("train").fill_null(False).to_numpy(zero_copy_only=False)
-        self.train = train[self.row]
-        self.mixed = _text.mix(self.words, 9)[self.symbols]
+        """What the symbols' rows tell, for each symbol, or where few are left (from the second level on), when it is asked for."""
+        self.learns = pa.ipc.open_stream(self.rows).read_all().column("train").fill_null(False).to_numpy(zero_copy_only=False)
+        self.row = self.mixed = None
+        self.named = _text.mix(self.words, 9)
+        if self.level[0] < 2 or FEW * len(self.at) >= len(self.symbols):
+            self.row = np.repeat(np.arange(len(self.size)), self.size)
+            self.mixed = self.named[self.symbols]
+
+    def row_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1 if self.row is None else self.row[at]
+
+    def place_of(self, at: np.ndarray) -> np.ndarray:
+        """Symbols before these in their rows, with the start mark."""
+        return at - self.first[self.row_of(at)]
+
+    def train_of(self, at: np.ndarray) -> np.ndarray:
+        return self.learns[self.row_of(at)]
 
     def fixed(self) -> bytes:
         return packed(np.diff(self.words, prepend=np.uint64(0)), self.symbols, self.size)
@@ -79,23 +92,23 @@ class _Block:
         """Fingerprints of the symbols from `last` to `first` places before each position."""
         total = np.zeros(len(at), np.uint64)
         for k in range(last, first - 1, -1):
-            total = total * STEP + self.mixed[at - k]
+            total = total * STEP + (self.named[self.symbols[at - k]] if self.mixed is None else self.mixed[at - k])
         return _text.mix(total, 20 + last - first) >> UNUSED
 
     def done(self, at: np.ndarray, p: np.ndarray) -> None:
         """These positions have their last probability."""
-        self.score = self.score + np.bincount(self.row[at], np.log10(p), len(self.size))
+        self.score = self.score + np.bincount(self.row_of(at), np.log10(p), len(self.size))
 
     def words_known(self, counts: np.ndarray, names: np.ndarray, room: float) -> None:
         """Base scores from the counts of words, whose names now stand for their fingerprints; which positions have a context
         that may stay."""
         self.count, self.words = counts.astype(np.int64), names
         self.mixed = _text.mix(names, 9)[self.symbols]
-        at = np.flatnonzero(self.place > 0)
+        at = np.flatnonzero(self.place_of(np.arange(len(self.symbols))) > 0)
         c = self.count[self.symbols[at]]
         p = (c + 1) / room
-        self.known = np.bincount(self.row[at], c > 0, len(self.size)).astype(np.int64)
-        self.base = np.bincount(self.row[at], np.log10(p), len(self.size))
+        self.known = np.bincount(self.row_of(at), c > 0, len(self.size)).astype(np.int64)
+        self.base = np.bincount(self.row_of(at), np.log10(p), len(self.size))
         alive = self.count[self.symbols[at - 1]] >= 2
         self.done(at[~alive], p[~alive])
         self.at, self.c = at[alive].astype(np.int32), np.zeros(int(alive.sum()), np.int32)
@@ -120,13 +133,13 @@ class _Block:
             p = np.where(kept, np.where(self.c >= 2, self.c - discount, 0.0) / np.maximum(n, 1) + left * p, p)
             before = np.full(len(self.symbols), -1, np.int64)  # of the context that is one longer, where it is known
             before[at] = self.c
-            go = kept & (self.place[at] >= d) & (before[at - 1] != 0) & (before[at - 1] != 1)
+            go = kept & (self.place_of(at) >= d) & (before[at - 1] != 0) & (before[at - 1] != 1)
             if deepest is not None and d > deepest:
                 go[:] = False
             self.done(at[~go], p[~go])
             at, p, c = at[go], p[go], c[go]
         self.at, self.c = at.astype(np.int32), c
-        self.asked = (c >= 2) & (self.place[at] > d)
+        self.asked = (c >= 2) & (self.place_of(at) > d)
         self.level = np.array([d + 1])
         if d > 1:
             self.p, self.count = p.astype(np.float32), np.zeros(0, np.int64)
@@ -135,13 +148,14 @@ class _Block:
         """(place, n, n-grams, contexts) for the next exchange."""
         d, at = int(self.level[0]), self.at.astype(np.int64)
         if d == 0:
-            grams, (g,) = self.words, (np.bincount(self.symbols, self.train, len(self.words)),)
+            grams, (g,) = self.words, (np.bincount(self.symbols, self.learns[self.row], len(self.words)),)
         else:
             asked = at[self.asked]
-            grams, (g,) = _sums(self.prints(asked, 0, d), self.train[asked])
+            grams, (g,) = _sums(self.prints(asked, 0, d), self.train_of(asked))
         contexts, sums = np.zeros(0, np.uint64), [np.zeros(0)] * 4
         if d > 1 and len(at):
-            train, seen = self.train[at], self.train[at] & (self.c >= 2)
+            train = self.train_of(at)
+            seen = train & (self.c >= 2)
             c, p = np.maximum(self.c, 1), self.probability(room)
             contexts, sums = _sums(self.prints(at, 1, d - 1), train, seen, np.where(seen, 1 - discount / c, 0), np.where(seen, np.log(np.maximum(c - discount, 0.1) / p), 0))
         cuts = [self._cuts(x, places) for x in (grams, contexts)]

@@ -456,3 +456,27 @@ def test_long_chain_of_calls(spark):
     rows = [(1, i, f"c{i:04d}", [f"c{i - 1:04d}"] if i else None, "add", '{"a": 1}') for i in range(1500)]
     got = chat.linked(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), {"add": {"a": {"type": "integer"}}}).select("turn", "depth", "position", "errors").collect()
     assert all(x.turn == x.depth == x.position and not x.errors for x in got) and len(got) == 1500
+
+
+def test_suffix_tree_blocks_with_few_open_positions_look_at_these_only():
+    import numpy as np
+    import pyarrow as pa
+
+    r, sink = np.random.default_rng(2), pa.BufferOutputStream()
+    rows = pa.record_batch({"doc_id": np.arange(50), "train": np.arange(50) % 3 != 2})
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    size = r.integers(2, 400, 50).astype(np.int32)
+    words = np.sort(r.integers(0, 1 << 56, 30, dtype=np.uint64))
+    fixed = [np.diff(words, prepend=np.uint64(0)), r.integers(0, 30, size.sum()).astype(np.int32), size]
+    first, row = np.cumsum(size) - size, np.repeat(np.arange(50), size)
+    at = np.sort(r.choice(np.flatnonzero(np.arange(size.sum()) - first[row] >= 3), 60, replace=False))
+    told = []
+    for level in (3, 1):
+        block = suffix_tree._Block(fixed, sink.getvalue().to_pybytes())
+        block.at, block.level = at.astype(np.int32), np.array([level])
+        block.load()
+        assert (block.mixed is None) == (level == 3)
+        told.append([block.row_of(at), block.place_of(at), block.train_of(at), block.prints(at, 0, 3), block.prints(at, 1, 2)])
+    assert all(np.array_equal(x, y) for x, y in zip(*told, strict=True))
+    assert np.array_equal(told[0][0], row[at]) and np.array_equal(told[0][1], at - first[row[at]])
