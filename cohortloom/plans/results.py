@@ -8,6 +8,7 @@ from ..operators import embeddings as E
 from ..operators import evaluation as T
 from ..operators import features as X
 from ..operators import tuning as U
+from ..operators.sums import in_table_order
 from .derive import query, read
 from .tables import EMB, FEAT, NAMES, _emb, _features, rounded
 
@@ -21,7 +22,8 @@ def _(spark, d):
 
 @query("f02_ratios", "SELECT l_suppkey, round(CASE WHEN avg(l_tax) > 0.04 THEN avg(l_discount) / avg(l_tax) END, 6) AS ratio_discount_tax, round(CASE WHEN avg(l_discount) > 1e-12 THEN avg(l_quantity) / avg(l_discount) END, 4) AS ratio_quantity_discount FROM lineitem GROUP BY 1")
 def _(spark, d):
-    m = read(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in ("l_tax", "l_discount", "l_quantity")])
+    metrics = ("l_tax", "l_discount", "l_quantity")
+    m = in_table_order(read(spark, d, "lineitem"), "l_suppkey", *metrics).groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in metrics])
     one = X.band_ratios(m, [("ratio_discount_tax", "l_discount", "l_tax")], 0.04)
     two = X.band_ratios(one, [("ratio_quantity_discount", "l_quantity", "l_discount")])
     return two.select("l_suppkey", F.round("ratio_discount_tax", 6).alias("ratio_discount_tax"), F.round("ratio_quantity_discount", 4).alias("ratio_quantity_discount"))
